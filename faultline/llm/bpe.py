@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -136,8 +137,6 @@ class ByteBpe:
 
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Number of ids, SHA-256 of the ids, SHA-256 of the decoded bytes."""
-        if len(self.known) > self.most:
-            self.known.clear()
         found = [self.pattern.findall(x) for x in texts]
         new = [w for w in set().union(*found) if w not in self.known]
         for word, ids in zip(new, self.encode_words([w.encode() for w in new])):
@@ -146,6 +145,13 @@ class ByteBpe:
         for words in found:
             n, ids, raw = zip(*map(get, words)) if words else ((), (), ())
             yield sum(n), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(raw)).hexdigest()
+        common.forget(self.known, new, self.most)
+
+
+@lru_cache(1)
+def byte_bpe(path: str, pattern: str) -> ByteBpe:
+    """One to a worker, whatever the number of its tasks."""
+    return ByteBpe(path, pattern)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -155,7 +161,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(ranks_path, pattern)
+        bpe = byte_bpe(ranks_path, pattern)
         for batch in batches:
             texts, keys = common.as_bytes(batch.column("text")), batch.column("doc_id")
             for a, b in common.slices([len(x) for x in texts], common.SLICE_BYTES // 4):
@@ -172,7 +178,7 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(ranks_path, pattern)
+        bpe = byte_bpe(ranks_path, pattern)
         for batch in batches:
             texts, keys = common.as_bytes(batch.column("text")), batch.column("doc_id")
             for a, b in common.slices([len(x) for x in texts]):

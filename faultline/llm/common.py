@@ -57,3 +57,10 @@ def slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def forget(kept: dict, new: list, most: int) -> None:
+    """Drops what was just added to a worker's memory, if that is more than it may hold."""
+    if len(kept) > most:
+        for key in new:
+            del kept[key]

@@ -6,9 +6,9 @@ first-fit-decreasing pass of its own. A group is a bounded number of tokens, so
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,13 +28,14 @@ class WordEncoder:
     """Ids of whole texts by a `tokenizers` file, as little-endian uint32 bytes; equal to encode(text, add_special_tokens=False).
 
     The tokenizer drops white space before it merges, so ids of the parts between ASCII white space, one after the
-    other, are the ids of the text. Parts are encoded once and kept, at most `most` of them.
+    other, are the ids of the text. The first `most` parts that a worker meets stay, the common ones among them; later
+    ones go again after the slice of texts that they stand in.
     """
 
     #: Characters that stay as they are under NFC and that lower() treats one by one.
     PLAIN = regex.compile("[\x21-\x7e\xa1-įı-ſ]+")
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         import json
 
         from tokenizers import Tokenizer
@@ -71,6 +72,7 @@ class WordEncoder:
                     self.pretokens[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def _add(self, parts: list[bytes]) -> None:
+        """Fills self.parts."""
         split: dict[bytes, list[str]] = {}
         whole: list[bytes] = []
         new: dict[str, None] = {}
@@ -86,17 +88,22 @@ class WordEncoder:
             self.parts[part] = b"".join(map(self.pretokens.__getitem__, found))
         for part, x in zip(whole, self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in whole], add_special_tokens=False)):
             self.parts[part] = np.array(x.ids, np.uint32).tobytes()
+        common.forget(self.pretokens, list(new), self.most)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        if len(self.parts) > self.most:
-            self.parts.clear()
-        if len(self.pretokens) > self.most:
-            self.pretokens.clear()
         words = [x.split() for x in texts]
-        self._add([w for w in set().union(*words) if w not in self.parts])
+        new = [w for w in set().union(*words) if w not in self.parts]
+        self._add(new)
         get = self.parts.__getitem__
         for some in words:
             yield b"".join(map(get, some))
+        common.forget(self.parts, new, self.most)
+
+
+@lru_cache(1)
+def encoder(path: str) -> WordEncoder:
+    """One to a worker, whatever the number of its tasks."""
+    return WordEncoder(path)
 
 
 class Tournament:
@@ -160,13 +167,13 @@ def pack(lengths: Iterable[int], capacity: int) -> list[list[tuple[int, int, int
 
 def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        words = encoder(path)
         end = np.array([end_id], np.uint32).tobytes()
         for batch in batches:
             texts, keys, groups = common.as_bytes(batch.column("text")), batch.column("doc_id").to_pylist(), batch.column("grp").to_pylist()
             for a, b in common.slices([len(x) for x in texts]):
                 rows = []
-                for key, group, ids in zip(keys[a:b], groups[a:b], encoder.encode(texts[a:b])):
+                for key, group, ids in zip(keys[a:b], groups[a:b], words.encode(texts[a:b])):
                     ids += end
                     total = len(ids) // 4
                     for start in range(0, total, capacity):
