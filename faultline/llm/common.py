@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -40,6 +41,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes a table that `written` made and that nothing reads any more; what its making shuffled goes with Java's garbage."""
+    spark = table.sparkSession
+    jvm = spark.sparkContext._jvm
+    for file in table.inputFiles()[:1]:
+        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """A string or binary column's values as UTF-8 bytes; null is empty."""
     if not pa.types.is_binary(column.type):

@@ -23,6 +23,25 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=2048, with_ids=False).drop("ids")
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, identify
+
+    found = identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import removal_digests
+
+    return removal_digests(_table(spark, sf_dir, "documents"), window=20)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
