@@ -23,7 +23,7 @@ from . import common
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 18
 #: Fingerprints to a shard, and to a leaf of the tree inside a shard.
-SHARD, LEAF = 16_384, 256
+SHARD, LEAF = 131_072, 512
 #: Distinct fingerprints that the router is built on; it is sent to all tasks.
 SAMPLE = 16_384
 
