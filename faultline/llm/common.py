@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -49,7 +50,9 @@ def discard(table: DataFrame) -> None:
         path = jvm.org.apache.hadoop.fs.Path(file).getParent()
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
-    jvm.System.gc()
+    for _ in range(2):  # what the last job held is let go of a moment after its end
+        jvm.System.gc()
+        time.sleep(0.3)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

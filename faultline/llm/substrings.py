@@ -232,7 +232,8 @@ def _gather(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone, ask = common.as_bytes(batch.column("text")), batch.column("gone").to_pylist(), batch.column("ask").to_pylist()
+            row = batch.column("row")
+            texts, gone, ask = common.as_bytes(row.field(row.type.get_field_index("text")).cast(pa.string())), batch.column("gone").to_pylist(), batch.column("ask").to_pylist()
             marks = batch.column("th").to_pylist()
             for a, b in common.slices([len(x) for x in texts]):
                 found, wanted = [], []
@@ -270,16 +271,18 @@ def repeated_spans(docs: DataFrame, *, window: int = 20) -> DataFrame:
     # A row is known by doc_id and a hash of its text, so rows that share a doc_id don't mix.
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("dk"), F.pmod(F.xxhash64(text), F.lit(1 << 31)).alias("th"), text.alias("text"), F.struct("*").alias("row"))
     occurrences = common.written(keyed.select("dk", "th", "text").mapInArrow(_occurrences(window), "mh long, sg long, dk long, at long"), "anchors")
-    again = occurrences.groupBy("mh").agg(F.count(F.lit(1)).alias("n"), (F.min("sg") != F.max("sg")).alias("several")).where("n > 1").select("mh", "several")
-    repeated = common.written(occurrences.join(again, "mh"), "repeated")
+    again = occurrences.groupBy("mh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mh")
+    repeated = common.written(occurrences.join(again, "mh", "left_semi"), "repeated")
     common.discard(occurrences)
-    firsts = repeated.groupBy("mh", "sg").agg(F.min(F.struct("dk", "at")).alias("first"))
+    heads = common.written(repeated.groupBy("mh", "sg").agg(F.min(F.struct("dk", "at")).alias("first")), "heads")
+    firsts = heads.join(heads.groupBy("mh").agg((F.count(F.lit(1)) > 1).alias("several")), "mh")
     met = repeated.join(firsts, ["mh", "sg"]).withColumn("own", F.col("first") == F.struct("dk", "at")).where(~F.col("own") | F.col("several"))
     place = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     lists = met.groupBy("dk", F.shiftright("at", 32).alias("th")).agg(F.collect_set(F.when(~F.col("own"), place)).alias("gone"), F.collect_set(F.when(F.col("own"), F.struct("mh", place.alias("p")))).alias("ask"))
     schema = T.StructType(keyed.select("row", "dk", "th").schema.fields + T.StructType.fromDDL("gone array<int>, asks array<struct<mh:long,at:long,lead:int,words:binary>>").fields)
-    gathered = common.written(keyed.join(lists, ["dk", "th"], "left").mapInArrow(_gather(window), schema), "gathered")
+    gathered = common.written(keyed.drop("text").join(lists, ["dk", "th"], "left").mapInArrow(_gather(window), schema), "gathered")
     common.discard(repeated)
+    common.discard(heads)
 
     asked = gathered.where(F.size("asks") > 0).select("dk", F.explode("asks").alias("x")).select("dk", "x.*").dropDuplicates(["dk", "at", "mh"])
     sizes = asked.groupBy("mh").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST).select("mh")
