@@ -1,8 +1,7 @@
 """WARC archives: written with chunked payloads and segmented records, read back by reassembly.
 
-Archives are text files of whole records in the shared folder. A record's parts never hold the bytes between two records
-(a chunk ends inside them wherever a payload does), so readers can divide a file at any record and need none whole in
-memory. Continuation records are grouped by origin, ordered by segment number, verified against the total length, and
+Archives are text files of whole records in the shared folder. A record never holds a version line but its own (a chunk
+ends inside one wherever a payload holds it), so readers can divide a file at any record and need no file whole in memory. Continuation records are grouped by origin, ordered by segment number, verified against the total length, and
 only then freed of the chunked transfer framing.
 """
 
@@ -24,8 +23,6 @@ from . import common
 #: Bytes of a segment's block and of a chunk.
 SEGMENT, CHUNK = 262_144, 16_384
 VERSION = b"WARC/1.1\r\n"
-#: What lies between two records of a file.
-BETWEEN = b"\r\n\r\n" + VERSION
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 9562's namespace of URLs
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -36,8 +33,8 @@ def digest(payload: bytes) -> str:
 
 
 def chunked(payload: bytes, most: int = CHUNK) -> bytes:
-    """The payload in chunked framing; a chunk ends inside each run of bytes that could end a record."""
-    cuts = {m.start() + 3 for m in re.finditer(rb"\r\n\r\nWARC/", payload)}
+    """The payload in chunked framing; a chunk ends inside each run of bytes that, with a line end, would begin a record."""
+    cuts = {m.start() + 3 for m in re.finditer(re.escape(VERSION.strip()), payload)}
     out, at = [], 0
     for end in sorted(cuts | {*range(most, len(payload), most)} | {len(payload)}):
         if end > at:
@@ -66,7 +63,8 @@ def dechunked(framed: bytes) -> bytes:
 
 def _uri(url: str | None) -> str:
     """A header value: what could end a line, and what isn't ASCII, is percent-encoded."""
-    return "".join(c if "!" <= c <= "~" else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in url or "urn:unknown")
+    plain = "".join(c if "!" <= c <= "~" else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in url or "urn:unknown")
+    return plain.replace("WARC/", "WARC%2F")
 
 
 def _head(fields: list[tuple[str, object]]) -> bytes:
@@ -90,7 +88,6 @@ def records(key: int | None, row: int, url: str | None, payload: bytes, first: t
     parts, at = [], 0
     while at < len(block) or not parts:
         end = min(len(block), at + segment)
-        # A segment doesn't begin with bytes that, after the last one's end, would read as the start of a record.
         parts.append(block[at:end])
         at = end
     kind = ("Content-Type", "application/http; msgtype=response")
@@ -148,7 +145,7 @@ def read_archives(spark, path: str) -> DataFrame:
     A revisit has the length and digest of the response that it refers to, found by record id; both are compared with
     its own header. A record that is cut short, has a wrong total length, digest or framing raises ValueError.
     """
-    lines = spark.read.option("lineSep", BETWEEN.decode()).text(path).select(F.col("value").cast("binary").alias("raw"))
+    lines = spark.read.option("lineSep", VERSION.decode()).text(path).select(F.col("value").cast("binary").alias("raw"))
     fields = "kind string, id string, page_id long, refers string, refers_to long, origin string, number int, total long, sum string, n long, block binary"
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
