@@ -1,7 +1,8 @@
 """WARC archives: written with chunked payloads and segmented records, read back by reassembly.
 
-Archives are text files of whole records in the shared folder. A record never holds a version line but its own (a chunk
-ends inside one wherever a payload holds it), so readers can divide a file at any record and need no file whole in memory. Continuation records are grouped by origin, ordered by segment number, verified against the total length, and
+Archives are gzip files of whole records in the shared folder, each of one task's pages. A record never holds a version
+line but its own (a chunk ends inside one wherever a payload holds it), so readers part the stream at version lines and
+need no file whole in memory. Continuation records are grouped by origin, ordered by segment number, verified against the total length, and
 only then freed of the chunked transfer framing.
 """
 
@@ -136,7 +137,7 @@ def write_archives(pages: DataFrame, path: str, *, least: int = 0, segment: int
 
     # Spark's text files end each value with the separator, so the version line of a record stands at the end of the one before it.
     raw = dealt.mapInArrow(run, "record binary")
-    raw.select(F.concat(F.lit(VERSION), F.expr("substring(record, 1, length(record) - 2)")).cast("string").alias("value")).write.option("lineSep", "\r\n").text(path)
+    raw.select(F.concat(F.lit(VERSION), F.expr("substring(record, 1, length(record) - 2)")).cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
