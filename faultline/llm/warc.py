@@ -2,8 +2,8 @@
 
 Archives are gzip files of whole records in the shared folder, each of one task's pages. A record never holds a version
 line but its own (a chunk ends inside one wherever a payload holds it), so readers part the stream at version lines and
-need no file whole in memory. Continuation records are grouped by origin, ordered by segment number, verified against the total length, and
-only then freed of the chunked transfer framing.
+need no file whole in memory. Continuation records are grouped by origin, ordered by segment number,
+verified against the total length, and only then freed of the chunked transfer framing.
 """
 
 from __future__ import annotations
@@ -72,17 +72,18 @@ def _head(fields: list[tuple[str, object]]) -> bytes:
     return VERSION + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields) + b"\r\n"
 
 
-def record_id(key: int | None, row: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{key}:{row}')}>"
+def record_id(key: int | None, sum_: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{key}:{sum_}')}>"
 
 
-def records(key: int | None, row: int, url: str | None, payload: bytes, first: tuple[int | None, int] | None, segment: int = SEGMENT) -> Iterator[bytes]:
-    """A page's records. first: (page_id, row) of the response that a revisit refers to."""
-    own, about = record_id(key, row), [("WARC-Target-URI", _uri(url)), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
+def records(key: int | None, url: str | None, payload: bytes, first: int | None, segment: int = SEGMENT) -> Iterator[bytes]:
+    """A page's records. first: page_id of the response that a revisit refers to."""
+    sum_ = digest(payload)
+    own, about = record_id(key, sum_), [("WARC-Target-URI", _uri(url)), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{sum_}")]
     named = [("X-Page-Id", "" if key is None else key)]
     if first is not None:
         block = b"HTTP/1.1 200 OK\r\n\r\n"
-        more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(*first)), ("X-Refers-To-Page-Id", "" if first[0] is None else first[0]), ("X-Payload-Length", len(payload))]
+        more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(first, sum_)), ("X-Refers-To-Page-Id", first), ("X-Payload-Length", len(payload))]
         yield _head([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *about, *more, *named, ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(block))]) + block
         return
     block = HTTP + chunked(payload)
@@ -96,7 +97,7 @@ def records(key: int | None, row: int, url: str | None, payload: bytes, first: t
         yield _head([("WARC-Type", "response"), ("WARC-Record-ID", own), *about, *named, kind, ("Content-Length", len(block))]) + block
         return
     for number, part in enumerate(parts, 1):
-        fields = [("WARC-Type", "response" if number == 1 else "continuation"), ("WARC-Record-ID", own if number == 1 else record_id(key, row)[:-1] + f":{number}>"), ("WARC-Segment-Number", number)]
+        fields = [("WARC-Type", "response" if number == 1 else "continuation"), ("WARC-Record-ID", own if number == 1 else own[:-1] + f":{number}>"), ("WARC-Segment-Number", number)]
         fields += [*about, *named, kind] if number == 1 else [("WARC-Segment-Origin-ID", own), ("WARC-Date", DATE)]
         fields += [("WARC-Segment-Total-Length", len(block))] if number == len(parts) else []
         yield _head([*fields, ("Content-Length", len(part))]) + part
@@ -116,23 +117,20 @@ def write_archives(pages: DataFrame, path: str, *, least: int = 0, segment: int
     """A record for each row of pages (page_id, url, html) in files under path.
 
     The payload is html in UTF-8, null is empty. Of rows with equal payloads of at least `least` bytes that with the
-    smallest page_id (null last, then the earlier row) is a response, the others revisit it.
+    smallest page_id is a response, the others revisit it. Rows of one page_id and payload are alike, and so are their
+    records; so are rows whose page_ids are all null.
     """
     text = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text.alias("html"), F.monotonically_increasing_id().alias("row"))
-    sums = rows.select("page_id", "row", F.sha2(F.col("html").cast("binary"), 256).alias("sum"), F.octet_length("html").alias("n")).where(F.col("n") >= least)
-    # Only payloads that occur more than once are of interest; their rows are few bytes each.
-    order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("first_id"), F.col("row").alias("first_row"))
-    firsts = sums.groupBy("sum").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("sum", "first.first_id", "first.first_row")
-    again = sums.join(firsts, "sum").where("row <> first_row").select("row", "first_id", "first_row")
-    dealt = rows.join(again, "row", "left")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text.alias("html"), F.sha2(text.cast("binary"), 256).alias("sum"))
+    firsts = rows.where(F.octet_length("html") >= least).groupBy("sum").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    dealt = rows.join(firsts.where("copies > 1").select("sum", "first_id"), "sum", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("first_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             html = common.as_bytes(batch.column("html"))
-            rest = [batch.column(c).to_pylist() for c in ("page_id", "row", "url", "first_id", "first_row")]
+            rest = [batch.column(c).to_pylist() for c in ("page_id", "url", "first_id")]
             for a, b in common.slices([len(x) for x in html], 4 * common.SLICE_BYTES):
-                out = [r[len(VERSION) :] + b"\r\n\r\n" for key, row, url, first, first_row, payload in zip(*(c[a:b] for c in rest), html[a:b]) for r in records(key, row, url, payload, None if first_row is None else (first, first_row), segment)]
+                out = [r[len(VERSION) :] + b"\r\n\r\n" for key, url, first, payload in zip(*(c[a:b] for c in rest), html[a:b]) for r in records(key, url, payload, first, segment)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     # Spark's text files end each value with the separator, so the version line of a record stands at the end of the one before it.
@@ -175,7 +173,7 @@ def _payload(block: bytes) -> bytes:
 
 def _whole(pdf: pd.DataFrame) -> pd.DataFrame:
     """One origin's segments as one response."""
-    pdf = pdf.sort_values("number")
+    pdf = pdf.drop_duplicates(["number", "block"]).sort_values("number")
     numbers, total = pdf["number"].tolist(), pdf["total"].iloc[-1]
     block = b"".join(pdf["block"])
     if numbers != list(range(1, len(numbers) + 1)) or pd.isna(total) or len(block) != int(total):
@@ -196,7 +194,7 @@ def round_trip(pages: DataFrame, *, least: int = 0, segment: int = SEGMENT) -> D
     """Writes pages to archives in the shared folder, reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     pages: page_id, url, html; other columns are left aside. Null html is empty, a null url is named unknown, a null
-    page_id stays null. Repeated rows are pages of their own, the later ones revisits. An empty table gives no rows.
+    page_id stays null. Repeated rows have equal results. An empty table gives no rows.
     """
     spark = pages.sparkSession
     path = common.new_path(spark, "warc")
@@ -216,7 +214,7 @@ def round_trip(pages: DataFrame, *, least: int = 0, segment: int = SEGMENT) -> D
 
     rows = found.mapInArrow(measured, "id string, page_id long, kind string, refers string, refers_to long, sum string, n long")
     rows = common.written(rows, "pages")
-    answers = rows.where("kind = 'response'").select(F.col("id").alias("refers"), F.col("n").alias("response_n"), F.col("sum").alias("response_sum"))
+    answers = rows.where("kind = 'response'").select(F.col("id").alias("refers"), F.col("n").alias("response_n"), F.col("sum").alias("response_sum")).dropDuplicates(["refers"])
     revisits = rows.where("kind = 'revisit'").join(answers, "refers", "left")
     same = (F.col("n") == F.col("response_n")) & (F.col("sum") == F.col("response_sum"))
     checked = revisits.withColumn("n", F.when(same, F.col("response_n")).otherwise(F.raise_error(F.lit("a revisit doesn't agree with the response that it refers to")).cast("long")))
