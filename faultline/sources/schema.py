@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_S = lambda *names: ", ".join(f"{n}: string" for n in names)
-MESSAGE = f"struct<{_S('message_id', 'in_reply_to', 'from_addr', 'date', 'subject', 'body')}>"
-DISCUSSION = f"struct<url: string, subject: string, patch_version: int, is_syzbot_report: boolean, messages: array<{MESSAGE}>>"
-COMMIT = f"struct<{_S('hash', 'title', 'link', 'repo', 'branch', 'author', 'author_name', 'date', 'patch_diff')}>"
-CRASH = f"struct<{_S('title', 'kernel_commit', 'kernel_config_link', 'crash_report_link', 'syz_reproducer_link', 'c_reproducer_link', 'crash_report', 'syz_reproducer', 'c_reproducer')}>"
-VERSION = f"struct<version: int, subject: string, diff: string, cover_letter: string, discussion: array<{MESSAGE}>>"
-BUG = T.StructType.fromDDL(
-    f"bug_id string, title string, status string, first_crash string, last_crash string, fix_time string, crash_report string, c_reproducer string, fix_commits array<{COMMIT}>, "
-    f"discussions array<{DISCUSSION}>, crashes array<{CRASH}>, patch_versions array<{VERSION}>, processing_errors array<string>"
-)
+
+def _struct(strings: str, **others: T.DataType) -> T.StructType:
+    """Strings first, by their names, then the others."""
+    return T.StructType([T.StructField(n, T.StringType()) for n in strings.split()] + [T.StructField(n, t) for n, t in others.items()])
+
+
+MESSAGE = _struct("message_id in_reply_to from_addr date subject body")
+DISCUSSION = _struct("url subject", patch_version=T.IntegerType(), is_syzbot_report=T.BooleanType(), messages=T.ArrayType(MESSAGE))
+COMMIT = _struct("hash title link repo branch author author_name date patch_diff")
+CRASH = _struct("title kernel_commit kernel_config_link crash_report_link syz_reproducer_link c_reproducer_link crash_report syz_reproducer c_reproducer")
+VERSION = _struct("subject diff cover_letter", version=T.IntegerType(), discussion=T.ArrayType(MESSAGE))
+BUG = _struct(
+    "bug_id title status first_crash last_crash fix_time crash_report c_reproducer", fix_commits=T.ArrayType(COMMIT), discussions=T.ArrayType(DISCUSSION), crashes=T.ArrayType(CRASH), patch_versions=T.ArrayType(VERSION),
+    processing_errors=T.ArrayType(T.StringType()),
+)
 #: Names of a corpus's files.
 FILE_NAME = r"/?[0-9a-f]{20,40}\.json$"
 
