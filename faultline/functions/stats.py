@@ -28,9 +28,9 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def distribution(df: DataFrame, key: str) -> DataFrame:
-    """key, n and pct of all rows."""
+    """key, n and pct of all rows. The total is a window over the counts, so the rows are read once; keys should be few."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("_total")))).select(key, "n", percent(F.col("n"), F.col("_total")).alias("pct"))
+    return counts.select(key, "n", percent(F.col("n"), F.sum("n").over(Window.partitionBy())).alias("pct"))
 
 
 def zero_filled(df: DataFrame, key: str, values: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import rules, stats, text
@@ -135,9 +135,15 @@ def _median(column: str, condition: str = "true") -> Column:
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN {condition} THEN {column} END DESC)")
 
 
-def _with_pct(counts: DataFrame, name: str = "pct") -> DataFrame:
-    whole = counts.agg(F.sum("count").alias("_whole"))
-    return counts.crossJoin(F.broadcast(whole)).withColumn(name, stats.percent(F.col("count"), F.col("_whole"))).drop("_whole")
+def _with_pct(counts: DataFrame) -> DataFrame:
+    """With each row's share of all counts. A window over the classes, which are few: a second aggregate would read the corpus again."""
+    return counts.withColumn("pct", stats.percent(F.col("count"), F.sum("count").over(Window.partitionBy())))
+
+
+def _each(rows: DataFrame, labels: str, name: str, *more: Column) -> DataFrame:
+    """count of rows for each label, and _whole, that of all rows, which goes along as a label of its own."""
+    counts = rows.select("*", F.explode(F.array_append(labels, F.lit(""))).alias(name)).groupBy(name).agg(F.count(F.lit(1)).alias("count"), *more)
+    return counts.withColumn("_whole", F.max(F.when(F.col(name) == "", F.col("count"))).over(Window.partitionBy())).where(F.col(name) != "")
 
 
 def _pairs(rows: DataFrame, column: str, names: tuple[str, str]) -> DataFrame:
@@ -158,8 +164,7 @@ def bug_types(bugs: DataFrame) -> Tables:
 def fixes(bugs: DataFrame) -> Tables:
     """Records with a diff by kind of fix. cumulative_pct counts a record once for each kind, so it may pass 100."""
     rows = features(bugs).where("has_diff")
-    whole = rows.agg(F.count(F.lit(1)).alias("_whole"))
-    counts = rows.select("*", F.explode("patterns").alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("count"), _median("lines").alias("median_patch_lines")).crossJoin(F.broadcast(whole))
+    counts = _each(rows, "patterns", "pattern", _median("lines").alias("median_patch_lines"))
     coverage = stats.cumulative(counts, "pattern", "count", F.col("_whole")).select("pattern", "count", "cumulative", "cumulative_pct")
     distribution = counts.withColumn("pct", stats.percent(F.col("count"), F.col("_whole"))).drop("_whole").orderBy(F.desc("count"), "pattern")
     return {"distribution": distribution, "coverage": coverage, "cooccurrence": _pairs(rows, "patterns", ("pattern_1", "pattern_2"))}
@@ -169,9 +174,8 @@ def fixes(bugs: DataFrame) -> Tables:
 def revisions(bugs: DataFrame) -> Tables:
     """Why records of two versions or more were revised; pct is of all of these."""
     rows = features(bugs).where(F.col("iterations") >= 2)
-    whole = rows.agg(F.count(F.lit(1)).alias("_whole"))
     each = rows.select("bug_id", "title", F.explode("categories").alias("category"))
-    counts = each.groupBy("category").agg(F.count(F.lit(1)).alias("count")).crossJoin(F.broadcast(whole)).withColumn("pct_of_multi_version", stats.percent(F.col("count"), F.col("_whole"))).drop("_whole")
+    counts = _each(rows, "categories", "category").withColumn("pct_of_multi_version", stats.percent(F.col("count"), F.col("_whole"))).drop("_whole")
     meta = rows.groupBy("meta").agg(F.count(F.lit(1)).alias("count"))
     return {"category_distribution": counts.orderBy(F.desc("count"), "category"), "cooccurrence": _pairs(rows, "categories", ("category_1", "category_2")), "meta": meta, "examples": stats.first_k(each, ["category"], ["bug_id"], 5)}
 

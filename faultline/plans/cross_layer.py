@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import rules, text
@@ -87,7 +87,7 @@ def tables(bugs: DataFrame, layers: list[rules.Layer], infrastructure: Callable[
     found = relations(bugs, layers, infrastructure)
     crossing = found.where(F.col("relation") == "cross_layer")
     counts = crossing.groupBy("domain", "direction").agg(F.count(F.lit(1)).alias("count"))
-    whole = counts.agg(F.sum("count").alias("_whole"))
+    whole = F.sum("count").over(Window.partitionBy())  # over the few rows of counts; a second aggregate would read the corpus again
     modes = [(s, w) for s in ("stack", "layer", "combined") for w in (1, 2, 3, None)]
     grid = found.agg(*(F.count_if(positive(s, w)).alias(f"{s}_{w or 'all'}") for s, w in modes))
-    return {"distribution": counts.crossJoin(F.broadcast(whole)).select("domain", "direction", "count", (F.col("count") * 100.0 / F.col("_whole")).alias("pct_of_cross_layer")), "details": found, "modes": grid}
+    return {"distribution": counts.select("domain", "direction", "count", (F.col("count") * 100.0 / whole).alias("pct_of_cross_layer")), "details": found, "modes": grid}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 
 from faultline.functions.rules import Layer
 from faultline.plans import analyses, cross_layer
-from faultline.sources.schema import BUG
+from faultline.sources.schema import BUG, read_corpus
 
 LAYERS = [Layer("filesystem", "core", 0, ("fs/super.c",)), Layer("filesystem", "own", 2, (), (r"^fs/[a-z]+/",)), Layer("networking", "core", 0, ("net/core/",))]
 
@@ -94,3 +96,12 @@ def test_cross_layer(bugs):
 def test_unknown_analysis(bugs):
     with pytest.raises(KeyError):
         analyses.run("none", bugs)
+
+
+def test_reading_leaves_broken_and_foreign_files_out(spark, tmp_path):
+    whole = {"bug_id": "a" * 20, "title": "KASAN: double-free in x", "discussions": [{"subject": "s", "patch_version": 1, "messages": []}]}
+    (tmp_path / f"{'a' * 20}.json").write_text(json.dumps(whole, indent=1))
+    (tmp_path / f"{'b' * 20}.json").write_text("{broken")
+    (tmp_path / "other.json").write_text(json.dumps(whole))
+    found = analyses.features(read_corpus(spark, str(tmp_path))).collect()
+    assert [(r["bug_id"], r["bug_type"], r["iterations"]) for r in found] == [("a" * 20, "double-free", 1)]
