@@ -253,4 +253,34 @@ def insights(bugs: DataFrame) -> Tables:
     return {"cluster_overview": overview.orderBy(F.desc("count"), "cluster"), "cluster_overlap": stats.cooccurrence(rows, "bug_id", "clusters").orderBy(F.desc("n"), "first", "second").limit(20), "membership_distribution": members}
 
 
+def case_scores(rows: DataFrame) -> DataFrame:
+    """With seven parts of 0 to 3 each, their sum, and whether the fix is short enough to print."""
+    steps = lambda c, a, b, d: F.when(c <= a, 0).when(c <= b, 1).when(c <= d, 2).otherwise(3)
+    below = lambda c, a, b, d: F.when(c < a, 0).when(c < b, 1).when(c < d, 2).otherwise(3)
+    missing = lambda c: F.when(c, 1).otherwise(0)
+    both = F.col("v1_lines").isNotNull() & F.col("v2_lines").isNotNull()
+    lines, files = F.abs(F.col("v2_lines") - F.col("v1_lines")), F.abs(F.size("v2_files") - F.size("v1_files"))
+    parts = {
+        "iter_score": steps(F.col("iterations"), 1, 2, 3), "disc_score": steps(F.col("n_reviews"), 1, 5, 15), "struct_score": F.when(both, below(lines, 10, 100, 500)).otherwise(0),
+        "time_score": F.when(F.col("fix_days").isNull(), 1).otherwise(below(F.col("fix_days"), 7, 30, 180)), "place_score": F.col("locality_score"), "scope_score": F.when(both, steps(files, 0, 1, 5)).otherwise(0),
+        "info_scarcity_score": missing(~F.col("has_c")) + missing(~F.col("has_syz")) + missing(F.col("n_frames") == 0),
+    }
+    rows = rows.select("*", *(c.alias(n) for n, c in parts.items()), (F.col("lines") <= 50).alias("paper_friendly"))
+    return rows.withColumn("composite_score", sum((F.col(n) for n in parts), F.lit(0)))
+
+
+@register("casestudy")
+def case_studies(bugs: DataFrame) -> Tables:
+    """Records with a diff by composite score: the first 50, the first 20 with short fixes, and the first 5 of each part."""
+    rows = case_scores(features(bugs).where("has_diff"))
+    parts = [c for c in rows.columns if c.endswith("_score") and c not in ("locality_score", "composite_score")]
+    order = [F.desc("composite_score"), F.desc("iterations"), "bug_id"]
+    shown = rows.select("bug_id", "title", "composite_score", "iterations", F.col("n_reviews").alias("num_human_reviews"), "fix_days", F.col("lines").alias("final_patch_lines"), "v1_lines", "v2_lines", "paper_friendly", *parts)
+    by_part = shown.unpivot(["bug_id", "composite_score", "iterations"], parts, "dimension", "part")
+    return {
+        "ranked_candidates": shown.orderBy(*order).limit(50), "top_paper_friendly": shown.where("paper_friendly").orderBy(*order).limit(20),
+        "top_by_dimension": stats.first_k(by_part, ["dimension"], [F.desc("part"), *order], 5), "score_distribution": rows.groupBy("composite_score").agg(F.count(F.lit(1)).alias("count")),
+    }
+
+
 REGISTRY["crosslayer"] = cross_layer.tables

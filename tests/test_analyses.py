@@ -67,6 +67,10 @@ def test_tables(bugs):
     assert rows(analyses.run("locality", bugs)["distribution"], "locality", "count") == [("same-function", 0), ("same-file", 1), ("same-directory", 0), ("same-subsystem", 1), ("different-subsystem", 1)]
     assert sum(n for _, n in rows(analyses.run("difficulty", bugs)["score_distribution"], "score", "count")) == 3
     assert {k: v for k, v in rows(analyses.run("infosuff", bugs)["reproducer_impact"], "reproducer", "count")} == {"c_only": 1, "none": 3}
+    cases = analyses.run("casestudy", bugs)
+    # a: 1 iterations, 0 reviews, 0 lines, 1 days, 3 place, 0 files, 1 information; b: 1 days, 1 place, 2 information; c: 1, 3, 2.
+    assert rows(cases["ranked_candidates"], "bug_id", "composite_score") == [("a", 6), ("c", 6), ("b", 4)]
+    assert cases["top_by_dimension"].count() == 7 * 3
     assert dict(rows(analyses.run("insights", bugs)["cluster_overview"], "cluster", "count")) == {"misleading": 1, "cross-subsystem": 2, "rescued": 1, "concurrency": 2, "desert": 2}
 
 
