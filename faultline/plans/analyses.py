@@ -21,6 +21,8 @@ Tables = dict[str, DataFrame]
 REGISTRY: dict[str, Callable[..., Tables]] = {}
 #: Crash lines that a record's class is read from, and least characters of a reproducer, more than which it counts (fixed values).
 CLASS_LINES, LEAST_REPRODUCER = 50, 20
+#: Numbers of first lines of a crash text in which frames are counted again (fixed values).
+HEADS = [10, 20, 30, 50, 100]
 _CHANGELOG = r"(?isd)(?:change(?:s)?\s+since\s+v\d+|v\d+\s*(?:->|→)\s*v\d+)[:\s]*\n(.*?)(?:\n\s*\n|\n\s*\S+/\S+\s*\|)"
 _INSTANT = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d{1,6})?Z)?$"
 
@@ -222,10 +224,19 @@ def difficulties(bugs: DataFrame) -> Tables:
 
 @register("infosuff")
 def information(bugs: DataFrame) -> Tables:
-    """Records by the reproducers they have; the size median leaves zeros out."""
+    """Records by the reproducers they have (the size median leaves zeros out), frames that a crash text's head keeps, words that crash and fix share."""
     kind = F.when(F.col("has_c") & F.col("has_syz"), "c_and_syz").when(F.col("has_c"), "c_only").when(F.col("has_syz"), "syz_only").otherwise("none")
     counts = features(bugs).withColumn("reproducer", kind).groupBy("reproducer").agg(F.count(F.lit(1)).alias("count"), _median("lines", "lines > 0").alias("median_patch_lines"), _median("fix_days").alias("median_fix_days"))
-    return {"reproducer_impact": _with_pct(counts)}
+    b = derived(bugs)
+    frames_of = lambda c: F.size(text.stack_frames(c))
+    head = lambda n: F.array_join(F.slice(text.lines(F.col("crash_text")), 1, n), "\n")
+    kept = b.select("crash_text", frames_of(F.col("crash_text")).alias("n")).where("n > 0")
+    kept = kept.select(F.explode(F.array(*(F.struct(F.lit(n).alias("first_n_lines"), (frames_of(head(n)) / F.col("n")).alias("share")) for n in HEADS))).alias("h")).select("h.*")
+    kept = kept.groupBy("first_n_lines").agg((_median("share") * 100).alias("median_stack_frame_retention"), F.count(F.lit(1)).alias("bugs_analyzed"))
+    low = stats.bin_of(text.jaccard(text.tokens(F.col("crash_text")), text.tokens(F.col("diff"))))
+    overlap = b.where("crash_text <> '' AND diff <> ''").select(low.alias("low")).groupBy("low").agg(F.count(F.lit(1)).alias("count"))
+    overlap = overlap.select(F.concat("low", F.lit("-"), F.col("low") + 5, F.lit("%")).alias("range"), "count").orderBy("range")
+    return {"reproducer_impact": _with_pct(counts), "truncation_analysis": kept.orderBy("first_n_lines"), "token_overlap_distribution": overlap}
 
 
 def clusters(rows: DataFrame) -> DataFrame:
@@ -283,4 +294,105 @@ def case_studies(bugs: DataFrame) -> Tables:
     }
 
 
+def _of_reviews(bugs: DataFrame, threads: Column) -> DataFrame:
+    """One row for each human review in a record's threads; themes are of its own text."""
+    each = bugs.select("bug_id", "title", F.explode(_reviews(F.flatten(F.transform(threads, _messages)))).alias("m"))
+    sender = _or_empty(F.col("m.from_addr"))
+    own = each.select("bug_id", "title", text.sender_name(sender).alias("reviewer"), text.sender_email(sender).alias("email"), text.review_text(_or_empty(F.col("m.body"))).alias("text"))
+    return own.withColumn("themes", rules.multi_label(F.col("text"), V.REVIEW_CATEGORIES))
+
+
+@register("discussion")
+def discussions(bugs: DataFrame) -> Tables:
+    """Records with threads, backports included. Themes are counted by review, pct is of all reviews; tags by message, machines' too."""
+    b = derived(bugs).where(F.size("discussions") > 0)
+    rows = _of_reviews(b, F.col("discussions"))
+    themes = _each(rows, "themes", "theme").withColumn("pct", stats.percent(F.col("count"), F.col("_whole"))).drop("_whole")
+    messages = b.select(F.explode(F.flatten(F.transform("discussions", _messages))).alias("m"))
+    tags = rules.multi_label(_or_empty(F.col("m.body")), [(t, [rf"\b{t}\b"]) for t in V.RESOLUTION_TAGS])
+    tagged = messages.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("count"))
+    people = rows.groupBy("bug_id").agg(F.count_distinct("email").alias("num_reviewers")).groupBy("num_reviewers").agg(F.count(F.lit(1)).alias("bug_count"))
+    paths = F.transform("fix_commits", lambda c: text.fix_files(_or_empty(c["patch_diff"])))
+    # The guess is the least top folder/second of the first commit with files; only its top folder is kept.
+    guess = F.array_min(F.transform(F.get(F.filter(paths, lambda p: F.size(p) > 0), F.lit(0)), lambda p: F.substring_index(p, "/", 2)))
+    reviews = F.size(_reviews(F.flatten(F.transform("discussions", _messages))))
+    areas = b.select(text.top_dir(F.substring_index(guess, ",", 1)).alias("subsystem"), "n_versions", reviews.alias("n")).where("subsystem IS NOT NULL")
+    areas = areas.groupBy("subsystem").agg(F.count(F.lit(1)).alias("count"), F.sum("n_versions").alias("total_versions"), F.sum("n").alias("total_reviews"))
+    return {
+        "top_reviewers": rows.groupBy("reviewer").agg(F.count(F.lit(1)).alias("review_count")).orderBy(F.desc("review_count"), "reviewer").limit(30), "feedback_themes": themes.orderBy(F.desc("count"), "theme"),
+        "version_distribution": b.groupBy(F.col("n_versions").alias("num_versions")).agg(F.count(F.lit(1)).alias("bug_count")).orderBy("num_versions"), "resolution_tags": tagged.orderBy(F.desc("count"), "tag"),
+        "reviewer_distribution": people.orderBy("num_reviewers"), "top_subsystems": areas.orderBy(F.desc("count"), "subsystem").limit(20),
+    }
+
+
+@register("nonfunctional")
+def non_functional(bugs: DataFrame) -> Tables:
+    """Reviews of the first thread of records of two versions or more; each category has a row. pure: records without functional themes."""
+    b = derived(bugs).where((F.col("n_versions") >= 2) & (F.size("threads") >= 2))
+    rows = _of_reviews(b, F.array(F.get("threads", F.lit(0))["thread"])).withColumn("categories", rules.multi_label(F.col("text"), [(n, p) for n, _, p in V.NON_FUNCTIONAL]))
+    each = rows.select("bug_id", "title", "reviewer", F.left("text", F.lit(400)).alias("snippet"), F.explode("categories").alias("category"))
+    spine = bugs.sparkSession.createDataFrame([(n, d) for n, d, _ in V.NON_FUNCTIONAL], "category string, description string")
+    counts = spine.join(each.groupBy("category").agg(F.count(F.lit(1)).alias("n")), "category", "left").select("category", "description", F.coalesce("n", F.lit(0)).alias("review_messages_matching"))
+    functional = F.arrays_overlap("themes", F.array(*map(F.lit, V.FUNCTIONAL)))
+    kinds = F.array_sort(F.array_distinct(F.flatten(F.collect_list("categories")))).alias("nonfunc_categories")  # a record's own labels
+    pure = rows.groupBy("bug_id", "title").agg(kinds, F.bool_or(functional).alias("_functional")).where(~F.col("_functional") & (F.size("nonfunc_categories") > 0)).drop("_functional")
+    return {
+        "category_breakdown": counts.withColumn("bugs_with_examples", F.least("review_messages_matching", F.lit(5))).orderBy(F.desc("review_messages_matching"), "category"),
+        "examples": stats.first_k(each, ["category"], ["bug_id", "reviewer", "snippet"], 5), "pure": pure.orderBy("bug_id").limit(20),
+    }
+
+
+def _changelog(messages: Column) -> Column:
+    """The first submission's notes that aren't empty, by the first pattern found in it; empty if there are none."""
+    body = lambda m: F.coalesce(*(F.when(_or_empty(m["body"]).rlike(p), text.strip(F.regexp_extract(_or_empty(m["body"]), p, 1))) for p in V.CHANGELOGS), F.lit(""))
+    notes = F.transform(F.filter(messages, lambda m: text.is_submission(_or_empty(m["subject"]))), body)
+    return F.coalesce(F.get(F.filter(notes, lambda n: n != ""), F.lit(0)), F.lit(""))
+
+
+def transitions(bugs: DataFrame) -> DataFrame:
+    """One row for each step from a version to the next of a record; threads of one version count as one. Unknown values are null."""
+    b = derived(bugs).where(F.col("n_versions") >= 2)
+    versions = F.array_sort(F.array_distinct(F.transform("threads", lambda t: t["version"])))
+    merged = F.transform(versions, lambda v: F.struct(v.alias("version"), F.flatten(F.transform(F.filter("threads", lambda t: t["version"] == v), lambda t: _messages(t["thread"]))).alias("messages")))
+    b = b.select("bug_id", "title", merged.alias("v"))
+    b = b.select("bug_id", "title", F.explode(F.transform(F.sequence(F.lit(0), F.size("v") - 2), lambda i: F.struct(F.get("v", i).alias("a"), F.get("v", i + 1).alias("b")))).alias("step"))
+    old, new = F.col("step.a.messages"), F.col("step.b.messages")
+    # Filters on the reviews read them as a column, so that mails aren't examined again for each use.
+    b = b.select("bug_id", "title", F.col("step.a.version").alias("from_version"), F.col("step.b.version").alias("to_version"), _reviews(old).alias("_reviews"), _changelog(new).alias("changelog"), _submitted_diff(old).alias("_d1"), _submitted_diff(new).alias("_d2"), F.filter(new, lambda m: text.is_submission(_or_empty(m["subject"]))).alias("_sent"))
+    feedback = F.array_sort(F.array_distinct(F.flatten(F.transform("_reviews", lambda m: rules.multi_label(text.review_text(_or_empty(m["body"])), V.REVIEW_CATEGORIES)))))
+    b = b.withColumn("feedback_categories", feedback).withColumn("changelog_categories", F.when(F.col("changelog") != "", rules.multi_label(F.col("changelog"), V.REVIEW_CATEGORIES)).otherwise(F.array().cast("array<string>")))
+    named = rules.labels([(n, F.lower("changelog").rlike("|".join(w for w in n.split("_") if len(w) > 3)) if any(len(w) > 3 for w in n.split("_")) else F.lit(False)) for n, _ in V.REVIEW_CATEGORIES])
+    left = F.array_except("feedback_categories", "changelog_categories")
+    total = F.size("feedback_categories")
+    score = F.when(total > 0, F.round((F.size(F.array_intersect("feedback_categories", "changelog_categories")) + 0.5 * F.size(F.array_intersect(left, named))) / total, 3))
+    f1, f2, both = text.fix_files(F.col("_d1")), text.fix_files(F.col("_d2")), F.col("_d1").isNotNull() & F.col("_d2").isNotNull()
+    instants = lambda c: F.transform(c, lambda m: text.mail_instant(_or_empty(m["date"])))
+    return b.select(
+        "bug_id", "title", "from_version", "to_version", F.size("_reviews").alias("num_reviews"), F.size(F.array_distinct(F.transform("_reviews", lambda m: text.sender_name(_or_empty(m["from_addr"]))))).alias("num_reviewers"),
+        "feedback_categories", "changelog_categories", F.when(both, text.patch_size(F.col("_d2")) - text.patch_size(F.col("_d1"))).alias("line_delta"), F.when(both, F.size(F.array_except(f2, f1))).alias("files_added"),
+        F.when(both, F.size(F.array_except(f1, f2))).alias("files_removed"), F.when(both, text.scope_change(f1, f2)).alias("scope_change"),
+        F.round(text.days_between(F.array_max(instants("_reviews")), F.array_min(instants("_sent"))) * 24, 1).alias("time_to_next_hours"), score.alias("responsiveness_score"), F.left("changelog", F.lit(200)).alias("changelog_excerpt"),
+    )
+
+
+@register("evolution")
+def evolution(bugs: DataFrame) -> Tables:
+    """What reviews of a version ask for and the next one changes. total_time_hours is a mean; an addressed rate may pass 100."""
+    rows = transitions(bugs)
+    change, hours, delta = F.abs("line_delta"), F.col("time_to_next_hours"), F.coalesce("line_delta", F.lit(0))
+    asked = _each(rows, "feedback_categories", "category", F.round(F.avg(change), 3).alias("change"), F.round(F.avg(hours), 3).alias("avg_hours"), F.round(F.median(hours), 1).alias("median_hours"))
+    told = rows.select(F.explode("changelog_categories").alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("told"))
+    both = asked.join(told, "category", "left").withColumn("told", F.coalesce("told", F.lit(0)))
+    rate = F.round(stats.percent(F.col("told"), F.col("count")), 1)
+    summary = rows.groupBy("bug_id", "title").agg(
+        (F.count(F.lit(1)) + 1).alias("num_versions"), F.sum("num_reviews").alias("total_reviews"), F.sum(F.size("feedback_categories")).alias("total_feedback_items"), F.sum(delta).alias("total_line_delta"),
+        F.round(F.avg("responsiveness_score"), 3).alias("avg_responsiveness"), F.round(F.avg(hours), 3).alias("total_time_hours"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("feedback_categories")))).alias("categories"),
+    )
+    return {
+        "iteration_transitions": rows.drop("title").orderBy("bug_id", "from_version"), "evolution_summary": summary.withColumn("title", F.left("title", F.lit(80))).orderBy(F.desc("num_versions"), "bug_id"),
+        "feedback_impact": both.select("category", F.col("count").alias("num_transitions"), stats.percent(F.col("count"), F.col("_whole")).alias("pct_of_transitions"), F.col("change").alias("avg_abs_line_delta"), F.col("avg_hours").alias("avg_response_time_hours"), rate.alias("changelog_alignment_rate")).orderBy(F.desc("num_transitions"), "category"),
+        "response_patterns": both.select("category", F.col("count").alias("times_in_feedback"), F.col("told").alias("times_in_changelog"), rate.alias("addressed_rate"), F.col("change").alias("avg_structural_change"), F.col("median_hours").alias("median_response_time_hours")).orderBy(F.desc("times_in_feedback"), "category"),
+    }
+
+
 REGISTRY["crosslayer"] = cross_layer.tables

@@ -74,6 +74,37 @@ def test_tables(bugs):
     assert dict(rows(analyses.run("insights", bugs)["cluster_overview"], "cluster", "count")) == {"misleading": 1, "cross-subsystem": 2, "rescued": 1, "concurrency": 2, "desert": 2}
 
 
+def test_reviews(bugs):
+    found = analyses.run("discussion", bugs)
+    assert rows(found["top_reviewers"], "reviewer", "review_count") == [("Ann", 1)]
+    assert rows(found["feedback_themes"], "theme", "count", "pct") == [("correctness", 1, 100.0), ("race_condition", 1, 100.0)]
+    assert rows(found["version_distribution"], "num_versions", "bug_count") == [(2, 1)] and rows(found["reviewer_distribution"], "num_reviewers", "bug_count") == [(1, 1)]
+    assert rows(found["top_subsystems"], "subsystem", "count", "total_versions", "total_reviews") == [("fs", 1, 2, 1)]
+    assert [n for _, n in rows(analyses.run("nonfunctional", bugs)["category_breakdown"], "category", "review_messages_matching")] == [0] * 5
+
+
+def test_transitions(spark):
+    old = [mail("[PATCH] x", diff("a/x.c", "+a")), mail("Re: [PATCH] x", "This is wrong.\nPlease fix the coding style.") | {"date": "Mon, 1 Jan 2024 10:00:00 +0000"}]
+    new = [mail("[PATCH v2] x", "Changes since v1:\n- fixed the wrong check\n\n" + diff("a/x.c", "+a", "+b") + diff("a/y.c", "+c")) | {"date": "Mon, 1 Jan 2024 22:30:00 +0000"}]
+    threads = [{"subject": "s", "patch_version": v, "messages": m} for v, m in ((2, new), (1, old), (1, []))]
+    df = spark.createDataFrame([bug("a", "t", threads=threads)], BUG)
+    r = analyses.transitions(df).first()
+    assert (r["from_version"], r["to_version"], r["num_reviews"], r["line_delta"], r["files_added"], r["scope_change"], r["time_to_next_hours"]) == (1, 2, 1, 2, 1, "expanded", 12.5)
+    assert r["feedback_categories"] == ["correctness", "style_convention"] and r["changelog_categories"] == ["correctness"]
+    assert r["responsiveness_score"] == 0.5 and r["changelog_excerpt"] == "- fixed the wrong check"
+    found = analyses.run("evolution", df)
+    assert rows(found["response_patterns"], "category", "addressed_rate") == [("correctness", 100.0), ("style_convention", 0.0)]
+    assert rows(found["evolution_summary"], "num_versions", "total_line_delta", "total_time_hours") == [(2, 2, 12.5)]
+    assert rows(analyses.run("nonfunctional", df)["pure"], "bug_id") == []
+    assert rows(analyses.run("nonfunctional", df)["category_breakdown"], "category", "review_messages_matching")[0] == ("style", 1)
+
+
+def test_information(bugs):
+    found = analyses.run("infosuff", bugs)
+    assert rows(found["truncation_analysis"], "first_n_lines", "median_stack_frame_retention", "bugs_analyzed") == [(n, 100.0, 3) for n in analyses.HEADS]
+    assert sum(n for _, n in rows(found["token_overlap_distribution"], "range", "count")) == 3
+
+
 def test_every_table_of_an_empty_corpus(spark):
     empty = spark.createDataFrame([], BUG)
     for name in analyses.REGISTRY:
