@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import common, langid, packing, simhash, substrings
+from faultline.llm import common, jaccard, langid, packing, substrings
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document is rejected if its language can't be told: no letter, or no language with this share of its positions.
@@ -24,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group whose fingerprints link."""
-    return simhash.keep_one(docs.select(COLUMNS))
+    """The document of smallest doc_id of each group that pairs of Jaccard similarity 0.8 or more, over runs of five words, link."""
+    return jaccard.keep_one(docs.select(COLUMNS), words=5, least=0.8)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

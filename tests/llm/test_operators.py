@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from faultline.llm import ann, bpe, html, langid, packing, simhash, substrings, topk, unigram, warc
+from faultline.llm import ann, bpe, html, jaccard, langid, packing, simhash, substrings, topk, unigram, warc
 
 RNG = random.Random(5)
 WORDS = [f"w{i}" for i in range(60)]
@@ -311,3 +311,48 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     kept = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert kept >= set(range(30)) and not kept & {30, 32, 33}
+
+
+def test_pipeline_drops_edited_copies(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(19)
+    base = [sentence(120, rng) for _ in range(20)]
+    edited = [" ".join("new" if i in (30, 60, 90)[: 1 + k % 2] else w for i, w in enumerate(t.split())) for k, t in enumerate(base)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate([*base, *edited])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()} == set(range(20))
+
+
+def test_keep_one_by_similarity(spark, docs, texts, monkeypatch):
+    rng = random.Random(21)
+    pool = [sentence(rng.randint(4, 150), rng).split() for _ in range(25)]
+    more = []
+    for words in pool * 5:
+        words, at = list(words), rng.randrange(len(words))
+        words[at : at + rng.randint(0, 9)] = [rng.choice(WORDS) for _ in range(rng.randint(0, 9))]
+        more.append(" ".join(words))
+    line = sentence(8, rng)
+    more += [line + " " + sentence(12, rng) for _ in range(15)] + [" ".join(w) for w in pool]
+    given = [*texts, *more]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())) else set() for t in given]
+    parent = list(range(len(given)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(given)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    rows = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").repartition(3)
+    for looked, leaders in ((1, 1), (32, 8)):
+        monkeypatch.setattr(jaccard, "LOOKED", looked)
+        monkeypatch.setattr(jaccard, "LEADERS", leaders)
+        assert sorted(r.doc_id for r in jaccard.keep_one(rows).collect()) == sorted({find(i) for i in range(len(given))})
+    odd = spark.createDataFrame([(1, "a b c d e f"), (1, "u v w x y z"), (1, "a b c d e f"), (2, "u v w x y z"), (None, "a b c d e f"), (None, None)], "doc_id long, text string")
+    assert Counter(map(tuple, jaccard.keep_one(odd).collect())) == Counter([(1, "a b c d e f"), (1, "u v w x y z"), (None, "a b c d e f"), (None, None)])
+    assert jaccard.keep_one(empty(rows)).count() == 0
