@@ -13,9 +13,11 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,18 +74,18 @@ def _head(fields: list[tuple[str, object]]) -> bytes:
     return VERSION + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields) + b"\r\n"
 
 
-def record_id(key: int | None, sum_: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{key}:{sum_}')}>"
+def record_id(key: int | None, sum_: str, row: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{key}:{sum_}:{row}')}>"
 
 
-def records(key: int | None, url: str | None, payload: bytes, first: int | None, segment: int = SEGMENT) -> Iterator[bytes]:
-    """A page's records. first: page_id of the response that a revisit refers to."""
+def records(key: int | None, url: str | None, payload: bytes, first: int | None, row: str, segment: int = SEGMENT) -> Iterator[bytes]:
+    """A page's records. first: page_id of the response that a revisit refers to; row: what no other row of the archives has."""
     sum_ = digest(payload)
-    own, about = record_id(key, sum_), [("WARC-Target-URI", _uri(url)), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{sum_}")]
+    own, about = record_id(key, sum_, row), [("WARC-Target-URI", _uri(url)), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{sum_}")]
     named = [("X-Page-Id", "" if key is None else key)]
     if first is not None:
         block = b"HTTP/1.1 200 OK\r\n\r\n"
-        more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(first, sum_)), ("X-Refers-To-Page-Id", first), ("X-Payload-Length", len(payload))]
+        more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-Id", first), ("X-Payload-Length", len(payload))]
         yield _head([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *about, *more, *named, ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(block))]) + block
         return
     block = HTTP + chunked(payload)
@@ -117,8 +119,9 @@ def write_archives(pages: DataFrame, path: str, *, least: int = 0, segment: int
     """A record for each row of pages (page_id, url, html) in files under path.
 
     The payload is html in UTF-8, null is empty. Of rows with equal payloads of at least `least` bytes that with the
-    smallest page_id is a response, the others revisit it. Rows of one page_id and payload are alike, and so are their
-    records; so are rows whose page_ids are all null.
+    smallest page_id is a response, the others revisit it. Repeated rows have a record each, under ids of their own (by
+    task and place in it), so a revisit names its response by page_id and payload digest. Rows of equal payloads whose
+    page_ids are all null are responses.
     """
     text = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text.alias("html"), F.sha2(text.cast("binary"), 256).alias("sum"))
@@ -126,11 +129,12 @@ def write_archives(pages: DataFrame, path: str, *, least: int = 0, segment: int
     dealt = rows.join(firsts.where("copies > 1").select("sum", "first_id"), "sum", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("first_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, places = TaskContext.get().partitionId(), count()
         for batch in batches:
             html = common.as_bytes(batch.column("html"))
             rest = [batch.column(c).to_pylist() for c in ("page_id", "url", "first_id")]
             for a, b in common.slices([len(x) for x in html], 4 * common.SLICE_BYTES):
-                out = [r[len(VERSION) :] + b"\r\n\r\n" for key, url, first, payload in zip(*(c[a:b] for c in rest), html[a:b]) for r in records(key, url, payload, first, segment)]
+                out = [r[len(VERSION) :] + b"\r\n\r\n" for key, url, first, payload in zip(*(c[a:b] for c in rest), html[a:b]) for r in records(key, url, payload, first, f"{task}:{next(places)}", segment)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     # Spark's text files end each value with the separator, so the version line of a record stands at the end of the one before it.
@@ -139,13 +143,10 @@ def write_archives(pages: DataFrame, path: str, *, least: int = 0, segment: int
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """page_id, payload, payload_bytes, payload_digest (of the payload as read), record_type and refers_to of every page of the archives.
-
-    A revisit has the length and digest of the response that it refers to, found by record id; both are compared with
-    its own header. A record that is cut short, has a wrong total length, digest or framing raises ValueError.
+    """The records of the archives: header fields and block, a single response's payload in its place. A record that is cut short, has a wrong total length, digest or framing raises ValueError.
     """
     lines = spark.read.option("lineSep", VERSION.decode()).text(path).select(F.col("value").cast("binary").alias("raw"))
-    fields = "kind string, id string, page_id long, refers string, refers_to long, origin string, number int, total long, sum string, n long, block binary"
+    fields = "kind string, id string, page_id long, refers_to long, origin string, number int, total long, sum string, n long, block binary"
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,9 +160,9 @@ def read_archives(spark, path: str) -> DataFrame:
                     number = lambda k: int(f[k]) if f.get(k) else None  # noqa: B023, E731
                     part = number("warc-segment-number")
                     payload = block if part else _payload(block) if f["warc-type"] == "response" else b""
-                    out.append((f["warc-type"], f["warc-record-id"], number("x-page-id"), f.get("warc-refers-to"), number("x-refers-to-page-id"), f.get("warc-segment-origin-id", f["warc-record-id"]) if part else None, part, number("warc-segment-total-length"), f.get("warc-payload-digest", "").removeprefix("sha1:"), number("x-payload-length"), payload))
+                    out.append((f["warc-type"], f["warc-record-id"], number("x-page-id"), number("x-refers-to-page-id"), f.get("warc-segment-origin-id", f["warc-record-id"]) if part else None, part, number("warc-segment-total-length"), f.get("warc-payload-digest", "").removeprefix("sha1:"), number("x-payload-length"), payload))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.binary()))], [x.split()[0] for x in fields.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.binary()))], [x.split()[0] for x in fields.split(", ")])
 
     return lines.mapInArrow(split, fields)
 
@@ -173,7 +174,7 @@ def _payload(block: bytes) -> bytes:
 
 def _whole(pdf: pd.DataFrame) -> pd.DataFrame:
     """One origin's segments as one response."""
-    pdf = pdf.drop_duplicates(["number", "block"]).sort_values("number")
+    pdf = pdf.sort_values("number")
     numbers, total = pdf["number"].tolist(), pdf["total"].iloc[-1]
     block = b"".join(pdf["block"])
     if numbers != list(range(1, len(numbers) + 1)) or pd.isna(total) or len(block) != int(total):
@@ -194,7 +195,8 @@ def round_trip(pages: DataFrame, *, least: int = 0, segment: int = SEGMENT) -> D
     """Writes pages to archives in the shared folder, reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     pages: page_id, url, html; other columns are left aside. Null html is empty, a null url is named unknown, a null
-    page_id stays null. Repeated rows have equal results. An empty table gives no rows.
+    page_id stays null. Repeated rows have equal results, one each. A revisit has the length and digest of the response
+    that it refers to. An empty table gives no rows.
     """
     spark = pages.sparkSession
     path = common.new_path(spark, "warc")
@@ -209,14 +211,14 @@ def round_trip(pages: DataFrame, *, least: int = 0, segment: int = SEGMENT) -> D
                     lengths[i] = len(block)
                     if digest(block) != stated[i]:
                         raise ValueError("a payload has another digest than its record says")
-            keep = ["id", "page_id", "kind", "refers", "refers_to", "sum"]
+            keep = ["id", "page_id", "kind", "refers_to", "sum"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(lengths, pa.int64())], [*keep, "n"])
 
-    rows = found.mapInArrow(measured, "id string, page_id long, kind string, refers string, refers_to long, sum string, n long")
+    rows = found.mapInArrow(measured, "id string, page_id long, kind string, refers_to long, sum string, n long")
     rows = common.written(rows, "pages")
-    answers = rows.where("kind = 'response'").select(F.col("id").alias("refers"), F.col("n").alias("response_n"), F.col("sum").alias("response_sum")).dropDuplicates(["refers"])
-    revisits = rows.where("kind = 'revisit'").join(answers, "refers", "left")
-    same = (F.col("n") == F.col("response_n")) & (F.col("sum") == F.col("response_sum"))
+    answers = rows.where("kind = 'response'").select(F.col("page_id").alias("refers_to"), "sum", F.col("n").alias("response_n")).distinct()
+    revisits = rows.where("kind = 'revisit'").join(answers, ["refers_to", "sum"], "left")
+    same = F.col("n") == F.col("response_n")
     checked = revisits.withColumn("n", F.when(same, F.col("response_n")).otherwise(F.raise_error(F.lit("a revisit doesn't agree with the response that it refers to")).cast("long")))
     columns = ["page_id", F.col("n").alias("payload_bytes"), F.col("sum").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to"]
     return rows.where("kind = 'response'").select(*columns).unionByName(checked.select(*columns))

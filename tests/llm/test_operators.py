@@ -302,6 +302,17 @@ def test_warc(spark):
     assert warc.dechunked(warc.chunked(long.encode())) == long.encode()
 
 
+def test_warc_keeps_repeated_rows_of_many_segments(spark):
+    long, other = "<p>" + "abc" * 2000, "xyz" * 2000
+    pages = [(1, "u", long)] * 3 + [(2, "u", long)] * 2 + [(None, "u", other)] * 3 + [(3, "u", "short"), (3, "u", "short")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = [(1, "response", None)] * 3 + [(2, "revisit", 1)] * 2 + [(None, "response", None)] * 3 + [(3, "response", None)] * 2
+    for parts in (1, 3):
+        got = warc.round_trip(df.repartition(parts), segment=700).collect()
+        assert Counter((r.page_id, r.record_type, r.refers_to) for r in got) == Counter(want)
+        assert Counter((r.payload_bytes, r.payload_digest) for r in got) == Counter((len(h), warc.digest(h.encode())) for _, _, h in pages)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
