@@ -164,12 +164,12 @@ def stretches(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> l
 def main_text(html: str) -> str:
     """The article's lines, joined by line ends. Empty if there is none."""
     lines = lines_of(html)
-    if any(text and article for text, article in lines):
-        # Where the page says what its article is, the rest is furniture; every stretch of the article is kept.
-        lines = [(text if article else "", article) for text, article in lines]
-        return "\n".join(text for text, _ in lines if text)
     lengths = [len(text) for text, _ in lines]
     found = stretches(lengths) or stretches(lengths, surge=1)
+    declared = sum(lengths[i] for a, b in found for i in range(a, b) if lines[i][1])
+    if declared and 2 * declared >= sum(sum(lengths[a:b]) for a, b in found):
+        # Most of the text that surges lies where the page says its article is: that bounds it, and any text in it surges.
+        return "\n".join(text for text, article in lines if text and article)
     if not found:
         return ""
     sizes = [sum(lengths[a:b]) for a, b in found]

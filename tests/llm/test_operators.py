@@ -182,6 +182,18 @@ def test_main_text(spark):
     assert html.extract(empty(rows)).count() == 0
 
 
+STORY = "<p>" + "Long text of the story. " * 10 + "</p>"
+
+
+def test_main_text_surges_beside_a_short_article_element():
+    teaser = "<article><p>Another story</p></article>"
+    cards = "<article><p>" + "Card of another story. " * 5 + "</p></article>"
+    for other in (teaser, cards):
+        assert html.main_text(f"<body><div>{STORY}{STORY}</div>{other}</body>").count("Long text of the story.") == 20
+    assert "Another" not in html.main_text(f"<body><div>{STORY}</div>{teaser}</body>")
+    assert html.main_text(f"<body><article><h1>T</h1><div class=share>x</div>{STORY}</article><div>Short rest</div></body>").startswith("T\nLong text")
+
+
 # 5
 
 
