@@ -1,8 +1,9 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped to lines, one to a block element. Lines of page furniture (navigation, headers, adverts, comments and
-the like) are empty, and empty lines also stand where a container begins or ends. Summed over a sliding window of lines
-the text lengths surge where an article begins and dive where it ends; the text between is kept.
+the like) are empty: a whole window of them parts what stands before from what follows; other containers begin and end
+with one. Summed over a sliding window of lines the text lengths surge where an article begins and dive where it ends; all
+text between the first surge and the last dive is kept.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ from . import common
 
 #: Lines of the sliding window, and characters in it at which text surges.
 WINDOW, SURGE = 3, 80
-#: Besides the longest stretch, those with this share of its text are kept.
-SHARE = 0.25
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -87,9 +86,11 @@ def lines_of(html: str) -> list[tuple[str, bool]]:
             if line:
                 lines.append((line, stack[-1][2]))
 
-    def gap() -> None:
-        if lines and lines[-1][0]:
-            lines.extend([("", stack[-1][2])] * WINDOW)
+    def gap(size: int) -> None:
+        for place in range(1, size + 1):
+            if len(lines) < place or lines[-place][0]:
+                lines.extend([("", stack[-1][2])] * (size - place + 1) if lines else [])
+                break
 
     at = 0
     while at < len(html):
@@ -114,7 +115,7 @@ def lines_of(html: str) -> list[tuple[str, bool]]:
                 was = stack[depth]
                 del stack[depth:]
                 if name in CONTAINER or was[1]:
-                    gap()
+                    gap(WINDOW if was[1] or was[2] != stack[-1][2] else 1)
             continue
         if name in BLOCK:
             end_line()
@@ -138,7 +139,7 @@ def lines_of(html: str) -> list[tuple[str, bool]]:
         if name == "header" and within[2] and not within[1]:
             furniture = False  # an article's own header holds its title
         if name in CONTAINER or furniture and not within[1]:
-            gap()
+            gap(WINDOW if furniture or article and not within[2] else 1)
         stack.append((name, within[1] or furniture, within[2] or article))
     end_line()
     return lines
@@ -172,8 +173,7 @@ def main_text(html: str) -> str:
         return "\n".join(text for text, article in lines if text and article)
     if not found:
         return ""
-    sizes = [sum(lengths[a:b]) for a, b in found]
-    return "\n".join(text for (a, b), n in zip(found, sizes) if n >= SHARE * max(sizes) for text, _ in lines[a:b] if text)
+    return "\n".join(text for text, _ in lines[found[0][0] : found[-1][1]] if text)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -194,6 +194,12 @@ def test_main_text_surges_beside_a_short_article_element():
     assert html.main_text(f"<body><article><h1>T</h1><div class=share>x</div>{STORY}</article><div>Short rest</div></body>").startswith("T\nLong text")
 
 
+def test_main_text_keeps_short_stretches():
+    page = f"<body><div class=nav>Home</div><div><h1>Title</h1></div><div><p>{'Lead. ' * 30}</p></div><div class=ad>Buy</div><div>Note.</div><div class=share>x</div><div>{STORY * 20}</div><div><p>{'End. ' * 20}</p></div><div class=footer>c</div></body>"
+    found = html.main_text(page).split("\n")
+    assert found == ["Title", ("Lead. " * 30).strip(), "Note.", *[("Long text of the story. " * 10).strip()] * 20, ("End. " * 20).strip()]
+
+
 # 5
 
 
