@@ -44,7 +44,8 @@ FURNITURE_WORDS = {
 }
 #: With one of these words beside it, "header" is the article's own.
 OWN_HEADER = {"article", "entry", "post", "story", "content"}
-ARTICLE_WORDS = {"article", "articlebody", "main"}
+#: Elements whose class, id or role may name furniture; the ids of sections are slugs of their headings.
+NAMED = CONTAINER | {"details", "dl", "fieldset", "figure", "ol", "ul"}
 NEVER = {"html", "body", "article", "main"}
 
 
@@ -53,20 +54,26 @@ def _about(name: str, attributes: str) -> tuple[bool, bool]:
     if name in FURNITURE and name != "header":
         return True, False
     words: set[str] = set()
-    hidden = False
+    slug: set[str] = set()
+    hidden = article = False
     if attributes.strip():
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
             value = a or b or c
             key = key.lower()
             if key in ("class", "id", "role", "itemprop", "aria-label", "data-role"):
-                words.update(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+                (slug if key == "id" else words).update(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+                article |= key == "role" and value.lower().strip() == "main" or key == "itemprop" and value.lower().strip() == "articlebody"
             hidden |= key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
     if name in NEVER:
         return hidden and name != "body" and name != "html", name in ("article", "main")
+    if name not in NAMED:
+        return hidden or name == "header", False
+    if name != "section" and "section" not in words:
+        words |= slug
     named = words & FURNITURE_WORDS
     if "header" in named and words & OWN_HEADER:
         named = named - {"header"}
-    return hidden or name == "header" or bool(named), bool(words & ARTICLE_WORDS) and not named
+    return hidden or name == "header" or bool(named), article and not named
 
 
 def lines_of(html: str) -> list[tuple[str, bool]]:

@@ -200,6 +200,15 @@ def test_main_text_keeps_short_stretches():
     assert found == ["Title", ("Lead. " * 30).strip(), "Note.", *[("Long text of the story. " * 10).strip()] * 20, ("End. " * 20).strip()]
 
 
+def test_main_text_takes_words_of_containers_alone():
+    for other in ('<h1 class="article-title">T</h1>', '<div class="main-image">T</div>'):
+        assert html.main_text(f'<body>{other}<div class="post-body">{STORY}{STORY}</div></body>').split("\n")[:2] == ["T", ("Long text of the story. " * 10).strip()]
+    page = f'<article>{STORY}<section id="discussion"><h2 id="related-work">Related</h2>{STORY}</section><h2 id="privacy">P</h2>{STORY}<h2 id="search">S</h2><div id="comments">Nice!</div></article>'
+    story = ("Long text of the story. " * 10).strip()
+    assert html.main_text(page).split("\n") == [story, "Related", story, "P", story, "S"]
+    assert html.main_text(f'<body><div>{STORY}</div><div role="main">{STORY}{STORY}</div></body>').split("\n") == [story] * 2
+
+
 # 5
 
 
