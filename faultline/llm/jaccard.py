@@ -139,10 +139,7 @@ def keep_one(docs: DataFrame, *, words: int = 5, least: float = 0.8, radius: int
     radius: of the trees; it decides what they propose, not the result. Documents are told apart by doc_id and text; of
     rows alike in both one stays. A null doc_id names no document, so such rows stay. Null text has no word.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    named = docs.where(F.col("doc_id").isNotNull())
-    reps = named.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).groupBy(F.md5(F.col("text").cast("binary")).alias("sum")).agg(F.min("doc_id").alias("first"), F.first("text").alias("text"))
-    reps = common.written(reps.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    reps = simhash.distinct_texts(docs)
     groups = _prefixes(reps, words, least, _common(reps, words)).groupBy("token").agg(F.collect_list(F.struct("node", "n", "place")).alias("at")).where(F.size("at") > 1)
     groups = common.written(groups, "groups")
     met = groups.select(F.explode("at.node").alias("node")).distinct()
@@ -159,6 +156,4 @@ def keep_one(docs: DataFrame, *, words: int = 5, least: float = 0.8, radius: int
     kept = common.written(firsts.select(F.col("x.first").alias("kept_id"), F.col("x.sum").alias("kept_sum")), "kept")
     for table in (reps, groups, texts):
         common.discard(table)
-    sums = named.withColumn("kept_id", F.col("doc_id").cast("long")).withColumn("kept_sum", F.md5(text.cast("binary")))
-    stay = sums.join(kept, ["kept_id", "kept_sum"], "left_semi").dropDuplicates(["kept_id", "kept_sum"]).select(docs.columns)
-    return stay.unionByName(docs.where(F.col("doc_id").isNull()))
+    return simhash.only(docs, kept)

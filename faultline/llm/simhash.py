@@ -266,13 +266,30 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, seed: int = 42, radius:
     return prints.join(of_print.select("fp", F.coalesce("least", "first").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
+def text_sum() -> Column:
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """node (a number of its own), text, sum and first (the smallest doc_id) of every distinct text; null is empty. Rows without a doc_id go."""
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = rows.groupBy(text_sum().alias("sum")).agg(F.min("doc_id").alias("first"), F.first("text").alias("text"))
+    return common.written(found.withColumn("node", F.monotonically_increasing_id()), "distinct")
+
+
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """A row of docs, all columns, for each (kept_id, kept_sum), and all rows without a doc_id."""
+    sums = docs.where(F.col("doc_id").isNotNull()).withColumn("kept_id", F.col("doc_id").cast("long")).withColumn("kept_sum", text_sum())
+    stay = sums.join(kept, ["kept_id", "kept_sum"], "left_semi").dropDuplicates(["kept_id", "kept_sum"]).select(docs.columns)
+    return stay.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """docs, all columns, without all but the first document (smallest doc_id) of each near-duplicate group; of rows that share a doc_id one stays.
+    """docs, all columns, without all but the first document (smallest doc_id) of each near-duplicate group; of rows alike in doc_id and text one stays.
 
-    A null doc_id names no document, so such rows stay.
+    A null doc_id names no document, so such rows stay and link nothing.
     """
-    found = near_duplicates(docs, **settings)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id"))
-    named = docs.where(F.col("doc_id").isNotNull())
-    kept = named.join(gone, named["doc_id"] == gone["gone_id"], "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    reps = distinct_texts(docs)
+    found = near_duplicates(reps.select(F.col("node").alias("doc_id"), "text"), **settings).select(F.col("doc_id").alias("node"), "component_id")
+    firsts = reps.select("node", "first", "sum").join(found, "node").groupBy("component_id").agg(F.min(F.struct("first", "sum")).alias("x"))
+    return only(docs, firsts.select(F.col("x.first").alias("kept_id"), F.col("x.sum").alias("kept_sum")))

@@ -153,6 +153,13 @@ def test_near_duplicates(docs, texts):
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(want)
 
 
+def test_keep_one_tells_rows_of_one_doc_id_apart(spark):
+    one, two, three = (sentence(40, random.Random(k)) for k in (31, 32, 33))
+    rows = [(1, one), (2, one), (2, two), (3, three), (3, three), (None, one)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(1, one), (2, two), (3, three), (None, one)])
+
+
 def test_vantage_point_trees_lose_no_link(spark):
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 1 << 63, 150, dtype=np.int64)
