@@ -210,7 +210,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, cap
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (uint32, little-endian; null if not with_ids).
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
     dealt = rows.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.monotonically_increasing_id()), F.lit(groups)))
     pieces = dealt.mapInArrow(_pieces(tokenizer_path, end_id, capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long, ids binary")

@@ -118,6 +118,12 @@ def test_pack_documents(spark, docs, texts):
     assert packing.pack_documents(empty(docs), path).count() == 0
 
 
+def test_null_texts_are_dealt_to_groups(spark):
+    rows = spark.createDataFrame([(i, None) for i in range(300)], "doc_id long, text string")
+    found = packing.pack_documents(rows, public.path("word_bpe_49k.json"), group_bytes=500).collect()
+    assert len(found) == 300 and len({r.sequence_id >> 32 for r in found}) > 5
+
+
 # 3
 
 
