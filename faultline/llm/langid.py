@@ -21,8 +21,6 @@ from . import common
 LENGTH, UNITS = 24, 24
 #: Training: documents of each language (at most about so many), words of each, rounds, words of a step.
 DOCUMENTS, WORDS, EPOCHS, BATCH = 300, 60, 3, 512
-#: Languages that are told apart, the most frequent ones.
-LANGUAGES = 64
 UND = "und"
 
 
@@ -203,7 +201,7 @@ def held_out():
 def train(docs: DataFrame, *, documents: int = DOCUMENTS, words: int = WORDS, seed: int = 7) -> Labeller:
     """A network of the rows that aren't held out and have text and lang: about `documents` of each language, drawn by a hash of the row, `words` words drawn from all of each text. The driver gets no more than those words."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return Labeller(None, [])
     rate = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, documents / r["count"]))))

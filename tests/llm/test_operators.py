@@ -294,6 +294,12 @@ def test_identify(spark):
     assert langid.identify(empty(df)).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"w{i % 70}x y{i % 70}z", f"l{i % 70:02}") for i in range(420)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train(df, words=2).languages == sorted({k for _, _, k in rows})
+
+
 # 8
 
 
