@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -97,13 +96,13 @@ def _merge(ids: np.ndarray, lengths: np.ndarray, pairs: PairTable) -> np.ndarray
 class ByteBpe:
     """Encodes as tiktoken's encode_ordinary does; decodes by joining the tokens' bytes."""
 
-    def __init__(self, path: str, pattern: str, most: int = 300_000):
+    def __init__(self, path: str, pattern: str, most: int = 64_000_000):
         self.ranks = read_ranks(path)
         self.tokens = {r: t for t, r in self.ranks.items()}
-        self.pairs, self.pattern, self.most = PairTable(self.ranks), regex.compile(pattern), most
+        self.pairs, self.pattern = PairTable(self.ranks), regex.compile(pattern)
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         #: Pre-token -> number of ids, ids in decimal, bytes that they decode to.
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.known = common.Memory(most, 320)
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of pre-tokens."""
@@ -145,13 +144,12 @@ class ByteBpe:
         for words in found:
             n, ids, raw = zip(*map(get, words)) if words else ((), (), ())
             yield sum(n), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(raw)).hexdigest()
-        common.forget(self.known, new, self.most)
+        self.known.keep(new)
 
 
-@lru_cache(1)
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
     """One to a worker, whatever the number of its tasks."""
-    return ByteBpe(path, pattern)
+    return common.held(("bpe", path, pattern), lambda: ByteBpe(path, pattern))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -7,13 +7,18 @@ import os
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker takes apart at once; a single longer text is a slice of its own.
 SLICE_BYTES = 2_000_000
+#: Bytes of the longest word that is worth keeping in a worker's memory.
+LONG_WORD = 64
+
+T = TypeVar("T")
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -74,8 +79,31 @@ def slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         yield start, len(sizes)
 
 
-def forget(kept: dict, new: list, most: int) -> None:
-    """Drops what was just added to a worker's memory, if that is more than it may hold."""
-    if len(kept) > most:
-        for key in new:
-            del kept[key]
+#: What a worker keeps for the operator that it serves now, by its key.
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], T]) -> T:
+    """What `make` gives, kept in the worker for later tasks of the same operator. Another operator's is let go of, so a reused worker never holds two."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+class Memory(dict[bytes | str, object]):
+    """What is known about words, for tasks to come: up to so many bytes, each entry counted with `each` bytes and its word."""
+
+    def __init__(self, most: int, each: int):
+        super().__init__()
+        self.most, self.each, self.bytes = most, each, 0
+
+    def keep(self, new: Iterable[bytes | str]) -> None:
+        """new: words that were put in for the slice at hand. Those that don't fit are dropped."""
+        for word in new:
+            n = self.each + len(word)
+            if self.bytes + n > self.most or len(word) > LONG_WORD:
+                del self[word]
+            else:
+                self.bytes += n

@@ -146,11 +146,13 @@ def cut(word: bytes) -> list[bytes]:
 class Labeller:
     """A trained network and the summed distributions of words it has met."""
 
-    MOST = 300_000
+    #: Bytes of known words, each counted with 130 more.
+    MOST = 48_000_000
 
     def __init__(self, network: BiGru | None, languages: list[str]):
         self.network, self.languages = network, languages
         self.places: dict[bytes, int] = {}
+        self.bytes = 0
         self.sums = np.zeros((1024, max(1, len(languages))), np.float32)
 
     def __getstate__(self):
@@ -185,7 +187,12 @@ class Labeller:
             total = self.sums[list(map(self.places.__getitem__, some))].sum(0, dtype=np.float64)
             best = int(total.argmax())
             out.append((self.languages[best], min(1.0, float(total[best] / total.sum()))))
-        common.forget(self.places, new, self.MOST)
+        more = sum(map(len, new)) + 130 * len(new)
+        if self.bytes + more > self.MOST:  # places of those that stay are never given anew
+            for word in new:
+                del self.places[word]
+        else:
+            self.bytes += more
         return out
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,6 +20,8 @@ from . import common
 
 #: UTF-8 bytes of text to a group, about 2 million tokens.
 GROUP_BYTES = 8_000_000
+#: Bytes that a known word takes besides its own: its ids, two objects, a place in a dictionary.
+ENTRY = 200
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -28,14 +29,14 @@ class WordEncoder:
     """Ids of whole texts by a `tokenizers` file, as little-endian uint32 bytes; equal to encode(text, add_special_tokens=False).
 
     The tokenizer drops white space before it merges, so ids of the parts between ASCII white space, one after the
-    other, are the ids of the text. The first `most` parts that a worker meets stay, the common ones among them; later
-    ones go again after the slice of texts that they stand in.
+    other, are the ids of the text. The parts that a worker meets first stay, the common ones among them, up to `most`
+    bytes twice; later ones go again after the slice of texts that they stand in.
     """
 
     #: Characters that stay as they are under NFC and that lower() treats one by one.
     PLAIN = regex.compile("[\x21-\x7e\xa1-įı-ſ]+")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 40_000_000):
         import json
 
         from tokenizers import Tokenizer
@@ -52,9 +53,8 @@ class WordEncoder:
         ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             ends[i] = token.endswith(self.suffix)
-        self.ends, self.most = ends, most
-        self.parts: dict[bytes, bytes] = {}
-        self.pretokens: dict[str, bytes] = {}
+        self.ends = ends
+        self.parts, self.pretokens = common.Memory(most, ENTRY), common.Memory(most, ENTRY)
 
     def _encode_pretokens(self, new: list[str]) -> None:
         """Many pre-tokens to a call; each ends with the one token that has the word end."""
@@ -88,7 +88,7 @@ class WordEncoder:
             self.parts[part] = b"".join(map(self.pretokens.__getitem__, found))
         for part, x in zip(whole, self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in whole], add_special_tokens=False)):
             self.parts[part] = np.array(x.ids, np.uint32).tobytes()
-        common.forget(self.pretokens, list(new), self.most)
+        self.pretokens.keep(new)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         words = [x.split() for x in texts]
@@ -97,13 +97,12 @@ class WordEncoder:
         get = self.parts.__getitem__
         for some in words:
             yield b"".join(map(get, some))
-        common.forget(self.parts, new, self.most)
+        self.parts.keep(new)
 
 
-@lru_cache(1)
 def encoder(path: str) -> WordEncoder:
     """One to a worker, whatever the number of its tasks."""
-    return WordEncoder(path)
+    return common.held(("packing", path), lambda: WordEncoder(path))
 
 
 class Tournament:

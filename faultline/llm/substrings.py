@@ -11,18 +11,18 @@ segments stream through it for matching statistics. An anchor with very many dis
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 
@@ -36,23 +36,17 @@ NULL_KEY = (1 << 63) - 1
 
 
 class WordHashes(dict):
-    """XXH64 of words, kept for the common ones."""
+    """XXH64 of words, kept for the common ones: about 130 bytes each."""
 
-    MOST = 400_000
+    MOST = 300_000
 
     def __missing__(self, word: bytes) -> int:
         found = xxhash.xxh64_intdigest(word)
-        if len(self) < self.MOST:
+        if len(self) < self.MOST and len(word) <= common.LONG_WORD:
             self[word] = found
         return found
 
 
-@lru_cache(1)
-def _hashes() -> WordHashes:
-    """One to a worker, whatever the number of its tasks."""
-    return WordHashes()
-
-
 @lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """M2^i and its inverse, i < n."""
@@ -104,16 +98,125 @@ def anchors(lengths: np.ndarray, hashes: np.ndarray, window: int, anchor: int =
 
 
 def _occurrences(window: int):
+    """mh, sg, dk, at, late of every anchor. Of equal segments of one slice only the first asks for its fellows elsewhere; the others are late, and spread by a hash of their own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = common.held("word hashes", WordHashes).__getitem__
         for batch in batches:
             texts, keys, marks = common.as_bytes(batch.column("text")), batch.column("dk").to_numpy(), batch.column("th").to_numpy()
             for a, b in common.slices([len(x) for x in texts]):
                 words = [x.split() for x in texts[a:b]]
                 lengths = np.array(list(map(len, words)), np.int64)
-                get = _hashes().__getitem__
-                hashes = np.fromiter((h for x in words for h in map(get, x)), np.uint64, int(lengths.sum()))
+                hashes = np.fromiter(map(get, chain.from_iterable(words)), np.uint64, int(lengths.sum()))
                 doc, place, gram, segment = anchors(lengths, hashes, window)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, segment, keys[a:b][doc], (marks[a:b][doc].astype(np.int64) << 32) | place)], ["mh", "sg", "dk", "at"])
+                dk, at = keys[a:b][doc], (marks[a:b][doc].astype(np.int64) << 32) | place
+                order = np.lexsort((at, dk, segment, gram))
+                gram, segment, dk, at = gram[order], segment[order], dk[order], at[order]
+                head, later = _runs(gram, segment, dk, at)
+                own = (dk ^ at * np.int64(-0x61C8864680B583EB)) * np.int64(-0x3D4D51C2D82B14B1)
+                some = head | later
+                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (np.where(later, own, gram), segment, dk, at, later)], ["mh", "sg", "dk", "at", "late"])
+
+    return run
+
+
+def _runs(gram: np.ndarray, segment: np.ndarray, dk: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in the order of all four: which are the first of their (gram, segment), and which come later at another place; a row given twice is neither the second time."""
+    n = len(gram)
+    head = np.ones(n, bool)
+    head[1:] = (gram[1:] != gram[:-1]) | (segment[1:] != segment[:-1])
+    first = np.maximum.accumulate(np.where(head, np.arange(n), 0)) if n else np.zeros(0, np.int64)
+    return head, ~head & ((dk != dk[first]) | (at != at[first]))
+
+
+class Settler:
+    """Streams anchors in order: a segment that began elsewhere before is repeated; the first of each segment asks, if its anchor has others.
+
+    Of an anchor that isn't at its end only the first row of each segment is kept, and of one with over `most` segments
+    only the last such row, so memory is bounded whatever the anchor.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.rows, self.hot = most, tuple(np.zeros(0, np.int64) for _ in range(4)), False
+
+    def feed(self, rows: tuple[np.ndarray, ...], last: bool = False) -> tuple[np.ndarray, ...]:
+        """dk, at, mh, ask (0: repeated; 1: asks; 2: asks, and its anchor has many segments) of what is settled by more rows (mh, sg, dk, at)."""
+        gram, segment, dk, at = (np.concatenate(x) for x in zip(self.rows, rows))
+        n = len(gram)
+        if not n:
+            return dk, at, gram, np.zeros(0, np.int8)
+        head, later = _runs(gram, segment, dk, at)
+        begins = np.ones(n, bool)
+        begins[1:] = gram[1:] != gram[:-1]
+        group = np.cumsum(begins) - 1
+        segments = np.bincount(group[head], minlength=int(group[-1]) + 1)
+        many = segments > self.most
+        many[0] |= self.hot
+        asks = head & ((segments > 1) | many)[group]
+        if self.hot:
+            asks[0] = False  # asked before
+        open_ = group == group[-1]
+        if not last:
+            asks &= ~open_ | many[-1]
+        self.hot = bool(many[-1]) and not last
+        kept = np.flatnonzero(open_ & head) if not last else np.zeros(0, np.int64)
+        self.rows = tuple(x[kept[-1:] if self.hot else kept] for x in (gram, segment, dk, at))
+        some = later | asks
+        return dk[some], at[some], gram[some], np.where(asks, 1 + many[group], 0)[some].astype(np.int8)
+
+
+def _settled(most: int):
+    """dk, th, place, mh, ask of anchors in the order of mh, sg, dk, at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settler = Settler(most)
+
+        def out(dk, at, mh, ask):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (dk, at >> 32, (at & 0xFFFFFFFF).astype(np.int32), mh, ask)], ["dk", "th", "place", "mh", "ask"])
+
+        for batch in batches:
+            late = batch.column("late").to_numpy(zero_copy_only=False)
+            columns = [batch.column(c).to_numpy() for c in ("mh", "sg", "dk", "at")]
+            if late.any():
+                yield out(columns[2][late], columns[3][late], columns[0][late], np.zeros(int(late.sum()), np.int8))
+            yield out(*settler.feed(tuple(c[~late] for c in columns)))
+        yield out(*settler.feed(tuple(np.zeros(0, np.int64) for _ in range(4)), last=True))
+
+    return run
+
+
+def _asked(window: int):
+    """The segments of the anchors that ask: key, dk, th, start, words. An anchor with many segments is dealt on by window; a window that the slice has already is late, without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            texts, keys, marks, asks = common.as_bytes(batch.column("text")), batch.column("dk").to_pylist(), batch.column("th").to_pylist(), batch.column("asks").to_pylist()
+            for a, b in common.slices([len(x) for x in texts], common.SLICE_BYTES // 2):
+                rows, windows = [], []
+                for text, dk, th, some in zip(texts[a:b], keys[a:b], marks[a:b], asks[a:b]):
+                    if (dk, th) == before:
+                        continue  # a repeated row asks once
+                    before = dk, th
+                    words = text.split()
+                    for x in some:
+                        place, start = x["place"], max(0, x["place"] - window + ANCHOR)
+                        segment = words[start : place + window]
+                        if x["ask"] == 1:
+                            rows.append((x["mh"], dk, th, start, b" ".join(segment)))
+                        else:
+                            windows += [(b" ".join(segment[i : i + window]), dk, th, start + i) for i in range(len(segment) - window + 1)]
+                windows.sort()
+                own = place = None
+                for words, *at in windows:
+                    dk, th, start = at
+                    if words != own:
+                        own, place = words, at
+                        rows.append((xxhash.xxh64_intdigest(words) - (1 << 63), dk, th, start, words))
+                    elif at != place:  # two anchors of one window are one window
+                        rows.append((hash((dk, th, start)), dk, th, start, None))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(),) * 3 + (pa.int32(), pa.binary()))], ["key", "dk", "th", "start", "words"])
 
     return run
 
@@ -177,71 +280,75 @@ class SuffixAutomaton:
         next_, link, length, first, window = self.next, self.link, self.length, self.first, self.window
         state = matched = 0
         out = []
-        for i, word in enumerate(words):
-            while state and word not in next_[state]:
+        for i, word in enumerate(words, 1 - window):
+            down = next_[state].get(word)
+            while down is None and state:
                 state = link[state]
                 matched = length[state]
-            if word in next_[state]:
-                state = next_[state][word]
+                down = next_[state].get(word)
+            if down is not None:
+                state = down
                 matched += 1
             if matched >= window:
                 own = state
                 while length[link[own]] >= window:
                     own = link[own]
-                if first[own] < start + i - window + 1:
-                    out.append(i - window + 1)
+                if first[own] < start + i:
+                    out.append(i)
         return out
 
 
-def _shard(window: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["dk", "at"])
-        same = pdf["dk"].ne(pdf["dk"].shift()) | (pdf["at"] // (1 << 32)).ne((pdf["at"] // (1 << 32)).shift())
-        ranks, numbers = same.cumsum().tolist(), {}
-        # A word is told from others by its bytes; two anchors' segments never share a place by chance, so one automaton holds all.
-        segments = [([numbers.setdefault(w, len(numbers)) for w in s.split()], (rank << 32) + (at & 0xFFFFFFFF) - lead, dk, at, lead) for s, rank, at, lead, dk in zip(pdf["words"], ranks, pdf["at"].tolist(), pdf["lead"].tolist(), pdf["dk"].tolist())]
-        automaton = SuffixAutomaton(window)
-        for words, start, *_ in segments:
-            automaton.add(words, start)
-        automaton.close()
-        out = [(dk, at >> 32, (at & 0xFFFFFFFF) - lead + i) for words, start, dk, at, lead in segments for i in automaton.earlier(words, start)]
-        return pd.DataFrame(out, columns=["dk", "th", "start"]).astype("int64")
-
-    return run
-
-
-def _windows(window: int):
-    """Each window of a segment on its own, by a 128-bit hash."""
+def _searched(segments: list[tuple[int, int, int, bytes]], window: int) -> Iterator[tuple[int, int, int]]:
+    """dk, th and start of each window of the segments (dk, th, start, words) that also begins before, by a suffix automaton of them all."""
+    ranks = {x: i for i, x in enumerate(sorted({(dk, th) for dk, th, *_ in segments}))}
+    numbers: dict[bytes, int] = {}
+    coded = [([numbers.setdefault(w, len(numbers)) for w in words.split()], ranks[dk, th] << 32 | start) for dk, th, start, words in segments]
+    automaton = SuffixAutomaton(window)
+    for words, place in coded:
+        automaton.add(words, place)
+    automaton.close()
+    for (dk, th, start, _), (words, place) in zip(segments, coded):
+        for i in automaton.earlier(words, place):
+            yield dk, th, start + i
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for s, dk, at, lead in zip(*(batch.column(c).to_pylist() for c in ("words", "dk", "at", "lead"))):
-                words = s.split()
-                for i in range(len(words) - window + 1):
-                    rows.append((xxhash.xxh3_128_digest(b" ".join(words[i : i + window])), dk, at - lead + i))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64()))], ["win", "dk", "at"])
 
-    return run
-
-
-def _gather(window: int):
-    """Per document: the spans of segments known as repeated, and the segments that are to be asked about."""
-    asks = pa.list_(pa.struct([("mh", pa.int64()), ("at", pa.int64()), ("lead", pa.int32()), ("words", pa.binary())]))
+def _shards(window: int, size: int):
+    """dk, th, start of the repeated windows of segments in the order of key, dk, th, start; a shard ends with a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row = batch.column("row")
-            texts, gone, ask = common.as_bytes(row.field(row.type.get_field_index("text")).cast(pa.string())), batch.column("gone").to_pylist(), batch.column("ask").to_pylist()
-            marks = batch.column("th").to_pylist()
-            for a, b in common.slices([len(x) for x in texts]):
-                found, wanted = [], []
-                for text, places, open_, th in zip(texts[a:b], gone[a:b], ask[a:b], marks[a:b]):
-                    words = text.split() if open_ else ()
-                    found.append(sorted(places or []))
-                    wanted.append([{"mh": x["mh"], "at": th << 32 | x["p"], "lead": min(x["p"], window - ANCHOR), "words": b" ".join(words[max(0, x["p"] - window + ANCHOR) : x["p"] + window])} for x in open_ or []])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("row", "dk", "th")), pa.array(found, pa.list_(pa.int32())), pa.array(wanted, asks)], ["row", "dk", "th", "gone", "asks"])
+        held: list[tuple[int, int, int, bytes]] = []
+        own: dict[bytes, tuple[int, int, int]] = {}
+        found: list[tuple[int, int, int]] = []
+        last = None
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else ((), (), ()), (pa.int64(), pa.int64(), pa.int32()))], ["dk", "th", "start"])
+            found.clear()
+            return made
+
+        gc.disable()  # an automaton is many small dictionaries without cycles
+        try:
+            for batch in batches:
+                for key, dk, th, start, words in zip(*(batch.column(c).to_pylist() for c in ("key", "dk", "th", "start", "words"))):
+                    if words is None:
+                        found.append((dk, th, start))
+                        continue
+                    if key != last:
+                        last = key
+                        own.clear()
+                        if len(held) >= size:
+                            found += _searched(held, window)
+                            held.clear()
+                    if words not in own:
+                        own[words] = dk, th, start
+                        held.append((dk, th, start, words))
+                    elif own[words] != (dk, th, start):  # all its windows begin there too
+                        found += [(dk, th, start + i) for i in range(words.count(b" ") + 2 - window)]
+                yield out()
+            found += _searched(held, window)
+            yield out()
+        finally:
+            gc.enable()
 
     return run
 
@@ -264,39 +371,26 @@ def repeated_spans(docs: DataFrame, *, window: int = 20) -> DataFrame:
     A window is repeated if its words also begin earlier: at a smaller doc_id, or in the same text at an earlier word.
     `spans_of` turns the two lists into word spans.
     """
-    spark = docs.sparkSession
     if window < ANCHOR + 2:
         raise ValueError(f"a window has at least {ANCHOR + 2} words")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # A row is known by doc_id and a hash of its text, so rows that share a doc_id don't mix.
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("dk"), F.pmod(F.xxhash64(text), F.lit(1 << 31)).alias("th"), text.alias("text"), F.struct("*").alias("row"))
-    occurrences = common.written(keyed.select("dk", "th", "text").mapInArrow(_occurrences(window), "mh long, sg long, dk long, at long"), "anchors")
-    again = occurrences.groupBy("mh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mh")
-    repeated = common.written(occurrences.join(again, "mh", "left_semi"), "repeated")
-    common.discard(occurrences)
-    heads = common.written(repeated.groupBy("mh", "sg").agg(F.min(F.struct("dk", "at")).alias("first")), "heads")
-    firsts = heads.join(heads.groupBy("mh").agg((F.count(F.lit(1)) > 1).alias("several")), "mh")
-    met = repeated.join(firsts, ["mh", "sg"]).withColumn("own", F.col("first") == F.struct("dk", "at")).where(~F.col("own") | F.col("several"))
-    place = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    lists = met.groupBy("dk", F.shiftright("at", 32).alias("th")).agg(F.collect_set(F.when(~F.col("own"), place)).alias("gone"), F.collect_set(F.when(F.col("own"), F.struct("mh", place.alias("p")))).alias("ask"))
-    schema = T.StructType(keyed.select("row", "dk", "th").schema.fields + T.StructType.fromDDL("gone array<int>, asks array<struct<mh:long,at:long,lead:int,words:binary>>").fields)
-    gathered = common.written(keyed.drop("text").join(lists, ["dk", "th"], "left").mapInArrow(_gather(window), schema), "gathered")
-    common.discard(repeated)
-    common.discard(heads)
-
-    asked = gathered.where(F.size("asks") > 0).select("dk", F.explode("asks").alias("x")).select("dk", "x.*").dropDuplicates(["dk", "at", "mh"])
-    sizes = asked.groupBy("mh").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST).select("mh")
-    shards = max(1, -(-asked.count() // SHARD))
-    few, many = asked.join(sizes, "mh", "left_anti"), asked.join(sizes, "mh", "left_semi")
-    starts = few.groupBy(F.pmod(F.xxhash64("mh"), F.lit(shards)).alias("shard")).applyInPandas(_shard(window), "dk long, th long, start long")
-    single = many.select("dk", "at", "lead", "words").mapInArrow(_windows(window), "win binary, dk long, at long").distinct()
-    heads = single.groupBy("win").agg(F.min(F.struct("dk", "at")).alias("first"))
-    later = single.join(heads, "win").where(F.col("first") != F.struct("dk", "at")).select("dk", F.shiftright("at", 32).alias("th"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("start"))
-    found = starts.unionByName(later).groupBy("dk", "th").agg(F.collect_set(F.col("start").cast("int")).alias("starts"))
-    found = common.written(found, "starts")
-    open_ = gathered.where(F.size("asks") > 0).drop("asks").join(found, ["dk", "th"], "left")
-    done = gathered.where(F.size("asks") == 0).drop("asks").withColumn("starts", F.lit(None).cast("array<int>"))
-    return open_.unionByName(done).select("row", "gone", "starts")
+    # A row is known by doc_id and a hash of its text, so rows that share a doc_id don't mix; without one by more of the hash.
+    th = F.xxhash64(text)
+    dk = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY) - F.shiftrightunsigned(th, 24))
+    keyed = docs.select(dk.alias("dk"), F.pmod(th, F.lit(1 << 31)).alias("th"), text.alias("text"), F.struct("*").alias("row"))
+    texts = keyed.select("dk", "th", "text")
+    occurrences = texts.mapInArrow(_occurrences(window), "mh long, sg long, dk long, at long, late boolean")
+    in_order = occurrences.repartition("mh").sortWithinPartitions("mh", "sg", "dk", "at")
+    places = common.written(in_order.mapInArrow(_settled(MOST), "dk long, th long, place int, mh long, ask byte"), "places")
+    asks = places.where("ask > 0").groupBy("dk", "th").agg(F.collect_list(F.struct("place", "mh", "ask")).alias("asks"))
+    asked = texts.join(asks, ["dk", "th"]).mapInArrow(_asked(window), "key long, dk long, th long, start int, words binary")
+    starts = asked.repartition("key").sortWithinPartitions("key", "dk", "th", "start").mapInArrow(_shards(window, SHARD), "dk long, th long, start int")
+    starts = common.written(starts, "starts")
+    both = places.where("ask = 0").select("dk", "th", "place", F.lit(None).cast("int").alias("start")).unionByName(starts.select("dk", "th", F.lit(None).cast("int").alias("place"), "start"))
+    lists = common.written(both.groupBy("dk", "th").agg(F.collect_list("place").alias("gone"), F.collect_list("start").alias("starts")), "lists")
+    common.discard(places)
+    common.discard(starts)
+    return keyed.drop("text").join(lists, ["dk", "th"], "left").select("row", "gone", "starts")
 
 
 def spans_of(n: int, gone: list[int] | None, starts: list[int] | None, window: int) -> list[tuple[int, int]]:
