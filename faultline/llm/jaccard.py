@@ -1,16 +1,18 @@
-"""Near-duplicates by Jaccard similarity of word shingles, exact: every pair of at least the stated similarity links.
-
-Vantage-point trees over SimHash fingerprints propose what lies within their radius. They can't divide fingerprints at a
-radius that holds every such pair, so a prefix filter proposes the rest: with shingles in one order for all documents
-(common ones last), two sets of similarity t share one of the first n - ceil(t n) + 1 of each. Each proposal is verified
-on the whole texts. Pairs that earlier links join already aren't verified again, so copies of one document cost their
-number, not its square.
+"""Near-duplicates by Jaccard similarity of word shingles, exact: every pair of at least the stated similarity is linked.
+
+One pass over the texts gives each its fingerprint, the prefix of its shingle set and a parity bitmap of the set. Pairs
+are proposed three times, each time only between documents that earlier links don't join: by vantage-point trees over
+the fingerprints; by a few fellows of each group that shares a prefix shingle; by all the rest of such groups. Trees
+can't divide fingerprints at a radius that holds every pair of similarity 0.8, so prefixes make the search exact: with
+shingles in one order for all documents (common ones last), two sets of similarity t share one of the first
+n - ceil(t n) + 1 of each. Before a pair is verified on the whole sets it must pass what their sizes, the places of the
+shared shingle and the bitmaps allow, all of which are bounds. So copies of one document cost their number, not its square.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +21,16 @@ from pyspark.sql import functions as F
 
 from . import common, simhash
 
-#: One document in so many is looked at for common shingles; those in this many of them, and so many at most, are put last.
+#: One text in so many is looked at for common shingles; those in this many of them, and so many at most, are put last.
 LOOKED, OFTEN, LISTED = 32, 4, 65_536
-#: Nodes of a group that all its others are held against first.
-LEADERS = 8
-#: Pairs of a group that are looked at once.
-CELLS = 1 << 20
+#: Fellows of a group that a document is held against in the second round.
+SOME = 4
+#: Members of a group that are met at once; a larger group is dealt to pairs of such blocks.
+BLOCK = 4_096
+#: Pairs that are looked at once.
+CELLS = 1 << 19
 EPSILON = 1e-9
+EMPTY = np.zeros(1, np.uint64)
 
 
 def shingle_set(text: bytes, words: int, seed: int = 42) -> np.ndarray:
@@ -39,121 +44,256 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both) - EPSILON
 
 
-def _common(reps: DataFrame, words: int) -> np.ndarray:
-    """Shingles of many documents, by a sample; they decide the order of shingles alone, never the result."""
+def prefix(tokens: np.ndarray, often: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles of a set, of which a similar set shares one: rare ones first, each kind by its hash."""
+    last = np.isin(tokens, often, assume_unique=True)
+    return np.concatenate([tokens[~last], tokens[last]])[: len(tokens) - math.ceil(least * len(tokens) - EPSILON) + 1]
+
+
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Words of a bitmap of about a bit for each member: how many members fall on a bit, odd or even. Bits in which two bitmaps differ are at most as many as members that only one set has."""
+    bits = 64 << max(0, (len(tokens) - 1) >> 6).bit_length()
+    at = (tokens >> np.uint64(17)) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits) & 1, bitorder="little").view("<u8")
+
+
+def _common(docs: DataFrame, words: int) -> np.ndarray:
+    """Shingles of many texts, by a sample; they decide the order of shingles alone, never the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in common.as_bytes(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words).view(np.int64))], ["token"])
 
-    counts = reps.where(F.pmod(F.xxhash64("node"), F.lit(LOOKED)) == 0).select("text").mapInArrow(run, "token long").groupBy("token").count()
+    looked = docs.where(F.pmod(F.xxhash64("text"), F.lit(LOOKED)) == 0).select("text").distinct()
+    counts = looked.mapInArrow(run, "token long").groupBy("token").count()
     rows = counts.where(F.col("count") >= OFTEN).orderBy(F.col("count").desc(), "token").limit(LISTED).collect()
     return np.sort(np.array([r["token"] for r in rows], np.int64).view(np.uint64))
 
 
-def prefix(tokens: np.ndarray, often: np.ndarray, least: float) -> np.ndarray:
-    """The first shingles of a set, of which a similar set shares one: rare ones first, each kind by its hash."""
-    last = np.isin(tokens, often, assume_unique=True)
-    return np.concatenate([tokens[~last], tokens[last]])[: len(tokens) - math.ceil(least * len(tokens) - EPSILON) + 1]
-
-
-def _prefixes(reps: DataFrame, words: int, least: float, often: np.ndarray) -> DataFrame:
-    """token, node, n (shingles of the node) and place (of the token among them). A text without words has a token of its own."""
+def _signatures(words: int, least: float, often: np.ndarray, seed: int = 42):
+    """doc_id, sum, n (members of the set), fp, bits, prefix of each text. A text without words has one token in its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, nodes = common.as_bytes(batch.column("text")), batch.column("node").to_numpy()
+            texts = common.as_bytes(batch.column("text"))
             for a, b in common.slices([len(x) for x in texts]):
-                sets = [shingle_set(x, words) for x in texts[a:b]]
-                firsts = [prefix(x, often, least) if len(x) else np.zeros(1, np.uint64) for x in sets]
-                sizes = [len(x) for x in firsts]
-                columns = [np.concatenate(firsts).view(np.int64), np.repeat(nodes[a:b], sizes), np.repeat([len(x) for x in sets], sizes).astype(np.int32), np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "n", "place"])
-
-    return reps.select("node", "text").mapInArrow(run, "token long, node long, n int, place int")
-
-
-def _fits(n, place, other_n, other_place, least: float, lower):
+                hashes = [np.array(simhash.shingle_hashes(x, words, seed), np.uint64) for x in texts[a:b]]
+                prints = simhash.folded(hashes)
+                sets = [np.unique(x) for x in hashes]
+                firsts = [prefix(x, often, least) if len(x) else EMPTY for x in sets]
+                ends = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
+                columns = [pa.array([len(x) for x in sets], pa.int32()), pa.array(prints.view(np.int64)), pa.array([parities(x).tobytes() for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts).view(np.int64)))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "sum")), *columns], ["doc_id", "sum", "n", "fp", "bits", "prefix"])
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of token those whose token isn't theirs alone."""
+    held, given = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        token = batch.column("token").to_numpy()
+        same = token[1:] == token[:-1]
+        again = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        last = bool(again[-1])
+        if given:
+            again[0] = False
+        yield batch.filter(pa.array(again))
+        held, given = batch.slice(batch.num_rows - 1), last
+
+
+def _fits(n, place, other_n, other_place, least: float):
     """Whether sets that meet first at these places may be similar: what is left of the shorter one suffices for the overlap."""
-    return lower(n - place, other_n - other_place) >= least / (1 + least) * (n + other_n) - EPSILON
+    return np.minimum(n - place, other_n - other_place) >= least / (1 + least) * (n + other_n) - EPSILON
+
+
+class Group:
+    """Nodes that share a token: node, n, place, root, part (the block that a node is of), bits."""
+
+    def __init__(self, columns: dict[str, np.ndarray], bits: list[bytes], least: float):
+        self.node, self.n, self.place, self.root, self.part = (columns[c] for c in ("node", "n", "place", "root", "part"))
+        self.words, self.least = [np.frombuffer(x, "<u8") for x in bits], least
+        self.size = np.array(list(map(len, self.words)), np.int64)
+        #: By number of words: the bitmaps of so many, and of twice as many with their halves put together; the row of each node.
+        self.maps: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _maps(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        if size not in self.maps:
+            own = np.flatnonzero((self.size == size) | (self.size == 2 * size))
+            rows = np.zeros(len(self.size), np.int64)
+            rows[own] = np.arange(len(own))
+            self.maps[size] = rows, np.array([w if len(w) == size else w[:size] ^ w[size:] for w in (self.words[i] for i in own)], np.uint64).reshape(len(own), size)
+        return self.maps[size]
+
+    def pairs(self, apart: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places (i, j) of nodes that may be similar, each pair once; apart: only those of different roots."""
+        several, count = len(set(self.part.tolist())) > 1, len(self.node)
+        step = max(1, CELLS // max(1, count))
+        for a in range(0, count, step):
+            rows = slice(a, a + step)
+            fits = _fits(self.n[rows, None], self.place[rows, None], self.n[None, :], self.place[None, :], self.least) & (self.node[rows, None] < self.node[None, :])
+            if apart:
+                fits &= self.root[rows, None] != self.root[None, :]
+            if several:
+                fits &= self.part[rows, None] != self.part[None, :]
+            i, j = np.nonzero(fits)
+            i += a
+            size, may = np.minimum(self.size[i], self.size[j]), np.zeros(len(i), bool)
+            for s in np.unique(size).tolist():
+                at, (place, maps) = np.flatnonzero(size == s), self._maps(s)
+                for k in range(0, len(at), max(1, CELLS // s)):
+                    some = at[k : k + max(1, CELLS // s)]
+                    differ = np.bitwise_count(maps[place[i[some]]] ^ maps[place[j[some]]]).sum(1, dtype=np.int64)
+                    may[some] = differ <= (1 - self.least) / (1 + self.least) * (self.n[i[some]] + self.n[j[some]]) + EPSILON
+            if may.any():
+                yield i[may], j[may]
+
+
+def _each_group(least: float, act: Callable[[Group], Iterator[pa.RecordBatch]]):
+    """act over each group (token, i, j) of rows in that order."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def groups(last: bool) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            keys = np.stack([table.column(c).to_numpy() for c in ("token", "i", "j")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            ends = [0, *cuts.tolist(), *([table.num_rows] if last else [])]
+            columns, bits = {c: table.column(c).to_numpy() for c in ("node", "n", "place", "root", "part")}, table.column("bits").to_pylist()
+            for a, b in zip(ends[:-1], ends[1:]):
+                if b - a > 1:
+                    yield from act(Group({c: x[a:b] for c, x in columns.items()}, bits[a:b], least))
+            if not last:
+                held.extend(table.slice(ends[-1]).to_batches())
 
-def _by_trees(reps: DataFrame, words: int, radius: int) -> DataFrame:
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                first, end = held[0].slice(0, 1), batch.slice(batch.num_rows - 1)
+                if any(first.column(c)[0] != end.column(c)[0] for c in ("token", "i", "j")):
+                    yield from groups(False)
+        if held:
+            yield from groups(True)
+
+    return run
+
+
+def _met(group: Group) -> Iterator[pa.RecordBatch]:
+    """Nodes that may be similar to another."""
+    found = np.zeros(len(group.node), bool)
+    for i, j in group.pairs(False):
+        found[i] = found[j] = True
+    if found.any():
+        yield pa.RecordBatch.from_arrays([pa.array(group.node[found])], ["node"])
+
+
+def _proposed(some: int | None) -> Callable[[Group], Iterator[pa.RecordBatch]]:
+    """Pairs of nodes that may be similar and aren't linked yet; some: only so many of each node, drawn by a hash."""
+
+    def act(group: Group) -> Iterator[pa.RecordBatch]:
+        given = np.zeros(len(group.node), np.int64)
+        for i, j in group.pairs(True):
+            if some is not None:
+                order = np.argsort((group.node[i] * 31 + group.node[j]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                i, j = i[order], j[order]
+                kept = (given[i] + _place(i) < some) | (given[j] + _place(j) < some)
+                i, j = i[kept], j[kept]
+                given += np.bincount(i, minlength=len(given)) + np.bincount(j, minlength=len(given))
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(group.node[i]), pa.array(group.node[j])], ["a", "b"])
+
+    return act
+
+
+def _place(x: np.ndarray) -> np.ndarray:
+    """How often each value stands before it."""
+    order = np.argsort(x, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], x[order][1:] != x[order][:-1]])) if len(x) else np.zeros(0, np.int64)
+    out = np.empty(len(x), np.int64)
+    out[order] = np.arange(len(x)) - np.repeat(starts, np.diff([*starts.tolist(), len(x)]))
+    return out
+
+
+def _by_trees(reps: DataFrame, radius: int) -> DataFrame:
     """Pairs (a, b) of nodes that vantage-point trees over their fingerprints propose."""
-    prints = common.written(simhash.fingerprints(reps.select(F.col("node").alias("doc_id"), "text"), words=words).withColumnRenamed("doc_id", "node"), "fingerprints")
-    firsts = common.written(prints.groupBy("fp").agg(F.min("node").alias("first")), "nodes")
-    same = prints.join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    firsts = common.written(reps.groupBy("fp").agg(F.min("node").alias("first")), "nodes")
+    same = reps.select("node", "fp").join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     one, other = firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), firsts.select(F.col("fp").alias("b"), F.col("first").alias("y"))
     near = simhash.near_edges(firsts.select("fp"), radius).join(one, "a").join(other, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     return same.unionByName(near)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Of pairs (a, b) of nodes those whose texts have the similarity; nodes without a text go."""
+def _sets(words: int):
+    """node and the members of its set, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            left, right, known = common.as_bytes(batch.column("left")), common.as_bytes(batch.column("right")), {}
-
-            def of(node: int, text: bytes) -> np.ndarray:
-                if node not in known:
-                    if len(known) > 256:
-                        known.clear()  # noqa: B023
-                    known[node] = shingle_set(text, words)  # noqa: B023
-                return known[node]  # noqa: B023
-
-            kept = [similar(of(x, s), of(y, t), least) for x, y, s, t in zip(a, b, left, right)]
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+            texts = common.as_bytes(batch.column("text"))
+            for a, b in common.slices([len(x) for x in texts]):
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array([shingle_set(x, words).tobytes() for x in texts[a:b]], pa.binary())], ["node", "members"])
 
-    one, other = texts.select(F.col("node").alias("a"), F.col("text").alias("left")), texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return run
 
 
-def _across(groups: DataFrame, least: float) -> DataFrame:
-    """Pairs of nodes that meet in a group, may be similar and aren't linked yet, but for those of its leaders."""
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose sets have the similarity; nodes without a set go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("at")
-            offsets, flat = at.offsets.to_numpy() - at.offsets[0].as_py(), at.flatten()
-            columns = [flat.field(c).to_numpy() for c in ("node", "n", "place", "root")]
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                order = a + np.argsort(columns[0][a:b])[LEADERS:]
-                node, n, place, root = (c[order] for c in columns)
-                step = max(1, CELLS // max(1, len(node)))
-                for s in range(0, len(node), step):
-                    rows = slice(s, s + step)
-                    fits = _fits(n[rows, None], place[rows, None], n[None, :], place[None, :], least, np.minimum) & (root[rows, None] != root[None, :]) & (node[rows, None] < node[None, :])
-                    i, j = np.nonzero(fits)
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(node[rows][i]), pa.array(node[j])], ["a", "b"])
-
-    return groups.select("at").mapInArrow(run, "a long, b long")
+            left, right = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("left", "right"))
+            kept = [similar(x, y, least) for x, y in zip(left, right)]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    one, other = sets.select(F.col("node").alias("a"), F.col("members").alias("left")), sets.select(F.col("node").alias("b"), F.col("members").alias("right"))
+    return common.written(pairs.distinct().join(one, "a").join(other, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "links")
+
+
+def _in_groups(multi: DataFrame, reps: DataFrame, nodes: DataFrame, least: float, act: Callable[[Group], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """act over the groups of multi. nodes: node, root of those that take part."""
+    rows = multi.join(nodes, "node").join(reps.select("node", "bits"), "node")
+    large = multi.groupBy("token").count().where(F.col("count") > BLOCK).select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(large, "token", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), "blocks"), F.lit(0)).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    dealt = dealt.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "n", "place", "root", "part", "bits")
+    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node").mapInArrow(_each_group(least, act), schema)
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
     """docs, all columns, without all but the first document (smallest doc_id) of each group that pairs of this similarity link.
 
     radius: of the trees; it decides what they propose, not the result. Documents are told apart by doc_id and text; of
-    rows alike in both one stays. A null doc_id names no document, so such rows stay. Null text has no word.
+    rows alike in both one stays. A null doc_id names no document, so such rows stay. Null text has no word. An empty
+    table gives no rows.
     """
-    reps = simhash.distinct_texts(docs)
-    groups = _prefixes(reps, words, least, _common(reps, words)).groupBy("token").agg(F.collect_list(F.struct("node", "n", "place")).alias("at")).where(F.size("at") > 1)
-    groups = common.written(groups, "groups")
-    met = groups.select(F.explode("at.node").alias("node")).distinct()
-    texts = common.written(reps.select("node", "text").join(met, "node", "left_semi"), "texts")
-    pairs = groups.select(F.explode(F.slice(F.array_sort("at"), 1, LEADERS)).alias("x"), "at").select("x", F.explode("at").alias("y")).where("x.node < y.node")
-    pairs = pairs.where(_fits(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), least, F.least)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    links = common.written(_verified(pairs.unionByName(_by_trees(reps, words, radius)).distinct(), texts, words, least), "links")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("sum", simhash.text_sum())
+    signed = rows.mapInArrow(_signatures(words, least, _common(rows, words)), "doc_id long, sum string, n int, fp long, bits binary, prefix array<long>")
+    reps = signed.groupBy("sum").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("n", "fp", "bits", "prefix")))
+    reps = common.written(reps.withColumn("node", F.monotonically_increasing_id()), "signatures")
+    tokens = reps.select("node", "n", F.posexplode("prefix").alias("place", "token"))
+    multi = tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "node long, n int, place int, token long")
+    multi = common.written(multi, "groups")
+    everyone = reps.select("node", F.lit(0).cast("long").alias("root"))
+    met = common.written(_in_groups(multi, reps, everyone, least, _met, "node long").distinct(), "met")
+    wanted = reps.select("node", "sum", F.col("first").alias("doc_id")).join(met, "node", "left_semi")
+    # A document given twice has its set twice; one is enough.
+    texts = rows.join(wanted, ["doc_id", "sum"]).dropDuplicates(["doc_id", "sum"])
+    sets = common.written(texts.select("node", "text").mapInArrow(_sets(words), "node long, members binary"), "sets")
+
+    links = _verified(_by_trees(reps, radius), sets, least)
+    for some in (SOME, None):
+        roots = met.join(simhash.components(links).select(F.col("v").alias("node"), "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        more = _verified(_in_groups(multi, reps, common.written(roots, "roots"), least, _proposed(some), "a long, b long"), sets, least)
+        links = links.unionByName(more)
     roots = simhash.components(links).select(F.col("v").alias("node"), "root")
-    left = groups.where(F.size("at") > LEADERS + 1).select("token", F.explode("at").alias("x")).select("token", "x.*").join(roots, "node", "left")
-    left = left.groupBy("token").agg(F.collect_list(F.struct("node", "n", "place", F.coalesce("root", "node").alias("root"))).alias("at"), F.min(F.coalesce("root", "node")).alias("low"), F.max(F.coalesce("root", "node")).alias("high")).where("low <> high")
-    more = common.written(_verified(_across(left, least).distinct(), texts, words, least), "links")
-    roots = simhash.components(links.unionByName(more)).select(F.col("v").alias("node"), "root")
     firsts = reps.select("node", "first", "sum").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("first", "sum")).alias("x"))
     kept = common.written(firsts.select(F.col("x.first").alias("kept_id"), F.col("x.sum").alias("kept_sum")), "kept")
-    for table in (reps, groups, texts):
+    for table in (reps, multi, met, sets):
         common.discard(table)
     return simhash.only(docs, kept)

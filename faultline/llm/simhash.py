@@ -37,40 +37,31 @@ def shingle_hashes(text: bytes, words: int, seed: int) -> list[int]:
     return list(map(xxhash.xxh64_intdigest, map(b" ".join, shingles), repeat(seed)))
 
 
+def folded(hashes: list[np.ndarray]) -> np.ndarray:
+    """uint64 SimHash of each text's shingle hashes, repeats included; zero where there are none."""
+    out, at = np.zeros(len(hashes), np.uint64), 0
+    sizes = np.array(list(map(len, hashes)), np.int64)
+    while at < len(hashes):
+        # Texts of CHUNK shingles at least, or all that is left; their bits are counted by chunks.
+        end = min(len(hashes), at + 1 + int(np.searchsorted(np.cumsum(sizes[at:]), CHUNK)))
+        some = at + np.flatnonzero(sizes[at:end])
+        if len(some):
+            flat = np.concatenate([hashes[i] for i in some])
+            n = sizes[some]
+            starts, counts = np.cumsum(n) - n, np.zeros((len(some), 64), np.int64)
+            for a in range(0, len(flat), CHUNK):
+                b = min(len(flat), a + CHUNK)
+                bits = np.unpackbits(flat[a:b].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                first, last = np.searchsorted(starts, a, "right") - 1, np.searchsorted(starts, b, "left")
+                counts[first:last] += np.add.reduceat(bits, np.maximum(starts[first:last] - a, 0), axis=0, dtype=np.int64)
+            out[some] = np.packbits(counts * 2 > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+        at = end
+    return out
+
+
 def fingerprints_of(texts: list[bytes], words: int = 3, seed: int = 42) -> np.ndarray:
     """uint64 SimHash of each text; zero where it has no word."""
-    out = np.zeros(len(texts), np.uint64)
-    hashes, spans, total = [], [], 0
-
-    def flush() -> None:
-        nonlocal total
-        if not hashes:
-            return
-        flat = np.array(hashes, np.uint64)
-        counts = np.zeros((len(spans), 64), np.int64)
-        starts = np.array([s for _, s, _ in spans], np.int64)
-        for a in range(0, len(flat), CHUNK):
-            b = min(len(flat), a + CHUNK)
-            bits = np.unpackbits(flat[a:b].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            first, last = np.searchsorted(starts, a, "right") - 1, np.searchsorted(starts, b, "left")
-            counts[first:last] += np.add.reduceat(bits, np.maximum(starts[first:last] - a, 0), axis=0, dtype=np.int64)
-        n = np.array([n for _, _, n in spans], np.int64)
-        ones = np.packbits(counts * 2 > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
-        out[[i for i, _, _ in spans]] = ones
-        hashes.clear()
-        spans.clear()
-        total = 0
-
-    for i, text in enumerate(texts):
-        found = shingle_hashes(text, words, seed)
-        if found:
-            spans.append((i, total, len(found)))
-            hashes.extend(found)
-            total += len(found)
-        if total >= CHUNK:
-            flush()
-    flush()
-    return out
+    return folded([np.array(shingle_hashes(x, words, seed), np.uint64) for x in texts])
 
 
 def fingerprints(docs: DataFrame, *, words: int = 3, seed: int = 42) -> DataFrame:
