@@ -27,6 +27,10 @@ LOOKED, OFTEN, LISTED = 32, 4, 65_536
 SOME = 4
 #: Members of a group that are met at once; a larger group is dealt to pairs of such blocks.
 BLOCK = 4_096
+#: Rows after it that a row of a small group is held against.
+NEAR = 4
+#: Bits of the largest bitmap: what goes along with each shared shingle stays small, larger sets are only bounded less well.
+BITS = 1024
 #: Pairs that are looked at once.
 CELLS = 1 << 19
 EPSILON = 1e-9
@@ -51,8 +55,8 @@ def prefix(tokens: np.ndarray, often: np.ndarray, least: float) -> np.ndarray:
 
 
 def parities(tokens: np.ndarray) -> np.ndarray:
-    """Words of a bitmap of about a bit for each member: how many members fall on a bit, odd or even. Bits in which two bitmaps differ are at most as many as members that only one set has."""
-    bits = 64 << max(0, (len(tokens) - 1) >> 6).bit_length()
+    """Words of a bitmap of about a bit for each member, BITS at most: how many members fall on a bit, odd or even. Bits in which two bitmaps differ are at most as many as members that only one set has."""
+    bits = min(BITS, 64 << max(0, (len(tokens) - 1) >> 6).bit_length())
     at = (tokens >> np.uint64(17)) & np.uint64(bits - 1)
     return np.packbits(np.bincount(at.astype(np.int64), minlength=bits) & 1, bitorder="little").view("<u8")
 
@@ -89,29 +93,65 @@ def _signatures(words: int, least: float, often: np.ndarray, seed: int = 42):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of token those whose token isn't theirs alone."""
-    held, given = None, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        token = batch.column("token").to_numpy()
-        same = token[1:] == token[:-1]
-        again = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        last = bool(again[-1])
-        if given:
-            again[0] = False
-        yield batch.filter(pa.array(again))
-        held, given = batch.slice(batch.num_rows - 1), last
-
-
 def _fits(n, place, other_n, other_place, least: float):
     """Whether sets that meet first at these places may be similar: what is left of the shorter one suffices for the overlap."""
     return np.minimum(n - place, other_n - other_place) >= least / (1 + least) * (n + other_n) - EPSILON
 
 
+def _shared(least: float):
+    """Of rows in the order of token those that a fellow of the same token may be similar to, by sizes and places. Of a token with more than BLOCK rows all are given."""
+
+    def some(n: np.ndarray, place: np.ndarray) -> np.ndarray:
+        if len(n) > BLOCK:
+            return np.ones(len(n), bool)
+        out, step = np.zeros(len(n), bool), max(1, CELLS // max(1, len(n)))
+        for a in range(0, len(n), step):
+            fits = _fits(n[a : a + step, None], place[a : a + step, None], n[None, :], place[None, :], least)
+            fits[np.arange(fits.shape[0]), np.arange(a, a + fits.shape[0])] = False  # itself
+            out[a : a + step] = fits.any(1)
+        return out
+
+    def kept(table: pa.Table, hot: int | None, last: bool) -> tuple[np.ndarray, int, int | None]:
+        """Rows to give, from which row on they are to wait for more, and the last token if all its rows are to be given."""
+        token, n, place = (table.column(c).to_numpy() for c in ("token", "n", "place"))
+        starts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1])
+        sizes = np.diff([*starts.tolist(), len(token)])
+        keep = np.repeat((sizes > BLOCK) | (token[starts] == hot if hot is not None else False), sizes)
+        for k in range(1, NEAR + 1):  # small groups, all of them at once
+            near = (token[k:] == token[:-k]) & _fits(n[k:], place[k:], n[:-k], place[:-k], least)
+            keep[k:] |= near
+            keep[:-k] |= near
+        for i in np.flatnonzero((sizes > NEAR + 1) & (sizes <= BLOCK)).tolist():
+            rows = slice(starts[i], starts[i] + sizes[i])
+            keep[rows] |= some(n[rows], place[rows])
+        whole = sizes[-1] > BLOCK or token[-1] == hot
+        wait = len(token) if last or whole else int(starts[-1])
+        return keep, wait, int(token[-1]) if whole else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        hot = None
+
+        def given(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal hot
+            table = pa.Table.from_batches(held).combine_chunks()
+            keep, wait, hot = kept(table, hot, last)
+            held.clear()
+            if wait < table.num_rows:
+                held.extend(table.slice(wait).to_batches())
+            yield from table.slice(0, wait).filter(pa.array(keep[:wait])).to_batches()
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                if batch.column("token")[batch.num_rows - 1] != held[0].column("token")[0] or sum(x.num_rows for x in held) > BLOCK:
+                    yield from given(False)
+        if held:
+            yield from given(True)
+
+    return run
+
+
 class Group:
     """Nodes that share a token: node, n, place, root, part (the block that a node is of), bits."""
 
@@ -277,7 +317,7 @@ def keep_one(docs: DataFrame, *, words: int = 5, least: float = 0.8, radius: int
     reps = signed.groupBy("sum").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("n", "fp", "bits", "prefix")))
     reps = common.written(reps.withColumn("node", F.monotonically_increasing_id()), "signatures")
     tokens = reps.select("node", "n", F.posexplode("prefix").alias("place", "token"))
-    multi = tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "node long, n int, place int, token long")
+    multi = tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared(least), "node long, n int, place int, token long")
     multi = common.written(multi, "groups")
     everyone = reps.select("node", F.lit(0).cast("long").alias("root"))
     met = common.written(_in_groups(multi, reps, everyone, least, _met, "node long").distinct(), "met")

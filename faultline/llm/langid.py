@@ -21,6 +21,8 @@ from . import common
 LENGTH, UNITS = 24, 24
 #: Training: documents of each language (at most about so many), words of each, rounds, words of a step.
 DOCUMENTS, WORDS, EPOCHS, BATCH = 300, 60, 3, 512
+#: Sequences that are read side by side.
+STEP = 1024
 UND = "und"
 
 
@@ -170,8 +172,8 @@ class Labeller:
         self.sums[have : have + len(words)] = 0
         parts = sorted(((p, have + i) for i, w in enumerate(words) for p in cut(w)), key=lambda x: len(x[0]))
         self.places.update((w, have + i) for i, w in enumerate(words))
-        for a in range(0, len(parts), 4096):
-            some = parts[a : a + 4096]
+        for a in range(0, len(parts), STEP):
+            some = parts[a : a + STEP]
             probs, mask, _ = self.network.positions([p for p, _ in some])
             np.add.at(self.sums, [i for _, i in some], (probs * mask).sum(0))
 
