@@ -54,9 +54,14 @@ def discard(table: DataFrame) -> None:
     for file in table.inputFiles()[:1]:
         path = jvm.org.apache.hadoop.fs.Path(file).getParent()
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of jobs that have ended: Spark deletes them once Java has collected what named them."""
     gc.collect()
     for _ in range(2):  # what the last job held is let go of a moment after its end
-        jvm.System.gc()
+        spark.sparkContext._jvm.System.gc()
         time.sleep(0.3)
 
 

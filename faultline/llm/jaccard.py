@@ -24,7 +24,7 @@ from . import common, simhash
 #: One text in so many is looked at for common shingles; those in this many of them, and so many at most, are put last.
 LOOKED, OFTEN, LISTED = 32, 4, 65_536
 #: Fellows of a group that a document is held against in the second round.
-SOME = 4
+SOME = 1
 #: Members of a group that are met at once; a larger group is dealt to pairs of such blocks.
 BLOCK = 4_096
 #: Rows after it that a row of a small group is held against.
@@ -152,102 +152,122 @@ def _shared(least: float):
     return run
 
 
-class Group:
-    """Nodes that share a token: node, n, place, root, part (the block that a node is of), bits."""
+class Rows:
+    """Rows of many groups, group by group: node, n, place, root, part (the block that a node is of), bits."""
 
-    def __init__(self, columns: dict[str, np.ndarray], bits: list[bytes], least: float):
-        self.node, self.n, self.place, self.root, self.part = (columns[c] for c in ("node", "n", "place", "root", "part"))
-        self.words, self.least = [np.frombuffer(x, "<u8") for x in bits], least
-        self.size = np.array(list(map(len, self.words)), np.int64)
-        #: By number of words: the bitmaps of so many, and of twice as many with their halves put together; the row of each node.
+    def __init__(self, table: pa.Table, least: float):
+        self.node, self.n, self.place, self.root, self.part = (table.column(c).to_numpy() for c in ("node", "n", "place", "root", "part"))
+        self.bits, self.least = table.column("bits").to_pylist(), least
+        self.size = np.array(list(map(len, self.bits)), np.int64) // 8
+        #: By number of words: the place of each row, and the bitmaps of so many words, those of twice as many with their halves put together.
         self.maps: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def _maps(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         if size not in self.maps:
-            own = np.flatnonzero((self.size == size) | (self.size == 2 * size))
-            rows = np.zeros(len(self.size), np.int64)
-            rows[own] = np.arange(len(own))
-            self.maps[size] = rows, np.array([w if len(w) == size else w[:size] ^ w[size:] for w in (self.words[i] for i in own)], np.uint64).reshape(len(own), size)
+            same, twice = np.flatnonzero(self.size == size), np.flatnonzero(self.size == 2 * size)
+            read = lambda rows, words: np.frombuffer(b"".join(map(self.bits.__getitem__, rows.tolist())), "<u8").reshape(len(rows), words)
+            larger, place = read(twice, 2 * size), np.zeros(len(self.size), np.int64)
+            place[same], place[twice] = np.arange(len(same)), len(same) + np.arange(len(twice))
+            self.maps[size] = place, np.concatenate([read(same, size), larger[:, :size] ^ larger[:, size:]])
         return self.maps[size]
 
-    def pairs(self, apart: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places (i, j) of nodes that may be similar, each pair once; apart: only those of different roots."""
-        several, count = len(set(self.part.tolist())) > 1, len(self.node)
-        step = max(1, CELLS // max(1, count))
-        for a in range(0, count, step):
-            rows = slice(a, a + step)
-            fits = _fits(self.n[rows, None], self.place[rows, None], self.n[None, :], self.place[None, :], self.least) & (self.node[rows, None] < self.node[None, :])
-            if apart:
-                fits &= self.root[rows, None] != self.root[None, :]
-            if several:
-                fits &= self.part[rows, None] != self.part[None, :]
-            i, j = np.nonzero(fits)
-            i += a
-            size, may = np.minimum(self.size[i], self.size[j]), np.zeros(len(i), bool)
-            for s in np.unique(size).tolist():
-                at, (place, maps) = np.flatnonzero(size == s), self._maps(s)
-                for k in range(0, len(at), max(1, CELLS // s)):
-                    some = at[k : k + max(1, CELLS // s)]
-                    differ = np.bitwise_count(maps[place[i[some]]] ^ maps[place[j[some]]]).sum(1, dtype=np.int64)
-                    may[some] = differ <= (1 - self.least) / (1 + self.least) * (self.n[i[some]] + self.n[j[some]]) + EPSILON
-            if may.any():
+    def _may(self, i: np.ndarray, j: np.ndarray, apart: bool) -> np.ndarray:
+        """Which of the pairs may be similar."""
+        may = _fits(self.n[i], self.place[i], self.n[j], self.place[j], self.least) & (self.node[i] != self.node[j])
+        may &= (self.root[i] != self.root[j]) if apart else True
+        at = np.flatnonzero(may)
+        size = np.minimum(self.size[i[at]], self.size[j[at]])
+        for s in np.unique(size).tolist():
+            of_size, (place, maps) = at[size == s], self._maps(s)
+            for k in range(0, len(of_size), max(1, CELLS // s)):
+                some = of_size[k : k + max(1, CELLS // s)]
+                differ = np.bitwise_count(maps[place[i[some]]] ^ maps[place[j[some]]]).sum(1, dtype=np.int64)
+                may[some] = differ <= (1 - self.least) / (1 + self.least) * (self.n[i[some]] + self.n[j[some]]) + EPSILON
+        return may
+
+    def pairs(self, starts: np.ndarray, sizes: np.ndarray, apart: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places (i, j) of rows of one group that may be similar, each pair once; apart: only those of different roots."""
+        group = np.repeat(np.arange(len(starts)), sizes)
+        small = np.repeat(sizes <= NEAR + 1, sizes)
+        for k in range(1, NEAR + 1):  # small groups, all of them at once
+            i = np.flatnonzero((group[k:] == group[:-k]) & small[k:])
+            may = self._may(i, i + k, apart)
+            yield i[may], i[may] + k
+        for g in np.flatnonzero(sizes > NEAR + 1).tolist():
+            first, n = int(starts[g]), int(sizes[g])
+            rows = np.arange(first, first + n)
+            several, step = len(np.unique(self.part[rows])) > 1, max(1, CELLS // n)
+            for a in range(0, n, step):
+                own = rows[a : a + step]
+                later = own[:, None] < rows[None, :]
+                if several:
+                    later &= self.part[own][:, None] != self.part[rows][None, :]
+                i, j = np.nonzero(later)
+                i, j = own[i], rows[j]
+                may = self._may(i, j, apart)
                 yield i[may], j[may]
 
 
-def _each_group(least: float, act: Callable[[Group], Iterator[pa.RecordBatch]]):
-    """act over each group (token, i, j) of rows in that order."""
+Act = Callable[[Rows, Iterator[tuple[np.ndarray, np.ndarray]]], Iterator[pa.RecordBatch]]
+
+
+def _each_group(least: float, apart: bool, act: Act):
+    """act over the pairs of each group (token, i, j) of rows in that order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def groups(last: bool) -> Iterator[pa.RecordBatch]:
+        def given(last: bool) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(held).combine_chunks()
             held.clear()
-            keys = np.stack([table.column(c).to_numpy() for c in ("token", "i", "j")])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
-            ends = [0, *cuts.tolist(), *([table.num_rows] if last else [])]
-            columns, bits = {c: table.column(c).to_numpy() for c in ("node", "n", "place", "root", "part")}, table.column("bits").to_pylist()
-            for a, b in zip(ends[:-1], ends[1:]):
-                if b - a > 1:
-                    yield from act(Group({c: x[a:b] for c, x in columns.items()}, bits[a:b], least))
+            keys = [table.column(c).to_numpy() for c in ("token", "i", "j")]
+            other = np.zeros(table.num_rows - 1, bool)
+            for key in keys:
+                other |= key[1:] != key[:-1]
+            starts = np.concatenate([[0], np.flatnonzero(other) + 1])
+            sizes = np.diff([*starts.tolist(), table.num_rows])
             if not last:
-                held.extend(table.slice(ends[-1]).to_batches())
+                held.extend(table.slice(int(starts[-1])).to_batches())
+                table, starts, sizes = table.slice(0, int(starts[-1])).combine_chunks(), starts[:-1], sizes[:-1]
+            rows = Rows(table, least)
+            yield from act(rows, rows.pairs(starts, sizes, apart))
 
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-                first, end = held[0].slice(0, 1), batch.slice(batch.num_rows - 1)
-                if any(first.column(c)[0] != end.column(c)[0] for c in ("token", "i", "j")):
-                    yield from groups(False)
+                if any(held[0].column(c)[0] != batch.column(c)[batch.num_rows - 1] for c in ("token", "i", "j")):
+                    yield from given(False)
         if held:
-            yield from groups(True)
+            yield from given(True)
 
     return run
 
 
-def _met(group: Group) -> Iterator[pa.RecordBatch]:
+def _met(rows: Rows, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """Nodes that may be similar to another."""
-    found = np.zeros(len(group.node), bool)
-    for i, j in group.pairs(False):
+    found = np.zeros(len(rows.node), bool)
+    for i, j in pairs:
         found[i] = found[j] = True
-    if found.any():
-        yield pa.RecordBatch.from_arrays([pa.array(group.node[found])], ["node"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.unique(rows.node[found]))], ["node"])
 
 
-def _proposed(some: int | None) -> Callable[[Group], Iterator[pa.RecordBatch]]:
-    """Pairs of nodes that may be similar and aren't linked yet; some: only so many of each node, drawn by a hash."""
+def _proposed(some: int | None) -> Act:
+    """Pairs of nodes that may be similar and aren't linked yet; some: only so many of each node and token, drawn by a hash of the pair."""
 
-    def act(group: Group) -> Iterator[pa.RecordBatch]:
-        given = np.zeros(len(group.node), np.int64)
-        for i, j in group.pairs(True):
-            if some is not None:
-                order = np.argsort((group.node[i] * 31 + group.node[j]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    def act(rows: Rows, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        given = np.zeros(len(rows.node), np.int64)
+        for i, j in pairs:
+            if some is not None and len(i):
+                low, high = np.minimum(rows.node[i], rows.node[j]), np.maximum(rows.node[i], rows.node[j])
+                order = np.argsort((low * 31 + high).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 i, j = i[order], j[order]
                 kept = (given[i] + _place(i) < some) | (given[j] + _place(j) < some)
                 i, j = i[kept], j[kept]
                 given += np.bincount(i, minlength=len(given)) + np.bincount(j, minlength=len(given))
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(group.node[i]), pa.array(group.node[j])], ["a", "b"])
+                a, b = rows.node[i], rows.node[j]
+                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     return act
 
@@ -295,14 +315,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return common.written(pairs.distinct().join(one, "a").join(other, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "links")
 
 
-def _in_groups(multi: DataFrame, reps: DataFrame, nodes: DataFrame, least: float, act: Callable[[Group], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """act over the groups of multi. nodes: node, root of those that take part."""
+def _in_groups(multi: DataFrame, reps: DataFrame, nodes: DataFrame, least: float, apart: bool, act: Act, schema: str) -> DataFrame:
+    """act over the pairs of the groups of multi. nodes: node, root of those that take part; apart: only pairs of different roots."""
     rows = multi.join(nodes, "node").join(reps.select("node", "bits"), "node")
     large = multi.groupBy("token").count().where(F.col("count") > BLOCK).select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     dealt = rows.join(large, "token", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), "blocks"), F.lit(0)).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
     dealt = dealt.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "n", "place", "root", "part", "bits")
-    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node").mapInArrow(_each_group(least, act), schema)
+    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node").mapInArrow(_each_group(least, apart, act), schema)
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
@@ -319,17 +339,21 @@ def keep_one(docs: DataFrame, *, words: int = 5, least: float = 0.8, radius: int
     tokens = reps.select("node", "n", F.posexplode("prefix").alias("place", "token"))
     multi = tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared(least), "node long, n int, place int, token long")
     multi = common.written(multi, "groups")
+    common.release(docs.sparkSession)
     everyone = reps.select("node", F.lit(0).cast("long").alias("root"))
-    met = common.written(_in_groups(multi, reps, everyone, least, _met, "node long").distinct(), "met")
+    met = common.written(_in_groups(multi, reps, everyone, least, False, _met, "node long").distinct(), "met")
     wanted = reps.select("node", "sum", F.col("first").alias("doc_id")).join(met, "node", "left_semi")
     # A document given twice has its set twice; one is enough.
     texts = rows.join(wanted, ["doc_id", "sum"]).dropDuplicates(["doc_id", "sum"])
     sets = common.written(texts.select("node", "text").mapInArrow(_sets(words), "node long, members binary"), "sets")
+    common.release(docs.sparkSession)
 
     links = _verified(_by_trees(reps, radius), sets, least)
     for some in (SOME, None):
         roots = met.join(simhash.components(links).select(F.col("v").alias("node"), "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-        more = _verified(_in_groups(multi, reps, common.written(roots, "roots"), least, _proposed(some), "a long, b long"), sets, least)
+        roots = common.written(roots, "roots")
+        common.release(docs.sparkSession)
+        more = _verified(_in_groups(multi, reps, roots, least, True, _proposed(some), "a long, b long"), sets, least)
         links = links.unionByName(more)
     roots = simhash.components(links).select(F.col("v").alias("node"), "root")
     firsts = reps.select("node", "first", "sum").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("first", "sum")).alias("x"))
