@@ -60,9 +60,9 @@ def discard(table: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Lets go of the shuffle files of jobs that have ended: Spark deletes them once Java has collected what named them."""
     gc.collect()
-    for _ in range(2):  # what the last job held is let go of a moment after its end
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)  # what the last job held is let go of a moment after its end
+    spark.sparkContext._jvm.System.gc()
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

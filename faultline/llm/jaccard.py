@@ -2,7 +2,7 @@
 
 One pass over the texts gives each its fingerprint, the prefix of its shingle set and a parity bitmap of the set. Pairs
 are proposed three times, each time only between documents that earlier links don't join: by vantage-point trees over
-the fingerprints; by a few fellows of each group that shares a prefix shingle; by all the rest of such groups. Trees
+the fingerprints; by each document's fellow that shares most prefix shingles; by all the rest that share one. Trees
 can't divide fingerprints at a radius that holds every pair of similarity 0.8, so prefixes make the search exact: with
 shingles in one order for all documents (common ones last), two sets of similarity t share one of the first
 n - ceil(t n) + 1 of each. Before a pair is verified on the whole sets it must pass what their sizes, the places of the
@@ -16,15 +16,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, simhash
 
 #: One text in so many is looked at for common shingles; those in this many of them, and so many at most, are put last.
 LOOKED, OFTEN, LISTED = 32, 4, 65_536
-#: Fellows of a group that a document is held against in the second round.
-SOME = 1
 #: Members of a group that are met at once; a larger group is dealt to pairs of such blocks.
 BLOCK = 4_096
 #: Rows after it that a row of a small group is held against.
@@ -251,17 +249,17 @@ def _met(rows: Rows, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator
     yield pa.RecordBatch.from_arrays([pa.array(np.unique(rows.node[found]))], ["node"])
 
 
-def _proposed(some: int | None) -> Act:
-    """Pairs of nodes that may be similar and aren't linked yet; some: only so many of each node and token, drawn by a hash of the pair."""
+def _proposed(few: bool) -> Act:
+    """Pairs of nodes that may be similar and aren't linked yet; few: only one or two of each node and token, by a hash of the pair."""
 
     def act(rows: Rows, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         given = np.zeros(len(rows.node), np.int64)
         for i, j in pairs:
-            if some is not None and len(i):
+            if few and len(i):
                 low, high = np.minimum(rows.node[i], rows.node[j]), np.maximum(rows.node[i], rows.node[j])
                 order = np.argsort((low * 31 + high).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 i, j = i[order], j[order]
-                kept = (given[i] + _place(i) < some) | (given[j] + _place(j) < some)
+                kept = (given[i] + _place(i) < 1) | (given[j] + _place(j) < 1)
                 i, j = i[kept], j[kept]
                 given += np.bincount(i, minlength=len(given)) + np.bincount(j, minlength=len(given))
             if len(i):
@@ -290,6 +288,14 @@ def _by_trees(reps: DataFrame, radius: int) -> DataFrame:
     return same.unionByName(near)
 
 
+def _closest(pairs: DataFrame) -> DataFrame:
+    """Of proposals those that are some node's most frequent one."""
+    counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda x, y: F.max(F.struct("n", F.xxhash64("a", "b"), y)).over(Window.partitionBy(x))[y]
+    best = counts.withColumn("_b", of("a", "b")).withColumn("_a", of("b", "a"))
+    return best.where((F.col("_b") == F.col("b")) | (F.col("_a") == F.col("a"))).select("a", "b")
+
+
 def _sets(words: int):
     """node and the members of its set, as bytes."""
 
@@ -312,7 +318,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     one, other = sets.select(F.col("node").alias("a"), F.col("members").alias("left")), sets.select(F.col("node").alias("b"), F.col("members").alias("right"))
-    return common.written(pairs.distinct().join(one, "a").join(other, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "links")
+    found = common.written(pairs.distinct().join(one, "a").join(other, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "links")
+    common.release(pairs.sparkSession)
+    return found
 
 
 def _in_groups(multi: DataFrame, reps: DataFrame, nodes: DataFrame, least: float, apart: bool, act: Act, schema: str) -> DataFrame:
@@ -349,11 +357,12 @@ def keep_one(docs: DataFrame, *, words: int = 5, least: float = 0.8, radius: int
     common.release(docs.sparkSession)
 
     links = _verified(_by_trees(reps, radius), sets, least)
-    for some in (SOME, None):
+    for few in (True, False):
         roots = met.join(simhash.components(links).select(F.col("v").alias("node"), "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
         roots = common.written(roots, "roots")
         common.release(docs.sparkSession)
-        more = _verified(_in_groups(multi, reps, roots, least, True, _proposed(some), "a long, b long"), sets, least)
+        pairs = _in_groups(multi, reps, roots, least, True, _proposed(few), "a long, b long")
+        more = _verified(_closest(pairs) if few else pairs, sets, least)
         links = links.unionByName(more)
     roots = simhash.components(links).select(F.col("v").alias("node"), "root")
     firsts = reps.select("node", "first", "sum").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("first", "sum")).alias("x"))

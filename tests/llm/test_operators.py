@@ -406,9 +406,8 @@ def test_keep_one_by_similarity(spark, docs, texts, monkeypatch):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     rows = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").repartition(3)
-    for looked, some, block in ((1, 1, 4), (32, 4, 4096)):
+    for looked, block in ((1, 4), (32, 4096)):
         monkeypatch.setattr(jaccard, "LOOKED", looked)
-        monkeypatch.setattr(jaccard, "SOME", some)
         monkeypatch.setattr(jaccard, "BLOCK", block)
         assert sorted(r.doc_id for r in jaccard.keep_one(rows).collect()) == sorted({find(i) for i in range(len(given))})
     odd = spark.createDataFrame([(1, "a b c d e f"), (1, "u v w x y z"), (1, "a b c d e f"), (2, "u v w x y z"), (None, "a b c d e f"), (None, None)], "doc_id long, text string")
