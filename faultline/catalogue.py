@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import rules, stats, text
+from faultline.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -28,10 +29,6 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
@@ -51,12 +48,13 @@ _LABELLED = f"SELECT doc_id, list_filter([{_FLAGS}], lambda x: x IS NOT NULL) AS
 SELECT class, count(*) AS n, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM c) AS pct, list_sort(list(n_chars))[count(*) // 2 + 1] AS median_chars FROM c GROUP BY class""")
 def first_match_distribution(spark, sf):
     """Ordered rules, first match; share and upper median size of each class."""
-    docs = table(spark, sf, "documents").select(rules.first_match(F.coalesce("text", F.lit("")), DOCUMENT_RULES, "unknown").alias("class"), "n_chars")
-    return stats.distribution(docs, "class").join(stats.upper_median(docs, ["class"], "n_chars", "median_chars"), "class")
+    docs = spread(table(spark, sf, "documents").select("text", "n_chars")).select(rules.first_match(F.coalesce("text", F.lit("")), DOCUMENT_RULES, "unknown").alias("class"), "n_chars")
+    counts = docs.groupBy("class").agg(F.count(F.lit(1)).alias("n"), stats.upper_median("n_chars").alias("median_chars"))
+    return counts.withColumn("pct", stats.percent(F.col("n"), F.sum("n").over(Window.partitionBy())))  # over the few classes
 
 
 def _labelled(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", rules.multi_label(F.coalesce("text", F.lit("")), DOCUMENT_RULES).alias("labels"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", rules.multi_label(F.coalesce("text", F.lit("")), DOCUMENT_RULES).alias("labels"))
 
 
 @register(f"WITH l AS ({_LABELLED}) SELECT label, count(*) AS n, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM documents) AS pct FROM (SELECT unnest(labels) AS label FROM l) GROUP BY label")
@@ -84,8 +82,8 @@ def cumulative_coverage(spark, sf):
 @register("""SELECT event_type, count(*) AS n, median(value) AS true_median, list_sort(list(value))[count(*) // 2 + 1] AS upper_median, count(DISTINCT user_id) AS users FROM events GROUP BY event_type""")
 def true_vs_upper_median(spark, sf):
     events = table(spark, sf, "events")
-    both = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.median("value").alias("true_median"), F.countDistinct("user_id").alias("users"))
-    return both.join(stats.upper_median(events, ["event_type"], "value", "upper_median"), "event_type")
+    medians = [F.count(F.lit(1)).alias("n"), F.median("value").alias("true_median"), stats.upper_median("value").alias("upper_median")]
+    return events.groupBy("event_type").agg(*medians, F.countDistinct("user_id").alias("users"))
 
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-NEVER"]
@@ -163,7 +161,7 @@ def _clusters(spark, sf) -> DataFrame:
 @register(_MEMBERS + " SELECT cluster, count(*) AS n, list_sort(list(c_acctbal))[count(*) // 2 + 1] AS median_balance FROM m GROUP BY cluster")
 def cluster_membership(spark, sf):
     members = _clusters(spark, sf).select("c_acctbal", F.explode("clusters").alias("cluster"))
-    return members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).join(stats.upper_median(members, ["cluster"], "c_acctbal", "median_balance"), "cluster")
+    return members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), stats.upper_median("c_acctbal").alias("median_balance"))
 
 
 @register(_MEMBERS + " SELECT a.cluster AS first, b.cluster AS second, count(*) AS n FROM m a JOIN m b ON a.c_custkey = b.c_custkey AND a.ord < b.ord GROUP BY 1, 2")
@@ -264,7 +262,9 @@ def _relations(spark, sf) -> DataFrame:
     customers = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("n_regionkey").alias("c_domain"), F.col("c_nationkey").alias("c_layer"))
     left = table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(customers, "o_custkey")
     suppliers = table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_regionkey").alias("f_domain"), F.col("s_nationkey").alias("f_layer"))
-    fixes = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_quantity").join(suppliers, "l_suppkey").groupBy("o_orderkey", "f_domain", "f_layer").agg(F.sum("l_quantity").alias("w"))
+    fixes = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_quantity").join(suppliers, "l_suppkey").select("o_orderkey", "f_domain", "f_layer", "l_quantity")
+    # Dealt once by order: all three aggregates and the join are local to it.
+    fixes = fixes.repartition("o_orderkey").groupBy("o_orderkey", "f_domain", "f_layer").agg(F.sum("l_quantity").alias("w"))
     # The heaviest layer of each domain is an aggregate, not a window: max by (weight, then smaller layer).
     primary = fixes.groupBy("o_orderkey", "f_domain").agg(F.max(F.struct("w", (-F.col("f_layer")).alias("neg"))).alias("top"))
     per_order = primary.groupBy("o_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("f_domain", "top"))).alias("tops"))

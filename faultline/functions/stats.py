@@ -6,20 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upper_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """The element at place n // 2 of each group's sorted non-null values: the larger of the two middles for even n.
+def upper_median(value: str, condition: str = "true") -> Column:
+    """The element at place n // 2 of a group's sorted non-null values, the larger of the two middles for even n, as an aggregate.
 
-    By rank, so a group is sorted and spilled rather than gathered in an array.
+    Values are counted before the shuffle, so what moves and what a group holds are its distinct values.
     """
-    given = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_value"))
-    by = Window.partitionBy(*keys)
-    ranked = given.withColumn("_place", F.row_number().over(by.orderBy("_value"))).withColumn("_n", F.count(F.lit(1)).over(by))
-    return ranked.where(F.col("_place") == F.floor(F.col("_n") / 2) + 1).select(*keys, F.col("_value").alias(name))
-
-
-def upper_median_of(value: Column) -> Column:
-    """The same as an aggregate, for small groups: null where the group has no value."""
-    return F.try_element_at(F.array_sort(F.collect_list(value)), (F.floor(F.count(value) / 2) + 1).cast("int"))
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN {condition} THEN {value} END DESC)")
 
 
 def percent(part: Column, whole: Column) -> Column:

@@ -205,15 +205,35 @@ def iso_instant(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}:\d{2}(\.\d+)?\s*(Z|[+-]\d{2}:?\d{2})?)?$"), F.try_to_timestamp(F.regexp_replace(text, r"\s+([+-])", "$1")))
 
 
+#: Zones of old mails by name.
+OBSOLETE_ZONES = {"GMT|UT|UTC|Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+
+
 def mail_instant(text: Column) -> Column:
     """RFC 2822 with or without weekday, trailing comment or zone; else as iso_instant."""
     plain = F.regexp_replace(F.regexp_replace(strip(text), r"^\w{3},\s*", ""), r"\s*\([^)]*\)\s*$", "")
-    plain = F.regexp_replace(plain, r"\s(GMT|UT|UTC|Z)$", " +0000")
+    for zone, offset in OBSOLETE_ZONES.items():
+        plain = F.regexp_replace(plain, rf"\s(?:{zone})$", f" {offset}")
     zoned = F.when(plain.rlike(r"^\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$"), F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss Z")))
     naive = F.when(plain.rlike(r"^\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2}$"), F.try_to_timestamp(F.concat(plain, F.lit(" +0000")), F.lit("d MMM yyyy HH:mm:ss Z")))
     return F.coalesce(zoned, naive, iso_instant(plain))
 
 
+def wall_clock(text: Column) -> Column:
+    """What the clock of a mail's header read, its zone left aside, as an instant of UTC; null for other forms."""
+    plain = F.regexp_replace(strip(text), r"\s*\([^)]*\)\s*$", "")
+    mail = F.regexp_extract(plain, r"^(?:\w{3},\s+)?(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2})(?: ?(?:[+-]\d{2}:?\d{2}|Z))?$", 1)
+    iso = F.regexp_extract(plain, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2})(?: ?(?:[+-]\d{2}:?\d{2}|Z))?$", 1)
+    return F.coalesce(F.when(mail != "", F.try_to_timestamp(F.concat(mail, F.lit(" +0000")), F.lit("d MMM yyyy HH:mm:ss Z"))), F.when(iso != "", F.try_to_timestamp(F.concat(iso, F.lit("+00:00")))))
+
+
+def iso_wall(text: Column) -> Column:
+    """What an ISO date, or date and time, reads with its zone left aside, as an instant of UTC; null for other forms."""
+    found = F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?))?(?:Z|[+-]\d{2}:?\d{2})?$", 1)
+    time = F.coalesce(F.nullif(F.regexp_extract(text, r"^\d{4}-\d{2}-\d{2}[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)", 1), F.lit("")), F.lit("00:00:00"))
+    return F.when(found != "", F.try_to_timestamp(F.concat(found, F.lit("T"), time, F.lit("+00:00"))))
+
+
 def days_between(a: Column, b: Column) -> Column:
     return (F.unix_micros(b) - F.unix_micros(a)) / F.lit(86_400e6)
 

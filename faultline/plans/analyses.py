@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import rules, stats, text
 from faultline.functions import rule_values as V
-from faultline.plans import cross_layer
+from faultline.plans import backports, cross_layer
 from faultline.sources.schema import derived
 
 Tables = dict[str, DataFrame]
@@ -123,7 +123,7 @@ def features(bugs: DataFrame) -> DataFrame:
     lines_of = lambda i: text.patch_size(_submitted_diff(_messages(F.get("threads", F.lit(i))["thread"])))
     files_of = lambda i: text.fix_files(_submitted_diff(_messages(F.get("threads", F.lit(i))["thread"])))
     return b.select(
-        "bug_id", "title", bug_type(F.col("title"), F.col("crash_text")).alias("bug_type"), fix_patterns(diff, F.col("fix_title")).alias("patterns"), (diff != "").alias("has_diff"),
+        "bug_id", "title", _or_empty(F.get("fix_commits", F.lit(0))["title"]).alias("first_title"), bug_type(F.col("title"), F.col("crash_text")).alias("bug_type"), fix_patterns(diff, F.col("fix_title")).alias("patterns"), (diff != "").alias("has_diff"),
         F.when(diff != "", text.patch_size(diff)).alias("lines"), F.greatest(F.size(text.fix_files(diff)), F.lit(1)).alias("n_files"), F.col("n_versions").alias("iterations"), F.when(days >= 0, days).alias("fix_days"),
         locality(frames, diff).alias("locality"), locality_score(frames, diff).alias("locality_score"), (F.length("c_text") > LEAST_REPRODUCER).alias("has_c"),
         F.coalesce(F.exists("crashes", lambda c: F.length(c["syz_reproducer"]) > LEAST_REPRODUCER), F.lit(False)).alias("has_syz"), F.size("frames").alias("n_frames"),
@@ -132,9 +132,7 @@ def features(bugs: DataFrame) -> DataFrame:
     )
 
 
-def _median(column: str, condition: str = "true") -> Column:
-    """Upper median, the end of the first half in falling order; values are counted before the shuffle."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN {condition} THEN {column} END DESC)")
+_median = stats.upper_median
 
 
 def _with_pct(counts: DataFrame) -> DataFrame:
@@ -158,8 +156,10 @@ def _stats() -> list[Column]:
 
 @register("bugtype")
 def bug_types(bugs: DataFrame) -> Tables:
-    """distribution: all records by type."""
-    return {"distribution": _with_pct(features(bugs).groupBy("bug_type").agg(*_stats())).orderBy(F.desc("count"), "bug_type")}
+    """distribution: all records by type; examples: the first five of each."""
+    rows = features(bugs)
+    distribution = _with_pct(rows.groupBy("bug_type").agg(*_stats())).orderBy(F.desc("count"), "bug_type")
+    return {"distribution": distribution, "examples": stats.first_k(rows.select("bug_type", "bug_id", "title"), ["bug_type"], ["bug_id"], 5), "details": rows.select("bug_id", "title", "bug_type")}
 
 
 @register("fixpattern")
@@ -169,7 +169,8 @@ def fixes(bugs: DataFrame) -> Tables:
     counts = _each(rows, "patterns", "pattern", _median("lines").alias("median_patch_lines"))
     coverage = stats.cumulative(counts, "pattern", "count", F.col("_whole")).select("pattern", "count", "cumulative", "cumulative_pct")
     distribution = counts.withColumn("pct", stats.percent(F.col("count"), F.col("_whole"))).drop("_whole").orderBy(F.desc("count"), "pattern")
-    return {"distribution": distribution, "coverage": coverage, "cooccurrence": _pairs(rows, "patterns", ("pattern_1", "pattern_2"))}
+    each = rows.select(F.explode("patterns").alias("pattern"), "bug_id", "title", F.col("first_title").alias("fix"))
+    return {"distribution": distribution, "coverage": coverage, "cooccurrence": _pairs(rows, "patterns", ("pattern_1", "pattern_2")), "examples": stats.first_k(each, ["pattern"], ["bug_id"], 3)}
 
 
 @register("revision")
@@ -198,7 +199,8 @@ def localities(bugs: DataFrame) -> Tables:
     spine = bugs.sparkSession.createDataFrame(list(enumerate(V.LOCALITIES)), "place int, locality string")
     counts = rows.groupBy("locality").agg(F.count(F.lit(1)).alias("count"), _median("iterations", "iterations > 0").alias("median_iterations"))
     filled = spine.join(counts, "locality", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    return {"distribution": _with_pct(filled).orderBy("place").drop("place")}
+    each = rows.select("locality", "bug_id", "title", F.col("n_files").alias("num_fix_files"), F.col("n_frames").alias("stack_depth"))
+    return {"distribution": _with_pct(filled).orderBy("place").drop("place"), "examples": stats.first_k(each, ["locality"], ["bug_id"], 3)}
 
 
 def difficulty(rows: DataFrame) -> DataFrame:
@@ -261,7 +263,14 @@ def insights(bugs: DataFrame) -> Tables:
     each = rows.select("*", F.explode("clusters").alias("cluster"))
     overview = each.groupBy("cluster").agg(F.count(F.lit(1)).alias("count"), _median("lines").alias("median_patch_lines"), _median("fix_days").alias("median_fix_days"), _median("iterations").alias("median_iterations"), _median("n_reviews").alias("median_reviews"), (F.avg(F.col("has_c").cast("int")) * 100).alias("pct_with_c_repro"))
     members = rows.groupBy(F.size("clusters").alias("n_clusters")).agg(F.count(F.lit(1)).alias("count")).orderBy("n_clusters")
-    return {"cluster_overview": overview.orderBy(F.desc("count"), "cluster"), "cluster_overlap": stats.cooccurrence(rows, "bug_id", "clusters").orderBy(F.desc("n"), "first", "second").limit(20), "membership_distribution": members}
+    # A pair is in the order in which clusters are defined, as a record's list is; a cluster with itself gives its size.
+    own = F.col("clusters")
+    pairs = F.flatten(F.transform(own, lambda a, i: F.transform(F.slice(own, i + 1, F.size(own)), lambda b: F.struct(a.alias("cluster_1"), b.alias("cluster_2")))))
+    met = rows.select(F.explode(pairs).alias("p")).groupBy("p.cluster_1", "p.cluster_2").agg(F.count(F.lit(1)).alias("overlap"))
+    size = lambda c: F.max(F.when(F.col("cluster_1") == F.col("cluster_2"), F.col("overlap"))).over(Window.partitionBy(c))
+    met = met.withColumn("_n1", size("cluster_1")).withColumn("_n2", size("cluster_2")).where("cluster_1 <> cluster_2")
+    overlap = met.select("cluster_1", "cluster_2", "overlap", stats.percent(F.col("overlap"), F.least("_n1", "_n2")).alias("pct_of_smaller"))
+    return {"cluster_overview": overview.orderBy(F.desc("count"), "cluster"), "cluster_overlap": overlap.orderBy(F.desc("overlap"), "cluster_1", "cluster_2").limit(20), "membership_distribution": members}
 
 
 def case_scores(rows: DataFrame) -> DataFrame:
@@ -280,13 +289,26 @@ def case_scores(rows: DataFrame) -> DataFrame:
     return rows.withColumn("composite_score", sum((F.col(n) for n in parts), F.lit(0)))
 
 
+def hooks() -> Column:
+    """What is worth telling about a row of case_scores, in order."""
+    number = lambda c: F.col(c).cast("string")
+    files = lambda c: F.when(F.size(c) > 0, F.size(c).cast("string")).otherwise("?")
+    grown = F.concat(F.lit("v1: "), number("v1_lines"), F.lit(" lines/"), files("v1_files"), F.lit(" files -> v2: "), number("v2_lines"), F.lit(" lines/"), files("v2_files"), F.lit(" files"))
+    told = [
+        (F.col("v1_lines") != F.col("v2_lines"), grown), (F.col("iterations") >= 3, F.concat(number("iterations"), F.lit(" patch iterations"))), (F.col("n_reviews") >= 10, F.concat(number("n_reviews"), F.lit(" human review messages"))),
+        (F.col("fix_days") > 180, F.concat(F.bround("fix_days", 0).cast("long").cast("string"), F.lit(" days to fix"))), (F.col("locality_score") == 3, F.lit("fix in different subsystem from crash")),
+        (F.col("locality_score") == 2, F.lit("fix in different directory from crash")), (F.col("info_scarcity_score") >= 2, F.lit("limited debugging information available")), (F.col("lines") <= 10, F.concat(F.lit("final fix is only "), number("lines"), F.lit(" lines"))),
+    ]
+    return F.array_compact(F.array(*(F.when(c, t) for c, t in told)))
+
+
 @register("casestudy")
 def case_studies(bugs: DataFrame) -> Tables:
     """Records with a diff by composite score: the first 50, the first 20 with short fixes, and the first 5 of each part."""
     rows = case_scores(features(bugs).where("has_diff"))
     parts = [c for c in rows.columns if c.endswith("_score") and c not in ("locality_score", "composite_score")]
     order = [F.desc("composite_score"), F.desc("iterations"), "bug_id"]
-    shown = rows.select("bug_id", "title", "composite_score", "iterations", F.col("n_reviews").alias("num_human_reviews"), "fix_days", F.col("lines").alias("final_patch_lines"), "v1_lines", "v2_lines", "paper_friendly", *parts)
+    shown = rows.select("bug_id", "title", "composite_score", "iterations", F.col("n_reviews").alias("num_human_reviews"), "fix_days", F.col("lines").alias("final_patch_lines"), "v1_lines", "v2_lines", "paper_friendly", hooks().alias("hooks"), *parts)
     by_part = shown.unpivot(["bug_id", "composite_score", "iterations"], parts, "dimension", "part")
     return {
         "ranked_candidates": shown.orderBy(*order).limit(50), "top_paper_friendly": shown.where("paper_friendly").orderBy(*order).limit(20),
@@ -349,6 +371,21 @@ def _changelog(messages: Column) -> Column:
     return F.coalesce(F.get(F.filter(notes, lambda n: n != ""), F.lit(0)), F.lit(""))
 
 
+def bullets(changelog: Column) -> Column:
+    """The points of a changelog, without empty ones."""
+    return F.filter(F.transform(F.split(changelog, r"\n\s*[-*]\s+"), text.strip), lambda x: x != "")
+
+
+def snippets(review: Column) -> Column:
+    """text (300 characters) and action_type of a review's first ten lines that ask for something; lines alike in 60 characters once."""
+    lines = F.filter(F.transform(text.lines(review), text.strip), lambda x: F.length(x) >= V.LEAST_LINE)
+    kind = lambda x: rules.first_match(x, [(n, [p]) for n, p in V.ACTIONS], "", "(?idm)")
+    asked = F.filter(F.transform(lines, lambda x: F.struct(x.alias("text"), kind(x).alias("action_type"))), lambda s: s["action_type"] != "")
+    key = lambda s: F.lower(F.left(s["text"], F.lit(60)))
+    first = F.filter(asked, lambda s, i: ~F.array_contains(F.transform(F.slice(asked, F.lit(1), i), key), key(s)))
+    return F.transform(F.slice(first, 1, 10), lambda s: F.struct(F.left(s["text"], F.lit(300)).alias("text"), s["action_type"].alias("action_type")))
+
+
 def transitions(bugs: DataFrame) -> DataFrame:
     """One row for each step from a version to the next of a record; threads of one version count as one. Unknown values are null."""
     b = derived(bugs).where(F.col("n_versions") >= 2)
@@ -364,14 +401,15 @@ def transitions(bugs: DataFrame) -> DataFrame:
     named = rules.labels([(n, F.lower("changelog").rlike("|".join(w for w in n.split("_") if len(w) > 3)) if any(len(w) > 3 for w in n.split("_")) else F.lit(False)) for n, _ in V.REVIEW_CATEGORIES])
     left = F.array_except("feedback_categories", "changelog_categories")
     total = F.size("feedback_categories")
-    score = F.when(total > 0, F.round((F.size(F.array_intersect("feedback_categories", "changelog_categories")) + 0.5 * F.size(F.array_intersect(left, named))) / total, 3))
+    score = F.when(total > 0, F.bround((F.size(F.array_intersect("feedback_categories", "changelog_categories")) + 0.5 * F.size(F.array_intersect(left, named))) / total, 3))
     f1, f2, both = text.fix_files(F.col("_d1")), text.fix_files(F.col("_d2")), F.col("_d1").isNotNull() & F.col("_d2").isNotNull()
     instants = lambda c: F.transform(c, lambda m: text.mail_instant(_or_empty(m["date"])))
     return b.select(
         "bug_id", "title", "from_version", "to_version", F.size("_reviews").alias("num_reviews"), F.size(F.array_distinct(F.transform("_reviews", lambda m: text.sender_name(_or_empty(m["from_addr"]))))).alias("num_reviewers"),
         "feedback_categories", "changelog_categories", F.when(both, text.patch_size(F.col("_d2")) - text.patch_size(F.col("_d1"))).alias("line_delta"), F.when(both, F.size(F.array_except(f2, f1))).alias("files_added"),
         F.when(both, F.size(F.array_except(f1, f2))).alias("files_removed"), F.when(both, text.scope_change(f1, f2)).alias("scope_change"),
-        F.round(text.days_between(F.array_max(instants("_reviews")), F.array_min(instants("_sent"))) * 24, 1).alias("time_to_next_hours"), score.alias("responsiveness_score"), F.left("changelog", F.lit(200)).alias("changelog_excerpt"),
+        F.bround(text.days_between(F.array_max(instants("_reviews")), F.array_min(instants("_sent"))) * 24, 1).alias("time_to_next_hours"), score.alias("responsiveness_score"), F.left("changelog", F.lit(200)).alias("changelog_excerpt"),
+        F.flatten(F.transform("_reviews", lambda m: snippets(text.review_text(_or_empty(m["body"]))))).alias("snippets"), bullets(F.col("changelog")).alias("changelog_bullets"),
     )
 
 
@@ -380,13 +418,13 @@ def evolution(bugs: DataFrame) -> Tables:
     """What reviews of a version ask for and the next one changes. total_time_hours is a mean; an addressed rate may pass 100."""
     rows = transitions(bugs)
     change, hours, delta = F.abs("line_delta"), F.col("time_to_next_hours"), F.coalesce("line_delta", F.lit(0))
-    asked = _each(rows, "feedback_categories", "category", F.round(F.avg(change), 3).alias("change"), F.round(F.avg(hours), 3).alias("avg_hours"), F.round(F.median(hours), 1).alias("median_hours"))
+    asked = _each(rows, "feedback_categories", "category", F.bround(F.avg(change), 3).alias("change"), F.bround(F.avg(hours), 3).alias("avg_hours"), F.bround(F.median(hours), 1).alias("median_hours"))
     told = rows.select(F.explode("changelog_categories").alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("told"))
     both = asked.join(told, "category", "left").withColumn("told", F.coalesce("told", F.lit(0)))
-    rate = F.round(stats.percent(F.col("told"), F.col("count")), 1)
+    rate = F.bround(stats.percent(F.col("told"), F.col("count")), 1)
     summary = rows.groupBy("bug_id", "title").agg(
         (F.count(F.lit(1)) + 1).alias("num_versions"), F.sum("num_reviews").alias("total_reviews"), F.sum(F.size("feedback_categories")).alias("total_feedback_items"), F.sum(delta).alias("total_line_delta"),
-        F.round(F.avg("responsiveness_score"), 3).alias("avg_responsiveness"), F.round(F.avg(hours), 3).alias("total_time_hours"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("feedback_categories")))).alias("categories"),
+        F.bround(F.avg("responsiveness_score"), 3).alias("avg_responsiveness"), F.bround(F.avg(hours), 3).alias("total_time_hours"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("feedback_categories")))).alias("categories"),
     )
     return {
         "iteration_transitions": rows.drop("title").orderBy("bug_id", "from_version"), "evolution_summary": summary.withColumn("title", F.left("title", F.lit(80))).orderBy(F.desc("num_versions"), "bug_id"),
@@ -395,4 +433,4 @@ def evolution(bugs: DataFrame) -> Tables:
     }
 
 
-REGISTRY["crosslayer"] = cross_layer.tables
+REGISTRY |= {"backport": backports.downstream, "backport-gt": backports.ground_truth, "crosslayer": cross_layer.tables}

@@ -29,10 +29,20 @@ def _text(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def broken_files(spark: SparkSession, path: str) -> DataFrame:
+    """file and text of those files of a corpus that read_corpus leaves out because they are broken or have no id."""
+    raw = _raw(spark, path)
+    return raw.where(F.col("file").rlike(FILE_NAME) & (F.col("_corrupt_record").isNotNull() | F.col("bug_id").isNull())).select("file", F.col("_corrupt_record").alias("text"))
+
+
+def _raw(spark: SparkSession, path: str) -> DataFrame:
+    schema = T.StructType([*BUG.fields, T.StructField("_corrupt_record", T.StringType())])
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path).select("*", F.col("_metadata.file_name").alias("file"))
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """One record to a file; files of other names and broken ones are left out, missing strings are empty, missing arrays too."""
-    raw = spark.read.schema(T.StructType([*BUG.fields, T.StructField("_corrupt_record", T.StringType())])).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    good = raw.where(F.col("_metadata.file_name").rlike(FILE_NAME) & F.col("_corrupt_record").isNull() & F.col("bug_id").isNotNull())
+    good = _raw(spark, path).where(F.col("file").rlike(FILE_NAME) & F.col("_corrupt_record").isNull() & F.col("bug_id").isNotNull())
     columns = [F.coalesce(f.name, F.array().cast(f.dataType)).alias(f.name) if isinstance(f.dataType, T.ArrayType) else _text(f.name).alias(f.name) for f in BUG.fields]
     return good.select(columns)
 
