@@ -13,10 +13,15 @@ from typing import TypeVar
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import spread
+
 #: Bytes of text that a Python worker takes apart at once; a single longer text is a slice of its own.
 SLICE_BYTES = 2_000_000
 #: Bytes of the longest word that is worth keeping in a worker's memory.
 LONG_WORD = 64
+#: Rows of a batch that goes to a Python worker, at most: whole texts are in it.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 T = TypeVar("T")
 
@@ -34,6 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def texts(df: DataFrame, *keys: str) -> DataFrame:
+    """A table of texts for costly work by row: dealt anew by its keys where it has fewer partitions than there are cores.
+
+    From here on the session sends batches of BATCH_ROWS rows at most to Python workers, as memory goes by whole texts.
+    """
+    spark = df.sparkSession
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+    return spread(df, *keys)
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     """A path of its own in the shared folder."""
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"

@@ -36,7 +36,7 @@ class WordEncoder:
     #: Characters that stay as they are under NFC and that lower() treats one by one.
     PLAIN = regex.compile("[\x21-\x7e\xa1-įı-ſ]+")
 
-    def __init__(self, path: str, most: int = 40_000_000):
+    def __init__(self, path: str, most: int = 20_000_000):
         import json
 
         from tokenizers import Tokenizer

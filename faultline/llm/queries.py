@@ -8,6 +8,8 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -15,31 +17,39 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return common.texts(_table(spark, sf_dir, "documents"), "doc_id")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return common.texts(_table(spark, sf_dir, "pages"), "page_id")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     from .packing import pack_documents
 
-    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=2048, with_ids=False).drop("ids")
+    return pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=2048, with_ids=False).drop("ids")
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html import extract
 
-    return extract(_table(spark, sf_dir, "pages"))
+    return extract(_pages(spark, sf_dir))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import held_out, identify
 
-    found = identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    found = identify(_documents(spark, sf_dir).select("doc_id", "text", "lang"))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import removal_digests
 
-    return removal_digests(_table(spark, sf_dir, "documents"), window=20)
+    return removal_digests(_documents(spark, sf_dir), window=20)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +57,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .bpe import encode_digests
 
-    return encode_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encode_digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +69,7 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import fingerprint_hex, near_duplicates
 
-    found = near_duplicates(_table(spark, sf_dir, "documents"), words=3, seed=42, radius=3)
+    found = near_duplicates(_documents(spark, sf_dir), words=3, seed=42, radius=3)
     return found.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -68,7 +78,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .unigram import token_counts
 
-    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +90,7 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
-    return round_trip(_table(spark, sf_dir, "pages"), least=0)
+    return round_trip(_pages(spark, sf_dir), least=0)
 
 
 def queries() -> dict[str, Query]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Shingles whose bits are counted at once.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 #: Fingerprints to a shard, and to a leaf of the tree inside a shard.
 SHARD, LEAF = 131_072, 512
 #: Distinct fingerprints that the router is built on; it is sent to all tasks.
