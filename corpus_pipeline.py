@@ -19,24 +19,24 @@ LEAST_SCORE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; null and letterless texts go."""
-    found = langid.identify(docs.select(COLUMNS))
+    found = langid.identify(common.texts(docs.select(COLUMNS), "doc_id"))
     return found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each group that pairs of Jaccard similarity 0.8 or more, over runs of five words, link."""
-    return jaccard.keep_one(docs.select(COLUMNS), words=5, least=0.8)
+    return jaccard.keep_one(common.texts(docs.select(COLUMNS), "doc_id"), words=5, least=0.8)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 20 words or more that begin earlier in the corpus; n_chars follows."""
-    kept = substrings.without_repeats(docs.select(COLUMNS), window=20)
+    kept = substrings.without_repeats(common.texts(docs.select(COLUMNS), "doc_id"), window=20)
     return kept.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast("long")).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=2048, with_ids=False).drop("ids")
+    return packing.pack_documents(common.texts(docs, "doc_id"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=2048, with_ids=False).drop("ids")
 
 
 STAGES = [("language ID", language), ("SimHash near-dedup", near_dedup), ("substring dedup", substring_dedup), ("packing", pack)]
