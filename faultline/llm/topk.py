@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from . import cells
 
-#: Pivots, and the vectors that they are chosen among.
-PIVOTS, SAMPLE = 32, 2_048
+#: Pivots; they are chosen among the sampled vectors.
+PIVOTS = 32
 #: Candidates evaluated between two looks at the bound.
 STEP = 128
 #: Scores are kept within a long.
@@ -55,6 +55,7 @@ def _search(k: int):
         large = max(int(np.abs(xs).max(initial=0)), 1) * max(int(np.abs(qs).max(initial=0)), 1) * max(dim, 1) >= 1 << 62
         if large:
             xs, qs = xs.astype(object), qs.astype(object)
+        floors = q["floor"].tolist()
         norms, table = (xs.astype(np.float64) ** 2).sum(1), np.ascontiguousarray(xd.T)
         out = []
         for i in range(len(qs)):
@@ -64,8 +65,8 @@ def _search(k: int):
             upper = (norm + norms - lower * lower) / 2
             upper += 1e-9 * (norm + norms) + 1  # more than rounding can take away
             upper[ids == query_ids[i]] = -np.inf
-            order = np.argsort(-upper, kind="stable")
-            order = order[: np.count_nonzero(upper > -np.inf)]
+            order = np.flatnonzero(upper >= max(float(floors[i]), -3e38))  # others can't be among the best
+            order = order[np.argsort(-upper[order], kind="stable")]
             scores, places = np.zeros(0, xs.dtype), np.zeros(0, np.int64)
             for a in range(0, len(order), STEP):
                 if len(scores) == k and upper[order[a]] < scores[-1]:
@@ -80,19 +81,32 @@ def _search(k: int):
     return run
 
 
-def exact_top_k(rows: DataFrame, *, is_query: Column, k: int = 10, scale: float = 1024.0, pivots: int = PIVOTS, sample: int = SAMPLE) -> DataFrame:
+def exact_top_k(rows: DataFrame, *, is_query: Column, k: int = 10, scale: float = 1024.0, pivots: int = PIVOTS) -> DataFrame:
     """The k largest inner products of floor(scale * vector) for each query row: query_id, rank, vec_id, score.
 
     rows: vec_id, embedding; is_query: a condition on vec_id. Other columns are left aside. A row is no candidate for a
     query of its own vec_id. Vectors that are null or hold null or non-finite components take no part, nor does a null
     vec_id; only vectors of equal length are compared; scores beyond a long are held at its ends. Ties go to the
-    smaller vec_id. Repeated query rows are queries of their own. Pivots are chosen in a bounded sample.
+    smaller vec_id. Repeated query rows are queries of their own. Pivots are chosen in a bounded sample, and each query's
+    floor is its k-th best score there.
     """
     given = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & cells.valid(F.col("embedding")))
     chosen: dict[int, list] = {}
-    for r in given.orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(sample).collect():
-        chosen.setdefault(len(r["embedding"]), []).append(r["embedding"])
-    table = {dim: far_apart(quantised(some, scale).astype(np.float64), pivots) for dim, some in chosen.items()}
+    for r in cells.drawn(given):
+        chosen.setdefault(len(r["embedding"]), []).append((r["vec_id"], r["embedding"]))
+    sample = {dim: (np.array([i for i, _ in some]), quantised([v for _, v in some], scale).astype(np.float64)) for dim, some in chosen.items()}
+    table = {dim: far_apart(vectors, pivots) for dim, (_, vectors) in sample.items()}
+
+    def floor_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for own, raw in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist()):
+                v = np.frombuffer(raw, "<i8").astype(np.float64)
+                ids, others = sample.get(len(v), (np.zeros(0, np.int64), np.zeros((0, len(v)))))
+                exact = np.abs(v).max(initial=0) * np.abs(others).max(initial=0) * max(1, len(v)) < 2.0**52
+                scores = (others @ v)[ids != own] if exact else np.zeros(0)
+                out.append(int(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else -MOST)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "floor"])
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,4 +120,5 @@ def exact_top_k(rows: DataFrame, *, is_query: Column, k: int = 10, scale: float
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in places], pa.int64()), pa.array([dim] * len(places), pa.int64()), pa.array([x.tobytes() for x in whole], pa.binary()), pa.array([x.tobytes() for x in away], pa.binary())], ["vec_id", "dim", "v", "pivots"])
 
     ready = given.mapInArrow(prepare, "vec_id long, dim long, v binary, pivots binary")
-    return cells.best(ready, _search(k), is_query=is_query, k=k, score="long")
+    kind = "vec_id long, dim long, v binary, pivots binary, _key long, floor long"
+    return cells.best(ready, _search(k), is_query=is_query, k=k, score="long", floors=lambda asked: asked.mapInArrow(floor_of, kind))

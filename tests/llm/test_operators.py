@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from faultline.llm import ann, bpe, html, jaccard, langid, packing, simhash, substrings, topk, unigram, warc
+from faultline.llm import ann, bpe, cells, html, jaccard, langid, packing, simhash, substrings, topk, unigram, warc
 
 RNG = random.Random(5)
 WORDS = [f"w{i}" for i in range(60)]
@@ -83,6 +83,40 @@ def test_nearest(spark):
         want += [(q, r, x, -s) for r, (s, x) in enumerate(ranked, 1)]
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert ann.nearest(empty(rows), is_query=F.col("vec_id") % 10 == 0).count() == 0
+    huge = spark.createDataFrame([(0, [1e200, 1.0]), (1, [1e200, 2.0]), (2, [-1e200, 3.0]), (3, [1.0, 1.0]), (4, [1e200, -1e200])], "vec_id long, embedding array<double>")
+    found = ann.nearest(huge, is_query=F.col("vec_id") == 0, k=3).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in found] == [(1, float("inf")), (4, float("inf")), (3, 1e200)]
+
+
+@pytest.mark.parametrize("sample", [3, 40])
+def test_floors_and_cells(spark, sample, monkeypatch):
+    monkeypatch.setattr(cells, "SAMPLE", sample)
+    rng = np.random.default_rng(8)
+    given = rng.integers(-2, 3, (150, 3)).astype(float)  # many ties, many equal vectors
+    given[:3] = 0.5
+    rows = spark.createDataFrame([(i, list(map(float, v)), "extra") for i, v in enumerate(given)] + [(0, [0.5, 0.5, 0.5], "again"), (500, [1.0, 2.0], None), (510, [2.0, 1.0], None)], "vec_id long, embedding array<double>, score string").repartition(3)
+    whole = [(r["vec_id"], np.array(r["embedding"])) for r in rows.collect()]
+    measures = {"top": lambda a, b: int(np.floor(1024 * a).astype(int) @ np.floor(1024 * b).astype(int)), "near": lambda a, b: float(sum(x * y for x, y in zip(a, b)))}
+    is_query = F.col("vec_id") % 10 == 0
+    finders = {"top": lambda: topk.exact_top_k(rows, is_query=is_query, k=4, pivots=3), "near": lambda: ann.nearest(rows, is_query=is_query, k=4)}
+    for name, measure in measures.items():
+        want = []
+        for q, a in whole:
+            if q % 10 == 0 and (name == "top" or a.any()):
+                ranked = sorted((-measure(a, b), x) for x, b in whole if x != q and len(a) == len(b) and (name == "top" or b.any()))[:4]
+                want += [(q, r, x, -s) for r, (s, x) in enumerate(ranked, 1)]
+        assert sorted(map(tuple, finders[name]().collect())) == sorted(want)
+
+
+def test_many_cells(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    given = rng.normal(size=(400, 6))
+    rows = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(given)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(cells.best, "__kwdefaults__", {**cells.best.__kwdefaults__, "candidates": 64, "queries": 8})
+    found = ann.nearest(rows, is_query=F.col("vec_id") % 20 == 0, k=5).collect()
+    scores = given @ given.T
+    np.fill_diagonal(scores, -np.inf)
+    assert {(r["query_id"], r["rank"]): r["vec_id"] for r in found} == {(q, r): int(x) for q in range(0, 400, 20) for r, x in enumerate(np.argsort(-scores[q])[:5], 1)}
 
 
 # 2
