@@ -21,7 +21,9 @@ from . import common
 #: Lines of the sliding window, and characters in it at which text surges.
 WINDOW, SURGE = 3, 80
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+#: What follows the name of a tag, up to its end; > in a quoted value doesn't end it. It never goes back, so a page takes time in proportion to its length.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
 _RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "template")}
@@ -60,7 +62,7 @@ def _about(name: str, attributes: str) -> tuple[bool, bool]:
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
             value = a or b or c
             key = key.lower()
-            if key in ("class", "id", "role", "itemprop", "aria-label", "data-role"):
+            if key in ("class", "id", "role", "itemprop", "data-role"):
                 (slug if key == "id" else words).update(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
                 article |= key == "role" and value.lower().strip() == "main" or key == "itemprop" and value.lower().strip() == "articlebody"
             hidden |= key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
@@ -76,78 +78,150 @@ def _about(name: str, attributes: str) -> tuple[bool, bool]:
     return hidden or name == "header" or bool(named), article and not named
 
 
+def tokens(html: str) -> list[tuple[str, str, str]]:
+    """(kind, name or text, attributes): text, raw (what needs no decoding of references), open, void and close."""
+    out: list[tuple[str, str, str]] = []
+    at, last = 0, html.rfind(">")
+    closed: dict[str, int] = {}  # from where on a raw element has no end
+    while True:
+        start = html.find("<", at)
+        if start < 0 or start > last:
+            out.append(("text", html[at:], ""))
+            return out
+        out.append(("text", html[at:start], ""))
+        if html.startswith("<!--", start) or html.startswith("<![CDATA[", start):
+            mark, end_mark = ("<!--", "-->") if html[start + 2] == "-" else ("<![CDATA[", "]]>")
+            end = html.find(end_mark, start + len(mark))
+            if mark != "<!--":
+                out.append(("raw", html[start + len(mark) : end if end >= 0 else None], ""))
+            if end < 0:
+                return out
+            at = end + 3
+            continue
+        if html[start + 1] in "!?":
+            at = html.find(">", start) + 1
+            continue
+        found = _TAG.match(html, start) or _LOOSE.match(html, start)
+        if not found:
+            out.append(("text", "<", ""))
+            at = start + 1
+            continue
+        name, at = found[2].lower(), found.end()
+        if found[1]:
+            out.append(("close", name, ""))
+            continue
+        void = name in VOID or found[3].rstrip().endswith("/") and name in ("svg", "path")
+        if name in _RAW and name not in ("noscript", "template"):
+            end = _RAW[name].search(html, at) if closed.get(name, len(html)) > at else None
+            if not end:
+                closed[name] = at
+            at = end.end() if end else len(html)
+            out.append(("open", name, found[3]))
+            out.append(("close", name, ""))
+            continue
+        out.append(("void" if void else "open", name, found[3]))
+
+
+class Walk:
+    """The open elements of a page, as its tokens come."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool, int]] = [("", False, False, -1)]  # name, within furniture, within an article, token
+        self.blocks: list[int] = []
+        self.open: dict[str, int] = {}
+
+    def push(self, name: str, furniture: bool, article: bool, token: int) -> None:
+        if name in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.open[name] = self.open.get(name, 0) + 1
+        self.stack.append((name, furniture, article, token))
+
+    def cut(self, depth: int) -> list[tuple[str, bool, bool, int]]:
+        """Closes all from a depth on; the outermost comes first."""
+        gone = self.stack[depth:]
+        del self.stack[depth:]
+        for name, *_ in gone:
+            self.open[name] -= 1
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
+        return gone
+
+    def before(self, name: str) -> list[tuple[str, bool, bool, int]]:
+        """A paragraph ends where a block begins; an item where the next one does."""
+        if name in BLOCK and self.blocks:
+            within = self.stack[self.blocks[-1]][0]
+            if within == "p" or within == name and name in ("li", "tr", "dt", "dd"):
+                return self.cut(self.blocks[-1])
+        return []
+
+    def close(self, name: str) -> list[tuple[str, bool, bool, int]]:
+        if not self.open.get(name):
+            return []
+        depth = len(self.stack) - 1
+        while self.stack[depth][0] != name:
+            depth -= 1
+        return self.cut(depth)
+
+
+def endless(found: list[tuple[str, str, str]]) -> set[int]:
+    """Tokens of elements that nothing ends but the page: what they say of their text holds for no known part of it."""
+    walk, out = Walk(), set()
+    for i, (kind, name, _) in enumerate(found):
+        if kind == "open":
+            walk.before(name)
+            walk.push(name, False, False, i)
+        elif kind == "close":
+            gone = walk.close(name)
+            if name in ("body", "html"):
+                out.update(x[3] for x in gone[1:])
+    return out | {x[3] for x in walk.stack[1:]}
+
+
 def lines_of(html: str) -> list[tuple[str, bool]]:
     """Lines of the page: (text, or empty at furniture and container ends; whether an article holds it)."""
     lines: list[tuple[str, bool]] = []
     words: list[str] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # name, within furniture, within an article
-
-    def text(raw: str) -> None:
-        if not stack[-1][1] and raw:
-            words.append(raw)
+    found, walk = tokens(html), Walk()
+    unended = endless(found)
 
     def end_line() -> None:
         if words:
             line = " ".join(unescape("".join(words)).split())
             words.clear()
             if line:
-                lines.append((line, stack[-1][2]))
+                lines.append((line, walk.stack[-1][2]))
 
     def gap(size: int) -> None:
         for place in range(1, size + 1):
             if len(lines) < place or lines[-place][0]:
-                lines.extend([("", stack[-1][2])] * (size - place + 1) if lines else [])
+                lines.extend([("", walk.stack[-1][2])] * (size - place + 1) if lines else [])
                 break
 
-    at = 0
-    while at < len(html):
-        found = _TOKEN.search(html, at)
-        if not found:
-            text(html[at:])
-            break
-        text(html[at : found.start()])
-        at = found.end()
-        if found[2] is None:
-            if found[0].startswith("<![CDATA["):
-                text(found[0][9:].removesuffix("]]>").replace("&", "&amp;"))
-            continue
-        name, closing = found[2].lower(), bool(found[1])
-        if closing:
-            if name in BLOCK:
-                end_line()
-            if name == "br":
-                text(" ")
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if depth:
-                was = stack[depth]
-                del stack[depth:]
-                if name in CONTAINER or was[1]:
-                    gap(WINDOW if was[1] or was[2] != stack[-1][2] else 1)
+    for i, (kind, name, attributes) in enumerate(found):
+        within = walk.stack[-1]
+        if kind in ("text", "raw"):
+            if name and not within[1]:
+                words.append(name.replace("&", "&amp;") if kind == "raw" else name)
             continue
         if name in BLOCK:
             end_line()
-            for i in range(len(stack) - 1, 0, -1):  # a paragraph ends where a block begins; an item where the next one does
-                if stack[i][0] == "p" or stack[i][0] == name and name in ("li", "tr", "dt", "dd"):
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK:
-                    break
-        elif name in ("td", "th", "br", "option"):
-            text(" ")
-        if name in _RAW:
-            end = _RAW[name].search(html, at)
-            if name != "noscript" and name != "template":
-                at = end.end() if end else len(html)
-                continue
-        if name in VOID or found[3].rstrip().endswith("/") and name in ("svg", "path"):
+        elif name in ("td", "th", "br", "option") and (kind != "close" or name == "br") and not within[1]:
+            words.append(" ")
+        if kind == "close":
+            gone = walk.close(name)
+            if gone and (name in CONTAINER or gone[0][1]):
+                gap(WINDOW if gone[0][1] or gone[0][2] != walk.stack[-1][2] else 1)
+            continue
+        walk.before(name)
+        if kind == "void":
             continue
-        furniture, article = _about(name, found[3])
-        within = stack[-1]
-        if name == "header" and within[2] and not within[1]:
+        furniture, article = _about(name, attributes)
+        within = walk.stack[-1]
+        if name == "header" and within[2] and not within[1] or i in unended:
             furniture = False  # an article's own header holds its title
         if name in CONTAINER or furniture and not within[1]:
             gap(WINDOW if furniture or article and not within[2] else 1)
-        stack.append((name, within[1] or furniture, within[2] or article))
+        walk.push(name, within[1] or furniture, within[2] or article, i)
     end_line()
     return lines
 
