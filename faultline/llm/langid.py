@@ -1,7 +1,8 @@
 """Language ID: a bidirectional gated recurrent network over bytes, trained in numpy by backpropagation through time.
 
-The network reads the bytes of a word, cut after every 24, in both directions and gives each position a distribution of
-languages. A document's is the mean over all its positions. Words that a worker meets often are computed once.
+A document's bytes are read in both directions, in windows that overlap, so that a position's state has bytes before and
+after it, across words and lines, wherever it stands. Every position gets a distribution of languages; the document's is
+the mean over all of them.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bytes of a sequence, units of a direction.
-LENGTH, UNITS = 24, 24
-#: Training: documents of each language (at most about so many), words of each, rounds, words of a step.
-DOCUMENTS, WORDS, EPOCHS, BATCH = 300, 60, 3, 512
-#: Sequences that are read side by side.
+#: Units of a direction; bytes of a window, and those of them at each end that only lead up to the others.
+UNITS, WINDOW, LEAD = 8, 256, 16
+#: Training: documents of each language, windows of each, bytes of such a window, rounds, windows of a step.
+DOCUMENTS, WINDOWS, LENGTH, EPOCHS, BATCH = 300, 8, 96, 4, 128
+#: Windows that are read side by side.
 STEP = 1024
 UND = "und"
 
@@ -141,21 +142,61 @@ class BiGru:
                     self.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
 
-def cut(word: bytes) -> list[bytes]:
-    return [word[i : i + LENGTH] for i in range(0, len(word), LENGTH)]
+class Reader:
+    """A network made ready for reading: weights of both directions side by side, gates' inputs halved for the tangent."""
 
+    def __init__(self, network: BiGru):
+        n, p = network.units, network.p
+        half = np.concatenate([np.full(2 * n, 0.5), np.ones(n)]).astype(np.float32)
+        self.units, self.classes = n, p["w"].shape[1]
+        self.x = np.stack([p["xf"], p["xb"]]) * half
+        self.u = np.stack([p["uf"], p["ub"]]) * half
+        self.b = np.stack([p["bf"], p["bb"]])[:, None, :]
+        self.w, self.c = p["w"].reshape(2, n, -1), p["c"]
+
+    def positions(self, grid: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Distributions (windows, steps, languages). grid: (windows, steps) of bytes; what is beyond a window's length counts for nothing."""
+        n, (windows, steps) = self.units, grid.shape
+        place = np.arange(steps)
+        turn = np.where(place < lengths[:, None], lengths[:, None] - 1 - place, place)
+        both = np.ascontiguousarray(np.stack([grid, np.take_along_axis(grid, turn, 1)]).transpose(2, 0, 1))
+        h, states = np.zeros((2, windows, n), np.float32), np.empty((2, steps, windows, n), np.float32)
+        for t in range(steps):
+            x = np.stack([self.x[0][both[t, 0]], self.x[1][both[t, 1]]])
+            a = h @ self.u
+            gates = np.tanh(x[:, :, : 2 * n] + a[:, :, : 2 * n])
+            gates *= 0.5
+            gates += 0.5
+            new = a[:, :, 2 * n :] + self.b
+            new *= gates[:, :, n:]
+            new += x[:, :, 2 * n :]
+            np.tanh(new, out=new)
+            h = new + gates[:, :, :n] * (h - new)
+            states[:, t] = h
+        ahead, behind = (states[d].transpose(1, 0, 2) @ self.w[d] for d in (0, 1))
+        scores = ahead + np.take_along_axis(behind, turn[:, :, None], 1) + self.c
+        scores -= scores.max(2, keepdims=True)
+        np.exp(scores, out=scores)
+        scores /= scores.sum(2, keepdims=True)
+        return scores
+
+
+def spans(sizes: np.ndarray, window: int = WINDOW, lead: int = LEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows over texts of these sizes: text, first byte, length, and the own bytes of each, which share out the text."""
+    step = window - 2 * lead
+    counts = -(-sizes // step)
+    text = np.repeat(np.arange(len(sizes)), counts)
+    own = (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * step
+    first, end = np.maximum(own - lead, 0), np.minimum(own + step + lead, sizes[text])
+    return text, first, end - first, own - first, np.minimum(own + step, sizes[text]) - first
 
-class Labeller:
-    """A trained network and the summed distributions of words it has met."""
 
-    #: Bytes of known words, each counted with 130 more.
-    MOST = 48_000_000
+class Labeller:
+    """A trained network and its languages."""
 
     def __init__(self, network: BiGru | None, languages: list[str]):
         self.network, self.languages = network, languages
-        self.places: dict[bytes, int] = {}
-        self.bytes = 0
-        self.sums = np.zeros((1024, max(1, len(languages))), np.float32)
+        self.reader = Reader(network) if network else None
 
     def __getstate__(self):
         return self.network, self.languages
@@ -163,38 +204,29 @@ class Labeller:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def _add(self, words: list[bytes]) -> None:
-        have = len(self.places)
-        if have + len(words) > len(self.sums):
-            grown = np.zeros((2 * (have + len(words)), self.sums.shape[1]), np.float32)
-            grown[:have] = self.sums[:have]
-            self.sums = grown
-        self.sums[have : have + len(words)] = 0
-        parts = sorted(((p, have + i) for i, w in enumerate(words) for p in cut(w)), key=lambda x: len(x[0]))
-        self.places.update((w, have + i) for i, w in enumerate(words))
-        for a in range(0, len(parts), STEP):
-            some = parts[a : a + STEP]
-            probs, mask, _ = self.network.positions([p for p, _ in some])
-            np.add.at(self.sums, [i for _, i in some], (probs * mask).sum(0))
+    def shares(self, texts: list[bytes]) -> np.ndarray:
+        """The mean distribution of each text's positions."""
+        sizes = np.array(list(map(len, texts)), np.int64)
+        flat, begins = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes
+        text, first, lengths, low, high = spans(sizes)
+        total = np.zeros((len(texts), len(self.languages)))
+        order = np.argsort(lengths, kind="stable")  # windows of like length share a step
+        for a in range(0, len(order), STEP):
+            some = order[a : a + STEP]
+            place = np.arange(int(lengths[some].max()))
+            at = (begins[text[some]] + first[some])[:, None] + place
+            probs = self.reader.positions(flat[np.minimum(at, len(flat) - 1)], lengths[some])
+            own = (place >= low[some][:, None]) & (place < high[some][:, None])
+            np.add.at(total, text[some], (probs * own[:, :, None]).sum(1, dtype=np.float64))
+        return total / np.maximum(sizes, 1)[:, None]
 
     def label(self, texts: list[bytes]) -> list[tuple[str, float]]:
-        words = [x.split() for x in texts]
-        new = [w for w in set().union(*words) if w not in self.places] if self.network else []
-        self._add(new)
+        known = [self.network is not None and has_letter(x) for x in texts]
+        found = iter(self.shares([x for x, k in zip(texts, known) if k]) if any(known) else ())
         out = []
-        for text, some in zip(texts, words):
-            if not self.network or not has_letter(text):
-                out.append((UND, 0.0))
-                continue
-            total = self.sums[list(map(self.places.__getitem__, some))].sum(0, dtype=np.float64)
-            best = int(total.argmax())
-            out.append((self.languages[best], min(1.0, float(total[best] / total.sum()))))
-        more = sum(map(len, new)) + 130 * len(new)
-        if self.bytes + more > self.MOST:  # places of those that stay are never given anew
-            for word in new:
-                del self.places[word]
-        else:
-            self.bytes += more
+        for k in known:
+            share = next(found) if k else None
+            out.append((self.languages[int(share.argmax())], min(1.0, float(share.max()))) if k else (UND, 0.0))
         return out
 
 
@@ -207,32 +239,40 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, *, documents: int = DOCUMENTS, words: int = WORDS, seed: int = 7) -> Labeller:
-    """A network of the rows that aren't held out and have text and lang: about `documents` of each language, drawn by a hash of the row, `words` words drawn from all of each text. The driver gets no more than those words."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+def train(docs: DataFrame, *, documents: int = DOCUMENTS, windows: int = WINDOWS, seed: int = 7) -> Labeller:
+    """A network of the rows that aren't held out and have text and lang.
+
+    Of each language `documents` rows are taken, those of the least hashes, and `windows` windows of bytes from anywhere
+    in each whole text. The driver gets the windows of about twice as many rows, whatever the table's size.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.where((F.octet_length("text") > 0) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     counts = rows.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return Labeller(None, [])
-    rate = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, documents / r["count"]))))
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1_000_000)) < F.try_element_at(rate, F.col("lang")) * 1_000_000)
+    bounds = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min((1 << 63) - 1, ((1 << 63) - 1) * 2 * documents // r["count"]))))
+    hashed = rows.withColumn("hash", F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 1))
+    drawn = hashed.where(F.col("hash") <= F.try_element_at(bounds, F.col("lang")))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, text in zip(batch.column("doc_id").to_pylist(), common.as_bytes(batch.column("text"))):
-                found, rng = text.split(), np.random.default_rng((seed, key & (1 << 63) - 1))
-                own = [found[i] for i in sorted(rng.choice(len(found), min(words, len(found)), replace=False))] if found else []
-                out.append([rng.choice(cut(w)) for w in own])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(out, pa.list_(pa.binary()))], ["doc_id", "lang", "words"])
-
-    found = sorted(drawn.mapInArrow(some, "doc_id long, lang string, words array<binary>").limit(2 * documents * len(counts)).collect(), key=lambda r: (r["doc_id"], r["lang"]))
-    languages = sorted({r["lang"] for r in found})
-    by_language = {x: [bytes(w) for r in found if r["lang"] == x for w in r["words"]] for x in languages}
-    languages = [x for x in languages if by_language[x]]
+            for key, text in zip(batch.column("hash").to_pylist(), common.as_bytes(batch.column("text"))):
+                rng = np.random.default_rng((seed, key))
+                starts = rng.integers(0, max(1, len(text) - LENGTH + 1), windows if len(text) > LENGTH else 1)
+                out.append([text[i : i + LENGTH] for i in starts.tolist()])
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("lang"), pa.array(out, pa.list_(pa.binary()))], ["hash", "lang", "windows"])
+
+    found = sorted(drawn.select("hash", "lang", "text").mapInArrow(some, "hash long, lang string, windows array<binary>").collect(), key=lambda r: (r["lang"], r["hash"], r["windows"]))
+    by_language = {r["lang"]: [] for r in counts}
+    for r in found:
+        by_language[r["lang"]].append([bytes(w) for w in r["windows"]])
+    by_language = {x: [w for some_ in taken[:documents] for w in some_] for x, taken in by_language.items() if taken}
+    languages = sorted(by_language)
     if not languages:
         return Labeller(None, [])
-    rng, most = np.random.default_rng(seed), max(len(by_language[x]) for x in languages)
-    # As many words of each language: no language is likelier than another beforehand.
+    rng, most = np.random.default_rng(seed), max(map(len, by_language.values()))
+    # As many windows of each language: no language is likelier than another beforehand.
     picked = [by_language[x] + [by_language[x][i] for i in rng.integers(len(by_language[x]), size=most - len(by_language[x]))] for x in languages]
     network = BiGru(len(languages), seed=seed)
     network.fit([w for x in picked for w in x], np.repeat(np.arange(len(languages)), most), seed=seed)

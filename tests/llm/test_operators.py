@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -331,7 +332,39 @@ def test_identify(spark):
 def test_every_language_is_learned(spark):
     rows = [(i, f"w{i % 70}x y{i % 70}z", f"l{i % 70:02}") for i in range(420)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert langid.train(df, words=2).languages == sorted({k for _, _, k in rows})
+    assert langid.train(df, windows=2).languages == sorted({k for _, _, k in rows})
+
+
+def test_reader_agrees_with_the_network():
+    network, rng = langid.BiGru(3, units=5, seed=3), np.random.default_rng(4)
+    texts = [bytes(rng.integers(0, 256, n).tolist()) for n in (1, 7, 30, 30, 12)]
+    probs, mask, _ = network.positions(texts)
+    grid = np.zeros((5, 30), np.uint8)
+    for i, t in enumerate(texts):
+        grid[i, : len(t)] = np.frombuffer(t, np.uint8)
+    found = langid.Reader(network).positions(grid, np.array(list(map(len, texts))))
+    for i, t in enumerate(texts):
+        assert np.allclose(found[i, : len(t)], probs[: len(t), i], atol=1e-5)
+    # A text of one window has the mean of the network's own positions; a longer one nearly that of a single pass.
+    labeller = langid.Labeller(network, ["a", "b", "c"])
+    assert np.allclose(labeller.shares(texts)[2], probs[:30, 2].mean(0), atol=1e-5)
+    long = bytes(rng.integers(0, 256, 1500).tolist())
+    assert np.allclose(labeller.shares([long, b"", texts[0]])[0], network.positions([long])[0][:, 0].mean(0), atol=0.01)
+
+
+def test_windows_share_out_the_texts():
+    sizes = np.array([0, 1, 9, 10, 11, 57, 100])
+    text, first, lengths, low, high = langid.spans(sizes, window=14, lead=2)
+    seen = Counter((int(t), int(f + p)) for t, f, a, b in zip(text, first, low, high) for p in range(a, b))
+    assert seen == Counter((i, p) for i, n in enumerate(sizes.tolist()) for p in range(n)) and lengths.max() <= 14 and (high <= lengths).all() and (first >= 0).all()
+
+
+def test_held_out_accuracy(spark):
+    folder = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no tables")
+    rows = langid.identify(spark.read.parquet(folder).select("doc_id", "text", "lang").repartition(4)).where(langid.held_out() & F.col("lang").isNotNull() & (F.length("text") > 20)).collect()
+    assert len(rows) > 100 and sum(r["lang_pred"] == r["lang"] for r in rows) >= 0.98 * len(rows)
 
 
 # 8
