@@ -52,13 +52,20 @@ def prefix(tokens: np.ndarray, often: np.ndarray, least: float) -> np.ndarray:
     return np.concatenate([tokens[~last], tokens[last]])[: len(tokens) - math.ceil(least * len(tokens) - EPSILON) + 1]
 
 
-def parities(tokens: np.ndarray) -> np.ndarray:
-    """Words of a bitmap of about a bit for each member, BITS at most: how many members fall on a bit, odd or even. Bits in which two bitmaps differ are at most as many as members that only one set has."""
-    bits = min(BITS, 64 << max(0, (len(tokens) - 1) >> 6).bit_length())
+def parities(tokens: np.ndarray, each: int = 1, most: int = BITS) -> np.ndarray:
+    """Words of a bitmap of about `each` bits for a member, `most` at most: how many members fall on a bit, odd or even. Bits in which two bitmaps differ are at most as many as members that only one set has."""
+    bits = min(most, 64 << max(0, (each * len(tokens) - 1) >> 6).bit_length())
     at = (tokens >> np.uint64(17)) & np.uint64(bits - 1)
     return np.packbits(np.bincount(at.astype(np.int64), minlength=bits) & 1, bitorder="little").view("<u8")
 
 
+def halved(words: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap with its halves put together until it has at most so many words."""
+    while len(words) > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
 def _common(docs: DataFrame, words: int) -> np.ndarray:
     """Shingles of many texts, by a sample; they decide the order of shingles alone, never the result."""
 
@@ -297,13 +304,15 @@ def _closest(pairs: DataFrame) -> DataFrame:
 
 
 def _sets(words: int):
-    """node and the members of its set, as bytes."""
+    """node, the number of members of its set, a bitmap of four bits for each, and the members, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = common.as_bytes(batch.column("text"))
             for a, b in common.slices([len(x) for x in texts]):
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array([shingle_set(x, words).tobytes() for x in texts[a:b]], pa.binary())], ["node", "members"])
+                sets = [shingle_set(x, words) for x in texts[a:b]]
+                maps = [parities(x, 4, 1 << 40).tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array([len(x) for x in sets], pa.int32()), pa.array(maps, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", "wide", "members"])
 
     return run
 
@@ -317,8 +326,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             kept = [similar(x, y, least) for x, y in zip(left, right)]
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    one, other = sets.select(F.col("node").alias("a"), F.col("members").alias("left")), sets.select(F.col("node").alias("b"), F.col("members").alias("right"))
-    found = common.written(pairs.distinct().join(one, "a").join(other, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "links")
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = ([np.frombuffer(x, "<u8") for x in batch.column(c).to_pylist()] for c in ("left", "right"))
+            most = (1 - least) / (1 + least) * (batch.column("left_n").to_numpy() + batch.column("right_n").to_numpy()) + EPSILON
+            kept = [int(np.bitwise_count(halved(x, len(y)) ^ halved(y, len(x))).sum()) <= m for x, y, m in zip(left, right, most.tolist())]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    def met(rows: DataFrame, column: str, *more: str) -> DataFrame:
+        side = lambda key, name: sets.select(F.col("node").alias(key), F.col(column).alias(name), *(F.col(c).alias(f"{name}_{c}") for c in more))
+        return rows.join(side("a", "left"), "a").join(side("b", "right"), "b")
+
+    # The bitmaps, which are small, part most pairs before the sets meet.
+    may = met(pairs.distinct(), "wide", "n").mapInArrow(bounded, "a long, b long")
+    found = common.written(met(may, "members").mapInArrow(run, "a long, b long"), "links")
     common.release(pairs.sparkSession)
     return found
 
@@ -353,7 +374,7 @@ def keep_one(docs: DataFrame, *, words: int = 5, least: float = 0.8, radius: int
     wanted = reps.select("node", "sum", F.col("first").alias("doc_id")).join(met, "node", "left_semi")
     # A document given twice has its set twice; one is enough.
     texts = rows.join(wanted, ["doc_id", "sum"]).dropDuplicates(["doc_id", "sum"])
-    sets = common.written(texts.select("node", "text").mapInArrow(_sets(words), "node long, members binary"), "sets")
+    sets = common.written(texts.select("node", "text").mapInArrow(_sets(words), "node long, n int, wide binary, members binary"), "sets")
     common.release(docs.sparkSession)
 
     links = _verified(_by_trees(reps, radius), sets, least)
