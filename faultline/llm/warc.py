@@ -15,7 +15,6 @@ import uuid
 from collections.abc import Iterator
 from itertools import count
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bytes of a segment's block and of a chunk.
-SEGMENT, CHUNK = 262_144, 16_384
+SEGMENT, CHUNK = 8_192, 4_096
 VERSION = b"WARC/1.1\r\n"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 9562's namespace of URLs
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -100,7 +99,7 @@ def records(key: int | None, url: str | None, payload: bytes, first: int | None,
         return
     for number, part in enumerate(parts, 1):
         fields = [("WARC-Type", "response" if number == 1 else "continuation"), ("WARC-Record-ID", own if number == 1 else own[:-1] + f":{number}>"), ("WARC-Segment-Number", number)]
-        fields += [*about, *named, kind] if number == 1 else [("WARC-Segment-Origin-ID", own), ("WARC-Date", DATE)]
+        fields += [*about, *named, kind] if number == 1 else [("WARC-Segment-Origin-ID", own), *about[:2]]
         fields += [("WARC-Segment-Total-Length", len(block))] if number == len(parts) else []
         yield _head([*fields, ("Content-Length", len(part))]) + part
 
@@ -172,23 +171,35 @@ def _payload(block: bytes) -> bytes:
     return dechunked(body) if re.search(rb"(?i)^transfer-encoding:\s*chunked\s*$", head, re.M) else body
 
 
-def _whole(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One origin's segments as one response."""
-    pdf = pdf.sort_values("number")
-    numbers, total = pdf["number"].tolist(), pdf["total"].iloc[-1]
-    block = b"".join(pdf["block"])
-    if numbers != list(range(1, len(numbers) + 1)) or pd.isna(total) or len(block) != int(total):
-        raise ValueError(f"{pdf['origin'].iloc[0]}: segments {numbers} have {len(block)} bytes of {total}")
-    first = pdf.iloc[:1].copy()
-    first["block"] = [_payload(block)]
-    return first
+def _reassembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One response for the segments of each origin, which come in the order of origin and number. ValueError where a segment or the total length is amiss."""
+    held: list[dict] = []
+
+    def whole() -> dict:
+        first, numbers, total = held[0], [r["number"] for r in held], held[-1]["total"]
+        block = b"".join(r["block"] for r in held)
+        if numbers != list(range(1, len(held) + 1)) or total is None or len(block) != total:
+            raise ValueError(f"{first['origin']}: segments {numbers} have {len(block)} bytes of {total}")
+        held.clear()
+        return first | {"block": _payload(block)}
+
+    schema = None
+    for batch in batches:
+        schema, out = batch.schema, []
+        for row in batch.to_pylist():
+            if held and row["origin"] != held[0]["origin"]:
+                out.append(whole())
+            held.append(row)
+        yield pa.RecordBatch.from_pylist(out, schema)
+    if held:
+        yield pa.RecordBatch.from_pylist([whole()], schema)
 
 
 def payloads(parsed: DataFrame) -> DataFrame:
     """read_archives' rows with segmented records put together."""
     single = parsed.where(F.col("origin").isNull())
-    joined = parsed.where(F.col("origin").isNotNull()).groupBy("origin").applyInPandas(_whole, parsed.schema)
-    return single.unionByName(joined)
+    segments = parsed.where(F.col("origin").isNotNull()).repartition("origin").sortWithinPartitions("origin", "number")
+    return single.unionByName(segments.mapInArrow(_reassembled, parsed.schema))
 
 
 def round_trip(pages: DataFrame, *, least: int = 0, segment: int = SEGMENT) -> DataFrame:

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as public
 import pytest
 import xxhash
@@ -415,6 +416,23 @@ def test_warc(spark):
     assert warc.dechunked(warc.chunked(long.encode())) == long.encode()
 
 
+def test_segments_must_be_whole():
+    page = b"<p>" + b"text " * 500
+    found = [warc.parse(r) for r in warc.records(7, "http://a/b", page, None, "0:0", segment=600)]
+    assert [f["warc-type"] for f, _ in found] == ["response", *["continuation"] * (len(found) - 1)] and len(found) > 3
+    assert {f["warc-target-uri"] for f, _ in found} == {"http://a/b"} and "warc-segment-total-length" in found[-1][0]
+    kinds = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
+    rows = [{"origin": "o", "number": int(f["warc-segment-number"]), "total": int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, "block": b} for f, b in found]
+
+    def put(given):
+        return [r["block"] for b in warc._reassembled(iter([pa.RecordBatch.from_pylist(given[:2], kinds), pa.RecordBatch.from_pylist(given[2:], kinds)])) for r in b.to_pylist()]
+
+    assert put(rows) == [page] and put(rows + [r | {"origin": "p"} for r in rows]) == [page, page]
+    for broken in (rows[1:], rows[:-1], rows[:1] + rows[2:], rows + rows[-1:]):
+        with pytest.raises(ValueError):
+            put(broken)
+
+
 def test_warc_keeps_repeated_rows_of_many_segments(spark):
     long, other = "<p>" + "abc" * 2000, "xyz" * 2000
     pages = [(1, "u", long)] * 3 + [(2, "u", long)] * 2 + [(None, "u", other)] * 3 + [(3, "u", "short"), (3, "u", "short")]
