@@ -1,13 +1,14 @@
 """Packing of tokenised documents into fixed-length sequences: first-fit decreasing over a tournament tree of bin capacities.
 
-Documents are encoded in the scan; what does not fill a whole sequence goes, by a random but repeatable group, to a
-first-fit-decreasing pass of its own. A group is a bounded number of tokens, so no task grows with the corpus.
+Documents are encoded in the scan; what does not fill a whole sequence goes with its ids, by a random but repeatable
+group, to a first-fit-decreasing pass of its own. A group is a bounded number of tokens, so no task grows with the corpus.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from string import ascii_lowercase
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ class WordEncoder:
     #: Characters that stay as they are under NFC and that lower() treats one by one.
     PLAIN = regex.compile("[\x21-\x7e\xa1-įı-ſ]+")
 
-    def __init__(self, path: str, most: int = 20_000_000):
+    def __init__(self, path: str, most: int = 64_000_000):
         import json
 
         from tokenizers import Tokenizer
@@ -49,7 +50,8 @@ class WordEncoder:
         if kinds != ["NFC", "Replace", "Lowercase"] or len(splits) != 1 or not self.suffix:
             raise ValueError(f"{path}: a lower-casing BPE with word ends is asked for")
         self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
-        self.special = [x["content"] for x in spec["added_tokens"]]
+        self.special = regex.compile("|".join(regex.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)")
+        self.lone = self.pattern.findall(ascii_lowercase) == [ascii_lowercase]
         ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             ends[i] = token.endswith(self.suffix)
@@ -73,14 +75,23 @@ class WordEncoder:
 
     def _add(self, parts: list[bytes]) -> None:
         """Fills self.parts."""
-        split: dict[bytes, list[str]] = {}
+        split: dict[bytes, Iterable[str]] = {}
         whole: list[bytes] = []
         new: dict[str, None] = {}
+        known, plain, special, findall, lone = self.pretokens, self.PLAIN.fullmatch, self.special.search, self.pattern.findall, self.lone
         for part in parts:
+            if lone and part.isalpha():  # ASCII letters alone
+                word = part.decode().lower()
+                split[part] = (word,)
+                if word not in known:
+                    new[word] = None
+                continue
             text = part.decode("utf-8", "replace")
-            if self.PLAIN.fullmatch(text) and not any(x in text for x in self.special):
-                split[part] = found = self.pattern.findall(text.lower())
-                new.update((x, None) for x in found if x not in self.pretokens)
+            if plain(text) and not special(text):
+                split[part] = found = findall(text.lower())
+                for word in found:
+                    if word not in known:
+                        new[word] = None
             else:
                 whole.append(part)
         self._encode_pretokens(list(new))
@@ -164,7 +175,9 @@ def pack(lengths: Iterable[int], capacity: int) -> list[list[tuple[int, int, int
     return kept
 
 
-def _pieces(path: str, end_id: int, capacity: int):
+def _pieces(path: str, end_id: int, capacity: int, groups: int, with_ids: bool):
+    """Pieces of the documents, at most a sequence long. A whole one fills its sequence: it needs no ids to be packed, and goes to any group."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
         end = np.array([end_id], np.uint32).tobytes()
@@ -177,8 +190,8 @@ def _pieces(path: str, end_id: int, capacity: int):
                     total = len(ids) // 4
                     for start in range(0, total, capacity):
                         part = ids[4 * start : 4 * (start + capacity)]
-                        n = len(part) // 4
-                        rows.append((key, start, n, zlib.crc32(part), total, group, part))
+                        n, whole = len(part) // 4, len(part) == 4 * capacity
+                        rows.append((key, start, n, zlib.crc32(part), total, (group + 1 + start // capacity) % groups if whole else group, None if whole and not with_ids else part))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(),) * 6 + (pa.binary(),))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grp", "ids"])
 
     return run
@@ -189,9 +202,15 @@ def _first_fit(capacity: int, with_ids: bool):
         pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", na_position="first").reset_index(drop=True)
         group, out = int(pdf["grp"].iloc[0]), []
         keys, starts, totals, ids = pdf["doc_id"].tolist(), pdf["start"].tolist(), pdf["doc_tokens"].tolist(), pdf["ids"].tolist()
-        for number, sequence in enumerate(pack(pdf["length"].tolist(), capacity)):
+        lengths, sums = pdf["length"].tolist(), pdf["ids_crc32"].tolist()
+        # Whole pieces are sequences already; first-fit gets the others.
+        full = [[(i, 0, capacity)] for i, n in enumerate(lengths) if n == capacity]
+        for number, sequence in enumerate([*full, *pack([0 if n == capacity else n for n in lengths], capacity)]):
             offset = 0
             for i, at, n in sequence:
+                if n == capacity == lengths[i]:
+                    out.append((keys[i], starts[i], n, sums[i], totals[i], (group << 32) + number, 0, ids[i] if with_ids else None))
+                    continue
                 part = ids[i][4 * at : 4 * (at + n)]
                 out.append((keys[i], starts[i] + at, n, zlib.crc32(part), totals[i], (group << 32) + number, offset, part if with_ids else None))
                 offset += n
@@ -212,5 +231,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, cap
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
     dealt = rows.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.monotonically_increasing_id()), F.lit(groups)))
-    pieces = dealt.mapInArrow(_pieces(tokenizer_path, end_id, capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long, ids binary")
+    pieces = dealt.mapInArrow(_pieces(tokenizer_path, end_id, capacity, groups, with_ids), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long, ids binary")
     return pieces.groupBy("grp").applyInPandas(_first_fit(capacity, with_ids), PIECES)

@@ -154,6 +154,28 @@ def test_pack_documents(spark, docs, texts):
     assert packing.pack_documents(empty(docs), path).count() == 0
 
 
+def test_long_documents_fill_whole_sequences(spark):
+    from tokenizers import Tokenizer
+
+    path, rng = public.path("word_bpe_49k.json"), random.Random(12)
+    texts = [sentence(n, rng) for n in (9000, 2500, 3, 5000)] + [" ".join(["a"] * 2047)] * 2
+    df = spark.createDataFrame([(i, t, i, "x") for i, t in enumerate(texts)] + [(None, texts[1], 0, "y")], "doc_id long, text string, grp int, ids string")
+    tokenizer = Tokenizer.from_file(path)
+    want = {i: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], np.uint32) for i, t in enumerate(texts)}
+    want[None] = want[1]
+    for with_ids in (True, False):
+        rows = packing.pack_documents(df, path, group_bytes=20_000, with_ids=with_ids).collect()
+        for key, ids in want.items():
+            own = sorted((r for r in rows if r.doc_id == key), key=lambda r: r.start)
+            assert [(r.start, r.ids_crc32, r.doc_tokens) for r in own] == [(a, zlib.crc32(ids[a : a + r.length].tobytes()), len(ids)) for a, r in zip(np.cumsum([0, *(r.length for r in own[:-1])]).tolist(), own)]
+            assert sum(r.length for r in own) == len(ids) and all((bytes(r.ids) == ids[r.start : r.start + r.length].tobytes()) if with_ids else r.ids is None for r in own)
+        sizes = Counter()
+        for r in rows:
+            sizes[r.sequence_id] += r.length
+        assert max(sizes.values()) == 2048 and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+        assert all(n == 2048 or n & (n - 1) == 0 for n in sizes.values())
+
+
 def test_null_texts_are_dealt_to_groups(spark):
     rows = spark.createDataFrame([(i, None) for i in range(300)], "doc_id long, text string")
     found = packing.pack_documents(rows, public.path("word_bpe_49k.json"), group_bytes=500).collect()
