@@ -175,7 +175,7 @@ def pack(lengths: Iterable[int], capacity: int) -> list[list[tuple[int, int, int
     return kept
 
 
-def _pieces(path: str, end_id: int, capacity: int, groups: int, with_ids: bool):
+def _pieces(path: str, end_id: int, capacity: int, n_groups: int, with_ids: bool):
     """Pieces of the documents, at most a sequence long. A whole one fills its sequence: it needs no ids to be packed, and goes to any group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +191,7 @@ def _pieces(path: str, end_id: int, capacity: int, groups: int, with_ids: bool):
                     for start in range(0, total, capacity):
                         part = ids[4 * start : 4 * (start + capacity)]
                         n, whole = len(part) // 4, len(part) == 4 * capacity
-                        rows.append((key, start, n, zlib.crc32(part), total, (group + 1 + start // capacity) % groups if whole else group, None if whole and not with_ids else part))
+                        rows.append((key, start, n, zlib.crc32(part), total, (group + 1 + start // capacity) % n_groups if whole else group, None if whole and not with_ids else part))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(),) * 6 + (pa.binary(),))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grp", "ids"])
 
     return run
