@@ -137,10 +137,14 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
         bugs = lookup.sampled(bugs, args.sample) if args.sample else bugs
         bugs = lookup.eager(bugs) if args.in_memory else bugs
         given = {"picks": args.picks, "dates": args.dates}
+        narrow = analyses.features(bugs)
+        if args.output:  # texts are read once for all analyses that need features alone
+            narrow.write.mode("overwrite").parquet(f"{args.output}/features")
+            narrow = spark.read.parquet(f"{args.output}/features")
         out = []
         for name in args.names or [n for n in analyses.REGISTRY if n != "backport-gt" or args.picks]:
             options = {k: spark.read.parquet(v) for k, v in given.items() if v} if name == "backport-gt" else {}
-            tables = analyses.run(name, bugs, **options)
+            tables = analyses.run(name, narrow if name in analyses.NARROW else bugs, **options)
             out.append(f"{name}: {sinks.write_tables(tables, args.output, name)}" if args.output else "\n".join(f"{name}.{k}\n{sinks.show(df)}\n" for k, df in tables.items()))
         return "\n".join(out)
     if command == "build-index":

@@ -11,11 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline import sinks
 from faultline.functions import rule_values as V
-from faultline.functions import taxonomy
+from faultline.functions import taxonomy, text
 from faultline.plans import analyses, backports, cross_layer, modes, timeline
-from faultline.sources import lookup
+from faultline.sources import lookup, mail, tracker
 from faultline.sources.schema import BUG
+from faultline.sources.tables import table
 from faultline.streaming import state
 
 PATHS = [
@@ -415,3 +417,134 @@ def deep_search(spark, sf):
 @register("SELECT count(*) AS records, count(*) FILTER (has_diff) AS ok, count(*) FILTER (NOT has_diff) AS no_commits, 0::BIGINT AS no_hash, 0::BIGINT AS fetch_failed, count(*) AS missing_crash_report, count(*) AS missing_c_reproducer, count(*) FILTER (k % 3 <> 1) AS missing_syz_reproducer FROM b")
 def missing_artifacts(spark, sf):
     return state.completeness(corpus(spark, sf))
+
+
+# Sources, sinks and lookup
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages")
+
+
+@register("SELECT bug_id, lpad(k::VARCHAR, 40, '0') AS fix_commit_hash, 'fix thing ' || (k % 7) AS fix_commit_message, 0 AS num_patch_versions, true AS has_discussion FROM b WHERE has_diff")
+def flat_entries(spark, sf):
+    return sinks.entries(corpus(spark, sf)).select("bug_id", "fix_commit_hash", "fix_commit_message", "num_patch_versions", "has_discussion")
+
+
+@register("SELECT count(*) AS total_bugs, count(*) FILTER (has_diff) AS with_patch, count(*) AS with_discussion, 0::BIGINT AS with_c_reproducer, 0::BIGINT AS multi_version, 0 AS max_versions FROM b")
+def stat_block(spark, sf):
+    return sinks.stat_block(corpus(spark, sf))
+
+
+@register("SELECT bug_id, len(list_distinct(xf))::INT AS n_files, coalesce(list_sum(list_transform(range(1, len(xf) + 1), lambda n: CASE WHEN list_contains(xf[n + 1:], xf[n]) THEN 0 ELSE xl[n] END)), 0)::BIGINT AS changed FROM b WHERE has_diff")
+def file_diff_map(spark, sf):
+    diffs = modes.file_diffs(F.col("fix_commits"))
+    rows = corpus(spark, sf).where(F.size("fix_commits") > 0).select("bug_id", diffs.alias("m"))
+    changed = F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, d: a + F.regexp_count(d, F.lit(r"(?m)^[+-]\t")))
+    return rows.select("bug_id", F.size("m").alias("n_files"), changed.alias("changed"))
+
+
+@register("SELECT bug_id, 'https://t/bug?extid=' || bug_id AS page, '' AS crash_report, '' AS syz_reproducer, 0 AS n_commits FROM b")
+def external_links(spark, sf):
+    found = corpus(spark, sf).select("bug_id", modes.external_links("https://t").alias("l"))
+    return found.select("bug_id", "l.page", "l.crash_report", "l.syz_reproducer", F.size("l.fix_commits").alias("n_commits"))
+
+
+@register(_CROSS + f" SELECT bug_id, CASE WHEN domain IS NULL THEN 'hsl(0, 0%, 80%)' ELSE 'hsl(' || floor((list_position({_list(taxonomy.DOMAINS)}, domain) - 1) * (360 / {len(taxonomy.DOMAINS)}))::INT || ', ' || CASE crash_layer_level WHEN 0 THEN '75%, 38%' WHEN 1 THEN '60%, 52%' ELSE '50%, 68%' END || ')' END AS colour FROM rel")
+def layer_colours(spark, sf):
+    return cross_layer.relations(corpus(spark, sf)).select("bug_id", modes.colour(F.col("domain"), F.col("crash_layer_level")).alias("colour"))
+
+
+@register(_CROSS + f" SELECT count(*) AS n FROM (SELECT *{_APART} FROM rel) WHERE CASE relation WHEN 'cross_layer' THEN domain = 'filesystem' WHEN 'cross_domain' THEN cd = 'filesystem' OR xd = 'filesystem' ELSE k IN (SELECT k FROM c1 JOIN x1 USING (k, domain) WHERE domain = 'filesystem') END")
+def domain_filter(spark, sf):
+    return cross_layer.relations(corpus(spark, sf)).where(modes.passes(domain="filesystem")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(_CROSS + " SELECT b.bug_id, b.title FROM b JOIN rel ON rel.k = b.k WHERE relation = 'cross_layer' AND domain = 'networking' AND NOT on_stack ORDER BY bug_id LIMIT 30")
+def listed_by_relation(spark, sf):
+    bugs = corpus(spark, sf)
+    return lookup.listed(lookup.index(bugs), related=cross_layer.relations(bugs), domain="networking", off_stack=True).select("bug_id", "title")
+
+
+@register(_CROSS + " SELECT b.bug_id, CASE WHEN rel.k IS NULL THEN 'n/a' WHEN on_stack THEN 'fix_on_stack' ELSE 'fix_off_stack' END AS overlap FROM b LEFT JOIN rel ON rel.k = b.k")
+def index_with_overlap(spark, sf):
+    bugs = corpus(spark, sf)
+    return lookup.with_overlap(lookup.index(bugs), cross_layer.relations(bugs)).select("bug_id", "overlap")
+
+
+@register("SELECT bug_id, title FROM b WHERE starts_with(bug_id, '00000000000000000007')")
+def point_lookup(spark, sf):
+    return lookup.by_prefix(corpus(spark, sf), "00000000000000000007").select("bug_id", "title")
+
+
+@register(", d AS (SELECT doc_id, quality FROM labels) SELECT step, count(*) AS n, sum(n_errors)::BIGINT AS n_errors FROM (SELECT CASE WHEN quality = 1 THEN 'syzbot_fetched' ELSE 'pending' END AS step, CASE WHEN quality = 0 THEN 1 ELSE 0 END AS n_errors FROM documents LEFT JOIN d USING (doc_id)) GROUP BY 1")
+def state_machine(spark, sf):
+    key = F.col("doc_id").cast("string").alias("bug_id")
+    known = state.add_keys(spark.createDataFrame([], state.STATE), table(spark, sf, "documents").select(key, F.col("source").alias("title")))
+    done = table(spark, sf, "labels").select(key, F.when(F.col("quality") == 0, "failed").alias("error"))
+    return state.advance(known, done, "syzbot_fetched").groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("errors")).alias("n_errors"))
+
+
+@register(", l AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\\s[^>]*href\\s*=\\s*\"([^\"]*)\"', 1) AS hrefs FROM pages) SELECT page_id, len(list_filter(hrefs, lambda h: contains(h, '/t')))::INT AS n FROM l")
+def page_threads(spark, sf):
+    return _pages(spark, sf).select("page_id", F.size(tracker.page_links(F.col("html"), "/t")).alias("n"))
+
+
+@register(", u AS (SELECT page_id, left(sha256(url), 16) AS cache_key, CASE WHEN regexp_matches(url, '[?&]id=[^&]') THEN regexp_extract(url, '[?&]id=([^&#]*)', 1) ELSE regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/*$', 1) END AS record_id FROM pages) SELECT * FROM u")
+def landed_keys(spark, sf):
+    return _pages(spark, sf).select("page_id", tracker.cache_key(F.col("url")).alias("cache_key"), tracker.record_id(F.col("url")).alias("record_id"))
+
+
+@register(", h AS (SELECT p_partkey AS k, md5(p_name) AS hash, CASE WHEN p_size % 2 = 0 THEN 'https://git.k/' || p_partkey || '.git/commit/?id=' || md5(p_name) ELSE '' END AS link FROM part) SELECT k, '[' || array_to_string(list_filter([CASE WHEN link <> '' THEN replace(link, '/commit/?id=', '/patch/?id=') END, 'https://git.k/main/patch/?id=' || hash], lambda x: x IS NOT NULL), ', ') || ']' AS urls FROM h")
+def patch_addresses(spark, sf):
+    hash_ = F.md5("p_name")
+    link = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("https://git.k/"), F.col("p_partkey").cast("string"), F.lit(".git/commit/?id="), hash_)).otherwise("")
+    urls = tracker.patch_urls(link, hash_, F.lit("https://elsewhere/x.git"), "git.k", ["https://git.k/main/patch/?id={hash}"])
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit("["), F.array_join(urls, ", "), F.lit("]")).alias("urls"))
+
+
+@register(", m AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, role, regexp_replace(replace(text, chr(13), ''), '\\s+$', '') AS text FROM conversations WHERE text IS NOT NULL) SELECT conv_id, place::INT AS place, role || ' <' || role || '@x>' AS from_addr, '[PATCH v' || (turn + 1) || '] s' AS subject, (turn + 1)::INT AS version, md5(text) AS body FROM m")
+def mail_archives(spark, sf):
+    mail.register(spark)
+    one = F.concat(
+        F.lit("From x\nFrom: "), "role", F.lit(" <"), "role", F.lit("@x>\nSubject: [PATCH v"), (F.col("turn") + 1).cast("string"), F.lit("] s\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"),
+        F.regexp_replace("text", r"(?m)^(>*From )", ">$1"), F.lit("\n\n"),
+    )
+    archive = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", one.alias("m")))), lambda x: x["m"]), "").cast("binary")
+    table(spark, sf, "conversations").where("text IS NOT NULL").groupBy("conv_id").agg(archive.alias("archive")).createOrReplaceTempView("_faultline_conversations")
+    rows = spark.sql("SELECT c.conv_id, m.* FROM _faultline_conversations c, LATERAL read_mbox(c.archive) m")
+    return rows.select("conv_id", "place", "from_addr", "subject", text.subject_version(F.col("subject"), "list").alias("version"), F.md5(F.regexp_replace(F.regexp_replace("body", "\r", ""), r"\s+$", "")).alias("body"))
+
+
+@register(", o AS (SELECT o_orderkey, o_orderdate, (o_orderkey % 5 - 2)::INT AS z FROM orders) SELECT o_orderkey, epoch(o_orderdate)::BIGINT - z * 3600 AS instant, epoch(o_orderdate)::BIGINT AS wall FROM o")
+def mail_dates(spark, sf):
+    z = (F.col("o_orderkey") % 5 - 2).cast("int")
+    zone = F.concat(F.when(z < 0, "-").otherwise("+"), F.lpad(F.abs(z).cast("string"), 2, "0"), F.lit("00 (X)"))
+    day = F.date_format("o_orderdate", "d MMM yyyy HH:mm:ss")
+    sent = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Mon, "), day, F.lit(" "), zone)).otherwise(F.concat(day, F.lit(" "), zone))
+    rows = table(spark, sf, "orders").select("o_orderkey", sent.alias("d"))
+    return rows.select("o_orderkey", F.unix_seconds(text.mail_instant(F.col("d"))).alias("instant"), F.unix_seconds(text.wall_clock(F.col("d"))).alias("wall"))
+
+
+@register(""", e AS (SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS t FROM documents) SELECT doc_id, md5(t) AS escaped, CASE WHEN length(t) > 500 THEN left(t, 500) || chr(10) || '... (' || (length(t) - 500) || ' more chars)' ELSE t END AS shown FROM e""")
+def escaped_texts(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", modes.escaped(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.md5("t").alias("escaped"), sinks.with_suffix(F.col("t"), 500).alias("shown"))
+
+
+@register(", n AS (SELECT k, bug_id, 1 + k % 4 + CASE WHEN k % 10 = 0 THEN 2 WHEN k % 5 = 0 THEN 1 ELSE 0 END AS n FROM b) SELECT bug_id, (CASE WHEN k % 5 = 0 THEN 1 + k % 4 + 2 ELSE n + 1 END)::INT AS n_threads, ((k % 2 = 0)::INT + 1)::INT AS first_mails FROM n")
+def threads_of_other_sources(spark, sf):
+    """A thread of a new address joins each record, addresses known already don't; a comment joins the thread of its subject."""
+    bugs = corpus(spark, sf)
+    first = bugs.withColumn("discussions", F.transform("discussions", lambda d, i: F.when(i == 0, d.withField("messages", F.slice(d["messages"], 1, 1))).otherwise(d)))
+    ids = bugs.select("bug_id", F.col("bug_id").cast("long").alias("k"))
+    more = ids.select("bug_id", F.explode(F.array(F.concat(F.col("k").cast("string"), F.lit("1")), F.lit("new"))).alias("url"), F.lit("[PATCH] new").alias("subject"), F.lit(1).alias("patch_version"))
+    comments = ids.where("k % 2 = 0").select("bug_id", F.lit("[PATCH] x").alias("patch_name"), F.lit("u").alias("url"), F.lit(1).alias("place"), *(F.lit("").alias(c) for c in ("message_id", "name", "address", "date", "subject", "content")))
+    found = tracker.add_comments(tracker.add_threads(first, more), comments)
+    return found.select("bug_id", F.size("discussions").alias("n_threads"), F.size(F.get("discussions", F.lit(0))["messages"]).alias("first_mails"))
+
+
+@register(", v AS (SELECT k, bug_id, unnest(range(1, 2 + k % 4)) AS v FROM b) SELECT bug_id, v::INT AS version, ((k + v) % 3 + 1)::INT AS n_mails, '[PATCH' || CASE WHEN v = 1 THEN '' ELSE ' v' || v END || '] x' AS subject, ((k + v) % 2 + 1)::INT AS n_files FROM v")
+def assembled_versions(spark, sf):
+    rows = corpus(spark, sf).select("bug_id", F.explode(mail.patch_versions(F.col("discussions"))).alias("v"))
+    return rows.select("bug_id", "v.version", F.size("v.discussion").alias("n_mails"), "v.subject", F.size(text.fix_files(F.col("v.diff"))).alias("n_files"))

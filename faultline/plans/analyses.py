@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from faultline.functions import rules, stats, text
 from faultline.functions import rule_values as V
 from faultline.plans import backports, cross_layer
-from faultline.sources.schema import derived
+from faultline.sources.schema import derived, settled
 
 Tables = dict[str, DataFrame]
 REGISTRY: dict[str, Callable[..., Tables]] = {}
+#: Analyses that need features alone: they run as well on a table of them, written once.
+NARROW = ("bugtype", "fixpattern", "revision", "patchdiff", "locality", "difficulty", "casestudy", "insights")
 #: Crash lines that a record's class is read from, and least characters of a reproducer, more than which it counts (fixed values).
 CLASS_LINES, LEAST_REPRODUCER = 50, 20
 #: Numbers of first lines of a crash text in which frames are counted again (fixed values).
@@ -114,7 +116,9 @@ def _revision(b: DataFrame) -> DataFrame:
 
 
 def features(bugs: DataFrame) -> DataFrame:
-    """The narrow row of each record that all analyses share."""
+    """The narrow row of each record that analyses share. Given such rows, as read from a table of them, they stay as they are."""
+    if "bug_type" in bugs.columns:
+        return bugs
     b = _revision(derived(bugs)).withColumn("frames", text.stack_frames(F.col("crash_text")))
     diff, frames = F.col("diff"), F.col("frames")
     instant = lambda c: F.when(F.col(c).rlike(_INSTANT), text.iso_instant(F.col(c)))
@@ -122,14 +126,14 @@ def features(bugs: DataFrame) -> DataFrame:
     kept = F.filter("discussions", lambda d: ~F.coalesce(text.is_backport_thread(_or_empty(d["subject"]), d["patch_version"], _messages(d)), F.lit(False)))
     lines_of = lambda i: text.patch_size(_submitted_diff(_messages(F.get("threads", F.lit(i))["thread"])))
     files_of = lambda i: text.fix_files(_submitted_diff(_messages(F.get("threads", F.lit(i))["thread"])))
-    return b.select(
+    return settled(b.select(
         "bug_id", "title", _or_empty(F.get("fix_commits", F.lit(0))["title"]).alias("first_title"), bug_type(F.col("title"), F.col("crash_text")).alias("bug_type"), fix_patterns(diff, F.col("fix_title")).alias("patterns"), (diff != "").alias("has_diff"),
         F.when(diff != "", text.patch_size(diff)).alias("lines"), F.greatest(F.size(text.fix_files(diff)), F.lit(1)).alias("n_files"), F.col("n_versions").alias("iterations"), F.when(days >= 0, days).alias("fix_days"),
         locality(frames, diff).alias("locality"), locality_score(frames, diff).alias("locality_score"), (F.length("c_text") > LEAST_REPRODUCER).alias("has_c"),
         F.coalesce(F.exists("crashes", lambda c: F.length(c["syz_reproducer"]) > LEAST_REPRODUCER), F.lit(False)).alias("has_syz"), F.size("frames").alias("n_frames"),
         F.aggregate(F.transform(kept, lambda d: F.size(_reviews(_messages(d)))), F.lit(0), lambda a, x: a + x).alias("n_reviews"), "categories", "meta",
         lines_of(0).alias("v1_lines"), lines_of(1).alias("v2_lines"), files_of(0).alias("v1_files"), files_of(1).alias("v2_files"),
-    )
+    ))
 
 
 _median = stats.upper_median
@@ -398,6 +402,7 @@ def transitions(bugs: DataFrame) -> DataFrame:
     b = b.select("bug_id", "title", F.col("step.a.version").alias("from_version"), F.col("step.b.version").alias("to_version"), _reviews(old).alias("_reviews"), _changelog(new).alias("changelog"), _submitted_diff(old).alias("_d1"), _submitted_diff(new).alias("_d2"), F.filter(new, lambda m: text.is_submission(_or_empty(m["subject"]))).alias("_sent"))
     feedback = F.array_sort(F.array_distinct(F.flatten(F.transform("_reviews", lambda m: rules.multi_label(text.review_text(_or_empty(m["body"])), V.REVIEW_CATEGORIES)))))
     b = b.withColumn("feedback_categories", feedback).withColumn("changelog_categories", F.when(F.col("changelog") != "", rules.multi_label(F.col("changelog"), V.REVIEW_CATEGORIES)).otherwise(F.array().cast("array<string>")))
+    b = settled(b)
     named = rules.labels([(n, F.lower("changelog").rlike("|".join(w for w in n.split("_") if len(w) > 3)) if any(len(w) > 3 for w in n.split("_")) else F.lit(False)) for n, _ in V.REVIEW_CATEGORIES])
     left = F.array_except("feedback_categories", "changelog_categories")
     total = F.size("feedback_categories")

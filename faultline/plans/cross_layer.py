@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import rules, taxonomy, text
-from faultline.sources.schema import derived
+from faultline.sources.schema import derived, settled
 
 #: Frames kept of a report, and frames of a domain among which its primary layer is looked for (fixed values).
 KEPT_FRAMES, WINDOW = 10, 5
@@ -28,11 +28,6 @@ def _most(values: Column, weights: Callable[[Column], Column]) -> Column:
     return F.coalesce(_heaviest(F.transform(values, lambda v: F.struct(v.alias("v"), weights(v).alias("w"))), lambda x: x["w"])["v"], F.lit(""))
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """df with its columns computed here: a row passes a generator of one row, into which the optimizer copies nothing that comes after."""
-    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")
-
-
 def relations(bugs: DataFrame, layers: list[rules.Layer] | None = None, infrastructure: Callable[[Column], Column] = taxonomy.is_infrastructure) -> DataFrame:
     """A row for each record with frames and fixed files that can be related.
 
@@ -48,12 +43,12 @@ def relations(bugs: DataFrame, layers: list[rules.Layer] | None = None, infrastr
     # Each path is placed once, in a map of the row.
     paths = F.array_distinct(F.concat(crash_files, "fix_files"))
     at = F.map_from_entries(F.transform(paths, lambda p: F.struct(p.alias("path"), rules.taxonomy(p, layers).alias("at"))))
-    base = _settled(base.withColumn("at", at).withColumn("infra", F.filter(paths, infrastructure)))
+    base = settled(base.withColumn("at", at).withColumn("infra", F.filter(paths, infrastructure)))
     base = base.withColumn("stack_overlap", F.when(F.arrays_overlap(crash_files, "fix_files"), "fix_on_stack").otherwise("fix_off_stack")).withColumn("crash_files", F.array_distinct(crash_files))
     placed = base.withColumn(
         "frames", F.filter(F.transform("frames", lambda f: F.struct(f["file"].alias("file"), f["function"].alias("function"), f["line"].alias("line"), f["is_inline"].alias("is_inline"), F.array_contains("infra", f["file"]).alias("infra"), F.try_element_at("at", f["file"]).alias("layer"))), lambda f: f["layer"].isNotNull())
     ).withColumn("fixed", F.filter(F.transform("fixed", lambda x: F.struct(x["path"].alias("path"), F.greatest(x["lines"], F.lit(1)).alias("lines"), F.try_element_at("at", x["path"]).alias("layer"))), lambda x: x["layer"].isNotNull()))
-    placed = _settled(placed.drop("at", "infra"))
+    placed = settled(placed.drop("at", "infra"))
     own_layers = F.array_distinct(F.transform("fixed", lambda x: x["layer"]))
 
     def weighed(layer: Column) -> Column:
@@ -66,7 +61,7 @@ def relations(bugs: DataFrame, layers: list[rules.Layer] | None = None, infrastr
     domains = lambda c: F.array_distinct(F.transform(c, lambda x: x["layer"]["domain"]))
     placed = placed.withColumn("crash_domains", domains("frames")).withColumn("fix_domains", domains("fix_layers")).withColumn("shared_domains", F.array_sort(F.array_intersect("crash_domains", "fix_domains")))
 
-    placed = _settled(placed)
+    placed = settled(placed)
 
     def finding(domain: Column) -> Column:
         near = F.slice(F.filter("frames", lambda f: f["layer"]["domain"] == domain), 1, WINDOW)
@@ -80,7 +75,7 @@ def relations(bugs: DataFrame, layers: list[rules.Layer] | None = None, infrastr
         )
 
     placed = placed.withColumn("findings", F.filter(F.transform("shared_domains", finding), lambda x: x["crash_layer_level"] != x["fix_layer_level"]))
-    placed = _settled(placed)
+    placed = settled(placed)
     top = F.get("findings", F.lit(0))
     relation = F.when(F.size("shared_domains") == 0, "cross_domain").when(F.size("findings") == 0, "same_layer").otherwise("cross_layer")
     apart = F.size("shared_domains") == 0

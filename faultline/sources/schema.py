@@ -47,6 +47,11 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return good.select(columns)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df with its columns computed here: a row passes a generator of one row, through which the optimizer copies no expression to each of its uses."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")
+
+
 def derived(bugs: DataFrame) -> DataFrame:
     """With the views that analyses share: crash text, first diff and its title, versions, counts."""
     first_crash = lambda f: F.coalesce(F.nullif(F.col(f), F.lit("")), F.get("crashes", F.lit(0))[f], F.lit(""))
