@@ -269,9 +269,9 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 
 
 def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """A row of docs, all columns, for each (kept_id, kept_sum), and all rows without a doc_id."""
-    sums = docs.where(F.col("doc_id").isNotNull()).withColumn("kept_id", F.col("doc_id").cast("long")).withColumn("kept_sum", text_sum())
-    stay = sums.join(kept, ["kept_id", "kept_sum"], "left_semi").dropDuplicates(["kept_id", "kept_sum"]).select(docs.columns)
+    """A row of docs, all columns, whatever their names, for each (kept_id, kept_sum), and all rows without a doc_id."""
+    sums = docs.where(F.col("doc_id").isNotNull()).select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("kept_id"), text_sum().alias("kept_sum"))
+    stay = sums.join(kept, ["kept_id", "kept_sum"], "left_semi").dropDuplicates(["kept_id", "kept_sum"]).select("row.*")
     return stay.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
