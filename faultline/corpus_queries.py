@@ -18,7 +18,7 @@ from faultline.plans import analyses, backports, cross_layer, modes, timeline
 from faultline.sources import lookup, mail, tracker
 from faultline.sources.schema import BUG
 from faultline.sources.tables import table
-from faultline.streaming import state
+from faultline.streaming import ingest, state
 
 PATHS = [
     "fs/ext4/super.c", "fs/super.c", "fs/namei.c", "fs/iomap/direct-io.c", "fs/btrfs/inode.c", "fs/inode.c", "net/core/dev.c", "net/ipv4/tcp.c", "drivers/net/tun.c", "net/socket.c", "mm/slab.c", "mm/page_alloc.c",
@@ -26,7 +26,7 @@ PATHS = [
 ]
 TITLES = ["KASAN: use-after-free Read in fn1", "possible deadlock in fn2", "WARNING in fn3", "memory leak in fn4", "KMSAN: uninit-value in fn5", "KCSAN: data-race in fn6", "general protection fault in fn7", "odd report"]
 KINDS = ["+\tif (!ptr)", "+\tspin_lock(&l);", "-\told();", "+\tkfree(p);", "+\tret = work();"]
-REVIEWS = ["This is wrong.\nIt does not do that.", "There is a race here.\nTwo callers meet.", "The coding style is off.\nRead it again.", "Looks fine to me.\nNo more to say.", "This is slow.\nThe overhead is large.", "This API is odd.\nAnd the naming too.", "The commit message is short.\nSay more."]
+REVIEWS = ["This is wrong.\nIt does not do that.", "There is a race here.\nTwo callers meet.", "The coding style is off.\nRead it again.", "Looks fine to me.\nYou should say why.", "This is slow.\nPlease measure the overhead.", "This API is odd.\nAnd the naming too.", "The commit message is short.\nSay more."]
 NOTES = ["wrong result", "the race", "coding style", "nothing much", "overhead", "the API", "commit message"]
 
 
@@ -482,7 +482,8 @@ def state_machine(spark, sf):
     key = F.col("doc_id").cast("string").alias("bug_id")
     known = state.add_keys(spark.createDataFrame([], state.STATE), table(spark, sf, "documents").select(key, F.col("source").alias("title")))
     done = table(spark, sf, "labels").select(key, F.when(F.col("quality") == 0, "failed").alias("error"))
-    return state.advance(known, done, "syzbot_fetched").groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("errors")).alias("n_errors"))
+    after = state.advance(known, done, "syzbot_fetched")
+    return ingest.progress(after).join(after.groupBy("step").agg(F.sum(F.size("errors")).alias("n_errors")), "step")
 
 
 @register(", l AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\\s[^>]*href\\s*=\\s*\"([^\"]*)\"', 1) AS hrefs FROM pages) SELECT page_id, len(list_filter(hrefs, lambda h: contains(h, '/t')))::INT AS n FROM l")
@@ -548,3 +549,28 @@ def threads_of_other_sources(spark, sf):
 def assembled_versions(spark, sf):
     rows = corpus(spark, sf).select("bug_id", F.explode(mail.patch_versions(F.col("discussions"))).alias("v"))
     return rows.select("bug_id", "v.version", F.size("v.discussion").alias("n_mails"), "v.subject", F.size(text.fix_files(F.col("v.diff"))).alias("n_files"))
+
+
+@register("SELECT bug_id, len(xf)::INT AS n_files, coalesce(list_sum(list_transform(range(1, len(xl) + 1), lambda n: CASE WHEN xk[n] = 2 THEN 0 ELSE xl[n] END)), 0)::INT AS additions, coalesce(list_sum(list_transform(range(1, len(xl) + 1), lambda n: CASE WHEN xk[n] = 2 THEN xl[n] ELSE 0 END)), 0)::INT AS deletions, len(xf)::INT AS hunks FROM b WHERE has_diff")
+def patch_statistics(spark, sf):
+    rows = corpus(spark, sf).where(F.size("fix_commits") > 0).select("bug_id", text.diff_stats(F.get("fix_commits", F.lit(0))["patch_diff"]).alias("s"))
+    return rows.select("bug_id", F.size("s.files").alias("n_files"), "s.additions", "s.deletions", "s.hunks")
+
+
+@register("SELECT bug_id, list_sort(list_distinct(list_filter(list_transform(xf, lambda p: split_part(p, '/', 1)), lambda d: d <> 'lib')))::VARCHAR AS tops FROM b WHERE has_diff")
+def files_by_domain(spark, sf):
+    """Top folders of the files that some domain has, from the map of domains to files; only lib/ is in none."""
+    files = text.fix_files(F.get("fix_commits", F.lit(0))["patch_diff"])
+    found = corpus(spark, sf).where(F.size("fix_commits") > 0).select("bug_id", taxonomy.files_by_domain(files).alias("m"))
+    tops = F.array_sort(F.array_distinct(F.transform(F.flatten(F.map_values("m")), lambda x: F.substring_index(x["path"], "/", 1))))
+    return found.select("bug_id", F.concat(F.lit("["), F.array_join(tops, ", "), F.lit("]")).alias("tops"))
+
+
+_ASKS = " OR ".join(f"regexp_matches(l, {_list([p])[1:-1]}, 'i')" for _, p in V.ACTIONS)
+
+
+@register(f""", a AS (SELECT i, len(list_filter(string_split(text, chr(10)), lambda l: length(l) >= {V.LEAST_LINE} AND ({_ASKS}))) AS n FROM t), s AS (SELECT bug_id, unnest(range(1, 1 + k % 4)) AS v FROM b WHERE k % 4 >= 1)
+SELECT s.bug_id, s.v::INT AS from_version, count(r.i)::INT AS n_reviews, coalesce(sum(a.n), 0)::INT AS n_asked FROM s LEFT JOIN r USING (bug_id, v) LEFT JOIN a ON a.i = (r.k + r.v + r.i) % 7 GROUP BY 1, 2""")
+def review_snippets(spark, sf):
+    rows = analyses.transitions(corpus(spark, sf))
+    return rows.select("bug_id", "from_version", F.col("num_reviews").alias("n_reviews"), F.size("snippets").alias("n_asked"))

@@ -142,7 +142,6 @@ BOTS = [r"syzbot", r"patchwork-bot", r"kernel test robot", r"lkp@intel\.com", r"
 STABLE_SENDER, STABLE_MAIL = "sashal@kernel.org", r"This is an automated email"
 STABLE_REVIEW = [r"stable review cycle", r"review patch.*queued.*stable"]
 TAG_ONLY = r"Reviewed-by|Acked-by|Tested-by|LGTM|Applied|Thanks"
-REVIEW_TAGS = ["Reviewed-by", "Acked-by", "Tested-by", "Signed-off-by", "Suggested-by", "Reported-by"]
 
 
 def is_bot(sender: Column, body: Column) -> Column:

@@ -107,9 +107,3 @@ def backfill(bugs: DataFrame, patches: DataFrame) -> DataFrame:
     found = patches.groupBy("bug_id").agg(F.map_from_entries(F.collect_set(F.struct("hash", "patch_diff"))).alias("_found"))
     fixed = F.transform("fix_commits", lambda c: F.when((F.coalesce(c["patch_diff"], F.lit("")) == "") & F.col("_found").isNotNull(), c.withField("patch_diff", F.coalesce(F.try_element_at("_found", c["hash"]), c["patch_diff"]))).otherwise(c))
     return bugs.join(found, "bug_id", "left").withColumn("fix_commits", fixed).drop("_found")
-
-
-def quarantined(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of a tolerant read (with _corrupt_record): good ones without that column, and broken ones."""
-    broken = F.col("_corrupt_record").isNotNull()
-    return raw.where(~broken).drop("_corrupt_record"), raw.where(broken)
