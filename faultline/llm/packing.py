@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from string import ascii_lowercase
 
 import numpy as np
 import pandas as pd
@@ -34,8 +33,8 @@ class WordEncoder:
     bytes twice; later ones go again after the slice of texts that they stand in.
     """
 
-    #: Characters that stay as they are under NFC and that lower() treats one by one.
-    PLAIN = regex.compile("[\x21-\x7e\xa1-įı-ſ]+")
+    #: Characters but those that stay as they are under NFC and that lower() treats one by one.
+    ODD = "[^\n\x21-\x7e\xa1-įı-ſ]"
 
     def __init__(self, path: str, most: int = 64_000_000):
         import json
@@ -49,9 +48,11 @@ class WordEncoder:
         self.suffix = spec["model"].get("end_of_word_suffix")
         if kinds != ["NFC", "Replace", "Lowercase"] or len(splits) != 1 or not self.suffix:
             raise ValueError(f"{path}: a lower-casing BPE with word ends is asked for")
-        self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
-        self.special = regex.compile("|".join(regex.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)")
-        self.lone = self.pattern.findall(ascii_lowercase) == [ascii_lowercase]
+        special = [regex.escape(x["content"]) for x in spec["added_tokens"]]
+        #: What keeps a part from being taken apart here, and pre-tokens of a text whose lines are parts, line ends among them.
+        self.odd, self.lines = regex.compile("|".join([self.ODD, *special])), regex.compile(rf"{splits[0]['pattern']['Regex']}|\n")
+        if self.lines.findall("a\nb") != ["a", "\n", "b"]:
+            raise ValueError(f"{path}: a pattern that ends at line ends is asked for")
         ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             ends[i] = token.endswith(self.suffix)
@@ -59,10 +60,10 @@ class WordEncoder:
         self.parts, self.pretokens = common.Memory(most, ENTRY), common.Memory(most, ENTRY)
 
     def _encode_pretokens(self, new: list[str]) -> None:
-        """Many pre-tokens to a call; each ends with the one token that has the word end."""
-        for i in range(0, len(new), 256):
-            some = new[i : i + 256]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+        """Many pre-tokens to a text; each ends with the one token that has the word end."""
+        chunks = [new[i : i + 256] for i in range(0, len(new), 256)]
+        for some, x in zip(chunks, self.tokenizer.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False)):
+            ids = np.array(x.ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some) and (not len(ids) or cuts[-1] == len(ids)):
                 at = 0
@@ -74,31 +75,27 @@ class WordEncoder:
                     self.pretokens[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def _add(self, parts: list[bytes]) -> None:
-        """Fills self.parts."""
-        split: dict[bytes, Iterable[str]] = {}
-        whole: list[bytes] = []
-        new: dict[str, None] = {}
-        known, plain, special, findall, lone = self.pretokens, self.PLAIN.fullmatch, self.special.search, self.pattern.findall, self.lone
-        for part in parts:
-            if lone and part.isalpha():  # ASCII letters alone
-                word = part.decode().lower()
-                split[part] = (word,)
-                if word not in known:
-                    new[word] = None
-                continue
-            text = part.decode("utf-8", "replace")
-            if plain(text) and not special(text):
-                split[part] = found = findall(text.lower())
-                for word in found:
-                    if word not in known:
-                        new[word] = None
-            else:
-                whole.append(part)
-        self._encode_pretokens(list(new))
-        for part, found in split.items():
-            self.parts[part] = b"".join(map(self.pretokens.__getitem__, found))
-        for part, x in zip(whole, self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in whole], add_special_tokens=False)):
-            self.parts[part] = np.array(x.ids, np.uint32).tobytes()
+        """Fills self.parts. Parts that are plain are taken apart all at once, as one text with a line for each."""
+        text = b"\n".join(parts).decode("utf-8", "replace")
+        if self.odd.search(text):
+            odd = [bool(self.odd.search(x)) for x in text.split("\n")]
+            self._add([p for p, x in zip(parts, odd) if not x])
+            whole = [p for p, x in zip(parts, odd) if x]
+            for part, x in zip(whole, self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in whole], add_special_tokens=False)):
+                self.parts[part] = np.array(x.ids, np.uint32).tobytes()
+            return
+        found = self.lines.findall(text.lower())
+        known = self.pretokens
+        new = [x for x in dict.fromkeys(found) if x != "\n" and x not in known]
+        self._encode_pretokens(new)
+        known["\n"] = b"\xff\xff\xff\xff"  # no id
+        ids = b"".join(map(known.__getitem__, found))
+        del known["\n"]
+        ends = np.flatnonzero(np.frombuffer(ids, np.uint32) == 0xFFFFFFFF).tolist() if parts else []
+        at = 0
+        for part, end in zip(parts, [*ends, len(ids) // 4]):
+            self.parts[part] = ids[4 * at : 4 * end]
+            at = end + 1
         self.pretokens.keep(new)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
