@@ -143,14 +143,15 @@ class BiGru:
 
 
 class Reader:
-    """A network made ready for reading: weights of both directions side by side, gates' inputs halved for the tangent."""
+    """A network made ready for reading: weights of both directions side by side, gates apart from the candidate, gates' inputs halved for the tangent."""
 
     def __init__(self, network: BiGru):
         n, p = network.units, network.p
-        half = np.concatenate([np.full(2 * n, 0.5), np.ones(n)]).astype(np.float32)
-        self.units, self.classes = n, p["w"].shape[1]
-        self.x = np.stack([p["xf"], p["xb"]]) * half
-        self.u = np.stack([p["uf"], p["ub"]]) * half
+        both = lambda name, part, scale: np.stack([p[f"{name}{d}"][:, part] for d in "fb"]) * np.float32(scale)
+        gates, new = slice(0, 2 * n), slice(2 * n, None)
+        self.units = n
+        self.x_gates, self.x_new = both("x", gates, 0.5).reshape(512, -1), both("x", new, 1).reshape(512, -1)
+        self.u_gates, self.u_new = both("u", gates, 0.5), both("u", new, 1)
         self.b = np.stack([p["bf"], p["bb"]])[:, None, :]
         self.w, self.c = p["w"].reshape(2, n, -1), p["c"]
 
@@ -159,21 +160,29 @@ class Reader:
         n, (windows, steps) = self.units, grid.shape
         place = np.arange(steps)
         turn = np.where(place < lengths[:, None], lengths[:, None] - 1 - place, place)
-        both = np.ascontiguousarray(np.stack([grid, np.take_along_axis(grid, turn, 1)]).transpose(2, 0, 1))
-        h, states = np.zeros((2, windows, n), np.float32), np.empty((2, steps, windows, n), np.float32)
+        rows = np.empty((steps, 2, windows), np.int64)  # the second direction's bytes have rows of their own
+        rows[:, 0], rows[:, 1] = grid.T, np.take_along_axis(grid, turn, 1).T
+        rows[:, 1] += 256
+        h, states = np.zeros((2, windows, n), np.float32), np.empty((steps, 2, windows, n), np.float32)
+        gates, x_gates = np.empty((2, 2, windows, 2 * n), np.float32)
+        new, x_new = np.empty((2, 2, windows, n), np.float32)
+        keep, reset = gates[:, :, :n], gates[:, :, n:]
         for t in range(steps):
-            x = np.stack([self.x[0][both[t, 0]], self.x[1][both[t, 1]]])
-            a = h @ self.u
-            gates = np.tanh(x[:, :, : 2 * n] + a[:, :, : 2 * n])
+            np.matmul(h, self.u_gates, out=gates)
+            gates += np.take(self.x_gates, rows[t], axis=0, out=x_gates, mode="clip")
+            np.tanh(gates, out=gates)
             gates *= 0.5
             gates += 0.5
-            new = a[:, :, 2 * n :] + self.b
-            new *= gates[:, :, n:]
-            new += x[:, :, 2 * n :]
+            np.matmul(h, self.u_new, out=new)
+            new += self.b
+            new *= reset
+            new += np.take(self.x_new, rows[t], axis=0, out=x_new, mode="clip")
             np.tanh(new, out=new)
-            h = new + gates[:, :, :n] * (h - new)
-            states[:, t] = h
-        ahead, behind = (states[d].transpose(1, 0, 2) @ self.w[d] for d in (0, 1))
+            h -= new
+            h *= keep
+            h += new
+            states[t] = h
+        ahead, behind = (states[:, d].transpose(1, 0, 2) @ self.w[d] for d in (0, 1))
         scores = ahead + np.take_along_axis(behind, turn[:, :, None], 1) + self.c
         scores -= scores.max(2, keepdims=True)
         np.exp(scores, out=scores)
