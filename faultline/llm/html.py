@@ -3,14 +3,16 @@
 Markup is stripped to lines, one to a block element. Lines of page furniture (navigation, headers, adverts, comments and
 the like) are empty: a whole window of them parts what stands before from what follows; other containers begin and end
 with one. Summed over a sliding window of lines the text lengths surge where an article begins and dive where it ends; all
-text between the first surge and the last dive is kept.
+text between the first surge and the last dive is kept, and what else the container of that text holds.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -128,11 +130,16 @@ class Walk:
     def __init__(self) -> None:
         self.stack: list[tuple[str, bool, bool, int]] = [("", False, False, -1)]  # name, within furniture, within an article, token
         self.blocks: list[int] = []
+        self.containers: list[tuple[int, int]] = []  # depth, token
+        self.within: dict[int, int] = {}  # a container's own one
         self.open: dict[str, int] = {}
 
     def push(self, name: str, furniture: bool, article: bool, token: int) -> None:
         if name in BLOCK:
             self.blocks.append(len(self.stack))
+        if name in CONTAINER and name != "body":
+            self.within[token] = self.container()
+            self.containers.append((len(self.stack), token))
         self.open[name] = self.open.get(name, 0) + 1
         self.stack.append((name, furniture, article, token))
 
@@ -144,8 +151,13 @@ class Walk:
             self.open[name] -= 1
         while self.blocks and self.blocks[-1] >= depth:
             self.blocks.pop()
+        while self.containers and self.containers[-1][0] >= depth:
+            self.containers.pop()
         return gone
 
+    def container(self) -> int:
+        return self.containers[-1][1] if self.containers else -1
+
     def before(self, name: str) -> list[tuple[str, bool, bool, int]]:
         """A paragraph ends where a block begins; an item where the next one does."""
         if name in BLOCK and self.blocks:
@@ -177,9 +189,18 @@ def endless(found: list[tuple[str, str, str]]) -> set[int]:
     return out | {x[3] for x in walk.stack[1:]}
 
 
-def lines_of(html: str) -> list[tuple[str, bool]]:
-    """Lines of the page: (text, or empty at furniture and container ends; whether an article holds it)."""
-    lines: list[tuple[str, bool]] = []
+class Line(NamedTuple):
+    """Text, or empty at furniture and container ends; whether an article holds it; its container (-1: none but the body); whether it is a title."""
+
+    text: str
+    article: bool
+    container: int = -1
+    title: bool = False
+
+
+def lines_of(html: str) -> tuple[list[Line], dict[int, int]]:
+    """Lines of the page, and the container that each container is in."""
+    lines: list[Line] = []
     words: list[str] = []
     found, walk = tokens(html), Walk()
     unended = endless(found)
@@ -189,12 +210,12 @@ def lines_of(html: str) -> list[tuple[str, bool]]:
             line = " ".join(unescape("".join(words)).split())
             words.clear()
             if line:
-                lines.append((line, walk.stack[-1][2]))
+                lines.append(Line(line, walk.stack[-1][2], walk.container(), bool(walk.open.get("h1"))))
 
     def gap(size: int) -> None:
         for place in range(1, size + 1):
-            if len(lines) < place or lines[-place][0]:
-                lines.extend([("", walk.stack[-1][2])] * (size - place + 1) if lines else [])
+            if len(lines) < place or lines[-place].text:
+                lines.extend([Line("", walk.stack[-1][2])] * (size - place + 1) if lines else [])
                 break
 
     for i, (kind, name, attributes) in enumerate(found):
@@ -223,7 +244,29 @@ def lines_of(html: str) -> list[tuple[str, bool]]:
             gap(WINDOW if furniture or article and not within[2] else 1)
         walk.push(name, within[1] or furniture, within[2] or article, i)
     end_line()
-    return lines
+    return lines, walk.within
+
+
+def bounds(lines: list[Line], within: dict[int, int], found: list[tuple[int, int]]) -> tuple[int, int]:
+    """From the first surge to the last dive, widened to what the container of all text that surges holds, and to the title before it."""
+    first, last = found[0][0], found[-1][1]
+    # A container begins after the one that it is in, so the latest of several can only meet the others further out.
+    shared = {lines[i].container for a, b in found for i in range(a, b)}
+    latest = [-c for c in shared]
+    heapify(latest)
+    while len(shared) > 1:
+        shared.remove(container := -heappop(latest))
+        if (outer := within.get(container, -1)) not in shared:
+            shared.add(outer)
+            heappush(latest, -outer)
+    inside = {-1: False}
+    for container, outer in within.items():  # in the order in which they begin
+        inside[container] = inside[outer] or container in shared
+    kept = [i for i, x in enumerate(lines) if x.text and inside[x.container]]
+    if kept:
+        first, last = min(first, kept[0]), max(last, kept[-1] + 1)
+    title = next((i for i in range(first - 1, -1, -1) if lines[i].title), first)
+    return title, last
 
 
 def stretches(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
@@ -245,16 +288,17 @@ def stretches(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> l
 
 def main_text(html: str) -> str:
     """The article's lines, joined by line ends. Empty if there is none."""
-    lines = lines_of(html)
-    lengths = [len(text) for text, _ in lines]
+    lines, within = lines_of(html)
+    lengths = [len(x.text) for x in lines]
     found = stretches(lengths) or stretches(lengths, surge=1)
-    declared = sum(lengths[i] for a, b in found for i in range(a, b) if lines[i][1])
+    declared = sum(lengths[i] for a, b in found for i in range(a, b) if lines[i].article)
     if declared and 2 * declared >= sum(sum(lengths[a:b]) for a, b in found):
         # Most of the text that surges lies where the page says its article is: that bounds it, and any text in it surges.
-        return "\n".join(text for text, article in lines if text and article)
+        return "\n".join(x.text for x in lines if x.text and x.article)
     if not found:
         return ""
-    return "\n".join(text for text, _ in lines[found[0][0] : found[-1][1]] if text)
+    first, last = bounds(lines, within, found)
+    return "\n".join(x.text for x in lines[first:last] if x.text)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -71,3 +71,61 @@ def test_pages(spark):
     pages = spark.createDataFrame([(*x, "e", "e", "e") for x in given], "page_id long, url string, html string, text string, sum string, kind string")
     assert count(html.extract(pages), "page_id") == Counter((i,) for i, *_ in given) == count(warc.round_trip(pages), "page_id")
     assert {r["n_chars"] for r in html.extract(pages).where("page_id = 1").collect()} == {23 * 40_000 - 1}
+
+
+def page(rng: random.Random) -> tuple[str, list[str]]:
+    """A page and the blocks of its article."""
+    words = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    blocks: list[str] = []
+
+    def block(n: int, tag: str) -> str:
+        text = words(n)
+        blocks.append(text)
+        cut = rng.randrange(1, n) if n > 1 else 0
+        parts = text.split()
+        return f"<{tag}>{' '.join(parts[:cut])} <b>{' '.join(parts[cut:])}</b></{tag}>" if cut else f"<{tag}>{text}</{tag}>"
+
+    inner = block(rng.randint(3, 8), "h1")
+    for _ in range(rng.randint(2, 7)):
+        inner += rng.choice(["", "<!-- x -->", "<script>var a = '<p>';</script>", f"<div class='share'>{words(3)}</div>", f"<aside>{words(9)}</aside>", f"<div class=\"ad\">{words(30)}</div>"])
+        inner += block(rng.randint(25, 80), "p") if rng.random() < 0.8 else "<ul>" + block(4, "li") + block(6, "li") + "</ul>"
+    inner += block(40, "p")
+    body = rng.choice(["<article>{}</article>", "<div class='post'>{}</div>", "<main>{}</main>", "<div>{}</div>"]).format(inner)
+    around = [f"<header><a href=/>{words(4)}</a></header>", f"<nav><ul>{''.join(f'<li>{words(1)}' for _ in range(9))}</ul></nav>", f"<div class='sidebar'><p>{words(60)}</p></div>", f"<form>{words(12)}<input></form>"]
+    after = [f"<div id='comments'><p>{words(70)}</p></div>", f"<footer>{words(20)}</footer>", f"<section class='related'>{words(30)}</section>"]
+    return f"<!doctype html><html><head><title>{words(5)}</title></head><body>{''.join(rng.sample(around, rng.randint(0, 4)))}{body}{''.join(rng.sample(after, rng.randint(0, 3)))}</body></html>", blocks
+
+
+def test_main_text_of_made_pages():
+    rng = random.Random(77)
+    for _ in range(300):
+        given, blocks = page(rng)
+        assert html.main_text(given).split("\n") == blocks
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for piece in ("<a ", "<!", '<a "', "<b>", "</i>", "<li><span>", "<p>", "<script>", "<", "<!--", "<div class=nav>", "<div>", "<div>" + "long text " * 10):
+        began = time.process_time()
+        html.main_text(piece * (100_000 if len(piece) < 20 else 20_000) + "text")
+        assert time.process_time() - began < 20
+
+
+def surges(lengths: list[int]) -> list[tuple[int, int]]:
+    """Ranges between places where nothing follows in a window, in which some window holds enough, by trying them all."""
+    sums = [sum(lengths[i : i + html.WINDOW]) for i in range(len(lengths))]
+    out = []
+    for a in range(len(lengths)):
+        for b in range(a + 1, len(lengths) + 1):
+            starts = lengths[a] and (a == 0 or not sums[a - 1] or not any(lengths[k] and all(sums[k:a]) for k in range(a)))
+            if starts and all(sums[a:b]) and (b == len(lengths) or not sums[b]) and max(sums[a:b]) >= html.SURGE:
+                out.append((a, b))
+    return out
+
+
+def test_stretches_against_all_ranges():
+    rng = random.Random(5)
+    for _ in range(300):
+        lengths = [rng.choice([0, 0, 0, 5, 30, 90]) for _ in range(rng.randint(0, 14))]
+        assert html.stretches(lengths) == surges(lengths)
