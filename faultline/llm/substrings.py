@@ -4,9 +4,10 @@ A window is `window` consecutive words. Every window has a least 6-gram (by hash
 anchors. So the places where an anchor repeats, with the words around them that its windows can hold, are the only
 reference text; hashed by anchor it falls into shards, and all windows that could be equal are in one shard.
 
-Segments around an anchor that are equal as a whole are settled by their first place alone. The distinct ones of an
-anchor go, once each, to its shard: a suffix automaton of the shard's segments carries each state's first place, and the
-segments stream through it for matching statistics. An anchor with very many distinct segments is dealt on by window.
+Anchors are sorted once and streamed. Segments around an anchor that are equal as a whole are settled by their first place
+alone. The distinct ones of an anchor go, once each, to its shard: a suffix automaton of the shard's segments carries each
+state's first place, and the segments stream through it for matching statistics. An anchor with very many distinct
+segments is dealt on by window, each to the shard of its own hash.
 """
 
 from __future__ import annotations
@@ -382,10 +383,12 @@ def repeated_spans(docs: DataFrame, *, window: int = 20) -> DataFrame:
     occurrences = texts.mapInArrow(_occurrences(window), "mh long, sg long, dk long, at long, late boolean")
     in_order = occurrences.repartition("mh").sortWithinPartitions("mh", "sg", "dk", "at")
     places = common.written(in_order.mapInArrow(_settled(MOST), "dk long, th long, place int, mh long, ask byte"), "places")
+    common.release(docs.sparkSession)
     asks = places.where("ask > 0").groupBy("dk", "th").agg(F.collect_list(F.struct("place", "mh", "ask")).alias("asks"))
     asked = texts.join(asks, ["dk", "th"]).mapInArrow(_asked(window), "key long, dk long, th long, start int, words binary")
     starts = asked.repartition("key").sortWithinPartitions("key", "dk", "th", "start").mapInArrow(_shards(window, SHARD), "dk long, th long, start int")
     starts = common.written(starts, "starts")
+    common.release(docs.sparkSession)
     both = places.where("ask = 0").select("dk", "th", "place", F.lit(None).cast("int").alias("start")).unionByName(starts.select("dk", "th", F.lit(None).cast("int").alias("place"), "start"))
     lists = common.written(both.groupBy("dk", "th").agg(F.collect_list("place").alias("gone"), F.collect_list("start").alias("starts")), "lists")
     common.discard(places)
