@@ -410,9 +410,9 @@ def tumbling_counts(spark, sf):
     return table(spark, sf, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("day"), "event_type", "n")
 
 
-@register()
+@register("SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) <= 15")
 def stratified_sample(spark, sf):
-    """15 documents of each language, by a hash; rows only."""
+    """15 documents of each language, by a hash."""
     return stats.stratified(table(spark, sf, "documents").select("doc_id", "lang", "source"), "lang", "doc_id", 15)
 
 

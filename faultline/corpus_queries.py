@@ -15,7 +15,7 @@ from faultline import sinks
 from faultline.functions import rule_values as V
 from faultline.functions import taxonomy, text
 from faultline.plans import analyses, backports, cross_layer, modes, timeline
-from faultline.sources import lookup, mail, tracker
+from faultline.sources import gitlog, lookup, mail, tracker
 from faultline.sources.schema import BUG
 from faultline.sources.tables import table
 from faultline.streaming import ingest, state
@@ -574,3 +574,57 @@ SELECT s.bug_id, s.v::INT AS from_version, count(r.i)::INT AS n_reviews, coalesc
 def review_snippets(spark, sf):
     rows = analyses.transitions(corpus(spark, sf))
     return rows.select("bug_id", "from_version", F.col("num_reviews").alias("n_reviews"), F.size("snippets").alias("n_asked"))
+
+
+@register("SELECT bug_id FROM b ORDER BY md5('7:' || bug_id), bug_id LIMIT 25")
+def exact_sample(spark, sf):
+    return lookup.sampled(corpus(spark, sf), 25, 7).select("bug_id")
+
+
+@register(_CROSS + f", s AS (SELECT bug_id, CASE WHEN relation = 'cross_layer' AND on_stack THEN '{modes.STRATA[0]}' WHEN relation = 'cross_layer' THEN '{modes.STRATA[1]}' ELSE '{modes.STRATA[2]}' END AS stratum FROM rel) SELECT bug_id, title, stratum FROM s JOIN b USING (bug_id) QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || bug_id), bug_id) <= 5")
+def audit_sample(spark, sf):
+    bugs = corpus(spark, sf)
+    return modes.audited(modes.audit_sample(cross_layer.relations(bugs)), bugs).select("bug_id", "title", "stratum")
+
+
+@register(", h AS (SELECT p_partkey AS k, p_size, md5(p_partkey::VARCHAR) || left(md5(p_partkey::VARCHAR), 8) AS h FROM part) SELECT k, CASE WHEN p_size % 3 = 0 THEN 0 ELSE 1 END AS n_origins, CASE WHEN p_size % 3 = 0 THEN '' ELSE h END AS origin, p_size % 2 = 0 AS is_release FROM h")
+def pick_origins(spark, sf):
+    hash_ = F.md5(F.col("p_partkey").cast("string"))
+    hash_, third = F.concat(hash_, F.left(hash_, F.lit(8))), F.col("p_size") % 3
+    body = F.when(third == 0, "no origin").when(third == 1, F.concat(F.lit("x\n[ Upstream commit "), hash_, F.lit(" ]\n(cherry picked from commit "), hash_, F.lit(")"))).otherwise(F.concat(F.lit("(cherry picked from commit "), hash_, F.lit(")")))
+    ref = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("refs/heads/linux-"), F.col("p_size").cast("string"), F.lit(".1.y"))).otherwise("refs/heads/master")
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), gitlog.origins(body).alias("o"), gitlog.is_release(ref).alias("is_release"))
+    return rows.select("k", F.size("o").alias("n_origins"), F.coalesce(F.get("o", F.lit(0)), F.lit("")).alias("origin"), "is_release")
+
+
+@register(", p AS (SELECT p_partkey AS k, p_size AS n, p_partkey % 4 AS kind FROM part) SELECT k, CASE kind WHEN 0 THEN n WHEN 1 THEN 1 WHEN 2 THEN n END::INT AS list_rule, CASE kind WHEN 2 THEN n END::INT AS tracker_rule, CASE kind WHEN 0 THEN n WHEN 1 THEN 1 WHEN 2 THEN n END::INT AS patchwork_rule, CASE kind WHEN 3 THEN '6.' || n ELSE '' END AS line FROM p")
+def subject_versions(spark, sf):
+    kind, n = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    subject = (
+        F.when(kind == 0, F.concat(F.lit("[PATCH net v"), n, F.lit(" 1/3] x"))).when(kind == 1, F.lit("[PATCH] x")).when(kind == 2, F.concat(F.lit("[PATCH v"), n, F.lit("] x")))
+        .otherwise(F.concat(F.lit("6."), n, F.lit(".3-rc1 review")))
+    )
+    rules = (text.subject_version(F.col("s"), source).alias(f"{source}_rule") for source in ("list", "tracker", "patchwork"))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), subject.alias("s"))
+    return rows.select("k", *rules, F.array_join(text.stable_versions(F.col("s")), ",").alias("line"))
+
+
+@register(", p AS (SELECT page_id, url FROM pages) SELECT page_id, regexp_replace(url, '#.*$', '') || '/t.mbox.gz' AS archive FROM p")
+def archive_links(spark, sf):
+    """Each page's address as that of a thread, in one of the forms that name a view of it."""
+    form = F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("/T/"))).when(F.col("page_id") % 3 == 1, F.concat("url", F.lit("/t"))).otherwise(F.concat("url", F.lit("#m1")))
+    return _pages(spark, sf).select("page_id", mail.mbox_url(form).alias("archive"))
+
+
+@register("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name || ' <' || c_custkey || '@x>' WHEN 1 THEN c_custkey || '@x' ELSE c_name END AS submitter FROM customer")
+def submitters(spark, sf):
+    third, address = F.col("c_custkey") % 3, F.concat(F.col("c_custkey").cast("string"), F.lit("@x"))
+    return table(spark, sf, "customer").select("c_custkey", tracker.submitter(F.when(third != 1, F.col("c_name")), F.when(third != 2, address)).alias("submitter"))
+
+
+@register("SELECT c_nationkey, 'c' || c_custkey AS title, 'https://x/' || c_custkey AS href FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) <= 5")
+def feed_entries(spark, sf):
+    entry = F.format_string('<entry><title>c%s</title><link href="https://x/%s"/></entry>', "c_custkey", "c_custkey")
+    feeds = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", entry.alias("e")))).alias("e"))
+    content = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>all</title>'), F.array_join(F.transform("e", lambda x: x["e"]), ""), F.lit("</feed>"))
+    return feeds.select("c_nationkey", F.explode(tracker.feed_hits(content)).alias("h")).select("c_nationkey", "h.title", "h.href")

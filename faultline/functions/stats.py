@@ -65,4 +65,9 @@ def buckets(value: Column, bounds: list[float], names: list[str]) -> Column:
 
 def stratified(df: DataFrame, stratum: str, key: str, k: int, seed: int = 42) -> DataFrame:
     """Exactly k rows of each stratum (all, if fewer), drawn by a hash of the key."""
-    return first_k(df, [stratum], [F.xxhash64(F.lit(seed), key), key], k).drop("place")
+    return first_k(df, [stratum], [lot(key, seed), key], k).drop("place")
+
+
+def lot(key: str, seed: int) -> Column:
+    """What rows are drawn by: the MD5 of seed and key, the same in every engine."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))

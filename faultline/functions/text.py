@@ -101,10 +101,14 @@ def top_dir(path: Column) -> Column:
 # Crash reports
 
 
+#: Forms of a frame's line, inlined and plain.
+INLINE_FRAME = r"(\w+)\s+(\S+\.(?:c|h|S)):(\d+)\s+\[inline\]"
+PLAIN_FRAME = r"(\w+)\+0x[0-9a-f]+/0x[0-9a-f]+(?:\s+(\S+\.(?:c|h|S)):(\d+))?"
+
+
 def stack_frames(report: Column) -> Column:
     """function, file ('' unknown), line (0 unknown), is_inline of each frame, first of equal (function, file, line) kept, order kept."""
-    inline = r"(\w+)\s+(\S+\.(?:c|h|S)):(\d+)\s+\[inline\]"
-    plain = r"(\w+)\+0x[0-9a-f]+/0x[0-9a-f]+(?:\s+(\S+\.(?:c|h|S)):(\d+))?"
+    inline, plain = INLINE_FRAME, PLAIN_FRAME
 
     def frame(line: Column, pattern: str, inlined: bool) -> Column:
         number = F.coalesce(F.regexp_extract(line, pattern, 3).try_cast("int"), F.lit(0))
@@ -178,10 +182,14 @@ def sender_email(sender: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(sender, r"<([^>]+)>", 1), F.lit("")), sender)
 
 
+#: Where subjects of each source have their version, and how backports name release lines.
+SUBJECT_VERSION = {"list": r"(?i)\[PATCH[^\]]*\s+v(\d+)", "tracker": r"(?i)\[PATCH\s+v(\d+)", "patchwork": r"(?i)\[.*v(\d+)"}
+STABLE_SERIES, STABLE_CYCLE, STABLE_AUTO = r"\[PATCH\s+(\d+\.\d+)\s+\d+/\d+\]", r"(?i)(\d+\.\d+)\.\d+-rc\d+\s+review", r"(\d+\.\d+)"
+
+
 def subject_version(subject: Column, source: str) -> Column:
     """Patch version by the rule of its source: 'list' mails, the 'tracker' interface, or 'patchwork'; null if it is no patch."""
-    rule = {"list": r"(?i)\[PATCH[^\]]*\s+v(\d+)", "tracker": r"(?i)\[PATCH\s+v(\d+)", "patchwork": r"(?i)\[.*v(\d+)"}[source]
-    found = F.regexp_extract(subject, rule, 1).try_cast("int")
+    found = F.regexp_extract(subject, SUBJECT_VERSION[source], 1).try_cast("int")
     if source == "tracker":
         return found
     return F.coalesce(found, F.when(subject.rlike(r"(?i)\[PATCH\b") if source == "list" else subject.contains("[PATCH"), F.lit(1)))
@@ -189,9 +197,9 @@ def subject_version(subject: Column, source: str) -> Column:
 
 def stable_versions(subject: Column) -> Column:
     """Release lines that a backport thread's subject names; AUTOSEL's only from 3 on."""
-    series = F.nullif(F.regexp_extract(subject, r"\[PATCH\s+(\d+\.\d+)\s+\d+/\d+\]", 1), F.lit(""))
-    cycle = F.nullif(F.regexp_extract(subject, r"(?i)(\d+\.\d+)\.\d+-rc\d+\s+review", 1), F.lit(""))
-    auto = F.nullif(F.regexp_extract(subject, r"(\d+\.\d+)", 1), F.lit(""))
+    series = F.nullif(F.regexp_extract(subject, STABLE_SERIES, 1), F.lit(""))
+    cycle = F.nullif(F.regexp_extract(subject, STABLE_CYCLE, 1), F.lit(""))
+    auto = F.nullif(F.regexp_extract(subject, STABLE_AUTO, 1), F.lit(""))
     auto = F.when(subject.contains("AUTOSEL") & (F.substring_index(auto, ".", 1).try_cast("int") >= 3), auto)
     return F.array_distinct(F.array_compact(F.array(series, cycle, auto)))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
+from faultline.functions import stats
 from faultline.sources.schema import BUG, read_corpus
 
 #: Characters of a report in the index, and rows that a list shows (fixed values).
@@ -108,7 +109,7 @@ def deep_search(bugs: DataFrame, word: str, limit: int = SHOWN) -> DataFrame:
 
 def sampled(df: DataFrame, n: int, seed: int = 42, key: str = "bug_id") -> DataFrame:
     """Exactly n rows (all, if fewer), drawn by a hash of the key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return df.orderBy(stats.lot(key, seed), key).limit(n)
 
 
 def eager(df: DataFrame) -> DataFrame:
