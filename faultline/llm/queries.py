@@ -93,6 +93,30 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_pages(spark, sf_dir), least=0)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .trie import conversation_trie
+
+    return conversation_trie(_table(spark, sf_dir, "conversations"), family=100, most=6)
+
+
+#: Fixed values of op12: host, path and verdict of its rules.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import judge, rule_table
+
+    return judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rule_table(spark, URL_RULES)).drop("url")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import align
+
+    return align(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), with_groups=False)
+
+
 def queries() -> dict[str, Query]:
     found = [f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
