@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from faultline import keyed
+
 
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
@@ -84,32 +85,15 @@ def write_tables(tables: dict[str, DataFrame], path: str, name: str) -> str:
     return folder
 
 
-def upsert(target: str, rows: DataFrame, key: str = "bug_id") -> None:
-    """The table at target with these rows in place of those of equal keys; a reader sees the old version or the new one.
-
-    Versions lie beside each other, a pointer names the present one. Of several new rows of a key an arbitrary one stays,
-    so give one of each.
-    """
-    spark = rows.sparkSession
-    old = present(spark, target)
-    fresh = rows.dropDuplicates([key])
-    merged = fresh if old is None else old.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
-    version = uuid.uuid4().hex
-    merged.repartitionByRange(key).sortWithinPartitions(key).write.parquet(f"{target}/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{target}/_present")
+def upsert(target: str, rows: DataFrame, key: str = "bug_id", order: str | None = None) -> None:
+    """The table at target with these rows in place of those of equal keys, see keyed.merge; the last two versions stay."""
+    keyed.merge(target, rows, key, order)
+    keyed.clean(rows.sparkSession, target)
 
 
 def present(spark: SparkSession, target: str) -> DataFrame | None:
     """The table that upsert keeps at target; None before the first."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        version = spark.read.schema("version string").json(f"{target}/_present").first()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return spark.read.parquet(f"{target}/{version['version']}") if version else None
+    return keyed.read(spark, target)
 
 
 def with_suffix(text: Column, most: int) -> Column:

@@ -53,11 +53,10 @@ def run_stages(spark: SparkSession, target: str, state: DataFrame, stages: list[
             continue
         error = F.col("error") if step not in tolerant else F.lit(None).cast("string")
         sinks.upsert(f"{target}/records", rows.where(error.isNull()).drop("error"))
-        state = advance(state, rows.select("bug_id", error.alias("error")), step)
-        noted = rows.where(F.col("error").isNotNull()).select("bug_id", "error") if step in tolerant else None
-        if noted is not None:
-            state = note(state, noted)
-        sinks.upsert(f"{target}/state", state)
+        touched = advance(state.join(rows.select("bug_id"), "bug_id", "left_semi"), rows.select("bug_id", error.alias("error")), step)
+        if step in tolerant:
+            touched = note(touched, rows.where(F.col("error").isNotNull()).select("bug_id", "error"))
+        sinks.upsert(f"{target}/state", touched if sinks.present(spark, f"{target}/state") is not None else touched.unionByName(state.join(rows.select("bug_id"), "bug_id", "left_anti")))
         state = sinks.present(spark, f"{target}/state")
     return state
 
