@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline import keyed
+from faultline.sources import postings
 from faultline.sources.tables import new_path, table
 from faultline.streaming import lifecycle
 
@@ -78,3 +79,26 @@ def merged_by_key(spark, sf):
     keyed.merge(target, table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.lit(-1).cast("long").alias("last_order"), F.lit("first").alias("version")), key="k", buckets=16)
     keyed.merge(target, table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("last_order"), F.lit("merged").alias("version")), key="k", order="last_order")
     return keyed.read(spark, target)
+
+
+_WORD = "ation"
+
+
+@register(f"SELECT doc_id, source FROM documents WHERE contains(lower(text), '{_WORD}') ORDER BY doc_id LIMIT 30")
+def postings_search(spark, sf):
+    """Whole texts by an inverted index that is built of them."""
+    path = new_path(spark, "postings")
+    postings.build(table(spark, sf, "documents").select("doc_id", "source", "text"), ["text"], path, key="doc_id")
+    return postings.Postings(spark, path).search(_WORD.upper(), columns=["doc_id", "source"])
+
+
+@register("""
+WITH g AS (SELECT DISTINCT doc_id, substr(lower(text), p, 3) AS gram FROM (SELECT doc_id, text, unnest(range(1, length(text) - 1)) AS p FROM documents WHERE length(text) >= 3)),
+n AS (SELECT gram, count(*) AS records FROM g GROUP BY 1)
+SELECT gram, records FROM n WHERE records >= 3 AND regexp_full_match(gram, '[a-z]+')""")
+def gram_frequencies(spark, sf):
+    """How many documents have each gram, out of the lengths of the posting lists."""
+    path = new_path(spark, "postings")
+    postings.build(table(spark, sf, "documents").select("doc_id", "text"), ["text"], path, key="doc_id")
+    counts = postings.Postings(spark, path).postings.groupBy("gram").agg(F.sum(F.size("gaps")).alias("records"))
+    return counts.where((F.col("records") >= 3) & F.col("gram").rlike("^[a-z]+$"))
