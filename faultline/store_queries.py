@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline import keyed
+from faultline.functions import placement, selection
+from faultline.functions.rules import Layer
 from faultline.sources import postings
 from faultline.sources.tables import new_path, table
 from faultline.streaming import lifecycle
@@ -102,3 +104,43 @@ def gram_frequencies(spark, sf):
     postings.build(table(spark, sf, "documents").select("doc_id", "text"), ["text"], path, key="doc_id")
     counts = postings.Postings(spark, path).postings.groupBy("gram").agg(F.sum(F.size("gaps")).alias("records"))
     return counts.where((F.col("records") >= 3) & F.col("gram").rlike("^[a-z]+$"))
+
+
+#: A small taxonomy of paths for path_placement; its SQL spells it out.
+_KINDS = [
+    Layer("goods", "any", 0, ("LARGE/", "SMALL/", "STANDARD/red"), (r"^[A-Z]+/hot ",)),
+    Layer("goods", "gear", 2, ("LARGE/blue gear", "PROMO/"), (r"/[a-z]+ gear$",)),
+    Layer("rest", "brand", 1, (), (r"Brand#1",)),
+    Layer("rest", "other", 0, ("ECONOMY/",)),
+]
+
+
+@register("""
+WITH p AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN p_brand || '/' || p_name ELSE p_type || '/' || p_name END AS path FROM part)
+SELECT p_partkey, path,
+  CASE WHEN starts_with(path, 'LARGE/blue gear') OR starts_with(path, 'PROMO/') OR starts_with(path, 'LARGE/') OR starts_with(path, 'SMALL/') OR starts_with(path, 'STANDARD/red')
+         OR regexp_matches(path, '/[a-z]+ gear$') OR regexp_matches(path, '^[A-Z]+/hot ') THEN 'goods'
+       WHEN starts_with(path, 'ECONOMY/') OR regexp_matches(path, 'Brand#1') THEN 'rest' END AS domain,
+  CASE WHEN starts_with(path, 'LARGE/blue gear') OR starts_with(path, 'PROMO/') THEN 'gear' WHEN starts_with(path, 'LARGE/') OR starts_with(path, 'SMALL/') OR starts_with(path, 'STANDARD/red') THEN 'any'
+       WHEN regexp_matches(path, '/[a-z]+ gear$') THEN 'gear' WHEN regexp_matches(path, '^[A-Z]+/hot ') THEN 'any' WHEN starts_with(path, 'ECONOMY/') THEN 'other' WHEN regexp_matches(path, 'Brand#1') THEN 'brand' END AS layer
+FROM p""")
+def path_placement(spark, sf):
+    """Paths made of the parts' kinds and names, placed by a table of rules."""
+    path = F.concat(F.when(F.col("p_size") % 5 == 0, F.col("p_brand")).otherwise(F.col("p_type")), F.lit("/"), "p_name")
+    rows = placement.place(table(spark, sf, "part").select("p_partkey", path.alias("path")), "path", placement.rule_table(spark, _KINDS))
+    return rows.select("p_partkey", "path", F.col("at.domain").alias("domain"), F.col("at.layer").alias("layer"))
+
+
+@register("""
+SELECT event_type, count(value) AS n, list_sort(list(value))[count(value) // 2 + 1] AS upper_median, median(value) AS true_median FROM events GROUP BY 1""")
+def exact_medians(spark, sf):
+    """Medians of the events' values by selection, with ranges small enough that several rounds take place."""
+    return selection.medians(table(spark, sf, "events"), ["event_type"], "value", ranges=50, most=100)
+
+
+@register("""
+SELECT l_returnflag, l_linestatus, count(*) AS n, quantile_disc(l_extendedprice, 0.0) AS least, list_sort(list(l_extendedprice))[count(*) * 9 // 10 + 1] AS ninth, max(l_extendedprice) AS greatest FROM lineitem GROUP BY ALL""")
+def exact_ranks(spark, sf):
+    """Prices at ranks of their groups: the first, that at nine tenths, the last."""
+    n = F.col("n")
+    return selection.at_ranks(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", {"least": F.lit(0), "ninth": F.floor(n * 9 / 10), "greatest": n - 1}, most=500)
