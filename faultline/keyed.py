@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 
 #: Buckets of a new table; a merge of few keys writes about so small a share of the table a key.
 BUCKETS = 256
+#: Bytes of a row group.
+ROW_GROUP = 4 << 20
 #: Versions whose files `clean` leaves, for readers that have begun.
 KEPT = 2
 _NAME = re.compile(r"(\d{12})\.json$")
@@ -101,6 +103,11 @@ def _bucket(key: str, buckets: int):
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+def _layout(key: str) -> dict[str, object]:
+    """Small row groups, sorted by key, each with a Bloom filter on it: a lookup reads those that can hold its key."""
+    return {"parquet.block.size": ROW_GROUP, f"parquet.bloom.filter.enabled#{key}": True, f"parquet.bloom.filter.adaptive.enabled#{key}": True}
+
+
 def merge(target: str, rows: DataFrame, key: str = "bug_id", order: str | None = None, buckets: int = BUCKETS) -> int:
     """The table with these rows in place of those of equal keys; returns its version.
 
@@ -135,7 +142,7 @@ def merge(target: str, rows: DataFrame, key: str = "bug_id", order: str | None =
             merged = old.join(dealt_once.select(key), key, "left_anti").unionByName(dealt_once, allowMissingColumns=True)
         merged = merged.select(*[c for c in merged.columns if c != "_bucket"], "_bucket")
         folder = uuid.uuid4().hex
-        merged.repartition("_bucket").sortWithinPartitions("_bucket", key).write.partitionBy("_bucket").parquet(f"{target}/data/{folder}")
+        merged.repartition("_bucket").sortWithinPartitions("_bucket", key).write.partitionBy("_bucket").options(**_layout(key)).parquet(f"{target}/data/{folder}")
         added = [f for f in merged.schema.fields if f.name != "_bucket" and f.name not in schema.names]
         commit |= {"places": commit["places"] | {str(b): f"{folder}/_bucket={b}" for b in touched}, "schema": StructType([*schema.fields, *added]).jsonValue()}
         _write_commit(spark, target, number + 1, commit)

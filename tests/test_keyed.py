@@ -129,3 +129,48 @@ def test_failed_pieces_are_asked_for_again(spark, tmp_path):
     follow()
     assert [(r["bug_id"], r["step"]) for r in keyed.read(spark, f"{tmp_path}/r_asked").collect()] == [("a", STEPS[1])]
     assert {(r["bug_id"], r["step"], r["n_errors"]) for r in keyed.read(spark, f"{tmp_path}/r").collect()} == {("a", STEPS[0], 1), ("b", STEPS[1], 1), ("c", STEPS[1], 0)}
+
+
+def scanned(df) -> int:
+    """Rows that the scan of df gave."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().get("numOutputRows").get().value() for i in range(leaves.size()))
+
+
+def test_a_lookup_reads_few_row_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "ROW_GROUP", 64 << 10)
+    target = f"{tmp_path}/t"
+    rows = spark.range(40_000).select(F.sha1(F.col("id").cast("string")).alias("bug_id"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    keyed.merge(target, rows, buckets=4)
+    known = rows.where("id = 17").first() if "id" in rows.columns else rows.first()
+    found = keyed.by_key(spark, target, known["bug_id"])
+    assert [r["v"] for r in found.collect()] == [known["v"]] and scanned(found) < 40_000 / 16
+    assert len(found.inputFiles()) < len(keyed.read(spark, target).inputFiles())
+    absent = keyed.by_key(spark, target, "a" * 40)
+    assert absent.count() == 0 and scanned(absent) < 40_000 / 16
+
+
+def test_packed_corpus(spark, tmp_path):
+    from faultline.sources import packed
+    from faultline.sources.schema import read_corpus
+
+    land_ = tmp_path / "corpus"
+    land_.mkdir()
+    write = lambda i, **more: (land_ / f"{i:020x}.json").write_text(json.dumps({"bug_id": f"{i:020x}", "title": f"t{i}", **more}))
+    for i in range(30):
+        write(i, fix_commits=[{"hash": "h", "title": "x"}])
+    (land_ / f"{99:020x}.json").write_text("{broken")
+    (land_ / "other.json").write_text('{"bug_id": "x"}')
+    run = lambda: packed.pack(spark, str(land_), f"{tmp_path}/p", f"{tmp_path}/c", buckets=4)
+    assert packed.records(spark, f"{tmp_path}/p").count() == 0 == packed.lookup(spark, f"{tmp_path}/p", "x").count()
+    assert run() == 1
+    same = lambda df: sorted(map(repr, df.collect()))
+    assert same(packed.records(spark, f"{tmp_path}/p")) == same(read_corpus(spark, str(land_)))
+    write(40)
+    (land_ / f"{7:020x}b.json").write_text(json.dumps({"bug_id": f"{7:020x}", "title": "newer"}))
+    assert run() == 2 == run()
+    assert packed.records(spark, f"{tmp_path}/p").count() == 31
+    assert [r["title"] for r in packed.lookup(spark, f"{tmp_path}/p", f"{7:020x}", f"{40:020x}", "none").orderBy("bug_id").collect()] == ["newer", "t40"]
