@@ -8,12 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline import keyed
+from faultline import documents, keyed
 from faultline.functions import placement, selection
 from faultline.functions.rules import Layer
-from faultline.sources import postings
+from faultline.sources import archives, postings, series
+from faultline.sources.schema import VERSION
 from faultline.sources.tables import new_path, table
-from faultline.streaming import lifecycle
+from faultline.streaming import lifecycle, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -144,3 +145,132 @@ def exact_ranks(spark, sf):
     """Prices at ranks of their groups: the first, that at nine tenths, the last."""
     n = F.col("n")
     return selection.at_ranks(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", {"least": F.lit(0), "ninth": F.floor(n * 9 / 10), "greatest": n - 1}, most=500)
+
+
+@register("""
+WITH m AS (SELECT conv_id, turn, role, regexp_replace(replace(text, chr(13), ''), '\\s+$', '') AS text FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, role || ' <' || role || '@x>' AS from_addr, '[PATCH v' || (turn + 1) || '] ' || conv_id AS subject, md5(text) AS body FROM m""")
+def archive_mails(spark, sf):
+    """Turns as mails: written as archives, a file a partition, and read back by splits."""
+    path = new_path(spark, "archives")
+    head = F.concat(F.lit("From: "), "role", F.lit(" <"), "role", F.lit("@x>\nSubject: [PATCH v"), (F.col("turn") + 1).cast("string"), F.lit("] "), F.col("conv_id").cast("string"))
+    raw = F.concat(head, F.lit("\nMessage-ID: <"), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"), F.lit(">\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), "text")
+    archives.write_archives(table(spark, sf, "conversations").where("text IS NOT NULL").select("conv_id", "turn", raw.alias("raw")), path, "conv_id", "turn")
+    ids = [F.regexp_extract("message_id", r"<(\d+)\.(\d+)>", g).cast("long") for g in (1, 2)]
+    body = F.regexp_replace(F.regexp_replace("body", "\r", ""), r"\s+$", "")
+    return archives.read_mails(spark, path).select(ids[0].alias("conv_id"), ids[1].alias("turn"), "from_addr", "subject", F.md5(body).alias("body"))
+
+
+@register("""SELECT c_custkey AS k, c_name, c_mktsegment FROM customer WHERE c_custkey IN (3, 77, 149, 1400)""")
+def packed_lookup(spark, sf):
+    """A few keys of a table that is packed by key, out of the buckets that can hold them."""
+    target = new_path(spark, "packed")
+    keyed.merge(target, table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), "c_name", "c_mktsegment"), key="k", buckets=32)
+    return keyed.by_key(spark, target, 3, 77, 149, 1400)
+
+
+def _list_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as patches of a list: three versions of a customer's series, every fourth patch outside any; commits of customers."""
+    o = table(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    name = F.concat(F.lit("[PATCH v"), (key % 3 + 1).cast("string"), F.lit(" 1/2] Fix: thing "), (F.col("o_custkey") % 7).cast("string"))
+    patches = o.select(
+        key.alias("patch_id"), name.alias("name"), F.md5(key.cast("string")).alias("hash"), F.ascii("o_orderpriority").cast("long").alias("project"), F.col("o_custkey").alias("submitter"),
+        F.when(key % 4 != 0, key).alias("series_id"), F.lit("").alias("archive_url"),
+    )
+    rows = o.where(key % 4 != 0).select(key.alias("series_id"), (key % 3 + 1).cast("int").alias("version"), F.concat(F.lit("fix, THING "), (F.col("o_custkey") % 7).cast("string")).alias("name"), F.concat(F.lit("letter "), key.cast("string")).alias("cover_letter"))
+    commits = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("k")).select(F.lpad(F.col("o_custkey").cast("string"), 20, "0").alias("bug_id"), F.md5(F.col("k").cast("string")).alias("hash"))
+    return patches, rows, commits
+
+
+@register("""
+WITH p AS (SELECT o_orderkey AS k, o_custkey AS s, left(o_orderpriority, 1) AS project, o_orderkey % 4 <> 0 AS has_series, (o_orderkey % 3 + 1)::INT AS version FROM orders),
+f AS (SELECT s, min(k) AS k FROM p GROUP BY 1), h AS (SELECT f.s, p.project FROM f JOIN p USING (s, k)),
+r AS (SELECT p.s, p.version, CASE WHEN has_series THEN 'fix, THING ' || p.s % 7 ELSE '[PATCH v' || p.version || ' 1/2] Fix: thing ' || p.s % 7 END AS subject, CASE WHEN has_series THEN 'letter ' || p.k ELSE '' END AS cover_letter FROM h JOIN p USING (s, project))
+SELECT lpad(s::VARCHAR, 20, '0') AS bug_id, version, (min(struct_pack(subject, cover_letter))).subject AS subject, (min(struct_pack(subject, cover_letter))).cover_letter AS cover_letter FROM r GROUP BY s, version""")
+def series_versions(spark, sf):
+    """Versions that a record's commit leads to, by series and by name."""
+    patches, rows, commits = _list_tables(spark, sf)
+    return series.found_versions(commits, patches, rows)
+
+
+@register("""
+WITH p AS (SELECT o_orderkey AS k, o_custkey AS s, left(o_orderpriority, 1) AS project, (o_orderkey % 3 + 1)::INT AS version FROM orders),
+f AS (SELECT s, min(k) AS k FROM p GROUP BY 1), h AS (SELECT f.s, p.project FROM f JOIN p USING (s, k)), n AS (SELECT p.s, count(DISTINCT version) FILTER (version <> 1) AS more FROM h JOIN p USING (s, project) GROUP BY 1)
+SELECT lpad(c_custkey::VARCHAR, 20, '0') AS bug_id, (1 + coalesce(more, 0))::INT AS n_versions FROM customer LEFT JOIN n ON n.s = c_custkey""")
+def added_versions(spark, sf):
+    """Records that know their first version get the others."""
+    patches, rows, commits = _list_tables(spark, sf)
+    first = F.array(F.struct(*(F.lit(1 if f.name == "version" else None).cast(f.dataType).alias(f.name) for f in VERSION.fields)))
+    bugs = table(spark, sf, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 20, "0").alias("bug_id"), first.alias("patch_versions"))
+    return series.add_versions(bugs, series.found_versions(commits, patches, rows)).select("bug_id", F.size("patch_versions").alias("n_versions"))
+
+
+def _landed_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a stream of three files in the order of time, every 50th one again, and a mark a year later that lets all before it go."""
+    path = new_path(spark, "events")
+    rows = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    rows = rows.unionByName(rows.where("event_id % 50 = 0"))
+    day = F.dayofmonth("ts")
+    for n, part in enumerate((rows.where(day <= 10), rows.where((day > 10) & (day <= 20)), rows.where(day > 20))):
+        part.coalesce(1).write.parquet(f"{path}/{n}")
+    spark.sql("SELECT -1L AS event_id, TIMESTAMP '2025-06-01 00:00:00' AS ts, -1L AS user_id, 'mark' AS event_type, 0D AS value").write.parquet(f"{path}/3")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+def _settled(found: DataFrame) -> DataFrame:
+    path = new_path(found.sparkSession, "settled")
+    windows.settle(found, f"{path}/rows", f"{path}/check")
+    return found.sparkSession.read.parquet(f"{path}/rows")
+
+
+@register("""
+WITH e AS (SELECT DISTINCT event_id, ts, event_type FROM events)
+SELECT epoch(time_bucket(INTERVAL '6 hours', ts))::BIGINT AS start, event_type, count(*) AS n FROM e GROUP BY ALL""")
+def windowed_stream(spark, sf):
+    """Windows of six hours over a stream whose repeated events count once."""
+    given = windows.once(_landed_events(spark, sf), ["event_id"], "ts", "11 days")
+    found = windows.tumbling(given, "ts", "6 hours", ["event_type"], {"n": F.count(F.lit(1))}, None)
+    return _settled(found).select(F.unix_seconds("start").alias("start"), "event_type", "n")
+
+
+_SESSIONS = """
+WITH e AS (SELECT user_id, epoch_us(ts) AS us FROM events UNION ALL SELECT user_id, epoch_us(ts) FROM events WHERE event_id % 50 = 0),
+g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) < 7200000000 THEN 0 ELSE 1 END AS new FROM e),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS nr FROM g)
+SELECT user_id, min(us) AS first_us, max(us) + 7200000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, nr"""
+
+
+@register(_SESSIONS)
+def session_stream(spark, sf):
+    """Sessions of users, two hours apart, out of a stream."""
+    found = _settled(windows.sessions(_landed_events(spark, sf), "ts", "2 hours", ["user_id"], {"n": F.count(F.lit(1))}, "11 days"))
+    return found.select("user_id", F.unix_micros("start").alias("first_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@register(_SESSIONS)
+def session_table(spark, sf):
+    """The same sessions out of the table."""
+    rows = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    found = windows.sessions(rows.unionByName(rows.where("event_id % 50 = 0")), "ts", "2 hours", ["user_id"], {"n": F.count(F.lit(1))})
+    return found.select("user_id", F.unix_micros("start").alias("first_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@register("""
+WITH i AS (SELECT 'p' || lpad(p_partkey::VARCHAR, 8, '0') AS page, '# ' || p_name || chr(10) || chr(10) || '`' || p_brand || '` ' || p_size || chr(10) AS body FROM part)
+SELECT page, md5(body) AS body, length(body) AS n FROM i""")
+def written_pages(spark, sf):
+    """A page a part, written by executors as files of their own and read back."""
+    path = new_path(spark, "pages")
+    name = F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 8, "0"))
+    body = F.concat(F.lit("# "), "p_name", F.lit("\n\n`"), "p_brand", F.lit("` "), F.col("p_size").cast("string"))
+    documents.write_pages(table(spark, sf, "part").select(name.alias("bug_id"), body.alias("body")), path)
+    return spark.read.text(path, wholetext=True).select(F.col("page"), F.md5("value").alias("body"), F.char_length("value").cast("long").alias("n"))
+
+
+@register("""SELECT count(*) AS entries, count(DISTINCT p_partkey) AS pages FROM part""")
+def index_of_pages(spark, sf):
+    """Entries of all index pages, and how many pages they lead to."""
+    pages = documents.index_pages(table(spark, sf, "part").select(F.col("p_partkey").alias("bug_id"), F.col("p_name").alias("title")), "Parts", entries=7)
+    links = pages.select(F.explode(F.regexp_extract_all("body", F.lit(r"\]\(\.\./page=(\d+)/\)"), F.lit(1))).alias("l"))
+    return links.agg(F.count("l").alias("entries"), F.count_distinct("l").alias("pages"))
