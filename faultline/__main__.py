@@ -9,9 +9,9 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline import sinks
+from faultline import documents, sinks, update
 from faultline.plans import analyses, cross_layer, modes, timeline
-from faultline.sources import gitlog, lookup
+from faultline.sources import gitlog, lookup, postings
 from faultline.sources.schema import BUG, derived, read_corpus
 from faultline.streaming import ingest, state
 
@@ -97,6 +97,28 @@ def parser() -> argparse.ArgumentParser:
     p = add("timeline", "days between versions by year")
     p.add_argument("--min-year", type=int, default=2017)
     p.add_argument("--max-year", type=int, default=2026)
+    p = add("update", "take in what has landed and bring all that is made of it up to date", corpus=False)
+    p.add_argument("names", nargs="*", help="analyses; all by default")
+    for flag in ("--landing", "--target"):
+        p.add_argument(flag, required=True)
+    p.add_argument("--pieces", help="folder of landed pieces of lifecycles")
+    p.add_argument("--force", action="store_true", help="also where nothing is new")
+    p.add_argument("--pages", action="store_true", help="write a page to each record")
+    p = add("ask-again", "what may be fetched again, of records that update keeps", corpus=False)
+    p.add_argument("--target", required=True)
+    p = add("find", "records with a word, by postings", corpus=False)
+    p.add_argument("word")
+    p.add_argument("--postings", required=True, help="folder that update or build-postings has written")
+    p.add_argument("--limit", type=int, default=lookup.SHOWN)
+    p = add("build-postings", "write the postings of an index, or of whole reports")
+    p.add_argument("--output", required=True)
+    p.add_argument("--deep", action="store_true")
+    p = add("site", "write pages and their index: records, the audit's sample or the case studies")
+    p.add_argument("--output", required=True)
+    p.add_argument("--kind", choices=["records", "audit", "narratives"], default="records")
+    p.add_argument("--per-stratum", type=int, default=5)
+    p.add_argument("--seed", type=int, default=42)
+    p.add_argument("--base", default="")
     p = add("picks", "picks of release branches out of log dumps", corpus=False)
     for flag in ("--logs", "--dates", "--output"):
         p.add_argument(flag, required=True)
@@ -120,6 +142,12 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
         return sinks.show(lookup.read_result(spark, args.folder, args.table))
     if command == "ingest":
         return f"{ingest.ingest(spark, args.landing, args.target, args.checkpoint, BUG)} records added"
+    if command == "update":
+        return " ".join(update.update(spark, args.landing, args.target, args.pieces, args.names or None, args.force, args.pages)) or "nothing new"
+    if command == "ask-again":
+        return sinks.show(update.asked_again(spark, args.target), 1 << 30)
+    if command == "find":
+        return sinks.show(postings.Postings(spark, args.postings).search(args.word, args.limit, ["bug_id", "title"]), args.limit)
     if command == "list":
         rows = lookup.listed(
             lookup.read_index(spark, args.index), keyword=args.keyword, has_patch=args.has_patch, has_evolution=args.has_evolution, has_discussion=args.has_discussion,
@@ -171,7 +199,18 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
     if command == "case-study":
         ranked = analyses.run("casestudy", bugs)["top_paper_friendly" if args.paper_friendly else "ranked_candidates"]
         return "\n".join(sinks.narrative(r) for r in ranked.limit(args.top).collect())
+    if command == "build-postings":
+        postings.build(*((postings.deep_rows(bugs), postings.DEEP_FIELDS) if args.deep else (lookup.index(bugs), postings.INDEX_FIELDS)), args.output)
+        return args.output
     related = cross_layer.relations(bugs)
+    if command == "site":
+        rows, body = modes.view(related, bugs, args.base), documents.record_page()
+        if args.kind == "audit":
+            rows, body = modes.audited(modes.audit_sample(related, args.per_stratum, args.seed), bugs), documents.audit_page()
+        elif args.kind == "narratives":
+            rows, body = analyses.run("casestudy", bugs)["ranked_candidates"], documents.narrative_page()
+        documents.write_site(rows, body, args.output, args.kind)
+        return f"{args.output}/index"
     if command == "modes":
         filters = {"relation": args.relation, "direction": args.direction, "domain": args.domain}
         if args.export_flat:

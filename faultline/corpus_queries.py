@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from faultline import sinks
 from faultline.functions import rule_values as V
-from faultline.functions import taxonomy, text
+from faultline.functions import stats, taxonomy, text
 from faultline.plans import analyses, backports, cross_layer, modes, timeline
 from faultline.sources import gitlog, lookup, mail, tracker
 from faultline.sources.schema import BUG
@@ -625,6 +625,8 @@ def submitters(spark, sf):
 @register("SELECT c_nationkey, 'c' || c_custkey AS title, 'https://x/' || c_custkey AS href FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) <= 5")
 def feed_entries(spark, sf):
     entry = F.format_string('<entry><title>c%s</title><link href="https://x/%s"/></entry>', "c_custkey", "c_custkey")
-    feeds = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", entry.alias("e")))).alias("e"))
+    # A feed holds its first entries alone: six of a nation, one more than a reader takes.
+    newest = stats.first_k(table(spark, sf, "customer"), ["c_nationkey"], ["c_custkey"], tracker.MOST_HITS + 1)
+    feeds = newest.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", entry.alias("e")))).alias("e"))
     content = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>all</title>'), F.array_join(F.transform("e", lambda x: x["e"]), ""), F.lit("</feed>"))
     return feeds.select("c_nationkey", F.explode(tracker.feed_hits(content)).alias("h")).select("c_nationkey", "h.title", "h.href")
