@@ -1,9 +1,13 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped to lines, one to a block element. Lines of page furniture (navigation, headers, adverts, comments and
-the like) are empty: a whole window of them parts what stands before from what follows; other containers begin and end
-with one. Summed over a sliding window of lines the text lengths surge where an article begins and dive where it ends; all
-text between the first surge and the last dive is kept, and what else the container of that text holds.
+Markup is stripped to lines, one to a block element. Lines of page furniture are empty: a whole window of them parts what
+stands before from what follows; other containers begin and end with one. Summed over a sliding window of lines the text
+lengths surge where an article begins and dive where it ends; text between the first surge and the last dive is kept, and
+what else the container of that text holds. Text of links alone doesn't surge.
+
+Some elements are furniture by what they are (nav, footer, scripts). A name (class, id, role) or a form only makes them
+candidates: one that holds most of the text that surges is none; adverts and readers' comments are none where nothing else
+surges.
 """
 
 from __future__ import annotations
@@ -39,45 +43,72 @@ BLOCK = {
 #: Elements whose ends part lines further than paragraphs do.
 CONTAINER = {"article", "aside", "body", "center", "div", "footer", "form", "header", "main", "nav", "section", "table"}
 FURNITURE = {"aside", "button", "dialog", "footer", "form", "head", "header", "iframe", "menu", "nav", "noscript", "object", "script", "select", "style", "svg", "template", "textarea", "title"}
-#: Words of class, id or role that name page furniture.
+#: Words that name page furniture, and those of them that name readers' comments.
 FURNITURE_WORDS = {
     "ad", "ads", "adsense", "advert", "advertisement", "advertising", "adverts", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "contentinfo", "cookie", "cookies",
     "copyright", "discussion", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pager", "pagination",
     "popup", "privacy", "promo", "promoted", "promotion", "recommended", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe",
     "toolbar", "topbar", "trending", "widget",
 }
-#: With one of these words beside it, "header" is the article's own.
-OWN_HEADER = {"article", "entry", "post", "story", "content"}
+COMMENT_WORDS = {"comment", "comments", "discussion", "disqus", "replies", "respond"}
+#: Of paragraphs, items and the like, and of articles, only these count.
+SMALL_WORDS = COMMENT_WORDS | {"ad", "ads", "adsense", "advert", "advertisement", "advertising", "adverts", "promo", "promoted", "promotion", "sponsor", "sponsored", "newsletter", "share", "sharing", "social", "subscribe"}
+#: Words that say nothing by themselves; a name counts if all its words are these or furniture, so `market-share` and `notice-of-motion` don't.
+PLAIN_WORDS = {
+    "area", "articles", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "center", "col", "column", "container", "content", "entry", "fixed", "form", "global", "group", "holder", "icons", "inner",
+    "item", "items", "js", "left", "link", "links", "list", "main", "media", "mobile", "module", "outer", "page", "panel", "policy", "post", "posts", "primary", "region", "right", "secondary", "section", "site",
+    "slot", "sticky", "stories", "text", "thread", "title", "tools", "top", "unit", "wrap", "wrapper",
+}
 #: Elements whose class, id or role may name furniture; the ids of sections are slugs of their headings.
-NAMED = CONTAINER | {"details", "dl", "fieldset", "figure", "ol", "ul"}
-NEVER = {"html", "body", "article", "main"}
+NAMED = CONTAINER - {"article", "main", "body", "form"} | {"details", "dl", "fieldset", "figure", "ol", "ul"}
+SMALL = {"p", "li", "span", "blockquote", "dd", "tr", "td", "article"}
+#: Furniture that is certain, a candidate, a candidate that would hold adverts or readers' comments.
+CERTAIN, LIKELY, STRICT = 1, 2, 3
+_COPYRIGHT = re.compile(r"(?:©|\(c\)\s*\d{4}|copyright\b)", re.I)
+
+
+def _named(values: list[str], words: set[str]) -> set[str]:
+    """Furniture that names (split at white space) speak of."""
+    out: set[str] = set()
+    for value in values:
+        for name in value.split():
+            parts = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+            if parts and all(x in FURNITURE_WORDS or x in PLAIN_WORDS for x in parts):
+                found = {x for x in parts if x in words}
+                out |= found - {"header"} if {"entry", "post", "content"} & set(parts) else found
+    return out
 
 
-def _about(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is page furniture, whether it says that it is the article."""
-    if name in FURNITURE and name != "header":
-        return True, False
-    words: set[str] = set()
-    slug: set[str] = set()
+def _about(name: str, attributes: str) -> tuple[int, bool]:
+    """Whether an element is page furniture (0: no), whether it says that it is the article."""
+    if name in FURNITURE and name != "form" and name != "header":
+        return CERTAIN, False
+    classes: list[str] = []
+    ids: list[str] = []
     hidden = article = False
     if attributes.strip():
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
             value = a or b or c
             key = key.lower()
-            if key in ("class", "id", "role", "itemprop", "data-role"):
-                (slug if key == "id" else words).update(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+            if key in ("class", "role", "itemprop", "data-role"):
+                classes.append(value)
                 article |= key == "role" and value.lower().strip() == "main" or key == "itemprop" and value.lower().strip() == "articlebody"
+            elif key == "id":
+                ids.append(value)
             hidden |= key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-    if name in NEVER:
-        return hidden and name != "body" and name != "html", name in ("article", "main")
-    if name not in NAMED:
-        return hidden or name == "header", False
-    if name != "section" and "section" not in words:
-        words |= slug
-    named = words & FURNITURE_WORDS
-    if "header" in named and words & OWN_HEADER:
-        named = named - {"header"}
-    return hidden or name == "header" or bool(named), article and not named
+    if name in ("html", "body"):
+        return 0, False
+    if hidden or name == "header":
+        return CERTAIN, False
+    if name in SMALL:
+        found = _named(classes, SMALL_WORDS)
+    elif name in NAMED:
+        found = _named(classes if name == "section" else classes + ids, FURNITURE_WORDS)
+    else:
+        found = set()
+    if found:
+        return STRICT if found & SMALL_WORDS else LIKELY, False
+    return LIKELY if name == "form" else 0, article or name in ("article", "main")
 
 
 def tokens(html: str) -> list[tuple[str, str, str]]:
@@ -128,22 +159,22 @@ class Walk:
     """The open elements of a page, as its tokens come."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, bool, bool, int]] = [("", False, False, -1)]  # name, within furniture, within an article, token
+        self.stack: list[tuple[str, bool, int, int, tuple[int, ...]]] = [("", False, 0, -1, ())]  # name, within certain furniture, article within which, token, candidates within which
         self.blocks: list[int] = []
         self.containers: list[tuple[int, int]] = []  # depth, token
         self.within: dict[int, int] = {}  # a container's own one
         self.open: dict[str, int] = {}
 
-    def push(self, name: str, furniture: bool, article: bool, token: int) -> None:
+    def push(self, name: str, furniture: bool, article: int, token: int, candidates: tuple[int, ...] = ()) -> None:
         if name in BLOCK:
             self.blocks.append(len(self.stack))
         if name in CONTAINER and name != "body":
             self.within[token] = self.container()
             self.containers.append((len(self.stack), token))
         self.open[name] = self.open.get(name, 0) + 1
-        self.stack.append((name, furniture, article, token))
+        self.stack.append((name, furniture, article, token, candidates))
 
-    def cut(self, depth: int) -> list[tuple[str, bool, bool, int]]:
+    def cut(self, depth: int) -> list[tuple]:
         """Closes all from a depth on; the outermost comes first."""
         gone = self.stack[depth:]
         del self.stack[depth:]
@@ -158,7 +189,7 @@ class Walk:
     def container(self) -> int:
         return self.containers[-1][1] if self.containers else -1
 
-    def before(self, name: str) -> list[tuple[str, bool, bool, int]]:
+    def before(self, name: str) -> list[tuple]:
         """A paragraph ends where a block begins; an item where the next one does."""
         if name in BLOCK and self.blocks:
             within = self.stack[self.blocks[-1]][0]
@@ -166,7 +197,7 @@ class Walk:
                 return self.cut(self.blocks[-1])
         return []
 
-    def close(self, name: str) -> list[tuple[str, bool, bool, int]]:
+    def close(self, name: str) -> list[tuple]:
         if not self.open.get(name):
             return []
         depth = len(self.stack) - 1
@@ -181,7 +212,7 @@ def endless(found: list[tuple[str, str, str]]) -> set[int]:
     for i, (kind, name, _) in enumerate(found):
         if kind == "open":
             walk.before(name)
-            walk.push(name, False, False, i)
+            walk.push(name, False, 0, i)
         elif kind == "close":
             gone = walk.close(name)
             if name in ("body", "html"):
@@ -190,27 +221,38 @@ def endless(found: list[tuple[str, str, str]]) -> set[int]:
 
 
 class Line(NamedTuple):
-    """Text, or empty at furniture and container ends; whether an article holds it; its container (-1: none but the body); whether it is a title."""
+    """Text, or empty at furniture and container ends; the article that holds it (0: none), its container (-1: none but the body); whether it is a title; characters of links in it; candidates for furniture that hold it."""
 
     text: str
-    article: bool
+    article: int = 0
     container: int = -1
     title: bool = False
+    links: int = 0
+    candidates: tuple[int, ...] = ()
+
+    def weight(self) -> int:
+        """Characters that may surge: none where links hold most of the line."""
+        return 0 if 2 * self.links > len(self.text) else len(self.text)
 
 
-def lines_of(html: str) -> tuple[list[Line], dict[int, int]]:
-    """Lines of the page, and the container that each container is in."""
+def lines_of(html: str) -> tuple[list[Line], dict[int, int], dict[int, int]]:
+    """Lines of the page, the container that each container is in, and what kind of candidate each candidate is."""
     lines: list[Line] = []
     words: list[str] = []
+    kinds: dict[int, int] = {}
+    links = 0
     found, walk = tokens(html), Walk()
     unended = endless(found)
 
     def end_line() -> None:
+        nonlocal links
         if words:
             line = " ".join(unescape("".join(words)).split())
             words.clear()
             if line:
-                lines.append(Line(line, walk.stack[-1][2], walk.container(), bool(walk.open.get("h1"))))
+                within = walk.stack[-1]
+                lines.append(Line(line, within[2], walk.container(), bool(walk.open.get("h1")), links, within[4]))
+        links = 0
 
     def gap(size: int) -> None:
         for place in range(1, size + 1):
@@ -223,15 +265,19 @@ def lines_of(html: str) -> tuple[list[Line], dict[int, int]]:
         if kind in ("text", "raw"):
             if name and not within[1]:
                 words.append(name.replace("&", "&amp;") if kind == "raw" else name)
+                links += len(name.strip()) if walk.open.get("a") else 0
             continue
         if name in BLOCK:
             end_line()
         elif name in ("td", "th", "br", "option") and (kind != "close" or name == "br") and not within[1]:
             words.append(" ")
         if kind == "close":
+            if name == "span" and walk.open.get("span") and any(x[0] == "span" and x[3] in kinds for x in walk.stack[-1:]):
+                end_line()
             gone = walk.close(name)
-            if gone and (name in CONTAINER or gone[0][1]):
-                gap(WINDOW if gone[0][1] or gone[0][2] != walk.stack[-1][2] else 1)
+            if gone and (name in CONTAINER or gone[0][1] or gone[0][3] in kinds):
+                parted = gone[0][1] and not walk.stack[-1][1] or gone[0][3] in kinds or gone[0][2] != walk.stack[-1][2]
+                gap(WINDOW if parted else 1)
             continue
         walk.before(name)
         if kind == "void":
@@ -239,12 +285,36 @@ def lines_of(html: str) -> tuple[list[Line], dict[int, int]]:
         furniture, article = _about(name, attributes)
         within = walk.stack[-1]
         if name == "header" and within[2] and not within[1] or i in unended:
-            furniture = False  # an article's own header holds its title
+            furniture = 0  # an article's own header holds its title
+        candidate = furniture in (LIKELY, STRICT) and not within[1]
+        if candidate:
+            kinds[i] = furniture
+            if name not in BLOCK:
+                end_line()
+        certain = within[1] or furniture == CERTAIN
         if name in CONTAINER or furniture and not within[1]:
             gap(WINDOW if furniture or article and not within[2] else 1)
-        walk.push(name, within[1] or furniture, within[2] or article, i)
+        walk.push(name, certain, within[2] or (i + 1 if article else 0), i, (*within[4], i) if candidate else within[4])
     end_line()
-    return lines, walk.within
+    return lines, walk.within, kinds
+
+
+def without_furniture(lines: list[Line], kinds: dict[int, int]) -> list[Line]:
+    """Lines, empty where a candidate that is furniture holds them, or a copyright's line outside any article.
+
+    A candidate that holds over half of the text that surges on the page is none; adverts and comments are none where they
+    hold all of it. Where the page has an article, only what holds it or is in it can be none.
+    """
+    weights = [x.weight() for x in lines]
+    total, held = 0, dict.fromkeys(kinds, 0)
+    for a, b in stretches(weights) or stretches(weights, surge=1):
+        for i in range(a, b):
+            total += weights[i]
+            for c in lines[i].candidates:
+                held[c] += weights[i]
+    told = {c for x in lines if x.article and x.text for c in x.candidates} if any(x.article and x.text for x in lines) else set(kinds)
+    gone = {c for c, kind in kinds.items() if c not in told or not held[c] or (held[c] < total if kind == STRICT else 2 * held[c] <= total)}
+    return [x._replace(text="") if x.text and (not gone.isdisjoint(x.candidates) or not x.article and _COPYRIGHT.match(x.text)) else x for x in lines]
 
 
 def bounds(lines: list[Line], within: dict[int, int], found: list[tuple[int, int]]) -> tuple[int, int]:
@@ -288,15 +358,22 @@ def stretches(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> l
 
 def main_text(html: str) -> str:
     """The article's lines, joined by line ends. Empty if there is none."""
-    lines, within = lines_of(html)
-    lengths = [len(x.text) for x in lines]
-    found = stretches(lengths) or stretches(lengths, surge=1)
+    lines, within, kinds = lines_of(html)
+    lines = without_furniture(lines, kinds)
+    lengths = [x.weight() for x in lines]
+    found = stretches(lengths) or stretches(lengths, surge=1) or stretches([len(x.text) for x in lines], surge=1)
+    if not found:
+        return ""
+    surging = sum(sum(lengths[a:b]) for a, b in found)
     declared = sum(lengths[i] for a, b in found for i in range(a, b) if lines[i].article)
-    if declared and 2 * declared >= sum(sum(lengths[a:b]) for a, b in found):
+    if declared and 2 * declared >= surging:
         # Most of the text that surges lies where the page says its article is: that bounds it, and any text in it surges.
         return "\n".join(x.text for x in lines if x.text and x.article)
-    if not found:
-        return ""
+    if declared or len({x.article for x in lines if x.article}) > 1:
+        # The story is elsewhere: what the page calls articles are its teasers.
+        lines = [x._replace(text="") if x.article else x for x in lines]
+        lengths = [x.weight() for x in lines]
+        found = stretches(lengths) or stretches(lengths, surge=1) or found
     first, last = bounds(lines, within, found)
     return "\n".join(x.text for x in lines[first:last] if x.text)
 
@@ -304,8 +381,8 @@ def main_text(html: str) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page.
 
-    pages: page_id, url, html; other columns are left aside. Null or empty html has empty text. Repeated rows stay; an
-    empty table gives no rows.
+    pages: page_id, url, html; other columns are left aside. Null or empty html has empty text; null ids and urls and
+    repeated rows stay as they are; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
