@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 from faultline.llm import common, jaccard, langid, packing, substrings
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document is rejected if its language can't be told: no letter, or no language with this share of its positions.
-LEAST_SCORE = 0.3
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; null and letterless texts go."""
+    """Documents of some language: those without any letter go, null texts among them.
+
+    No score is asked for, as scores fall with the number of languages. Null ids and columns and repeated rows stay rows of
+    their own; other columns go; an empty table stays one.
+    """
     found = langid.identify(common.texts(docs.select(COLUMNS), "doc_id"))
-    return found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select(COLUMNS)
+    return found.where(F.col("lang_pred") != langid.UND).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
+    """Pieces of sequences of 2048 tokens, each id of each row in one of them.
+
+    A null text is empty and has the end's id alone; repeated rows and null ids are packed each for itself; columns but
+    doc_id and text play no part; an empty table gives no pieces.
+    """
     return packing.pack_documents(common.texts(docs, "doc_id"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=2048, with_ids=False).drop("ids")
 
 
