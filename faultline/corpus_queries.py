@@ -17,7 +17,7 @@ from faultline.functions import stats, taxonomy, text
 from faultline.plans import analyses, backports, cross_layer, modes, timeline
 from faultline.sources import gitlog, lookup, mail, tracker
 from faultline.sources.schema import BUG
-from faultline.sources.tables import table
+from faultline.sources.tables import spread, table
 from faultline.streaming import ingest, state
 
 PATHS = [
@@ -32,7 +32,7 @@ NOTES = ["wrong result", "the race", "coding style", "nothing much", "overhead",
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record of the nested schema for each customer."""
-    given = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    given = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k")), "k")  # few keys make many texts
     lists = {"paths": PATHS, "titles": TITLES, "kinds": KINDS, "reviews": REVIEWS, "notes": NOTES}
     rows = given.select("k", *(F.array(*map(F.lit, v)).alias(n) for n, v in lists.items()))
     sql = lambda text: F.expr(text)

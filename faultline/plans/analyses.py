@@ -115,25 +115,46 @@ def _revision(b: DataFrame) -> DataFrame:
     return found.withColumn("meta", meta).drop("_first", "_all")
 
 
-def features(bugs: DataFrame) -> DataFrame:
-    """The narrow row of each record that analyses share. Given such rows, as read from a table of them, they stay as they are."""
-    if "bug_type" in bugs.columns:
-        return bugs
-    b = _revision(derived(bugs)).withColumn("frames", text.stack_frames(F.col("crash_text")))
+def _columns() -> dict[str, Callable[[], Column]]:
+    """Columns of features, over derived records with `frames` and what _revision adds; each is put together when it is asked for."""
     diff, frames = F.col("diff"), F.col("frames")
     instant = lambda c: F.when(F.col(c).rlike(_INSTANT), text.iso_instant(F.col(c)))
-    days = text.days_between(instant("first_crash"), instant("fix_time"))
-    kept = F.filter("discussions", lambda d: ~F.coalesce(text.is_backport_thread(_or_empty(d["subject"]), d["patch_version"], _messages(d)), F.lit(False)))
-    lines_of = lambda i: text.patch_size(_submitted_diff(_messages(F.get("threads", F.lit(i))["thread"])))
-    files_of = lambda i: text.fix_files(_submitted_diff(_messages(F.get("threads", F.lit(i))["thread"])))
-    return settled(b.select(
-        "bug_id", "title", _or_empty(F.get("fix_commits", F.lit(0))["title"]).alias("first_title"), bug_type(F.col("title"), F.col("crash_text")).alias("bug_type"), fix_patterns(diff, F.col("fix_title")).alias("patterns"), (diff != "").alias("has_diff"),
-        F.when(diff != "", text.patch_size(diff)).alias("lines"), F.greatest(F.size(text.fix_files(diff)), F.lit(1)).alias("n_files"), F.col("n_versions").alias("iterations"), F.when(days >= 0, days).alias("fix_days"),
-        locality(frames, diff).alias("locality"), locality_score(frames, diff).alias("locality_score"), (F.length("c_text") > LEAST_REPRODUCER).alias("has_c"),
-        F.coalesce(F.exists("crashes", lambda c: F.length(c["syz_reproducer"]) > LEAST_REPRODUCER), F.lit(False)).alias("has_syz"), F.size("frames").alias("n_frames"),
-        F.aggregate(F.transform(kept, lambda d: F.size(_reviews(_messages(d)))), F.lit(0), lambda a, x: a + x).alias("n_reviews"), "categories", "meta",
-        lines_of(0).alias("v1_lines"), lines_of(1).alias("v2_lines"), files_of(0).alias("v1_files"), files_of(1).alias("v2_files"),
-    ))
+    submitted = lambda i: _submitted_diff(_messages(F.get("threads", F.lit(i))["thread"]))
+
+    def fix_days() -> Column:
+        days = text.days_between(instant("first_crash"), instant("fix_time"))
+        return F.when(days >= 0, days)
+
+    def n_reviews() -> Column:
+        kept = F.filter("discussions", lambda d: ~F.coalesce(text.is_backport_thread(_or_empty(d["subject"]), d["patch_version"], _messages(d)), F.lit(False)))
+        return F.aggregate(F.transform(kept, lambda d: F.size(_reviews(_messages(d)))), F.lit(0), lambda a, x: a + x)
+
+    return {
+        "bug_id": lambda: F.col("bug_id"), "title": lambda: F.col("title"), "first_title": lambda: _or_empty(F.get("fix_commits", F.lit(0))["title"]),
+        "bug_type": lambda: bug_type(F.col("title"), F.col("crash_text")), "patterns": lambda: fix_patterns(diff, F.col("fix_title")), "has_diff": lambda: diff != "",
+        "lines": lambda: F.when(diff != "", text.patch_size(diff)), "n_files": lambda: F.greatest(F.size(text.fix_files(diff)), F.lit(1)), "iterations": lambda: F.col("n_versions"), "fix_days": fix_days,
+        "locality": lambda: locality(frames, diff), "locality_score": lambda: locality_score(frames, diff), "has_c": lambda: F.length("c_text") > LEAST_REPRODUCER,
+        "has_syz": lambda: F.coalesce(F.exists("crashes", lambda c: F.length(c["syz_reproducer"]) > LEAST_REPRODUCER), F.lit(False)), "n_frames": lambda: F.size("frames"),
+        "n_reviews": n_reviews, "categories": lambda: F.col("categories"), "meta": lambda: F.col("meta"),
+        "v1_lines": lambda: text.patch_size(submitted(0)), "v2_lines": lambda: text.patch_size(submitted(1)), "v1_files": lambda: text.fix_files(submitted(0)), "v2_files": lambda: text.fix_files(submitted(1)),
+    }
+
+
+def features(bugs: DataFrame, *names: str) -> DataFrame:
+    """The narrow row of each record, or these columns of it; what isn't asked for is neither planned nor computed.
+
+    Given such rows, as read from a table of them, they stay as they are.
+    """
+    if "has_diff" in bugs.columns:
+        return bugs.select(*names) if names else bugs
+    columns = _columns()
+    names = names or tuple(columns)
+    b = derived(bugs)
+    if {"categories", "meta"} & set(names):
+        b = _revision(b)
+    if {"locality", "locality_score", "n_frames"} & set(names):
+        b = b.withColumn("frames", text.stack_frames(F.col("crash_text")))
+    return settled(b.select(*[columns[n]().alias(n) for n in names]))
 
 
 _median = stats.upper_median
@@ -161,7 +182,7 @@ def _stats() -> list[Column]:
 @register("bugtype")
 def bug_types(bugs: DataFrame) -> Tables:
     """distribution: all records by type; examples: the first five of each."""
-    rows = features(bugs)
+    rows = features(bugs, "bug_id", "title", "bug_type", "lines", "iterations", "fix_days")
     distribution = _with_pct(rows.groupBy("bug_type").agg(*_stats())).orderBy(F.desc("count"), "bug_type")
     return {"distribution": distribution, "examples": stats.first_k(rows.select("bug_type", "bug_id", "title"), ["bug_type"], ["bug_id"], 5), "details": rows.select("bug_id", "title", "bug_type")}
 
@@ -169,7 +190,7 @@ def bug_types(bugs: DataFrame) -> Tables:
 @register("fixpattern")
 def fixes(bugs: DataFrame) -> Tables:
     """Records with a diff by kind of fix. cumulative_pct counts a record once for each kind, so it may pass 100."""
-    rows = features(bugs).where("has_diff")
+    rows = features(bugs, "bug_id", "title", "first_title", "has_diff", "patterns", "lines").where("has_diff")
     counts = _each(rows, "patterns", "pattern", _median("lines").alias("median_patch_lines"))
     coverage = stats.cumulative(counts, "pattern", "count", F.col("_whole")).select("pattern", "count", "cumulative", "cumulative_pct")
     distribution = counts.withColumn("pct", stats.percent(F.col("count"), F.col("_whole"))).drop("_whole").orderBy(F.desc("count"), "pattern")
@@ -180,7 +201,7 @@ def fixes(bugs: DataFrame) -> Tables:
 @register("revision")
 def revisions(bugs: DataFrame) -> Tables:
     """Why records of two versions or more were revised; pct is of all of these."""
-    rows = features(bugs).where(F.col("iterations") >= 2)
+    rows = features(bugs, "bug_id", "title", "iterations", "categories", "meta").where(F.col("iterations") >= 2)
     each = rows.select("bug_id", "title", F.explode("categories").alias("category"))
     counts = _each(rows, "categories", "category").withColumn("pct_of_multi_version", stats.percent(F.col("count"), F.col("_whole"))).drop("_whole")
     meta = rows.groupBy("meta").agg(F.count(F.lit(1)).alias("count"))
@@ -190,7 +211,7 @@ def revisions(bugs: DataFrame) -> Tables:
 @register("patchdiff")
 def patch_changes(bugs: DataFrame) -> Tables:
     """Sizes and files of the first two threads' diffs, largest change first."""
-    rows = features(bugs).where((F.col("iterations") >= 2) & F.col("v1_lines").isNotNull() & F.col("v2_lines").isNotNull())
+    rows = features(bugs, "bug_id", "title", "iterations", "v1_lines", "v2_lines", "v1_files", "v2_files").where((F.col("iterations") >= 2) & F.col("v1_lines").isNotNull() & F.col("v2_lines").isNotNull())
     sizes = rows.select("bug_id", "title", "v1_lines", "v2_lines", (F.col("v2_lines") - F.col("v1_lines")).alias("delta"), F.size("v1_files").alias("v1_files"), F.size("v2_files").alias("v2_files"))
     scope = rows.select("bug_id", F.array_except("v2_files", "v1_files").alias("added_files"), F.array_except("v1_files", "v2_files").alias("removed_files"), text.scope_change(F.col("v1_files"), F.col("v2_files")).alias("scope"))
     return {"size_changes": sizes.orderBy(F.abs("delta").desc(), "bug_id"), "file_scope_changes": scope.where("scope <> 'same'").orderBy("bug_id").limit(20), "scope_distribution": scope.groupBy("scope").agg(F.count(F.lit(1)).alias("count"))}
@@ -199,7 +220,7 @@ def patch_changes(bugs: DataFrame) -> Tables:
 @register("locality")
 def localities(bugs: DataFrame) -> Tables:
     """Records with frames and fixed files, by how near the fix is to the crash; each level has a row."""
-    rows = features(bugs).where(F.col("locality").isNotNull())
+    rows = features(bugs, "bug_id", "title", "locality", "iterations", "n_files", "n_frames").where(F.col("locality").isNotNull())
     spine = bugs.sparkSession.createDataFrame(list(enumerate(V.LOCALITIES)), "place int, locality string")
     counts = rows.groupBy("locality").agg(F.count(F.lit(1)).alias("count"), _median("iterations", "iterations > 0").alias("median_iterations"))
     filled = spine.join(counts, "locality", "left").withColumn("count", F.coalesce("count", F.lit(0)))
@@ -222,7 +243,7 @@ def difficulty(rows: DataFrame) -> DataFrame:
 @register("difficulty")
 def difficulties(bugs: DataFrame) -> Tables:
     """Records with a diff, by tier and score; feature_contributions has each part's mean in each tier."""
-    rows = difficulty(features(bugs).where("has_diff"))
+    rows = difficulty(features(bugs, "bug_id", "title", "has_diff", "lines", "n_files", "iterations", "locality_score", "fix_days", "has_c").where("has_diff"))
     tiers = rows.groupBy("tier").agg(*_stats(), _median("n_files").alias("median_files"), (F.avg(F.col("has_c").cast("int")) * 100).alias("pct_with_c_repro"))
     parts = rows.groupBy("tier").agg(*(F.avg(c).alias(c) for c in rows.columns if c.startswith("score_")))
     return {"tier_statistics": tiers, "score_distribution": rows.groupBy("score").agg(F.count(F.lit(1)).alias("count")).orderBy("score"), "feature_contributions": parts}
@@ -232,7 +253,7 @@ def difficulties(bugs: DataFrame) -> Tables:
 def information(bugs: DataFrame) -> Tables:
     """Records by the reproducers they have (the size median leaves zeros out), frames that a crash text's head keeps, words that crash and fix share."""
     kind = F.when(F.col("has_c") & F.col("has_syz"), "c_and_syz").when(F.col("has_c"), "c_only").when(F.col("has_syz"), "syz_only").otherwise("none")
-    counts = features(bugs).withColumn("reproducer", kind).groupBy("reproducer").agg(F.count(F.lit(1)).alias("count"), _median("lines", "lines > 0").alias("median_patch_lines"), _median("fix_days").alias("median_fix_days"))
+    counts = features(bugs, "has_c", "has_syz", "lines", "fix_days").withColumn("reproducer", kind).groupBy("reproducer").agg(F.count(F.lit(1)).alias("count"), _median("lines", "lines > 0").alias("median_patch_lines"), _median("fix_days").alias("median_fix_days"))
     b = derived(bugs)
     frames_of = lambda c: F.size(text.stack_frames(c))
     head = lambda n: F.array_join(F.slice(text.lines(F.col("crash_text")), 1, n), "\n")
@@ -263,7 +284,8 @@ def clusters(rows: DataFrame) -> DataFrame:
 @register("insights")
 def insights(bugs: DataFrame) -> Tables:
     """Records with a diff by cluster, pairs of clusters, and the number of clusters of a record."""
-    rows = clusters(features(bugs).where("has_diff"))
+    named = ("bug_type", "patterns", "lines", "iterations", "fix_days", "locality_score", "has_c", "has_syz", "n_reviews", "categories", "v1_lines", "v2_lines")
+    rows = clusters(features(bugs, "bug_id", "title", "has_diff", *named).where("has_diff"))
     each = rows.select("*", F.explode("clusters").alias("cluster"))
     overview = each.groupBy("cluster").agg(F.count(F.lit(1)).alias("count"), _median("lines").alias("median_patch_lines"), _median("fix_days").alias("median_fix_days"), _median("iterations").alias("median_iterations"), _median("n_reviews").alias("median_reviews"), (F.avg(F.col("has_c").cast("int")) * 100).alias("pct_with_c_repro"))
     members = rows.groupBy(F.size("clusters").alias("n_clusters")).agg(F.count(F.lit(1)).alias("count")).orderBy("n_clusters")
@@ -309,7 +331,8 @@ def hooks() -> Column:
 @register("casestudy")
 def case_studies(bugs: DataFrame) -> Tables:
     """Records with a diff by composite score: the first 50, the first 20 with short fixes, and the first 5 of each part."""
-    rows = case_scores(features(bugs).where("has_diff"))
+    named = ("lines", "iterations", "fix_days", "locality_score", "has_c", "has_syz", "n_frames", "n_reviews", "v1_lines", "v2_lines", "v1_files", "v2_files")
+    rows = case_scores(features(bugs, "bug_id", "title", "has_diff", *named).where("has_diff"))
     parts = [c for c in rows.columns if c.endswith("_score") and c not in ("locality_score", "composite_score")]
     order = [F.desc("composite_score"), F.desc("iterations"), "bug_id"]
     shown = rows.select("bug_id", "title", "composite_score", "iterations", F.col("n_reviews").alias("num_human_reviews"), "fix_days", F.col("lines").alias("final_patch_lines"), "v1_lines", "v2_lines", "paper_friendly", hooks().alias("hooks"), *parts)
