@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.plans.modes import escaped
+from faultline.sources.tables import spread
 
 #: Entries of a page of the index.
 ENTRIES = 1_000
@@ -20,7 +21,8 @@ def _text(c: Column | str) -> Column:
 
 def write_pages(pages: DataFrame, path: str, name: str = "bug_id", body: str = "body") -> None:
     """A folder for each name, with the body as its one file of text. Names must be told apart by themselves; null is left out."""
-    pages.where(F.col(name).isNotNull()).select(F.col(name).cast("string").alias("page"), _text(body).alias("value")).write.mode("overwrite").partitionBy("page").text(path)
+    rows = pages.where(F.col(name).isNotNull()).select(F.col(name).cast("string").alias("page"), _text(body).alias("value"))
+    spread(rows, "page").write.mode("overwrite").partitionBy("page").text(path)
 
 
 def index_pages(pages: DataFrame, title: str, name: str = "bug_id", label: str = "title", entries: int = ENTRIES) -> DataFrame:

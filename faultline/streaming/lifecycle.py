@@ -40,47 +40,47 @@ def reached(landed: Iterable[str], failed: Iterable[str], steps: list[str], tole
 
 
 class Lifecycle(StatefulProcessor):
-    """State of a record: the steps that have landed, how often each failed, the last error, the latest time."""
+    """State of a record, one value: the steps that have landed, how often each failed, the last error, the latest time."""
+
+    STATE = "updated_us long, error string, error_us long, n_errors long, landed array<string>, failed array<string>, times array<int>"
 
     def __init__(self, steps: list[str], tolerant: tuple[str, ...], wait: timedelta = WAIT, longest: timedelta = LONGEST):
         self.steps, self.tolerant, self.wait, self.longest = steps, tolerant, wait, longest
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.landed = handle.getMapState("landed", "step string", "at_us long")
-        self.failed = handle.getMapState("failed", "step string", "times int")
-        self.last = handle.getValueState("last", "updated_us long, error string, error_us long, n_errors long")
+        self.state = handle.getValueState("record", self.STATE)
 
-    def _change(self, key: str, ask: str | None) -> Row:
-        updated, error, _, n = self.last.get() if self.last.exists() else (None, None, None, 0)
-        step = reached([k[0] for k in self.landed.keys()], [k[0] for k in self.failed.keys()], self.steps, self.tolerant)
-        return Row(bug_id=key, step=step, n_errors=n, last_error=error, updated_us=updated, ask_again=ask)
+    def _change(self, key: str, known: tuple, ask: str | None) -> Row:
+        updated, error, _, n, landed, failed, _ = known
+        return Row(bug_id=key, step=reached(landed, failed, self.steps, self.tolerant), n_errors=n, last_error=error, updated_us=updated, ask_again=ask)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        updated, error, error_us, n = self.last.get() if self.last.exists() else (None, None, None, 0)
+        updated, error, error_us, n, landed, failed, times = self.state.get() if self.state.exists() else (None, None, None, 0, [], [], [])
+        landed, failed = set(landed), dict(zip(failed, times))
         for row in rows:
             if row.step not in self.steps[1:] or row.us is None:
                 continue
             updated = row.us if updated is None else max(updated, row.us)
             if row.error is None:
-                self.landed.updateValue((row.step,), (row.us,))
+                landed.add(row.step)
                 continue
             n += 1
             if error_us is None or (row.us, row.error) > (error_us, error):
                 error, error_us = row.error, row.us
-            times = self.failed.getValue((row.step,))[0] + 1 if self.failed.containsKey((row.step,)) else 1
-            self.failed.updateValue((row.step,), (times,))
-            due = row.us // 1000 + int(min(self.wait * 2 ** min(times - 1, 20), self.longest).total_seconds() * 1000)
+            failed[row.step] = failed.get(row.step, 0) + 1
+            due = row.us // 1000 + int(min(self.wait * 2 ** min(failed[row.step] - 1, 20), self.longest).total_seconds() * 1000)
             self.handle.registerTimer(max(due, timerValues.getCurrentWatermarkInMs() + 1))
-        self.last.update((updated, error, error_us, n))
-        yield self._change(key[0], None)
+        known = (updated, error, error_us, n, sorted(landed), [*failed], [*failed.values()])
+        self.state.update(known)
+        yield self._change(key[0], known, None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """A failed piece that hasn't landed meanwhile is asked for again; others aren't."""
-        landed = {k[0] for k in self.landed.keys()}
-        open_ = [k[0] for k in self.failed.keys() if k[0] not in landed]
+        known = self.state.get()
+        open_ = set(known[5]) - set(known[4])
         if open_:
-            yield self._change(key[0], min(open_, key=self.steps.index))
+            yield self._change(key[0], known, min(open_, key=self.steps.index))
 
     def close(self) -> None:
         pass
