@@ -3,7 +3,8 @@
 A tree's leaf is a byte position; it holds (rank, position) of the pair that begins there, or infinity. A node holds the
 smaller child, so the root is the leftmost pair of least rank. A merge changes the leaves of the live neighbours before
 and at it and of the token that it takes in: three point updates of logarithmic cost. Trees of equal size are worked
-on side by side in numpy, one merge of each a step.
+on side by side in numpy, one merge of each a step; a long word's tree is worked on alone, in plain lists, as steps of one
+lane would cost the same as those of many.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from . import common
 NONE = np.int64(1) << 62
 #: Words of a step, by tree size: leaves * words stays under this.
 LANES = 1 << 21
+#: Leaves from which on a word's tree is worked on alone.
+ALONE = 1 << 12
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,6 +39,7 @@ class PairTable:
     def __init__(self, ranks: dict[bytes, int]):
         pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         pairs.sort()
+        self._known: dict[int, int] | None = None
         self.keys = np.array([k for k, _ in pairs] or [-1], np.int64)
         self.ranks = np.array([r for _, r in pairs] or [0], np.int64)
 
@@ -45,6 +49,55 @@ class PairTable:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where((self.keys[at] == keys) & (left >= 0) & (right >= 0), self.ranks[at], NONE)
 
+    def known(self) -> dict[int, int]:
+        """The same as a dictionary, made when the first long word comes."""
+        if self._known is None:
+            self._known = dict(zip(self.keys.tolist(), self.ranks.tolist()))
+        return self._known
+
+
+def _merge_alone(ids: list[int], known: dict[int, int]) -> list[int]:
+    """Ids of one long word's bytes, merged: the tree of _merge in plain lists."""
+    n, none = len(ids), 1 << 62
+    leaves = 1 << max(1, (n - 1).bit_length())
+    shift, mask = leaves.bit_length(), (1 << leaves.bit_length()) - 1
+    tree = [none] * (2 * leaves)
+    for i in range(n - 1):
+        rank = known.get(ids[i] << 32 | ids[i + 1])
+        if rank is not None:
+            tree[leaves + i] = rank << shift | i
+    for node in range(leaves - 1, 0, -1):
+        a, b = tree[2 * node], tree[2 * node + 1]
+        tree[node] = a if a < b else b
+    after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+
+    def put(spot: int, value: int) -> None:
+        node = leaves + spot
+        tree[node] = value
+        while node > 1:
+            other = tree[node ^ 1]
+            node >>= 1
+            least = value if value < other else other
+            if tree[node] == least:
+                return  # nothing changes further up
+            tree[node] = value = least
+
+    while tree[1] != none:
+        at, rank = tree[1] & mask, tree[1] >> shift
+        gone = after[at]
+        next_, previous = after[gone], before[at]
+        ids[at], ids[gone], after[at] = rank, -1, next_
+        put(gone, none)
+        found = None
+        if next_ < n:
+            before[next_] = at
+            found = known.get(rank << 32 | ids[next_])
+        put(at, none if found is None else found << shift | at)
+        if previous >= 0:
+            found = known.get(ids[previous] << 32 | rank)
+            put(previous, none if found is None else found << shift | previous)
+    return [x for x in ids if x >= 0]
+
 
 def _merge(ids: np.ndarray, lengths: np.ndarray, pairs: PairTable) -> np.ndarray:
     """ids: (words, leaves), -1 after a word's end. Returns them with merged-away positions set to -1."""
@@ -112,6 +165,10 @@ class ByteBpe:
             if ids is None:
                 by_leaves.setdefault(1 << max(1, (len(words[i]) - 1).bit_length()), []).append(i)
         for leaves, group in by_leaves.items():
+            if leaves >= ALONE:
+                for i in group:
+                    out[i] = _merge_alone(self.byte[np.frombuffer(words[i], np.uint8)].tolist(), self.pairs.known())
+                continue
             lanes = max(1, LANES // leaves)
             for k in range(0, len(group), lanes):
                 some = group[k : k + lanes]
@@ -172,7 +229,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
 def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encode_documents' result, without moving ids out of the worker.
 
-    Null text is empty; a null doc_id stays; an empty table gives no rows.
+    Null text is empty; a null doc_id stays; repeated rows are rows of their own; other columns, of whatever names, are left
+    aside; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -299,6 +299,23 @@ def test_byte_bpe(spark, docs, texts):
 # 6
 
 
+@pytest.mark.parametrize("piece", ["a", "QUJD/+x9", "ñandú", "ab"])
+def test_long_words_of_one_piece(piece):
+    """A single pre-token of a megabyte takes seconds, and has the ids that tiktoken gives."""
+    import time
+
+    import tiktoken
+
+    own = bpe.ByteBpe(public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN)
+    reference = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    rng = random.Random(1)
+    word = "".join(rng.choice([piece, piece[::-1]]) for _ in range(60_000 // len(piece)))
+    assert own.encode(word) == reference.encode_ordinary(word)
+    began = time.process_time()
+    assert own.decode(own.encode(piece * (1_000_000 // len(piece)))) == (piece * (1_000_000 // len(piece))).encode()
+    assert time.process_time() - began < 60
+
+
 def test_token_counts(docs, texts):
     pieces = unigram.read_pieces(public.path("piece_bpe_32k.model"))
 
