@@ -630,3 +630,64 @@ def feed_entries(spark, sf):
     feeds = newest.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", entry.alias("e")))).alias("e"))
     content = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>all</title>'), F.array_join(F.transform("e", lambda x: x["e"]), ""), F.lit("</feed>"))
     return feeds.select("c_nationkey", F.explode(tracker.feed_hits(content)).alias("h")).select("c_nationkey", "h.title", "h.href")
+
+
+@register(_CROSS + " SELECT domain, bug_id, direction, row_number() OVER (PARTITION BY domain ORDER BY bug_id)::INT AS rank FROM rel WHERE relation = 'cross_layer' QUALIFY rank <= 5")
+def analysis_crosslayer_examples(spark, sf):
+    return _table("crosslayer", "examples", spark, sf).select("domain", "bug_id", "direction", "rank")
+
+
+@register(
+    _CROSS + """ SELECT b.bug_id, coalesce(NOT on_stack, false) AS label, CASE WHEN rel.k IS NULL THEN 'no_record' WHEN on_stack THEN 'stack_on' ELSE 'stack_off' END AS reason, 'strict=stack;relax=1' AS mode
+FROM b LEFT JOIN rel ON rel.k = b.k"""
+)
+def mode_labels_of_ids(spark, sf):
+    bugs = corpus(spark, sf)
+    return modes.labels_of(bugs, cross_layer.relations(bugs), "stack", 1)
+
+
+@register(_MODE + f""", d AS (SELECT bug_id, coalesce(domain, nullif(cd, ''), nullif(xd, '')) AS domain FROM (SELECT rel.bug_id, rel.domain{_APART} FROM rel))
+SELECT d.domain, count(*) AS count FROM cell JOIN d USING (bug_id) WHERE s = 'combined' AND w = 1 AND positive AND d.domain IS NOT NULL GROUP BY 1""")
+def positives_by_domain(spark, sf):
+    """Positives by the first domain that is known of them."""
+    return modes.summary(cross_layer.relations(corpus(spark, sf)))["by_domain"]
+
+
+@register(
+    f""", {_CATS}, old AS (SELECT bug_id, noted FROM b JOIN t ON t.i = (k + 2) % 7 WHERE k % 4 >= 1),
+e AS (SELECT CASE WHEN len(list_concat(categories, noted)) > 0 THEN 'classified' WHEN (k + 1) % 3 > 0 THEN 'unclassified_with_discussion' ELSE 'self_revision' END AS meta FROM c JOIN old USING (bug_id) JOIN b USING (bug_id))
+SELECT meta, count(*) AS count FROM e GROUP BY 1"""
+)
+def analysis_revision_meta(spark, sf):
+    return _table("revision", "meta", spark, sf)
+
+
+@register(
+    """, s AS (SELECT *, (NOT has_c)::INT + (NOT has_syz)::INT AS scarce FROM f WHERE has_diff)
+SELECT bug_id, array_to_string(list_filter([CASE WHEN v1 <> v2 THEN 'v1: ' || v1 || ' lines/' || v1_files || ' files -> v2: ' || v2 || ' lines/' || v2_files || ' files' END,
+CASE WHEN iterations >= 3 THEN iterations || ' patch iterations' END, CASE WHEN n_reviews >= 10 THEN n_reviews || ' human review messages' END, CASE WHEN fix_days > 180 THEN round_even(fix_days, 0)::BIGINT || ' days to fix' END,
+CASE locality_score WHEN 3 THEN 'fix in different subsystem from crash' WHEN 2 THEN 'fix in different directory from crash' END, CASE WHEN scarce >= 2 THEN 'limited debugging information available' END,
+CASE WHEN lines <= 10 THEN 'final fix is only ' || lines || ' lines' END], lambda x: x IS NOT NULL), '; ') AS hooks FROM s"""
+)
+def narrative_hooks(spark, sf):
+    """What is worth telling of every record with a diff."""
+    named = ("lines", "iterations", "fix_days", "locality_score", "has_c", "has_syz", "n_frames", "n_reviews", "v1_lines", "v2_lines", "v1_files", "v2_files")
+    rows = analyses.case_scores(analyses.features(corpus(spark, sf), "bug_id", "title", "has_diff", *named).where("has_diff"))
+    return rows.select("bug_id", F.array_join(analyses.hooks(), "; ").alias("hooks"))
+
+
+@register(
+    """, h AS (SELECT n, least(n - 1, 1 + k % 5) / (1 + k % 5) AS share FROM (SELECT k FROM b) CROSS JOIN (SELECT unnest([10, 20, 30, 50, 100]) AS n))
+SELECT n::INT AS first_n_lines, list_sort(list(share))[count(*) // 2 + 1] * 100 AS median_stack_frame_retention, count(*) AS bugs_analyzed FROM h GROUP BY 1"""
+)
+def analysis_infosuff_truncation(spark, sf):
+    return _table("infosuff", "truncation_analysis", spark, sf)
+
+
+@register(
+    _STEPS + """ SELECT bug_id, (count(*) + 1)::BIGINT AS num_versions, sum(n)::BIGINT AS total_reviews, sum(len(asked))::BIGINT AS total_feedback_items, sum(delta)::BIGINT AS total_line_delta,
+round_even(avg(CASE WHEN n > 0 THEN 168.0::DOUBLE END), 3) AS total_time_hours, array_to_string(list_sort(list_distinct(flatten(list(asked)))), ',') AS categories FROM x GROUP BY 1"""
+)
+def analysis_evolution_summary(spark, sf):
+    rows = _table("evolution", "evolution_summary", spark, sf)
+    return rows.select("bug_id", "num_versions", "total_reviews", "total_feedback_items", "total_line_delta", "total_time_hours", F.array_join("categories", ",").alias("categories"))

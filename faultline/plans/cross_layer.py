@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.functions import rules, taxonomy, text
+from faultline.functions import rules, stats, taxonomy, text
 from faultline.sources.schema import derived, settled
 
 #: Frames kept of a report, and frames of a domain among which its primary layer is looked for (fixed values).
@@ -124,12 +124,21 @@ def positive(strict: str, window: int | None) -> Column:
     return mode(strict, window)[0]
 
 
+def examples(crossing: DataFrame, k: int = 5) -> DataFrame:
+    """The first k records of each domain by bug_id, with the first three files of the crash (of frames that have a layer) and of the fix."""
+    shown = crossing.select(
+        "domain", "bug_id", "title", "direction", "stack_overlap", "crash_layer", "crash_layer_level", "fix_layer", "fix_layer_level",
+        F.slice(F.transform("crash_layers_top_n", lambda f: f["file"]), 1, 3).alias("crash_files"), F.slice(F.concat("fix_on_stack_files", "fix_off_stack_files"), 1, 3).alias("fix_files"),
+    )
+    return stats.first_k(shown, ["domain"], ["bug_id"], k).withColumnRenamed("place", "rank")
+
+
 def tables(bugs: DataFrame, layers: list[rules.Layer] | None = None, infrastructure: Callable[[Column], Column] = taxonomy.is_infrastructure) -> dict[str, DataFrame]:
-    """distribution of domain and direction among cross_layer records, the records, and the count of each mode."""
+    """distribution of domain and direction among cross_layer records, the first five of each domain, the records, and the count of each mode."""
     found = relations(bugs, layers, infrastructure)
     crossing = found.where(F.col("relation") == "cross_layer")
     counts = crossing.groupBy("domain", "direction").agg(F.count(F.lit(1)).alias("count"))
     whole = F.sum("count").over(Window.partitionBy())  # over the few rows of counts; a second aggregate would read the corpus again
     modes = [(s, w) for s in ("stack", "layer", "combined") for w in (1, 2, 3, None)]
     grid = found.agg(*(F.count_if(positive(s, w)).alias(f"{s}_{w or 'all'}") for s, w in modes))
-    return {"distribution": counts.select("domain", "direction", "count", (F.col("count") * 100.0 / whole).alias("pct_of_cross_layer")), "details": found, "modes": grid}
+    return {"distribution": counts.select("domain", "direction", "count", (F.col("count") * 100.0 / whole).alias("pct_of_cross_layer")), "examples": examples(crossing), "details": found, "modes": grid}

@@ -37,6 +37,13 @@ def labelled(rows: DataFrame, strict: str = "combined", window: int | None = 1,
     return rows.where(passes(**filters)).select("*", label.alias("label"), reason.alias("reason"), F.lit(f"strict={strict};relax={window or 'all'}").alias("mode"))
 
 
+def labels_of(ids: DataFrame, rows: DataFrame, strict: str = "combined", window: int | None = 1) -> DataFrame:
+    """ids (bug_id) with label, reason and mode; one that has no row of relations is labelled false, for no_record."""
+    known = labelled(rows, strict, window).select("bug_id", "label", "reason")
+    found = ids.select("bug_id").join(known, "bug_id", "left")
+    return found.select("bug_id", F.coalesce("label", F.lit(False)).alias("label"), F.coalesce("reason", F.lit("no_record")).alias("reason"), F.lit(f"strict={strict};relax={window or 'all'}").alias("mode"))
+
+
 def summary(rows: DataFrame, strict: str = "combined", window: int | None = 1, **filters) -> dict[str, DataFrame]:
     """total and positive, and the positives by relation, direction and domain (its first known one)."""
     found = labelled(rows, strict, window, **filters)
