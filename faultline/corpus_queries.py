@@ -95,7 +95,7 @@ CASE WHEN c_custkey % 10 = 9 THEN [] ELSE {_NUMBERS.format('1 + c_custkey % 3',
 {_NUMBERS.format('1 + c_custkey % 3', 'j', '1 + (c_custkey + j * 13) % 40')} AS xl, {_NUMBERS.format('1 + c_custkey % 3', 'j', '(c_custkey + j) % 5')} AS xk,
 {_NUMBERS.format('1 + c_custkey % 4', 'v', '(c_custkey + v + 1) % 3')} AS reviews FROM customer),
 t AS (SELECT i, text, {_labels('text', V.REVIEW_CATEGORIES)} AS labels, {_labels('note', V.REVIEW_CATEGORIES)} AS noted FROM (SELECT unnest(range(0, 7)) AS i, unnest({_list(REVIEWS)}) AS text, unnest({_list(['- ' + n for n in NOTES])}) AS note)),
-r AS (SELECT k, bug_id, title, v, i, (k + i) % 6 AS reviewer, labels FROM (SELECT *, unnest(range(1, (k + v) % 3 + 1)) AS i FROM (SELECT k, bug_id, title, unnest(range(1, 2 + k % 4)) AS v FROM b)) JOIN t ON t.i = (k + v + r.i) % 7),
+r AS (SELECT k, bug_id, title, v, x.i AS i, (k + x.i) % 6 AS reviewer, labels FROM (SELECT *, unnest(range(1, (k + v) % 3 + 1)) AS i FROM (SELECT k, bug_id, title, unnest(range(1, 2 + k % 4)) AS v FROM b)) x JOIN t ON t.i = (k + v + x.i) % 7),
 f AS (SELECT k, bug_id, title, has_diff, {_TYPE} AS bug_type, CASE WHEN has_diff THEN list_sum(xl)::BIGINT END AS lines, greatest(len(xf), 1) AS n_files, 1 + k % 4 AS iterations,
 CASE WHEN k % 9 = 0 THEN NULL ELSE (k * 13 % 420)::DOUBLE END AS fix_days, k % 2 = 1 AS has_c, k % 3 = 1 AS has_syz, list_sum(reviews)::BIGINT AS n_reviews,
 CASE WHEN NOT has_diff THEN NULL WHEN k % 11 = 0 THEN 'same-function' WHEN len(list_intersect(cf, xf)) > 0 OR {_meet("(split_part({0}, '/', 1) || '|' || regexp_extract({0}, '([^/]*)$', 1))")} THEN 'same-file' WHEN {_meet(_DIR)} THEN 'same-directory' WHEN {_meet(_TOP)} THEN 'same-subsystem' ELSE 'different-subsystem' END AS locality,
@@ -103,7 +103,6 @@ CASE WHEN NOT has_diff THEN 3 WHEN k % 11 = 0 THEN 0 WHEN {_meet(_BASE)} THEN 1
 CASE WHEN has_diff THEN list_filter([CASE WHEN list_contains(xk, 0) THEN 'add-null-check' END, CASE WHEN list_contains(xk, 1) THEN 'add-lock' END, CASE WHEN list_contains(xk, 3) THEN 'add-missing-free' END,
 CASE WHEN 2 * coalesce(list_sum(list_transform(range(1, len(xk) + 1), lambda n: CASE WHEN xk[n] = 2 THEN xl[n] ELSE 0 END)), 0) > list_sum(xl) + 3 THEN 'remove-code' END], lambda x: x IS NOT NULL) ELSE [] END AS patterns,
 CASE WHEN k % 4 >= 1 THEN ((k + 1) % 2 + 1) * (1 + (k * 3 + 5) % 30) END AS v1, CASE WHEN k % 4 >= 1 THEN ((k + 2) % 2 + 1) * (1 + (k * 3 + 10) % 30) END AS v2, (k + 1) % 2 + 1 AS v1_files, (k + 2) % 2 + 1 AS v2_files FROM b)"""
-_ROWS = _ROWS.replace("t.i = (k + v + r.i) % 7", "t.i = (k + v + x.i) % 7").replace("unnest(range(1, 2 + k % 4)) AS v FROM b)) JOIN t", "unnest(range(1, 2 + k % 4)) AS v FROM b)) x JOIN t").replace("SELECT k, bug_id, title, v, i, (k + i) % 6", "SELECT k, bug_id, title, v, x.i AS i, (k + x.i) % 6")
 
 
 def _median(x: str) -> str:
@@ -189,13 +188,12 @@ def analysis_casestudy(spark, sf):
 
 
 _EXPECT = "CASE bug_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in V.EXPECTED_FIXES.items()) + " END"
-_CLUSTER = f""", {_CATS}, m AS (SELECT f.*, unnest(list_filter([CASE WHEN {_EXPECT} IS NOT NULL AND len(patterns) > 0 AND len(list_intersect(patterns, {_EXPECT})) = 0 THEN 'misleading' END, CASE WHEN lines <= 10 AND (fix_days > 180 OR iterations >= 3) THEN 'simple' END,
+# The second thread's notes count too where they are of the form that the older rule knows.
+_CLUSTER = f""", {_CATS}, old AS (SELECT bug_id, noted FROM b JOIN t ON t.i = (k + 2) % 7 WHERE k % 4 >= 1), m AS (SELECT f.*, unnest(list_filter([CASE WHEN {_EXPECT} IS NOT NULL AND len(patterns) > 0 AND len(list_intersect(patterns, {_EXPECT})) = 0 THEN 'misleading' END, CASE WHEN lines <= 10 AND (fix_days > 180 OR iterations >= 3) THEN 'simple' END,
 CASE WHEN abs(v2 - v1) / greatest(v1, v2, 1) > 0.5 AND abs(v2 - v1) > 20 THEN 'revolution' END, CASE WHEN locality_score = 3 THEN 'cross-subsystem' END,
 CASE WHEN iterations >= 2 AND len(list_intersect(cats, ['correctness', 'incomplete_fix', 'memory_safety', 'race_condition'])) > 0 THEN 'rescued' END, CASE WHEN fix_days > 365 THEN 'long-lived' END,
 CASE WHEN bug_type IN ('deadlock', 'data-race') OR list_contains(patterns, 'add-lock') OR list_contains(cats, 'race_condition') THEN 'concurrency' END, CASE WHEN NOT has_c AND NOT has_syz THEN 'desert' END], lambda x: x IS NOT NULL)) AS cluster
 FROM (SELECT f.*, CASE WHEN iterations >= 2 THEN list_distinct(list_concat(c.categories, old.noted)) ELSE [] END AS cats FROM f JOIN c USING (bug_id) LEFT JOIN old USING (bug_id)) f WHERE has_diff)"""
-# The second thread's notes count too where they are of the form that the older rule knows.
-_CLUSTER = _CLUSTER.replace("m AS (SELECT f.*", "old AS (SELECT bug_id, noted FROM b JOIN t ON t.i = (k + 2) % 7 WHERE k % 4 >= 1), m AS (SELECT f.*", 1)
 
 
 @register(_CLUSTER + f" SELECT cluster, count(*) AS count, {_median('lines')} AS median_patch_lines, {_median('fix_days')} AS median_fix_days, {_median('iterations')}::INT AS median_iterations, {_median('n_reviews')}::INT AS median_reviews, avg(has_c::INT) * 100 AS pct_with_c_repro FROM m GROUP BY 1")
@@ -506,14 +504,13 @@ def patch_addresses(spark, sf):
 
 @register(", m AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, role, regexp_replace(replace(text, chr(13), ''), '\\s+$', '') AS text FROM conversations WHERE text IS NOT NULL) SELECT conv_id, place::INT AS place, role || ' <' || role || '@x>' AS from_addr, '[PATCH v' || (turn + 1) || '] s' AS subject, (turn + 1)::INT AS version, md5(text) AS body FROM m")
 def mail_archives(spark, sf):
-    mail.register(spark)
     one = F.concat(
         F.lit("From x\nFrom: "), "role", F.lit(" <"), "role", F.lit("@x>\nSubject: [PATCH v"), (F.col("turn") + 1).cast("string"), F.lit("] s\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"),
         F.regexp_replace("text", r"(?m)^(>*From )", ">$1"), F.lit("\n\n"),
     )
     archive = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", one.alias("m")))), lambda x: x["m"]), "").cast("binary")
-    table(spark, sf, "conversations").where("text IS NOT NULL").groupBy("conv_id").agg(archive.alias("archive")).createOrReplaceTempView("_faultline_conversations")
-    rows = spark.sql("SELECT c.conv_id, m.* FROM _faultline_conversations c, LATERAL read_mbox(c.archive) m")
+    threads = table(spark, sf, "conversations").where("text IS NOT NULL").groupBy("conv_id").agg(archive.alias("archive"))
+    rows = mail.with_mails(threads, "archive").drop("archive")
     return rows.select("conv_id", "place", "from_addr", "subject", text.subject_version(F.col("subject"), "list").alias("version"), F.md5(F.regexp_replace(F.regexp_replace("body", "\r", ""), r"\s+$", "")).alias("body"))
 
 

@@ -125,8 +125,8 @@ def read_result(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 
 def restore(spark: SparkSession, path: str) -> DataFrame:
-    """Records of packs of JSON lines, gzip or not; one without an id is named by its place. A gzip file is one task's, so rows are dealt anew."""
+    """Records of packs of JSON lines, gzip or not; one without an id is named by its content, whatever the division of files. A gzip file is one task's, so rows are dealt anew."""
     raw = spark.read.schema(T.StructType([*BUG.fields, T.StructField("_corrupt_record", T.StringType())])).option("mode", "PERMISSIVE").json(path)
     rows = raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    named = F.coalesce(F.nullif("bug_id", F.lit("")), F.concat(F.lit("unknown_"), F.lpad(F.monotonically_increasing_id().cast("string"), 6, "0")))
+    named = F.coalesce(F.nullif("bug_id", F.lit("")), F.concat(F.lit("unknown_"), F.left(F.sha1(F.to_json(F.struct(*BUG.fieldNames()))), F.lit(12))))
     return rows.withColumn("bug_id", named).repartition("bug_id")

@@ -74,15 +74,18 @@ class ReadMbox:
 
 
 def register(spark: SparkSession) -> None:
-    """Makes read_mbox(archive) known to SQL and lateral joins."""
+    """Makes read_mbox(archive) known to SQL."""
     spark.udtf.register("read_mbox", F.udtf(ReadMbox, returnType=MAIL))
 
 
+def with_mails(df: DataFrame, archive: str) -> DataFrame:
+    """Rows of df with each mail of their archive (a column of bytes); rows without mails go."""
+    return df.lateralJoin(F.udtf(ReadMbox, returnType=MAIL)(F.col(archive).outer()))
+
+
 def read_threads(spark: SparkSession, path: str) -> DataFrame:
     """path, subject, patch_version and messages of each archive file; the subject is that of the first mail."""
-    register(spark)
-    spark.read.format("binaryFile").load(path).select("path", "content").createOrReplaceTempView("_faultline_archives")
-    rows = spark.sql("SELECT a.path, m.* FROM _faultline_archives a, LATERAL read_mbox(a.content) m")
+    rows = with_mails(spark.read.format("binaryFile").load(path).select("path", "content"), "content").drop("content")
     names = MESSAGE.fieldNames()
     ordered = F.array_sort(F.collect_list(F.struct("place", *names)))  # at most MOST_MAILS to a thread
     threads = rows.groupBy("path").agg(ordered.alias("m")).select("path", F.transform("m", lambda x: F.struct(*(x[c].alias(c) for c in names))).alias("messages"))
