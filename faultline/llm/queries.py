@@ -76,9 +76,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .unigram import token_counts
+    from .unigram import learn, token_counts
 
-    return token_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    docs, path = _documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")
+    return token_counts(docs, path, pieces=learn(_table(spark, sf_dir, "documents"), path))
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

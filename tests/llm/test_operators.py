@@ -360,6 +360,39 @@ def test_token_counts(docs, texts):
 # 7
 
 
+def test_learned_pieces(spark, docs):
+    """Expected counts against all segmentations; likelihood rises with each round, and on words that aren't learned from."""
+    import math
+
+    pieces = {"a": math.log(0.3), "b": math.log(0.2), "ab": math.log(0.2), "aba": math.log(0.1), "c": math.log(0.2)}
+
+    def cuts(word):
+        return [[]] if not word else [[word[:n], *rest] for n in range(1, len(word) + 1) if word[:n] in pieces for rest in cuts(word[n:])]
+
+    words = {"ababa": 3, "abc": 2, "xa": 9, "": 1}
+    counts, likelihood = unigram.expected(words, pieces, 3)
+    want, told = Counter(), 0.0
+    for word, n in words.items():
+        ways = [(math.prod(math.exp(pieces[x]) for x in cut), cut) for cut in cuts(word)]
+        total = sum(p for p, _ in ways)
+        told += n * math.log(total) if total else 0
+        for p, cut in ways:
+            for x in cut:
+                want[x] += n * p / total
+    assert math.isclose(likelihood, told) and all(math.isclose(counts[x], want[x], abs_tol=1e-12) for x in pieces)
+    every = unigram.sample_words(docs)
+    assert every and all(w[0] == unigram.MARK and n > 0 for w, n in every.items()) and len(unigram.sample_words(docs, most=7)) == 7
+    start = unigram.read_pieces(public.path("piece_bpe_32k.model"))
+    train, rest = dict(list(every.items())[::2]), dict(list(every.items())[1::2])
+    learned, history = unigram.fit(train, start, rounds=5)
+    assert all(b >= a - 1e-6 for a, b in zip(history, history[1:])) and math.isclose(sum(map(math.exp, learned.values())), 1, rel_tol=1e-6)
+    longest = max(map(len, start))
+    assert unigram.expected(rest, learned, longest)[1] > unigram.expected(rest, start, longest)[1]
+    assert unigram.fit({}, start)[0].keys() == start.keys()
+    found = unigram.token_counts(docs, public.path("piece_bpe_32k.model"), pieces=learned).collect()
+    assert sum(r["n_tokens"] for r in found) <= sum(r["n_tokens"] for r in unigram.token_counts(docs, public.path("piece_bpe_32k.model")).collect())
+
+
 def test_gradients_agree_with_differences():
     network, words, labels = langid.BiGru(3, units=4), [b"ab", b"xyz", b"q"], np.array([0, 1, 2])
     network.p = {k: v.astype(np.float64) for k, v in network.p.items()}
