@@ -24,7 +24,10 @@ def tumbling(df: DataFrame, time: str, width: str, keys: list[str], measures: di
 
 def sessions(df: DataFrame, time: str, gap: str, keys: list[str], measures: dict[str, Column], late: str | None = "1 day") -> DataFrame:
     """start, end (the last event and the gap), keys and measures of each run of events of a key that are less than the gap apart."""
-    return _timed(df, time, late).groupBy(F.session_window(time, gap).alias("_w"), *keys).agg(*[c.alias(n) for n, c in measures.items()]).select(F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), *keys, *measures)
+    # Spark joins sessions that touch, so events just the gap apart would be one; a microsecond, which times are told by, keeps them apart.
+    at = F.session_window(time, f"{gap} -1 microseconds")
+    found = _timed(df, time, late).groupBy(at.alias("_w"), *keys).agg(*[c.alias(n) for n, c in measures.items()])
+    return found.select(F.col("_w.start").alias("start"), (F.col("_w.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("end"), *keys, *measures)
 
 
 def once(df: DataFrame, ids: list[str], time: str, late: str = "1 day") -> DataFrame:
