@@ -5,7 +5,7 @@ Text is put together by expressions, so a page is a value of its row; a folder a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.plans.modes import escaped
@@ -13,6 +13,8 @@ from faultline.sources.tables import spread
 
 #: Entries of a page of the index.
 ENTRIES = 1_000
+#: Pages of a bundle, about; and bytes of a row group in it.
+BUNDLED, ROW_GROUP = 50_000, 1 << 20
 
 
 def _text(c: Column | str) -> Column:
@@ -25,6 +27,23 @@ def write_pages(pages: DataFrame, path: str, name: str = "bug_id", body: str = "
     spread(rows, "page").write.mode("overwrite").partitionBy("page").text(path)
 
 
+def write_bundles(pages: DataFrame, path: str, name: str = "bug_id", body: str = "body") -> None:
+    """page and body of every page in files that executors write, about BUNDLED pages to a file, ranged and sorted by name.
+
+    For whole corpora: a file a page costs a file system some milliseconds and the driver an entry, however small the page.
+    `read_pages` gives all pages or those of some names; `write_pages` of these makes files of them.
+    """
+    rows = pages.where(F.col(name).isNotNull()).select(F.col(name).cast("string").alias("page"), _text(body).alias("body"))
+    n = max(1, -(-rows.count() // BUNDLED))
+    rows.repartitionByRange(n, "page").sortWithinPartitions("page").write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
+
+
+def read_pages(spark: SparkSession, path: str, *names: str) -> DataFrame:
+    """page and body of the pages of bundles; of some names only the row groups that can hold them are read."""
+    rows = spark.read.parquet(path)
+    return rows.where(F.col("page").isin(list(names))) if names else rows
+
+
 def index_pages(pages: DataFrame, title: str, name: str = "bug_id", label: str = "title", entries: int = ENTRIES) -> DataFrame:
     """name and body of index pages in Markdown: links to pages in the order of their names, so many to a page.
 
