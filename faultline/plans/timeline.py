@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import text
+from faultline.sources.schema import settled
 
 # The last version with a label of its own, sane days, and the labels that are shown, bottom first.
 LAST, MOST_DAYS = 5, 3650
@@ -16,8 +17,8 @@ def version_dates(discussions: Column) -> Column:
     """version and at of each version in order: the earliest of its threads' first readable mail dates."""
     first = lambda d: F.get(F.filter(F.transform(d["messages"], lambda m: text.mail_instant(F.coalesce(m["date"], F.lit("")))), lambda t: t.isNotNull()), F.lit(0))
     dated = F.filter(F.transform(F.filter(discussions, lambda d: d["patch_version"].isNotNull()), lambda d: F.struct(d["patch_version"].alias("version"), first(d).alias("at"))), lambda x: x["at"].isNotNull())
-    versions = F.array_sort(F.array_distinct(F.transform(dated, lambda x: x["version"])))
-    return F.transform(versions, lambda v: F.struct(v.alias("version"), F.array_min(F.transform(F.filter(dated, lambda x: x["version"] == v), lambda x: x["at"])).alias("at")))
+    # Dates are read once, not once a version.
+    return text.bound(dated, lambda known: F.transform(F.array_sort(F.array_distinct(F.transform(known, lambda x: x["version"]))), lambda v: F.struct(v.alias("version"), F.array_min(F.transform(F.filter(known, lambda x: x["version"] == v), lambda x: x["at"])).alias("at"))))
 
 
 def gap_label(a: Column, b: Column) -> Column:
@@ -30,7 +31,8 @@ def gaps(bugs: DataFrame) -> DataFrame:
     """bug_id, year, label, days; records without a readable report or version, or with an absurd first gap, are left out."""
     crash = text.iso_instant(F.col("first_crash"))
     merged = F.coalesce(F.get(F.filter(F.transform("fix_commits", lambda c: text.iso_instant(c["date"])), lambda t: t.isNotNull()), F.lit(0)), text.iso_instant(F.col("fix_time")))
-    b = bugs.select("bug_id", crash.alias("crash"), merged.alias("merged"), version_dates(F.col("discussions")).alias("v")).where(F.col("crash").isNotNull() & (F.size("v") > 0))
+    b = bugs.select("bug_id", crash.alias("crash"), merged.alias("merged"), version_dates(F.col("discussions")).alias("v"))
+    b = settled(b).where(F.col("crash").isNotNull() & (F.size("v") > 0))
     days = text.days_between
     b = b.withColumn("first", days(F.col("crash"), F.get("v", F.lit(0))["at"])).where(F.col("first").between(0, MOST_DAYS))
     pair = lambda i: F.struct(gap_label(F.get("v", i)["version"], F.get("v", i + 1)["version"]).alias("label"), days(F.get("v", i)["at"], F.get("v", i + 1)["at"]).alias("days"))
@@ -49,10 +51,10 @@ def timeline(bugs: DataFrame, first_year: int, last_year: int) -> DataFrame:
     rows = gaps(bugs).where(F.col("year").between(first_year, last_year))
     spark = bugs.sparkSession
     spine = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year"), F.posexplode(F.array(*map(F.lit, LABELS))).alias("place", "label"))
-    means = rows.groupBy("year", "label").agg(F.avg("days").alias("mean"))
-    counts = rows.where(F.col("label") == LABELS[0]).groupBy("year").agg(F.count(F.lit(1)).alias("n"))  # every record has the first gap
-    filled = spine.join(F.broadcast(means), ["year", "label"], "left").join(F.broadcast(counts), "year", "left")
-    return filled.select("year", "place", "label", F.coalesce("mean", F.lit(0.0)).alias("mean_days"), F.coalesce("n", F.lit(0)).alias("bugs")).orderBy("year", "place")
+    means = rows.groupBy("year", "label").agg(F.avg("days").alias("mean"), F.count(F.lit(1)).alias("n"))  # one pass over the records
+    filled = spine.join(F.broadcast(means), ["year", "label"], "left")
+    bugs = F.max(F.when(F.col("label") == LABELS[0], F.col("n"))).over(Window.partitionBy("year"))  # every record has the first gap
+    return filled.select("year", "place", "label", F.coalesce("mean", F.lit(0.0)).alias("mean_days"), F.coalesce(bugs, F.lit(0)).alias("bugs")).orderBy("year", "place")
 
 
 def pivoted(rows: DataFrame) -> DataFrame:
