@@ -18,7 +18,7 @@ from faultline.functions import rules, text
 from faultline.plans import analyses
 from faultline.sources import lookup, mail, tracker
 from faultline.sources.schema import BUG
-from faultline.sources.tables import new_path, table
+from faultline.sources.tables import dealt, new_path, table
 from faultline.streaming import ingest, state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -267,6 +267,6 @@ def tracker_details(spark, sf):
     more = F.when(F.col("c_custkey") % 2 == 1, F.concat(F.lit(',{"link":"https://l.x/more'), k, F.lit('","subject":"y"}'))).otherwise("")
     content = F.concat(F.lit('{"title":"'), "c_name", F.lit('","fix-commits":[{"title":"f","hash":"h'), k, F.lit('"}],"discussions":[{"link":"https://l.x/1","subject":"[PATCH] x"},{"link":"https://l.x/1","subject":"again"}'), more, F.lit('],"crashes":'), crashes, F.lit("}"))
     page = F.concat(F.lit('<p><a href="https://l.x/page'), k, F.lit('">[PATCH v2] z</a></p>'))
-    rows = table(spark, sf, "customer").select(F.lpad(k, 20, "0").alias("bug_id"), content.alias("content"), page.alias("page"))
+    rows = dealt(table(spark, sf, "customer").select("c_custkey", "c_name"), 20_000, "c_custkey").select(F.lpad(k, 20, "0").alias("bug_id"), content.alias("content"), page.alias("page"))
     found = tracker.details(rows, "l.x")
     return found.select("bug_id", "title", F.size("crashes").alias("n_crashes"), F.size("discussions").alias("n_threads"), F.size("fix_commits").alias("n_commits"))
