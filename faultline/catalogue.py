@@ -257,14 +257,19 @@ p AS (SELECT * FROM (SELECT o_orderkey, f_domain, f_layer, w, row_number() OVER
 x AS (SELECT c.o_orderkey, c_domain, c_layer, p.f_layer, p.w, CASE WHEN p.f_layer IS NULL THEN 'cross_domain' WHEN p.f_layer = c_layer THEN 'same_layer' ELSE 'cross_layer' END AS relation FROM c JOIN (SELECT DISTINCT o_orderkey FROM f) USING (o_orderkey) LEFT JOIN p ON c.o_orderkey = p.o_orderkey AND c_domain = p.f_domain)"""
 
 
+#: Items of a task.
+ITEMS = 500_000
+
+
 def _relations(spark, sf) -> DataFrame:
     nation = F.broadcast(table(spark, sf, "nation").select("n_nationkey", "n_regionkey"))  # 25 nations at any scale
     customers = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("n_regionkey").alias("c_domain"), F.col("c_nationkey").alias("c_layer"))
     left = table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(customers, "o_custkey")
     suppliers = table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_regionkey").alias("f_domain"), F.col("s_nationkey").alias("f_layer"))
     fixes = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_quantity").join(suppliers, "l_suppkey").select("o_orderkey", "f_domain", "f_layer", "l_quantity")
-    # Dealt once by order: all three aggregates and the join are local to it.
-    fixes = fixes.repartition("o_orderkey").groupBy("o_orderkey", "f_domain", "f_layer").agg(F.sum("l_quantity").alias("w"))
+    # Dealt once by order: all three aggregates and the join are local to it, and parts go by the number of items, as tasks keep them in hash maps.
+    parts = max(spark.sparkContext.defaultParallelism, -(-table(spark, sf, "lineitem").count() // ITEMS))
+    fixes = fixes.repartition(parts, "o_orderkey").groupBy("o_orderkey", "f_domain", "f_layer").agg(F.sum("l_quantity").alias("w"))
     # The heaviest layer of each domain is an aggregate, not a window: max by (weight, then smaller layer).
     primary = fixes.groupBy("o_orderkey", "f_domain").agg(F.max(F.struct("w", (-F.col("f_layer")).alias("neg"))).alias("top"))
     per_order = primary.groupBy("o_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("f_domain", "top"))).alias("tops"))
