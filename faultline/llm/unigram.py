@@ -10,17 +10,18 @@ import math
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, lattice
 
 #: Marks the start of a word in the pieces.
 MARK = "▁"
 #: What a byte costs where no piece covers a character; each byte is a token.
 BYTE_SCORE = -30.0
-#: What `learn` looks at: documents, drawn by a hash of their id, distinct pre-tokens of these, drawn by a hash, and characters of one.
+#: What `sample_words` looks at: documents, drawn by a hash of their id, distinct pre-tokens of these, drawn by a hash, and characters of one.
 DOCUMENTS, SAMPLE, LONGEST = 2_000, 20_000, 48
 #: Rounds of expectation and maximisation, and how many pieces Zipf's law counts for beside those that are seen.
 ROUNDS, PRIOR = 4, 10_000.0
@@ -82,7 +83,7 @@ def fit(words: dict[str, int], pieces: dict[str, float], rounds: int = ROUNDS, p
 
 
 def sample_words(docs: DataFrame, documents: int = DOCUMENTS, most: int = SAMPLE) -> dict[str, int]:
-    """Marked pre-tokens of a bounded sample of documents, with their numbers there: at most `most`, of LONGEST characters at most."""
+    """Marked pre-tokens of a bounded sample of documents, with their numbers there, for trials of `fit`; `learn` takes all: at most `most`, of LONGEST characters at most."""
     share = min(1.0, 8 * documents / max(1, docs.count()))  # a first draw, by another hash, so that what tasks send on is bounded by the sample
     drawn = docs.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(share * 1_000_000)))
     ids = drawn.select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(documents)
@@ -91,9 +92,52 @@ def sample_words(docs: DataFrame, documents: int = DOCUMENTS, most: int = SAMPLE
     return {MARK + r["w"]: r["count"] for r in rows.collect()}
 
 
-def learn(docs: DataFrame, model_path: str) -> dict[str, float]:
-    """Pieces of a file with log probabilities that are fitted to a bounded sample of docs; the same ones for the same table."""
-    return fit(sample_words(docs.select("doc_id", F.col("text").cast("string").alias("text"))), read_pieces(model_path))[0]
+def words_of(docs: DataFrame) -> DataFrame:
+    """w and n: every distinct pre-token of docs (text) and how often it occurs, in parts that are sorted."""
+    words = docs.select(F.explode(F.split(F.col("text").cast("string"), "[\\x20\\x09-\\x0D]+")).alias("w")).where(F.length("w") > 0)
+    return words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("w")
+
+
+def _expected(words: DataFrame, model_path: str, logs: np.ndarray) -> np.ndarray:
+    """How often each piece of the file is expected in all words: a vector of a task, added up by piece."""
+    given = words.sparkSession.sparkContext.broadcast(logs)  # as many as the file has
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = common.held(("lattice", model_path), lambda: lattice.Reversed(list(read_pieces(model_path))))
+        logs, counts, some, n = given.value, np.zeros(len(trie.pieces)), [], []
+        weights = trie.weights(logs)
+        for batch in batches:
+            some += [MARK + w for w in batch.column("w").to_pylist()]
+            n += batch.column("n").to_pylist()
+            if len(some) >= lattice.CHUNK:
+                trie.add(some, np.array(n, float), logs, weights, counts)
+                some, n = [], []
+        trie.add(some, np.array(n, float), logs, weights, counts)
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(counts[found])], ["piece", "n"])
+
+    rows = words.mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # a row a piece at most
+    counts = np.zeros(len(logs))
+    counts[rows.column("piece").to_numpy()] = rows.column("n").to_numpy()
+    given.destroy()
+    return counts
+
+
+def learn(docs: DataFrame, model_path: str, rounds: int = ROUNDS, prior: float = PRIOR) -> dict[str, float]:
+    """Pieces of a file with log probabilities that are fitted to all pre-tokens of docs (text), as `fit` fits them to words at hand.
+
+    The distinct pre-tokens are written once; each round adds up their expected counts in the cluster. What the driver
+    holds is a number a piece. Tasks may add up in another order, so logarithms are rounded.
+    """
+    pieces = read_pieces(model_path)
+    first = np.exp(np.array(list(pieces.values())))
+    logs = np.log(first)
+    words = common.written(words_of(docs), "words")
+    for _ in range(rounds):
+        counts = _expected(words, model_path, logs)
+        logs = np.round(np.log((counts + prior * first) / (counts.sum() + prior)), 9)
+    common.discard(words)
+    return dict(zip(pieces, logs.tolist()))
 
 
 class PrefixTrie:
@@ -101,6 +145,9 @@ class PrefixTrie:
 
     def __init__(self, pieces: dict[str, float], most: int = NODES):
         self.pieces, self.longest, self.most = pieces, max(map(len, pieces), default=1), most
+        # Ends of pieces with the score of those that are pieces themselves: what is no end of a piece isn't lengthened.
+        self.ends: dict[str, float | None] = {p[i:]: None for p in pieces for i in range(len(p))}
+        self.ends.update(pieces)
         self.clear()
 
     def clear(self) -> None:
@@ -111,14 +158,16 @@ class PrefixTrie:
 
     def insert(self, word: str) -> int:
         """Number of tokens of the word."""
-        child, score, count, pieces, node, path = self.child, self.score, self.count, self.pieces, 0, [0]
+        child, score, count, ends, node, path = self.child, self.score, self.count, self.ends, 0, [0]
         for depth, letter in enumerate(word, 1):
             down = child.get((node, letter))
             if down is None:
                 n = len(letter.encode("utf-8", "replace"))
                 best, tokens = score[node] + n * BYTE_SCORE, count[node] + n
                 for length in range(1, min(depth, self.longest) + 1):
-                    own = pieces.get(word[depth - length : depth])
+                    own = ends.get(word[depth - length : depth], False)
+                    if own is False:
+                        break
                     if own is not None:
                         above = path[depth - length]
                         if score[above] + own >= best:

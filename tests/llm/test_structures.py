@@ -209,3 +209,27 @@ def test_parts_are_aligned_as_the_whole_text():
         some = texts[start : start + 100]
         for x, want in zip(own.align(some), aligned_by_force(some)):
             assert (x[2].decode() if x else "") == want[-1]
+
+
+def test_pieces_are_learned_from_every_word(spark, monkeypatch):
+    """Expected counts of chunks against word by word, of any length; a rare word of the last document counts."""
+    import numpy as np
+
+    from faultline.llm import lattice, unigram
+
+    monkeypatch.setattr(lattice, "CHUNK", 7)
+    path = public.path("piece_bpe_32k.model")
+    pieces = unigram.read_pieces(path)
+    words = {unigram.MARK + w: n for w, n in {"the": 5, "there": 2, "therein": 1, "日本語": 3, "x\x00y": 4, "in": 1, "": 2, "\U0001f600": 1, **{f"in{i}ation": 1 for i in range(20)}, "thereafter" * 30: 2, "a" * 49: 1}.items()}
+    trie, logs = lattice.Reversed(list(pieces)), np.array(list(pieces.values()))
+    got, given = np.zeros(len(pieces)), sorted(words)
+    trie.add(given, np.array([words[w] for w in given], float), logs, trie.weights(logs), got)
+    short = {w: n for w, n in words.items() if len(w) < 120}
+    want = unigram.expected(short, pieces, max(map(len, pieces)))[0]
+    rest = np.zeros(len(pieces))
+    trie._long(unigram.MARK + "thereafter" * 30, 2.0, logs, rest)
+    assert np.allclose(got - rest, list(want.values())) and abs((rest * trie.lengths).sum() - 2 * 301) < 1e-6
+    docs = spark.createDataFrame([(i, "the there") for i in range(2_500)] + [(9_999, "zyzzyva " * 9)], "doc_id long, text string")
+    learned = unigram.learn(docs, path)
+    fitted = unigram.fit({unigram.MARK + "the": 2_500, unigram.MARK + "there": 2_500, unigram.MARK + "zyzzyva": 9}, pieces)[0]
+    assert max(abs(learned[p] - x) for p, x in fitted.items()) < 1e-6
