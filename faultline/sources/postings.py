@@ -9,6 +9,7 @@ records that have all of them are read by their numbers and verified, so the row
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -22,6 +23,8 @@ from faultline.sources import lookup
 GRAM = 3
 #: Records of a block.
 BLOCK = 1 << 16
+#: Letters of the texts whose lists a task puts together at once.
+SLICE = 4 << 20
 #: Folders of grams.
 SHARDS = 64
 #: Grams of a word that are met; more of them would narrow little.
@@ -48,15 +51,49 @@ def _numbered(rows: DataFrame, key: str) -> DataFrame:
     return sorted_.select("*", (part * (1 << 17) + (at / BLOCK).cast("long")).alias("block"), (at % BLOCK).alias("place")).drop("_id")
 
 
+def _lists(blocks: np.ndarray, places: np.ndarray, texts: list[list[str]]) -> pa.RecordBatch:
+    """gram, block and places of a slice of records: a row for each gram of a block in it."""
+    codes, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, fields in enumerate(texts):
+        points = [np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64) for t in fields if len(t) >= GRAM]
+        if points:
+            own = np.unique(np.concatenate([(x[:-2] << 42) | (x[1:-1] << 21) | x[2:] for x in points]))
+            codes.append(own)
+            owner.append(np.full(len(own), i))
+    codes, owner = np.concatenate(codes), np.concatenate(owner)
+    order = np.lexsort((owner, codes, blocks[owner]))
+    codes, owner = codes[order], owner[order]
+    block = blocks[owner]
+    starts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (block[1:] != block[:-1])]) if len(codes) else np.zeros(0, np.int64)
+    first = codes[starts]
+    letters = np.stack([first >> 42, (first >> 21) & 0x1FFFFF, first & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")
+    grams_ = pa.array([letters[i : i + GRAM] for i in range(0, len(letters), GRAM)], pa.string())
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(codes)], pa.int32()), pa.array(places[owner], pa.int32()))
+    return pa.RecordBatch.from_arrays([grams_, pa.array(block[starts], pa.int64()), lists], ["gram", "block", "places"])
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, place and texts as posting lists of slices of about SLICE letters, so that what is shuffled is lists, not single places."""
+    for batch in batches:
+        blocks, places = (batch.column(c).to_numpy() for c in ("block", "place"))
+        texts, start, letters = batch.column("texts").to_pylist(), 0, 0
+        for i, fields in enumerate(texts):
+            letters += sum(map(len, fields))
+            if letters >= SLICE or i == len(texts) - 1:
+                yield _lists(blocks[start : i + 1], places[start : i + 1], texts[start : i + 1])
+                start, letters = i + 1, 0
+
+
 def build(rows: DataFrame, fields: list[str], path: str, key: str = "bug_id") -> None:
     """Writes records and postings under path. fields: columns of text, in which a word is looked for one by one; null is empty."""
     if not set(fields) <= set(rows.columns) or {"block", "place"} & set(rows.columns):
         raise ValueError("fields are columns of rows, and none is named block or place")
     _numbered(rows, key).write.option("parquet.block.size", 4 << 20).mode("overwrite").parquet(f"{path}/records")
     spark = rows.sparkSession
-    found = spark.read.parquet(f"{path}/records").select("block", "place", F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.coalesce(f, F.lit(""))) for f in fields])))).alias("gram"))
+    texts = F.array(*[F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields])
+    found = spark.read.parquet(f"{path}/records").select("block", F.col("place").cast("int").alias("place"), texts.alias("texts")).mapInArrow(_listed, "gram string, block long, places array<int>")
     # Places of a gram in a block are at most BLOCK; gaps between them are small numbers.
-    lists = found.groupBy("gram", "block").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    lists = found.groupBy("gram", "block").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
     gaps = F.transform("places", lambda p, i: (p - F.when(i > 0, F.get("places", i - 1)).otherwise(F.lit(-1))).cast("int"))
     lists = lists.select("gram", "block", gaps.alias("gaps"), (F.crc32(F.col("gram").cast("binary")) % SHARDS).cast("int").alias("shard"))
     lists.repartition("shard").sortWithinPartitions("shard", "gram", "block").write.option("parquet.block.size", 4 << 20).mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
